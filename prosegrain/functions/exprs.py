@@ -108,8 +108,7 @@ def heat_level(c: Column) -> Column:
 
 
 def finish_sentence(c: Column) -> Column:
-    t = squeeze(c)
-    return F.when((t == "") | t.rlike(r"[.!?]$"), t).otherwise(F.concat(t, F.lit(".")))
+    return F.regexp_replace(squeeze(c), r"([^.!?])$", "$1.")
 
 
 def lower_first(c: Column) -> Column:

@@ -127,7 +127,7 @@ def match_lexicon(s: DataFrame, lexicon: DataFrame, mode: str = "tiered", trigge
     found = (
         s.select(*SENT, "text", F.explode(lower_tokens).alias("key"))
         .join(keyed, "key")
-        .filter(F.col("text").rlike(F.col("regex")))
+        .filter(F.rlike("text", F.col("regex")))
         .drop("key")
     )
     slots = lex.filter("keys is null").select(*keep).limit(MAX_SLOT_PHRASES + 1).collect()
@@ -208,7 +208,7 @@ def scan_hitlist(s: DataFrame, lexicon: DataFrame, reach: int = 2) -> DataFrame:
     hits = (
         s.select(*SENT, "text", F.explode(tokens).alias("key"))
         .join(lex.filter("keys is not null").select("phrase", "tier", "regex", F.explode("keys").alias("key")), "key")
-        .filter(F.col("text").rlike(F.col("regex")))
+        .filter(F.rlike("text", F.col("regex")))
         .select(*SENT, "phrase", "tier").distinct()
     )
     near = Window.partitionBy("doc_id").orderBy("sent_id").rangeBetween(-reach, reach)

@@ -17,6 +17,7 @@ from prosegrain import dims
 from prosegrain.dims import fixed
 from prosegrain.functions import exprs as X
 from prosegrain.operators import detect, split, windows
+from prosegrain.sources import corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,11 +68,12 @@ def q(s: str) -> str:
 MARKS = [
     ("Of ", "Moreover, of "), ("And ", "Furthermore and "), ("To ", "In other words, to "), ("In ", "While in "),
     ("La ", "On the one hand, la "), ("Le ", "On the other hand, le "), ("Der ", "At first glance, der "),
-    ("Is ", "But the real opportunity is "), ("En ", "In conclusion, en "), ("De ", "Imagine de "),
-    ("That ", "It is about "), ("It ", "It's not "), ("Was ", "Throughout history was "), ("For ", "Overall, for "),
+    ("Is ", "At first glance, it holds. But the real opportunity is "), ("En ", "In conclusion, en "), ("De ", "Imagine de "),
+    ("That ", "This is not about it. It is about "), ("It ", "It is about what is not about "),
+    ("The ", "On the one hand, this holds. On the other hand, the "), ("Was ", "Throughout history was "), ("For ", "Overall, for "),
     ("Die ", "Not only can Acme "), ("On ", "Whether on "), ("By ", "- **By** : "), ("Be ", "Let me explain be "),
     (" of ", " of crucial "), (" to ", " perhaps "), (" is ", " is not about "), (" that ", " but about "),
-    (" in ", " truly "), (" for ", " rather than "), (" it ", " it is "), (" on ", " landscape "),
+    (" in ", " truly "), (" for ", " rather than "), (" it ", " it's not "), (" on ", " landscape "),
     (" was ", " was considered "), (" with ", " implementation "), (" be ", " leverage "), (" as ", " optimization "),
     (" by ", " in this article "), (" are ", " are significant "), (" this ", " not only "), (" at ", " while "),
     (" from ", " robust "), (" rewh ", " cutting edge "), (" thatin ", " the future looks bright "),
@@ -138,7 +140,7 @@ class Tables:
 
     @cached_property
     def documents(self):
-        return self.read("documents")
+        return corpus.spread(self.read("documents"))
 
     @cached_property
     def docs(self):
