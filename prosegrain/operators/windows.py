@@ -148,29 +148,29 @@ def co_occurrence(hits: DataFrame, by: list[str]) -> DataFrame:
 
 
 def token_stats(tokens: Column, k: int = 50) -> Column:
-    """STRUCT<last, at, run, distinct, hapax, mattr> of one array of lower-cased words.
+    """STRUCT<distinct, hapax, windows, n, …> of one array of lower-cased words.
 
     A single pass over the (word, position) pairs in sorted order. A token adds to the moving ratio
-    the number of windows of ``k`` tokens in which it is the first of its kind.
+    the number of windows of ``k`` tokens in which it is the first of its kind. The length travels in the
+    running state, because a lambda body evaluates whatever it names once per step.
     """
-    n = F.size(tokens)
     pairs = F.array_sort(F.transform(tokens, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
     zero = F.lit(0).cast("bigint")
     init = F.struct(
         F.lit(None).cast("string").alias("last"), F.lit(-1).alias("at"), zero.alias("run"),
-        zero.alias("distinct"), zero.alias("hapax"), zero.alias("windows"),
+        zero.alias("distinct"), zero.alias("hapax"), zero.alias("windows"), F.size(tokens).alias("n"),
     )
 
     def step(a, x):
         same = a["last"].eqNullSafe(x["w"])
         prev = F.when(same, a["at"]).otherwise(F.lit(-1))
-        add = F.greatest(F.lit(0), F.least(x["i"], n - k) - F.greatest(prev + 1, x["i"] - k + 1, F.lit(0)) + 1)
+        add = F.greatest(F.lit(0), F.least(x["i"], a["n"] - k) - F.greatest(prev + 1, x["i"] - k + 1, F.lit(0)) + 1)
         return F.struct(
             x["w"].alias("last"), x["i"].alias("at"),
             F.when(same, a["run"] + 1).otherwise(F.lit(1).cast("bigint")).alias("run"),
             (a["distinct"] + F.when(same, 0).otherwise(1)).alias("distinct"),
             (a["hapax"] + F.when(same & (a["run"] == 1), -1).when(same, 0).otherwise(1)).alias("hapax"),
-            (a["windows"] + add).alias("windows"),
+            (a["windows"] + add).alias("windows"), a["n"].alias("n"),
         )
 
     return F.aggregate(pairs, init, step)
@@ -244,7 +244,7 @@ def window_metrics(w: DataFrame, s: DataFrame, hits: DataFrame) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("sent_id", "text", "word_count", "register", "opening", "types"))).alias("ss"))
     )
     words = F.flatten(F.transform("ss.text", X.words))
-    lower = F.transform("words", F.lower)
+    lower = F.col("lower")
     n = F.size("words")
     wc = F.col("ss.word_count")
     k = F.size("ss")
@@ -256,7 +256,7 @@ def window_metrics(w: DataFrame, s: DataFrame, hits: DataFrame) -> DataFrame:
     s2 = F.aggregate(F.transform(dbl, lambda x: x * x), F.lit(0.0), add)
     nx = F.slice(dbl, F.lit(2), k)
     pr = F.aggregate(F.zip_with(F.slice(dbl, F.lit(1), F.greatest(k - 1, F.lit(0))), nx, lambda a, b: a * b), F.lit(0.0), add)
-    g = g.withColumn("words", words).withColumn("stats", token_stats(lower)).withColumn("types", allt)
+    g = g.withColumn("words", words).withColumn("lower", F.transform("words", F.lower)).withColumn("stats", token_stats(lower)).withColumn("types", allt)
     out = g.select(
         *WIN,
         X.entropy_of(X.array_counts(F.col("ss.register")), k).alias("register_entropy"),

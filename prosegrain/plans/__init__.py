@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["text", "detection"]
+_MODULES = ["text", "detection", "rolling"]
 
 
 def load_catalog():

@@ -59,6 +59,11 @@ def jr(x: str, k: int) -> str:
     return f"(floor((floor(({x})*1e9+0.5)/1e9)*{m}.0+0.5)/{m}.0)"
 
 
+def jr0(x: str, k: int) -> str:
+    """SQL of rounding halves toward plus infinity, as is."""
+    return f"(floor(({x})*{10**k}.0+0.5)/{10**k}.0)"
+
+
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
