@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,9 +14,20 @@ _WORD = "[A-Za-z0-9_]"
 _EDGE = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
 
 
+def _edge(m: re.Match) -> str:
+    """The cheapest assertion for one word boundary: which side is a word shows from its neighbours."""
+    before, after = m.string[: m.start()][-1:], m.string[m.end():][:1]
+    word_before = before.isalnum() or before == ")"
+    if not word_before and (after.isalnum() or after in "(\\"):
+        return f"(?<!{_WORD})"
+    if word_before and not (after.isalnum() or after == "\\"):
+        return f"(?!{_WORD})"
+    return _EDGE
+
+
 def rx(pattern: str, ignore_case: bool = True) -> str:
     """Adapt a pattern for the JVM: word boundaries look at ASCII word characters only."""
-    return ("(?i)" if ignore_case else "") + pattern.replace(r"\b", _EDGE)
+    return ("(?i)" if ignore_case else "") + re.sub(r"\\b", _edge, pattern)
 
 
 def matches(c: Column, pattern: str, ignore_case: bool = True) -> Column:

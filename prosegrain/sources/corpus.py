@@ -13,8 +13,10 @@ def spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
 
     The rows are placed by key, so later windows and groups by that key need no further shuffle.
     """
-    few = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(key) if df.rdd.getNumPartitions() < few else df
+    spark = df.sparkSession
+    if df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def read_corpus(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
