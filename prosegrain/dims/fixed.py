@@ -427,3 +427,38 @@ PARALLEL_RE = r"\b(?:not only|not just|not merely)\b.*?\b(?:but also|but further
 WHETHER_RE = r"\bwhether\b.*\bor\b"
 MARKUP_RE = r"\*\*|(?:^|\n)#{1,6}\s|(?:^|\n)\s*(?:[-*]|\d+\.)\s|`[^`]+`"
 HEADER_ITEM_RE = r"^\s*(?:\d+[.)]|[-*•])\s+(?:\*\*[^*]+\*\*\s*:|\*\*[^*]+:\*\*)"
+
+# Editorial settings as directive lines. field, value, line
+DIRECTIVES = [
+    ("statement_force", "tentative", "Statement force: tentative — qualify claims, prefer hedged wording over assertion."),
+    ("statement_force", "measured", "Statement force: measured — state claims plainly, avoid both hedging and emphasis."),
+    ("statement_force", "firm", "Statement force: firm — state claims directly without hedging, no superlative reinforcement."),
+    ("statement_force", "emphatic", "Statement force: emphatic — state claims with conviction; one strongest expression is permitted if evidence-bearing."),
+    ("claim_certainty", "qualify", "Claim certainty: qualify — soften certainty markers, allow tentative phrasing."),
+    ("claim_certainty", "preserve", "Claim certainty: preserve — keep certainty roughly where the original placed it."),
+    ("claim_certainty", "strengthen", "Claim certainty: strengthen — remove unnecessary hedges, but do not add superlatives."),
+    ("claim_certainty", "reduce", "Claim certainty: reduce — convert assertions into observations or qualified statements."),
+    ("expression_budget", "none", "Expression budget: allow no strongest expressions (no superlatives, no maximalist framings)."),
+    ("expression_budget", "one", "Expression budget: allow at most one strongest expression in the passage."),
+    ("expression_budget", "few", "Expression budget: allow a few strongest expressions, but only where evidence is shown nearby."),
+    ("expression_budget", "preserve", "Expression budget: preserve the original count of strongest expressions."),
+    ("superlative_ceiling", "none", "Superlative ceiling: no superlatives anywhere."),
+    ("superlative_ceiling", "one_per_section", "Superlative ceiling: one superlative per section maximum."),
+    ("superlative_ceiling", "preserve_if_evidence", "Superlative ceiling: preserve a superlative only if it is evidence-bearing."),
+    ("binary_contrast", "avoid", "Binary contrasts: avoid X-vs-Y framings entirely."),
+    ("binary_contrast", "sparingly", "Binary contrasts: allow at most one X-vs-Y framing in the passage."),
+    ("binary_contrast", "preserve_if_central", "Binary contrasts: preserve a binary framing only when it is the central claim."),
+    ("abstraction_level", "concrete", "Abstraction level: concrete — prefer specific names, numbers, and events over abstract nouns."),
+    ("abstraction_level", "balanced", "Abstraction level: balanced — alternate between concrete examples and conceptual framing."),
+    ("abstraction_level", "conceptual", "Abstraction level: conceptual — keep the passage in abstract / framing register."),
+    ("rhythm_policy", "vary_openings", "Rhythm policy: vary sentence openings — do not start consecutive sentences with the same construction."),
+    ("rhythm_policy", "break_mirrored", "Rhythm policy: break mirrored clauses — vary clause lengths and shapes."),
+    ("rhythm_policy", "preserve_cadence", "Rhythm policy: preserve the original cadence and clause shape."),
+]
+# Target lines of a profile.
+LINE_RHYTHM = "Vary sentence length rhythm — avoid adjacent sentences of similar length"
+LINE_VARIETY = "Increase rhetorical variety — mix claims, evidence, pivots, and elaboration"
+LINE_DECAY = "Maintain structural variety throughout — avoid entropy decay toward the end"
+POSITIVE_RHYTHM = "Vary sentence lengths — alternate short (5-8 words) and long (20-35 words)"
+POSITIVE_VARIETY = "Mix rhetorical structures — use questions, fragments, inversions, not just declaratives"
+POSITIVE_DECAY = "Maintain structural variety throughout — don't let the writing flatten toward the end"

@@ -55,7 +55,7 @@ def exact_sum(c: Column) -> Column:
 
 
 def trim_ws(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def squeeze(c: Column) -> Column:
@@ -202,6 +202,17 @@ def std_pop_of(n: Column, s: Column, q: Column) -> Column:
     return F.when(n > 0, F.sqrt(F.greatest(F.lit(0.0), n * q - s * s)) / n).otherwise(F.lit(0.0))
 
 
+def three_item_lists(c: Column) -> Column:
+    """Number of unbroken stretches that read "a, b, c and d".
+
+    A stretch counts when two separators with text around them come before its last "and". Looking at
+    stretches one by one keeps the work linear; one expression over the whole text would backtrack.
+    """
+    stretches = F.split(c, r"[.!?\n]+")
+    heads = F.transform(stretches, lambda x: F.regexp_extract(x, rx(r"^(.*)\band\b"), 1))
+    return F.size(F.filter(heads, lambda h: h.rlike(r"^.[^,;]*[,;].+[,;][^,;]*.$")))
+
+
 def fold_replace(c: Column, rules, ignore_case: bool = True) -> Column:
     return reduce(lambda acc, r: F.regexp_replace(acc, rx(r[0], ignore_case), r[1]), rules, c)
 

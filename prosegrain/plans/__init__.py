@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["text", "detection", "rolling"]
+_MODULES = ["text", "detection", "rolling", "profiles"]
 
 
 def load_catalog():
