@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from prosegrain.dims import fixed
+from prosegrain.functions.frames import stack
 
 GENRES = ["general", "technical", "literary-essay", "journalism", "fiction", "academic", "marketing", "code"]
 
@@ -101,9 +102,7 @@ BUILT_IN = {
 
 def override(built_in: DataFrame, user: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of the user's table win over built-in rows with the same key."""
-    both = built_in.withColumn("_own", F.lit(0)).unionByName(
-        user.withColumn("_own", F.lit(1)), allowMissingColumns=True
-    )
+    both = stack(built_in.withColumn("_own", F.lit(0)), user.withColumn("_own", F.lit(1)), missing=True)
     w = Window.partitionBy(*keys).orderBy(F.desc("_own"))
     return both.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_own")
 

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from prosegrain.dims import fixed, playbook_types
 from prosegrain.functions import exprs as X
+from prosegrain.functions.frames import stack
 
 SENT = ["doc_id", "sent_id"]
 
@@ -138,7 +139,7 @@ def match_lexicon(s: DataFrame, lexicon: DataFrame, mode: str = "tiered", trigge
             F.when(F.col("text").rlike(r["regex"]), F.struct(*[F.lit(r[k]).alias(k) for k in keep])) for r in slots
         ]
         hit = F.explode(F.filter(F.array(*cells), lambda h: h.isNotNull())).alias("h")
-        found = found.unionByName(s.select(*SENT, "text", hit).select(*SENT, "text", "h.*"))
+        found = stack(found, s.select(*SENT, "text", hit).select(*SENT, "text", "h.*"))
     if triggers and mode != "exhaustive":
         has = F.exists("triggers", lambda t: F.contains(F.lower("text"), t))
         none = F.lit(False) if mode == "fast" else F.col("subcategory").isin(fixed.FAST_MARKERS)
@@ -186,7 +187,8 @@ def promote(hits: DataFrame, cands: DataFrame, playbook: DataFrame, mapping: Dat
         F.min_by("evidence", F.struct("sub_pos", "map_pos")).alias("evidence"),
         F.min(F.struct("sub_pos", "map_pos")).alias("o"),
     )
-    return hits.withColumn("promoted", F.lit(0)).unionByName(
+    return stack(
+        hits.withColumn("promoted", F.lit(0)),
         new.select(*SENT, (F.col("o.sub_pos") * 10 + F.col("o.map_pos") + 1000).cast("int").alias("hit_pos"), "type",
                    F.lit(min(max_conf, conf)).alias("confidence"), "evidence", F.lit(1).alias("promoted"))
     )
@@ -566,9 +568,9 @@ def opposition_candidates(s: DataFrame, hits: DataFrame, cands: DataFrame, mappi
     """Sentences with a target hit, a candidate mapped to a target, or an opposition template."""
     by_hit = hits.filter(F.col("type").isin(*types)).select(*SENT)
     by_cand = map_patterns(cands, mapping).filter(F.col("type").isin(*types)).select(*SENT)
-    out = by_hit.union(by_cand)
+    out = stack(by_hit, by_cand)
     if {"binary_contrast", "negation_reframe"} & set(types):
-        out = out.union(s.filter(opposition_reason(F.col("text")).isNotNull()).select(*SENT))
+        out = stack(out, s.filter(opposition_reason(F.col("text")).isNotNull()).select(*SENT))
     return out.distinct()
 
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from prosegrain.dims import fixed
 from prosegrain.functions import exprs as X
+from prosegrain.functions.frames import stack
 from prosegrain.operators import detect, windows
 
 SENT = ["doc_id", "sent_id"]
@@ -456,7 +457,7 @@ def target_lines(profile: DataFrame, v: DataFrame) -> DataFrame:
         F.when(F.col("autocorrelation") > 0.3, fixed.LINE_RHYTHM), F.when(F.col("device_entropy") < 2.0, fixed.LINE_VARIETY),
         F.when(F.col("convergence_slope") < -0.1, fixed.LINE_DECAY),
     )
-    return from_style.unionByName(profile.select("doc_id", F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("line")))
+    return stack(from_style, profile.select("doc_id", F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("line")))
 
 
 def positive_targets(profile: DataFrame, guide: DataFrame | None = None) -> DataFrame:
@@ -510,7 +511,7 @@ def opposition_scan(s: DataFrame, hits: DataFrame, cands: DataFrame, mapping: Da
     h = hits.filter(F.col("type").isin(fixed.OPPOSITION_TYPES)).select(*SENT, "type", "evidence", F.lit(0).alias("src"), F.col("hit_pos").cast("int").alias("o"))
     m = detect.map_patterns(cands, mapping).filter(F.col("type").isin(fixed.OPPOSITION_TYPES))
     m = m.select(*SENT, "type", "evidence", F.lit(1).alias("src"), (F.col("sub_pos") * 10 + F.col("map_pos")).cast("int").alias("o"))
-    both = h.unionByName(m).groupBy(*SENT, "type").agg(F.min_by("evidence", F.struct("src", "o")).alias("evidence"))
+    both = stack(h, m).groupBy(*SENT, "type").agg(F.min_by("evidence", F.struct("src", "o")).alias("evidence"))
     both = both.join(s.select(*SENT, "paragraph_id", "text"), SENT)
     both = both.filter((F.col("type") != "clause_symmetry") | X.matches(F.col("text"), fixed.OPPOSITION_SIGNAL_RE))
     paras = both.groupBy("doc_id", "paragraph_id").agg(

@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["text", "detection", "rolling", "profiles"]
+_MODULES = ["text", "detection", "rolling", "profiles", "comparing"]
 
 
 def load_catalog():

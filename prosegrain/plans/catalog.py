@@ -88,7 +88,7 @@ MARKS = [
     (" les ", " taken together "), (" an ", " data "), (" un ", " slightly "), (" es ", " three factors "),
     (" el ", " absolutely "), (" von ", " world-class "), (" den ", " commence "), (" he ", " refers to "),
     (" re ", " it's important to note "), (" nd ", " is complex "), (" ha ", " kael "), (" ti ", " elara "),
-    (" st ", " whisper "), (" ed ", " shadow "),
+    (" st ", " whisper "), (" ed ", " shadow "), (" ou ", " certainly "), (" nt ", " always "),
 ]
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from prosegrain import dims
 from prosegrain.dims import fixed
 from prosegrain.functions import exprs as X
+from prosegrain.functions.frames import stack
 from prosegrain.operators import detect
 from prosegrain.plans.catalog import cte, jr, q, query
 
@@ -113,7 +114,7 @@ def cands(t):
 @query("c07_dedupe_candidates", "SELECT DISTINCT doc_id, sent_id, subcategory, lower(evidence) AS evidence, start FROM cands")
 def _(t):
     c = cands(t)
-    return detect.dedupe_candidates(c.unionByName(c)).select("doc_id", "sent_id", "subcategory", F.lower("evidence").alias("evidence"), "start")
+    return detect.dedupe_candidates(stack(c, c)).select("doc_id", "sent_id", "subcategory", F.lower("evidence").alias("evidence"), "start")
 
 
 @query(
