@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["text", "detection", "rolling", "profiles", "comparing"]
+_MODULES = ["text", "detection", "rolling", "profiles", "comparing", "detectors", "libraries"]
 
 
 def load_catalog():
