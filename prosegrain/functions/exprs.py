@@ -18,7 +18,7 @@ def _edge(m: re.Match) -> str:
     """The cheapest assertion for one word boundary: which side is a word shows from its neighbours."""
     before, after = m.string[: m.start()][-1:], m.string[m.end():][:1]
     word_before = before.isalnum() or before == ")"
-    if not word_before and (after.isalnum() or after in "(\\"):
+    if not word_before and (after.isalnum() or (after and after in "(\\")):
         return f"(?<!{_WORD})"
     if word_before and not (after.isalnum() or after == "\\"):
         return f"(?!{_WORD})"

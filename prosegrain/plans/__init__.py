@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["text", "detection", "rolling", "profiles", "comparing", "detectors", "libraries"]
+_MODULES = ["loading", "text", "detection", "rolling", "profiles", "comparing", "detectors", "libraries", "incremental"]
 
 
 def load_catalog():

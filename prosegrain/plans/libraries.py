@@ -26,10 +26,12 @@ def lib(t):
 
 
 def _split(text):
-    out, depth, cur = [], 0, ""
+    """Top-level comma-separated expressions; commas in brackets or strings do not count."""
+    out, depth, cur, quoted = [], 0, "", False
     for ch in text:
-        depth += (ch == "(") - (ch == ")")
-        if ch == "," and depth == 0:
+        quoted ^= ch == "'"
+        depth += 0 if quoted else (ch == "(") - (ch == ")")
+        if ch == "," and depth == 0 and not quoted:
             out.append(cur)
             cur = ""
         else:
