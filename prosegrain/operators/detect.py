@@ -378,6 +378,11 @@ def _term(word: str) -> str:
     return rf"\b{out}\b"
 
 
+def _has_stem(lower: Column, word: str) -> Column:
+    """Cheap test that must hold before a term's expression is worth running."""
+    return F.contains(lower, F.lit(word.split("-")[0].lower()))
+
+
 def lexicon_hits(docs: DataFrame, swaps=fixed.SWAPS) -> DataFrame:
     """(doc_id, word, suggestion, index, matched): every occurrence of every swap word.
 
@@ -385,13 +390,14 @@ def lexicon_hits(docs: DataFrame, swaps=fixed.SWAPS) -> DataFrame:
     the swap table is a short constant.
     """
     cells = []
+    docs = docs.select("doc_id", "text", F.lower("text").alias("_low"))
     for pos, (word, to) in enumerate(swaps):
         p = X.rx(_term(word))
         parts = F.split("text", p)
         found = F.regexp_extract_all("text", F.lit(f"({p})"), F.lit(1))
         cells.append(
             F.when(
-                F.col("text").rlike(p),
+                _has_stem(F.col("_low"), word) & F.col("text").rlike(p),
                 F.struct(F.lit(pos).alias("pos"), F.lit(word).alias("word"), F.lit(to).alias("suggestion"),
                          found.alias("found"), F.transform(parts, F.length).alias("gaps")),
             )
@@ -421,16 +427,17 @@ def swap_lines(hits: DataFrame) -> DataFrame:
 
 def banned_without_swap(docs: DataFrame, banned=fixed.BANNED_WORDS, swaps=fixed.SWAPS) -> DataFrame:
     have = {w for w, _ in swaps}
+    docs = docs.select("doc_id", "text", F.lower("text").alias("_low"))
     cells = [
-        F.when(X.matches(F.col("text"), _term(w)), F.lit(w)) for w in banned if w not in have
+        F.when(_has_stem(F.col("_low"), w) & X.matches(F.col("text"), _term(w)), F.lit(w)) for w in banned if w not in have
     ]
     return docs.select("doc_id", F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())).alias("word"))
 
 
-def banned_found(text: Column, banned=fixed.BANNED_WORDS) -> Column:
-    return F.filter(
-        F.array(*[F.when(X.matches(text, _term(w)), F.lit(w)) for w in banned]), lambda c: c.isNotNull()
-    )
+def banned_found(text: Column, lower: Column, banned=fixed.BANNED_WORDS) -> Column:
+    """Banned words in a text, given the text in lower case as well."""
+    cells = [F.when(_has_stem(lower, w) & X.matches(text, _term(w)), F.lit(w)) for w in banned]
+    return F.filter(F.array(*cells), lambda c: c.isNotNull())
 
 
 # ---------------------------------------------------------------- opposition

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from prosegrain.functions import exprs as X
 
-ONE = F.lit(1)
+ONE = "*"
 
 
 def _none():
@@ -71,7 +71,7 @@ def label_stats(labels: DataFrame) -> DataFrame:
         F.count(ONE).alias("total"), n(F.size("expected") == 0).alias("clean"),
         *[n(F.col("difficulty") == d).alias(d) for d in ("obvious", "subtle", "decoy")],
     )
-    return base.withColumn("k", ONE).join(pats.withColumn("k", ONE), "k").drop("k")
+    return base.withColumn("k", F.lit(1)).join(pats.withColumn("k", F.lit(1)), "k").drop("k")
 
 
 def select_labels(labels: DataFrame, pattern: str | None = None, difficulty: str | None = None) -> DataFrame:

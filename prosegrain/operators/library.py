@@ -12,7 +12,7 @@ from prosegrain.functions import exprs as X
 from prosegrain.functions.frames import stack
 from prosegrain.operators import compare
 
-ONE = F.lit(1)
+ONE = "*"
 SORTS = {"updated_at", "created_at", "title", "mean_heat", "word_count", "due_date"}
 
 

@@ -299,9 +299,9 @@ def audit(docs: DataFrame, hits: DataFrame, sep: str = r"\n\s*\n") -> DataFrame:
         F.transform(paragraph_array(t, sep), lambda p: F.lower(F.regexp_extract(p, r"^[\s#>*-]*+([A-Za-z0-9_]+)", 1))), lambda w: w != ""
     )
     df = (
-        docs.select("doc_id", "text").join(rev, "doc_id", "left").join(nsw, "doc_id", "left").join(lines, "doc_id", "left")
+        docs.select("doc_id", "text", F.lower("text").alias("_low")).join(rev, "doc_id", "left").join(nsw, "doc_id", "left").join(lines, "doc_id", "left")
         .withColumns({
-            "em": F.regexp_count(t, F.lit("—|--")), "bad": detect.banned_found(t),
+            "em": F.regexp_count(t, F.lit("—|--")), "bad": detect.banned_found(t, F.col("_low")),
             "re": X.match_count(t, fixed.BINARY_REFRAME_RE) + F.coalesce("_rev", F.lit(0)),
             "ft": X.match_count(t, fixed.FORMAL_TRANSITION_RE, False), "mc": X.match_count(t, fixed.META_COMMENTARY_RE),
             "ve": X.match_count(t, fixed.VAGUE_ENDING_RE), "li": X.three_item_lists(t),

@@ -14,7 +14,7 @@ from prosegrain.functions import exprs as X
 from prosegrain.operators import windows
 
 LEX = fixed.LEXICONS
-ONE = F.lit(1)
+ONE = "*"
 MAX_PHRASES = 5000
 
 

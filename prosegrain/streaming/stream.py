@@ -12,7 +12,7 @@ from prosegrain.functions import exprs as X
 from prosegrain.operators import library
 
 SENT = ["doc_id", "sent_id"]
-ONE = F.lit(1)
+ONE = "*"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
