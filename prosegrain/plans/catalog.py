@@ -29,17 +29,19 @@ def cte(name: str, sql: str) -> None:
 
 
 def compose(select: str) -> str:
-    """Prefix a SELECT with the shared expressions it needs."""
-    need: set[str] = set()
+    """Prefix a SELECT with the shared expressions it needs, each after the ones it uses itself."""
+    ordered: list[str] = []
+    open_: set[str] = set()
 
     def visit(sql: str) -> None:
         for n, body in _CTES.items():
-            if n not in need and re.search(rf"\b{n}\b", sql):
-                need.add(n)
+            if n not in open_ and re.search(rf"\b{n}\b", sql):
+                open_.add(n)
                 visit(body)
+                ordered.append(n)
 
     visit(select)
-    parts = [f"{n} AS MATERIALIZED ({b})" for n, b in _CTES.items() if n in need]
+    parts = [f"{n} AS MATERIALIZED ({_CTES[n]})" for n in ordered]
     return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + select
 
 
@@ -47,7 +49,7 @@ def query(name: str, sql: str | None = None):
     def register(fn):
         QUERIES[name] = lambda spark, path: fn(Tables(spark, path))
         if sql:
-            ORACLES[name] = compose(sql)
+            ORACLES[name] = sql
         return fn
 
     return register

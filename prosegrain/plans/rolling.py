@@ -40,7 +40,7 @@ cte("wtypes", "SELECT w.doc_id, w.size, w.start_sentence, w.end_sentence, w.word
 _dens = "(" + ", ".join(q(x) for x in fixed.DENSITY_PATTERNS) + ")"
 
 
-@query("d02_pattern_density", f"SELECT {W}, 25::BIGINT AS n_types, type, {jr('conf * (100.0 / word_count)', 2)} AS density FROM wtypes WHERE type IN {_dens} AND {jr('conf * (100.0 / word_count)', 2)} > 0")
+@query("d02_pattern_density", f"SELECT {W}, 25::BIGINT AS n_types, type, {jr0('conf * (100.0::DOUBLE / word_count)', 2)} AS density FROM wtypes WHERE type IN {_dens} AND {jr0('conf * (100.0::DOUBLE / word_count)', 2)} > 0")
 def _(t):
     d = windows.pattern_density(t.rolling, t.hits)
     d = d.select("doc_id", "size", "start_sentence", F.size("density").cast("bigint").alias("n_types"), F.explode("density").alias("type", "density"))
