@@ -3,9 +3,9 @@
 The automaton reads tokens, not characters: it accepts just the token sequences that the merges would give. It starts
 as one state with a loop for every base symbol. Each merge (u, v) in turn adds a gadget: the state entered by u is
 copied without v, u now leads to the copy, and wherever u could be read the joined token can be read too and leads to
-where v led. A copy is kept as its parent and the label it lacks; labels made later are allowed wherever their left
-part is. Transitions that have been used are kept in a table. A word is encoded by following, from each position, the
-arcs whose labels spell the next characters; exactly one path reaches each position. Decoding emits the labels of the arcs.
+where v led. A copy is kept as its label and the number of its last merge; labels made later are allowed wherever their left
+part is. Transitions that have been used are kept in a table. A word is encoded by following the arcs whose labels spell
+the next characters; exactly one path reaches each position. Decoding emits the labels of the arcs.
 
 Defined cases: null or empty text has no tokens and decodes to the empty string; special tokens written in a text are
 their own ids, as in the library; repeated rows and null ids are kept; only doc_id and text are read.
@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,81 +34,99 @@ class Automaton:
     """States are numbers, 0 the start; labels are the vocabulary's strings."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
-        self.vocab = vocab
         self.target = dict.fromkeys(vocab, 0)  # label -> the state that it leads to
-        self.left: dict[str, str] = {}
-        self.born: dict[str, int] = {}  # label -> number of its merge; base symbols have none
-        self.parent, self.lacks, self.made = [0], [""], [0]
-        self.arcs: list[dict[str, int]] = [{}]  # the table: for each state the labels known to be allowed, and their targets
+        self.number: dict[tuple[str, str], int] = {}  # merge -> its place in the order
+        self.parts: dict[str, tuple[str, str, int]] = {}  # joined label -> its two parts and its merge
+        self.owner, self.made = [""], [0]  # state -> the label whose merges made it a copy, and the last of them
+        self.arcs: list[dict[str, int]] = [{}]  # the table: for each state the labels tried so far and their targets, -1 for none
         for i, (u, v) in enumerate(merges, 1):
             self._gadget(i, u, v)
-        tries: dict = {}
+        self.trie: dict = {}
         for label in vocab:
-            node = tries
-            for c in self._symbols(label):
+            node = self.trie
+            for c in [*label[:-5], label[-5:]] if label.endswith("</w>") and len(label) > 4 else label:
                 node = node.setdefault(c, {})
             node[""] = label
-        self.trie = tries
-
-    @staticmethod
-    def _symbols(label: str) -> list[str]:
-        return [*label[:-5], label[-5:]] if label.endswith("</w>") and len(label) > 4 else [*label]
 
     def _gadget(self, i: int, u: str, v: str) -> None:
         state, joined = self.target[u], u + v
-        self.left[joined], self.born[joined] = u, i
+        read = self.allowed(state, v)
+        self.parts[joined] = u, v, i
         self.target[joined] = self.target[v]
-        if self.allowed(state, v):
-            self.parent.append(state)
-            self.lacks.append(v)
+        if read:
+            self.number[u, v] = i
+            self.owner.append(u)
             self.made.append(i)
             self.arcs.append({})
-            self.target[u] = len(self.parent) - 1
+            self.target[u] = len(self.owner) - 1
 
     def allowed(self, state: int, label: str) -> bool:
-        """Whether the state has an arc with this label."""
-        while True:
-            born = self.born.get(label, 0)
-            if born and born >= self.made[state]:
-                label = self.left[label]
-            elif not state:
-                return True
-            elif self.lacks[state] == label:
-                return False
-            else:
-                state = self.parent[state]
+        """Whether the state has an arc with this label.
+
+        The copies that led to a state belong to a label, then to its right part before that label was made, and so
+        on; a label made after a copy was allowed there if its left part was. So an arc is missing if one of the copies
+        lacks one of the left parts that was the newest label by then.
+        """
+        owner, before = self.owner[state], self.made[state] + 1
+        lefts, until = [(label, 1 << 60)], label
+        while until in self.parts:
+            until, _, born = self.parts[until]
+            lefts.append((until, born))
+        while owner:
+            for z, born in lefts:
+                m = self.number.get((owner, z))
+                if m and m < before and m <= born:  # equal if a label is joined with itself
+                    return False
+            _, owner, born = self.parts.get(owner, ("", "", 0))
+            before = min(before, born)
+        return True
 
     def encode(self, symbols: list[str]) -> list[str]:
-        """The labels of the one accepted path that spells the symbols."""
-        n = len(symbols)
-        last: list[str | None] = [None] * (n + 1)
-        back = [0] * (n + 1)
-        states = [0] * (n + 1)
-        for j in range(n):
-            node, arcs, state = self.trie, self.arcs[states[j]], states[j]
-            for i in range(j, n):
+        """The labels of the one accepted path that spells the symbols: longest arcs first, back from dead ends.
+
+        A position is reached by one path only, so one that led nowhere is not tried again.
+        """
+        n, dead = len(symbols), set()
+        path: list[tuple[int, str]] = []
+        waiting: list[list[tuple[int, str]]] = []
+        at, state = 0, 0
+        while at < n:
+            node, found = self.trie, []
+            for i in range(at, n):
                 node = node.get(symbols[i])
                 if node is None:
                     break
-                label = node.get("")
-                if label is None or last[i + 1] is not None:
+                if "" in node:
+                    found.append((i + 1, node[""]))
+            waiting.append(found)
+            while True:
+                while waiting[-1]:
+                    to, label = waiting[-1].pop()
+                    if to in dead:
+                        continue
+                    table = self.arcs[state]
+                    goal = table.get(label)
+                    if goal is None:
+                        goal = table[label] = self.target[label] if self.allowed(state, label) else -1
+                    if goal >= 0:
+                        break
+                else:
+                    dead.add(at)
+                    waiting.pop()
+                    path.pop()
+                    at = path[-1][0] if path else 0
+                    state = self.target[path[-1][1]] if path else 0
                     continue
-                to = arcs.get(label)
-                if to is None:
-                    to = arcs[label] = self.target[label] if self.allowed(state, label) else -1
-                if to >= 0:
-                    last[i + 1], back[i + 1], states[i + 1] = label, j, to
-        out = []
-        while n:
-            out.append(last[n])
-            n = back[n]
-        return out[::-1]
+                path.append((to, label))
+                at, state = to, goal
+                break
+        return [x for _, x in path]
 
 
 class _Chunks(dict):
     """For the text between white space: packed ids and labels; emptied when it holds ``most`` entries."""
 
-    def __init__(self, fill, most: int = 150_000):
+    def __init__(self, fill, most: int = 300_000):
         super().__init__()
         self.fill, self.most = fill, most
 
@@ -141,7 +160,7 @@ def codec(json_file: str):
         else:
             words = [w for w, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(chunk))]
         labels = [x for w in words for x in automaton.encode([*w[:-1], w[-1] + end])]
-        return np.asarray([vocab[x] for x in labels], "<u4").tobytes(), " ".join(labels)
+        return array("I", [vocab[x] for x in labels]).tobytes(), " ".join(labels)
 
     known = _Chunks(fill)
 

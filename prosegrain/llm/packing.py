@@ -13,9 +13,12 @@ table gives no rows; a null doc_id is kept; only doc_id and text are read, so ot
 
 from __future__ import annotations
 
+import base64
+import bisect
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,20 +33,28 @@ from prosegrain.llm import common
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _PLAIN = re.compile(r"[\x00-ɏ‐-‟]*")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD_SPACE = re.compile(r"\s |[^\S ]| $|^ ")
+_ODD = re.compile("  | \n|\n |[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return bool(_PLAIN.fullmatch(text))
+    return True
 
 
 class _Words(dict):
     """Ids of text between two cuts, as packed 32-bit integers; emptied when it holds ``most`` entries."""
 
-    def __init__(self, encode, lead: str, most: int = 150_000):
+    def __init__(self, encode, lead: str, most: int = 400_000):
         super().__init__()
         self.encode, self.lead, self.most = encode, lead, most
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        out = self[word] = np.asarray(self.encode(self.lead + word), "<u4").tobytes()
+        out = self[word] = array("I", self.encode(self.lead + word)).tobytes()
         return out
 
 
@@ -55,8 +66,6 @@ def encoder(json_file: str, ranks_file: str):
     such spaces is encoded once per distinct string. Text with characters outside the Latin blocks, where Unicode
     versions could differ, and text with the special token is encoded whole by the tokenizers library.
     """
-    import base64
-
     import tiktoken
     from tokenizers import Tokenizer
 
@@ -69,9 +78,9 @@ def encoder(json_file: str, ranks_file: str):
     first, later = _Words(fast.encode_ordinary, ""), _Words(fast.encode_ordinary, " ")
 
     def encode(text: str) -> bytes:
-        if not _PLAIN.fullmatch(text) or special.search(text):
+        if not _latin(text) or special.search(text):
             return np.asarray(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        parts = text.split(" ") if not _ODD_SPACE.search(text.replace("\n", "")) and " \n" not in text and "\n " not in text else _CUT.split(text)
+        parts = _CUT.split(text) if _ODD.search(text) or text[:1] == " " or text[-1:] == " " else text.split(" ")
         return first[parts[0]] + b"".join(map(later.__getitem__, parts[1:]))
 
     return encode
@@ -104,8 +113,6 @@ def balanced(lengths: list[int], capacity: int, linear: int) -> list[tuple[int,
         left = sizes[s] - filled[s]
         if left:
             if left not in spread:
-                import bisect
-
                 bisect.insort(rooms, left)
             heapq.heappush(spread.setdefault(left, []), (cost + linear * take + take * take, s))
 
