@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
-from prosegrain.llm import bpe, curves, packing, topk, urls
+from prosegrain.llm import bpe, curves, langid, packing, quality, topk, urls
 
-QUERIES = {f.__name__: f for f in (urls.op2_url_filters, curves.op4_shifted_hilbert, topk.op6_columnar_topk, packing.op7_cost_packing, bpe.op10_bpe_automaton)}
+QUERIES = {f.__name__: f for f in (quality.op1_quality_network, urls.op2_url_filters, curves.op4_shifted_hilbert, topk.op6_columnar_topk, packing.op7_cost_packing, langid.op9_byte_gru, bpe.op10_bpe_automaton)}
 ORACLES = {"op2_url_filters": urls.OP2_SQL, "op6_columnar_topk": topk.OP6_SQL}
