@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from prosegrain.llm import common
 
@@ -183,7 +184,7 @@ def scored(docs: DataFrame, model: Model, name: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.scores(pooled(*common.utf8(b.column(at)), model.vectors, model.bits)), pa.float64())], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, docs.schema.add(name, "double"))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def learnable():
