@@ -3,9 +3,12 @@
 The automaton reads tokens, not characters: it accepts just the token sequences that the merges would give. It starts
 as one state with a loop for every base symbol. Each merge (u, v) in turn adds a gadget: the state entered by u is
 copied without v, u now leads to the copy, and wherever u could be read the joined token can be read too and leads to
-where v led. A copy is kept as its label and the number of its last merge; labels made later are allowed wherever their left
-part is. Transitions that have been used are kept in a table. A word is encoded by following the arcs whose labels spell
-the next characters; exactly one path reaches each position. Decoding emits the labels of the arcs.
+where v led. A copy is kept as its label and the number of its last merge; labels made later are allowed wherever their
+left part is.
+
+For characters it is made deterministic as it is used: a reader's state is the set of arcs that may be under way, and its
+table gives for each character the next state and the one arc that can end there. A word costs one table look-up for each
+character; following the ended arcs back from its end gives the tokens. Decoding emits the labels of the arcs.
 
 Defined cases: null or empty text has no tokens and decodes to the empty string; special tokens written in a text are
 their own ids, as in the library; repeated rows and null ids are kept; only doc_id and text are read.
@@ -27,6 +30,9 @@ from pyspark.sql import DataFrame
 
 from prosegrain.llm import common
 
+END = "</w>"
+#: The table of transitions starts anew beyond so many states; it refills from the automaton.
+MOST_STATES = 120_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -41,12 +47,24 @@ class Automaton:
         self.arcs: list[dict[str, int]] = [{}]  # the table: for each state the labels tried so far and their targets, -1 for none
         for i, (u, v) in enumerate(merges, 1):
             self._gadget(i, u, v)
-        self.trie: dict = {}
+        self.next: list[dict[str, int]] = [{}]  # the labels' spelling: for each node the nodes that its symbols lead to
+        self.label: list[str | None] = [None]
         for label in vocab:
-            node = self.trie
-            for c in [*label[:-5], label[-5:]] if label.endswith("</w>") and len(label) > 4 else label:
-                node = node.setdefault(c, {})
-            node[""] = label
+            node = 0
+            for c in [*label[:-5], label[-5:]] if label.endswith(END) and len(label) > 4 else label:
+                if c not in self.next[node]:
+                    self.next[node][c] = len(self.next)
+                    self.next.append({})
+                    self.label.append(None)
+                node = self.next[node][c]
+            self.label[node] = label
+        self.size = {x: len(x) - 4 * (x.endswith(END) and len(x) > 4) for x in vocab}  # in symbols
+        self._forget()
+
+    def _forget(self) -> None:
+        self.open: list[tuple] = [((0, 0),)]  # state of the reader -> the states and nodes of all arcs that may be under way
+        self.known = {self.open[0]: 0}
+        self.step: list[dict[str, tuple[int, str]]] = [{}]  # the table: for each state and symbol the next state and the arc that ends
 
     def _gadget(self, i: int, u: str, v: str) -> None:
         state, joined = self.target[u], u + v
@@ -81,52 +99,55 @@ class Automaton:
             before = min(before, born)
         return True
 
-    def encode(self, symbols: list[str]) -> list[str]:
-        """The labels of the one accepted path that spells the symbols: longest arcs first, back from dead ends.
+    def _advance(self, at: int, symbol: str) -> tuple[int, str]:
+        """A new entry of the table. Of the arcs that may end with this symbol just one is allowed where it began."""
+        ahead, ended = [], None
+        for state, node in self.open[at]:
+            to = self.next[node].get(symbol)
+            if to is None:
+                continue
+            if self.next[to]:
+                ahead.append((state, to))
+            label = self.label[to]
+            if label is not None and ended is None:
+                arcs = self.arcs[state]
+                goal = arcs.get(label)
+                if goal is None:
+                    goal = arcs[label] = self.target[label] if self.allowed(state, label) else -1
+                if goal >= 0:
+                    ended = label
+                    start = goal
+        ahead.append((start, 0))
+        key = tuple(ahead)
+        if key not in self.known:
+            self.known[key] = len(self.open)
+            self.open.append(key)
+            self.step.append({})
+        out = self.step[at][symbol] = self.known[key], ended
+        return out
 
-        A position is reached by one path only, so one that led nowhere is not tried again.
-        """
-        n, dead = len(symbols), set()
-        path: list[tuple[int, str]] = []
-        waiting: list[list[tuple[int, str]]] = []
-        at, state = 0, 0
-        while at < n:
-            node, found = self.trie, []
-            for i in range(at, n):
-                node = node.get(symbols[i])
-                if node is None:
-                    break
-                if "" in node:
-                    found.append((i + 1, node[""]))
-            waiting.append(found)
-            while True:
-                while waiting[-1]:
-                    to, label = waiting[-1].pop()
-                    if to in dead:
-                        continue
-                    table = self.arcs[state]
-                    goal = table.get(label)
-                    if goal is None:
-                        goal = table[label] = self.target[label] if self.allowed(state, label) else -1
-                    if goal >= 0:
-                        break
-                else:
-                    dead.add(at)
-                    waiting.pop()
-                    path.pop()
-                    at = path[-1][0] if path else 0
-                    state = self.target[path[-1][1]] if path else 0
-                    continue
-                path.append((to, label))
-                at, state = to, goal
-                break
-        return [x for _, x in path]
+    def encode(self, symbols: list[str]) -> list[str]:
+        """The labels of the one accepted path that spells the symbols, read off backwards from the arcs that end in each place."""
+        if len(self.open) > MOST_STATES:
+            self._forget()
+        at, ended, step = 0, [], self.step
+        for c in symbols:
+            entry = step[at].get(c) or self._advance(at, c)
+            at = entry[0]
+            ended.append(entry[1])
+        out, n = [], len(ended)
+        while n:
+            label = ended[n - 1]
+            out.append(label)
+            n -= self.size[label]
+        out.reverse()
+        return out
 
 
 class _Chunks(dict):
     """For the text between white space: packed ids and labels; emptied when it holds ``most`` entries."""
 
-    def __init__(self, fill, most: int = 300_000):
+    def __init__(self, fill, most: int = 600_000):
         super().__init__()
         self.fill, self.most = fill, most
 
