@@ -38,3 +38,27 @@ def components(ids, sets, num, den):
         r = find(i)
         least[r] = min(least.get(r, d), d)
     return [least[find(i)] for i in range(len(ids))]
+
+
+def repeated(texts, size):
+    """For each text the bytes that stay, and its removed ranges."""
+    data = [(t or "").encode() for t in texts]
+    seen = {}
+    for b in data:
+        for i in range(len(b) - size + 1):
+            s = b[i : i + size]
+            seen[s] = seen.get(s, 0) + 1
+    out = []
+    for b in data:
+        ranges = []
+        for i in range(len(b) - size + 1):
+            if seen[b[i : i + size]] > 1:
+                if ranges and i <= ranges[-1][1]:
+                    ranges[-1][1] = i + size
+                else:
+                    ranges.append([i, i + size])
+        kept, at = b"", 0
+        for a, e in ranges:
+            kept, at = kept + b[at:a], e
+        out.append((kept + b[at:], ranges))
+    return out
