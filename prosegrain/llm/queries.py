@@ -1,6 +1,11 @@
 """The registered queries of this subpackage, and SQL for those that SQL can express."""
 
-from prosegrain.llm import bpe, curves, langid, packing, quality, topk, urls
+import corpus_pipeline
+from prosegrain.llm import bpe, curves, jaccard, langid, packing, pii, quality, suffixes, topk, urls
 
-QUERIES = {f.__name__: f for f in (quality.op1_quality_network, urls.op2_url_filters, curves.op4_shifted_hilbert, topk.op6_columnar_topk, packing.op7_cost_packing, langid.op9_byte_gru, bpe.op10_bpe_automaton)}
+_OPERATORS = (
+    quality.op1_quality_network, urls.op2_url_filters, jaccard.op3_ngram_jaccard, curves.op4_shifted_hilbert, pii.op5_pii_bootstrap,
+    topk.op6_columnar_topk, packing.op7_cost_packing, suffixes.op8_suffix_dedup, langid.op9_byte_gru, bpe.op10_bpe_automaton,
+)
+QUERIES = {f.__name__: f for f in _OPERATORS} | {"pipeline": corpus_pipeline.run}
 ORACLES = {"op2_url_filters": urls.OP2_SQL, "op6_columnar_topk": topk.OP6_SQL}
