@@ -197,6 +197,9 @@ FAST_MARKERS = (
     "superlative sycophantic_opener vague_contextualizer"
 ).split()
 # Candidates kept per sentence by mode.
+# What marks a bundled expression, and the labels of bundled and of manual phrases.
+BUNDLE_MARK = "A-Za-z0-9_"
+SOURCE_LABELS = ["oai_regex_bundle", "kimi_field_manual"]
 MODE_CAPS = {"fast": 4, "tiered": 8, "exhaustive": 20}
 # Words too common to trigger a scan.
 COMMON_TRIGGERS = (

@@ -59,15 +59,17 @@ def escape(c: Column) -> Column:
 
 
 def matchers(lexicon: DataFrame) -> DataFrame:
-    """Add ``regex``, join ``keys`` and labels to lexicon(subcategory, sub_pos, phrase_pos, phrase).
+    """Add ``regex``, join ``keys`` and labels to lexicon(subcategory, sub_pos, phrase_pos, phrase[, pattern]).
 
     One word is matched between bounds, several words with a flexible gap. A phrase with ``[slots]``
-    becomes its literal parts with windows of up to 40 characters; slots at the ends are dropped.
-    ``keys`` are the words a sentence must hold for the phrase to match; slot phrases have none.
+    becomes its literal parts with windows of up to 40 characters; slots at the ends are dropped. A given
+    ``pattern`` is used as it is. Phrases without a literal part match nothing and are left out.
+    ``keys`` are the words a sentence must hold for the phrase to match; slot phrases and patterns have none.
     """
+    given = F.col("pattern") if "pattern" in lexicon.columns else F.lit(None).cast("string")
     slot = F.col("phrase").rlike(r"\[[^\]]+\]")
     ws = X.words(F.lower("phrase"))
-    gap = r"[\s '’-]*"
+    gap = r"[\s '’-]*"
     plain = F.concat(
         F.lit("(?i)(?<![a-z0-9])"), F.array_join(F.transform(ws, escape), gap), F.lit("(?![a-z0-9])")
     )
@@ -77,7 +79,7 @@ def matchers(lexicon: DataFrame) -> DataFrame:
     )
     # The gap may be empty, so the first word of a match can be the first k words run together.
     heads = F.transform(
-        F.sequence(F.lit(1), F.size(ws)),
+        F.sequence(F.lit(1), F.greatest(F.size(ws), F.lit(1))),
         lambda k: F.regexp_extract(F.array_join(F.slice(ws, F.lit(1), k), ""), "[a-z0-9]+", 0),
     )
     triggers = F.filter(
@@ -85,14 +87,18 @@ def matchers(lexicon: DataFrame) -> DataFrame:
                     lambda t: F.regexp_replace(F.lower(t), "^-+|-+$", "")),
         lambda t: F.length(t).between(5, 28) & ~t.isin(fixed.COMMON_TRIGGERS),
     )
-    regex = F.when(slot, slotted).otherwise(plain)
+    literal = F.when(slot, F.size(parts) > 0).otherwise(F.size(ws) > 0)
+    bundle = F.contains("regex", F.lit(fixed.BUNDLE_MARK))
     return (
-        lexicon.withColumn("regex", regex)
-        .withColumn("keys", F.when(~slot, F.array_distinct(heads)))
+        lexicon.filter(given.isNotNull() | literal)
+        .withColumn("regex", F.coalesce(given, F.when(slot, slotted).otherwise(plain)))
+        .withColumn("keys", F.when(given.isNull() & ~slot, F.array_distinct(heads)))
         .withColumn("phrase_triggers", triggers)
+        .withColumn("source", F.when(bundle, fixed.SOURCE_LABELS[0]).otherwise(fixed.SOURCE_LABELS[1]))
         .withColumn(
             "matcher_role",
-            F.when(F.length("regex") > 900, "family_router")
+            F.when(~bundle, "manual_phrase")
+            .when(F.length("regex") > 900, "family_router")
             .when(F.length("regex") > 350, "mechanism_router")
             .otherwise("surface_exact_or_near_exact"),
         )
@@ -100,46 +106,35 @@ def matchers(lexicon: DataFrame) -> DataFrame:
 
 
 def _triggers(lex: DataFrame) -> DataFrame:
-    """Up to 80 trigger words per subcategory, from its first 40 phrases."""
-    first = lex.filter("phrase_pos < 40")
-    return first.groupBy("subcategory").agg(
-        F.array_sort(F.collect_list(F.struct("phrase_pos", "phrase_triggers"))).alias("t")
-    ).select("subcategory", F.slice(F.array_distinct(F.flatten("t.phrase_triggers")), 1, 80).alias("triggers"))
+    """The trigger words of all phrases of each subcategory."""
+    return lex.groupBy("subcategory").agg(F.array_distinct(F.flatten(F.collect_set("phrase_triggers"))).alias("triggers"))
 
 
-MAX_SLOT_PHRASES = 500
+def _phrase_hits(s: DataFrame, lex: DataFrame, keep: list[str]) -> DataFrame:
+    """(doc_id, sent_id, text, *keep) for every phrase that occurs in a sentence.
+
+    Sentences meet phrases by an equi join on words; only pairs that share a word reach the regex. Phrases without
+    a key word travel as one row that every sentence is tested against, as large as that part of the lexicon.
+    """
+    tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1)))
+    keyed = lex.filter("keys is not null").select(*keep, "regex", F.explode("keys").alias("key"))
+    found = s.select(*SENT, "text", F.explode(tokens).alias("key")).join(keyed, "key").filter(F.rlike("text", F.col("regex"))).drop("key")
+    loose = lex.filter("keys is null").select(F.struct(*keep, "regex").alias("m")).agg(F.collect_list("m").alias("loose")).filter(F.size("loose") > 0)
+    tested = s.select(*SENT, "text").crossJoin(loose).select(*SENT, "text", F.explode(F.filter("loose", lambda m: F.rlike(F.col("text"), m["regex"]))).alias("m"))
+    return stack(found, tested.select(*SENT, "text", "m.*").select(found.columns))
 
 
-def match_lexicon(s: DataFrame, lexicon: DataFrame, mode: str = "tiered", triggers: bool = True) -> DataFrame:
+def match_lexicon(s: DataFrame, lexicon: DataFrame, mode: str = "tiered", triggers: bool = True, cap: int | None = None) -> DataFrame:
     """candidates(doc_id, sent_id, subcategory, phrase, evidence, start, end, …).
 
-    The first matching phrase of each subcategory, then the first ``cap`` subcategories in order.
-    Sentences meet phrases by an equi join on words; only pairs that share a word reach the regex.
-    Spark picks a broadcast or a shuffle join from the size of the lexicon.
+    The first matching phrase of each subcategory; with ``cap``, the first that many subcategories in order.
     """
     if mode == "off":
         return match_lexicon(s, lexicon, "exhaustive").filter(F.lit(False))
     lex = matchers(lexicon)
     if mode == "fast":
         lex = lex.filter(F.col("subcategory").isin(fixed.FAST_MARKERS))
-    keep = ["subcategory", "sub_pos", "phrase_pos", "phrase", "regex", "matcher_role"]
-    lower_tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1)))
-    keyed = lex.filter("keys is not null").select(*keep, F.explode("keys").alias("key"))
-    found = (
-        s.select(*SENT, "text", F.explode(lower_tokens).alias("key"))
-        .join(keyed, "key")
-        .filter(F.rlike("text", F.col("regex")))
-        .drop("key")
-    )
-    slots = lex.filter("keys is null").select(*keep).limit(MAX_SLOT_PHRASES + 1).collect()
-    if len(slots) > MAX_SLOT_PHRASES:
-        raise ValueError(f"more than {MAX_SLOT_PHRASES} slot phrases; split the lexicon")
-    if slots:
-        cells = [
-            F.when(F.col("text").rlike(r["regex"]), F.struct(*[F.lit(r[k]).alias(k) for k in keep])) for r in slots
-        ]
-        hit = F.explode(F.filter(F.array(*cells), lambda h: h.isNotNull())).alias("h")
-        found = stack(found, s.select(*SENT, "text", hit).select(*SENT, "text", "h.*"))
+    found = _phrase_hits(s, lex, ["subcategory", "sub_pos", "phrase_pos", "phrase", "source", "matcher_role"])
     if triggers and mode != "exhaustive":
         has = F.exists("triggers", lambda t: F.contains(F.lower("text"), t))
         none = F.lit(False) if mode == "fast" else F.col("subcategory").isin(fixed.FAST_MARKERS)
@@ -147,19 +142,17 @@ def match_lexicon(s: DataFrame, lexicon: DataFrame, mode: str = "tiered", trigge
             F.when(F.size("triggers") == 0, none).otherwise(has)
         ).drop("triggers")
     first = found.groupBy(*SENT, "subcategory").agg(
-        F.min_by(F.struct("sub_pos", "phrase", "regex", "matcher_role", "text"), "phrase_pos").alias("m")
+        F.min_by(F.struct("sub_pos", "phrase", "regex", "source", "matcher_role", "text"), "phrase_pos").alias("m")
     )
-    w = Window.partitionBy(*SENT).orderBy("m.sub_pos")
+    if cap is not None:
+        w = Window.partitionBy(*SENT).orderBy("m.sub_pos")
+        first = first.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= cap)
     start = F.regexp_instr("m.text", F.col("m.regex")) - 1
     evidence = F.regexp_substr("m.text", F.col("m.regex"))
-    return (
-        first.withColumn("n", F.row_number().over(w))
-        .filter(F.col("n") <= fixed.MODE_CAPS[mode])
-        .select(
-            *SENT, "subcategory", F.col("m.sub_pos").alias("sub_pos"), F.col("m.phrase").alias("phrase"),
-            evidence.alias("evidence"), start.alias("start"), (start + F.length(evidence)).alias("end"),
-            F.col("m.matcher_role").alias("matcher_role"),
-        )
+    return first.select(
+        *SENT, "subcategory", F.col("m.sub_pos").alias("sub_pos"), F.col("m.phrase").alias("phrase"),
+        evidence.alias("evidence"), start.alias("start"), (start + F.length(evidence)).alias("end"),
+        F.col("m.source").alias("source"), F.col("m.matcher_role").alias("matcher_role"),
     )
 
 
@@ -205,14 +198,7 @@ def keep_patterns(hits: DataFrame, ids: DataFrame) -> DataFrame:
 def scan_hitlist(s: DataFrame, lexicon: DataFrame, reach: int = 2) -> DataFrame:
     """Tiered scan: strong entries flag alone, moderate ones when another hit is within ``reach``
     sentences, watch entries only next to a strong or moderate hit in the same sentence."""
-    lex = matchers(lexicon)
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1)))
-    hits = (
-        s.select(*SENT, "text", F.explode(tokens).alias("key"))
-        .join(lex.filter("keys is not null").select("phrase", "tier", "regex", F.explode("keys").alias("key")), "key")
-        .filter(F.rlike("text", F.col("regex")))
-        .select(*SENT, "phrase", "tier").distinct()
-    )
+    hits = _phrase_hits(s, matchers(lexicon), ["phrase", "tier"]).select(*SENT, "phrase", "tier").distinct()
     near = Window.partitionBy("doc_id").orderBy("sent_id").rangeBetween(-reach, reach)
     here = Window.partitionBy(*SENT)
     firm = F.sum(F.when(F.col("tier") != "watch", 1).otherwise(0))

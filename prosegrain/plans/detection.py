@@ -46,12 +46,20 @@ LEX = [
     ("structural_padding", ["in this [noun] perhaps", "which means that"]),
     ("process_noun", ["implementation", "optimization"]),
     ("triadic_list", ["of crucial", "truly"]),
+    # More phrases than a short list of triggers would hold; only the last two occur.
+    ("long_list", [f"unseenword{i} here" for i in range(60)] + ["perhaps", "of the"]),
+    # Nothing but a slot, or nothing at all: no sentence matches.
+    ("empty_forms", ["[anything]", " "]),
+    # Many subcategories that share a sentence.
+    *((f"common_{w}", [w]) for w in "the of and a in is to at on it for as be an this that by with la de les und die der en es que nd ti re".split()),
 ]
 LEX_ROWS = [(s, i, j, p) for i, (s, ps) in enumerate(LEX) for j, p in enumerate(ps)]
+# Given expressions instead of phrases, with the mark of a bundle or without it.
+LEX_PATTERNS = [("bundle", len(LEX), 0, "bundled words", "(?i)(?<![A-Za-z0-9_])(significant|crucial)(?![A-Za-z0-9_])"), ("plain_pattern", len(LEX) + 1, 0, "plain", "(?i)robust")]
 
 
 def lexicon(t):
-    return t.values(LEX_ROWS, "subcategory string, sub_pos int, phrase_pos int, phrase string")
+    return t.values([(*r, None) for r in LEX_ROWS] + LEX_PATTERNS, "subcategory string, sub_pos int, phrase_pos int, phrase string, pattern string")
 
 
 def _sql_regex(p: str) -> str:
@@ -68,43 +76,53 @@ def _lex_triggers():
     import re
 
     out = {}
-    for s, ps in LEX:
+    for s, ps in [*LEX, ("bundle", ["bundled words"]), ("plain_pattern", ["plain"])]:
         ts = [w.lower().strip("-") for p in ps for w in re.findall("[A-Za-z][A-Za-z-]{4,}", p)]
         out[s] = [w for w in dict.fromkeys(ts) if 5 <= len(w) <= 28 and w not in fixed.COMMON_TRIGGERS]
     return out
 
 
-cte("lex", "SELECT * FROM (VALUES " + ", ".join(f"({q(s)}, {i}, {j}, {q(p)}, {q(_sql_regex(p))})" for s, i, j, p in LEX_ROWS) + ") l(subcategory, sub_pos, phrase_pos, phrase, re)")
+# The SQL's own reading: phrases without literal text are not rules, a given expression is wrapped to give its place.
+_SQL_LEX = [(s, i, j, p, _sql_regex(p), "phrase") for s, i, j, p in LEX_ROWS if p.strip() and p.strip("[]") != "anything"] + [
+    ("bundle", len(LEX), 0, "bundled words", "(?i)^((?:.*?[^a-z0-9_])??)(significant|crucial)(?:[^a-z0-9_]|$)", "A-Za-z0-9_"),
+    ("plain_pattern", len(LEX) + 1, 0, "plain", "(?i)^(.*?)(robust)", "phrase"),
+]
+cte("lex", "SELECT * FROM (VALUES " + ", ".join(f"({q(s)}, {i}, {j}, {q(p)}, {q(r)}, {q(k)})" for s, i, j, p, r, k in _SQL_LEX) + ") l(subcategory, sub_pos, phrase_pos, phrase, re, kind)")
 cte("trig", "SELECT * FROM (VALUES " + ", ".join(f"({q(s)}, {'[' + ', '.join(q(w) for w in ws) + ']::VARCHAR[]'}, {str(s in fixed.FAST_MARKERS).lower()})" for s, ws in _lex_triggers().items()) + ") t(subcategory, triggers, fast)")
 cte("lexall", "SELECT * FROM (SELECT s.doc_id, s.sent_id, s.text, l.*, regexp_extract(s.text, l.re, 2) AS evidence, len(regexp_extract(s.text, l.re, 1)) AS start, row_number() OVER (PARTITION BY s.doc_id, s.sent_id, l.subcategory ORDER BY l.phrase_pos) AS rn FROM sents s JOIN lex l ON regexp_matches(s.text, l.re)) WHERE rn = 1")
 
 
-def _mode_sql(mode: str, cols: str) -> str:
+def _mode_sql(mode: str, cols: str, cap: int = 1_000_000) -> str:
     scan = {
         "exhaustive": "true",
         "tiered": "CASE WHEN len(triggers) = 0 THEN fast ELSE len([x FOR x IN triggers IF contains(lower(text), x)]) > 0 END",
         "fast": "fast AND len([x FOR x IN triggers IF contains(lower(text), x)]) > 0",
     }[mode]
-    return f"SELECT {cols} FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY sub_pos) AS n FROM lexall JOIN trig USING (subcategory) WHERE {scan}) WHERE n <= {fixed.MODE_CAPS[mode]}"
+    return f"SELECT {cols} FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY sub_pos) AS n FROM lexall JOIN trig USING (subcategory) WHERE {scan}) WHERE n <= {cap}"
 
 
 CAND = "doc_id, sent_id, subcategory, phrase, evidence, start, start + len(evidence) AS \"end\""
-cte("cands", _mode_sql("exhaustive", "doc_id, sent_id, subcategory, sub_pos, phrase, evidence, start"))
+cte("cands", _mode_sql("exhaustive", "doc_id, sent_id, subcategory, sub_pos, phrase, evidence, start, kind"))
 
 
 @query("c04_match_lexicon", _mode_sql("exhaustive", CAND))
 def _(t):
-    return detect.match_lexicon(t.sents, lexicon(t), "exhaustive").drop("sub_pos", "matcher_role")
+    return detect.match_lexicon(t.sents, lexicon(t), "exhaustive").drop("sub_pos", "matcher_role", "source")
+
+
+@query("c05_mode_off", "SELECT 0::BIGINT AS n")
+def _(t):
+    return detect.match_lexicon(t.sents, lexicon(t), "off").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("c05_mode_fast", _mode_sql("fast", CAND))
+@query("c05_mode_fast", _mode_sql("fast", CAND, 4))
 def _(t):
-    return detect.match_lexicon(t.sents, lexicon(t), "fast").drop("sub_pos", "matcher_role")
+    return detect.match_lexicon(t.sents, lexicon(t), "fast", cap=4).drop("sub_pos", "matcher_role", "source")
 
 
-@query("c06_mode_tiered", _mode_sql("tiered", CAND))
+@query("c06_mode_tiered", _mode_sql("tiered", CAND, 8))
 def _(t):
-    return detect.match_lexicon(t.sents, lexicon(t), "tiered").drop("sub_pos", "matcher_role")
+    return detect.match_lexicon(t.sents, lexicon(t), "tiered", cap=8).drop("sub_pos", "matcher_role", "source")
 
 
 def cands(t):
@@ -119,10 +137,11 @@ def _(t):
 
 @query(
     "c08_matcher_roles",
-    "SELECT subcategory, 'surface_exact_or_near_exact' AS matcher_role, count(*) AS n FROM cands GROUP BY ALL",
+    """SELECT subcategory, CASE kind WHEN 'phrase' THEN 'kimi_field_manual' ELSE 'oai_regex_bundle' END AS source,
+  CASE kind WHEN 'phrase' THEN 'manual_phrase' ELSE 'surface_exact_or_near_exact' END AS matcher_role, count(*) AS n FROM cands GROUP BY ALL""",
 )
 def _(t):
-    return cands(t).groupBy("subcategory", "matcher_role").agg(F.count(F.lit(1)).alias("n"))
+    return cands(t).groupBy("subcategory", "source", "matcher_role").agg(F.count(F.lit(1)).alias("n"))
 
 
 cte("mtypes", "SELECT * FROM (VALUES " + ", ".join(f"({q(m)}, {i}, {q(x)})" for m, xs in fixed.MARKER_TYPES.items() for i, x in enumerate(xs.split())) + ") m(subcategory, map_pos, type)")
@@ -149,7 +168,7 @@ def _(t):
     return detect.drop_disabled(t.hits, off).select("doc_id", "sent_id", "type", "confidence")
 
 
-TIERS = [("perhaps", "watch"), ("crucial", "watch"), ("landscape", "moderate"), ("robust", "moderate"), ("in conclusion", "strong"), ("leverage", "strong")]
+TIERS = [("perhaps", "watch"), ("crucial", "watch"), ("landscape", "moderate"), ("robust", "moderate"), ("in conclusion", "strong"), ("leverage", "strong"), ("in this [noun] perhaps", "strong")]
 cte("tiered", "SELECT * FROM (VALUES " + ", ".join(f"({q(p)}, {q(x)}, {q(_sql_regex(p))})" for p, x in TIERS) + ") t(phrase, tier, re)")
 cte("thits", "SELECT s.doc_id, s.sent_id, t.phrase, t.tier FROM sents s JOIN tiered t ON regexp_matches(s.text, t.re)")
 
