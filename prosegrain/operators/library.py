@@ -94,17 +94,18 @@ def words_per_month(docs: DataFrame, now: str, months: int = 6) -> DataFrame:
 
 
 def deadlines(docs: DataFrame) -> DataFrame:
-    d = docs.filter("due_date is not null").withColumn("day", F.to_date(F.substring("due_date", 1, 10)))
-    return d.groupBy("day").agg(F.count(ONE).alias("n"), F.sort_array(F.collect_list("doc_id")).alias("doc_ids"))
+    """(day, doc_id, n) of every document with a due date; n documents are due that day."""
+    d = docs.filter("due_date is not null").select(F.to_date(F.substring("due_date", 1, 10)).alias("day"), "doc_id")
+    return d.join(d.groupBy("day").agg(F.count(ONE).alias("n")), "day")
 
 
 def month_grid(docs: DataFrame, month: str) -> DataFrame:
-    """Days of a month, padded to whole weeks from Sunday, with the documents due on each."""
+    """Days of a month, padded to whole weeks from Sunday, with a row for each document due, or one for none."""
     first = F.trunc(F.lit(month).cast("date"), "month")
     last = F.last_day(first)
     start, end = F.date_sub(first, F.dayofweek(first) - 1), F.date_add(last, F.lit(7) - F.dayofweek(last))
     days = docs.sparkSession.range(1).select(F.explode(F.sequence(start, end)).alias("day")).withColumn("in_month", F.trunc("day", "month") == first)
-    return days.join(deadlines(docs), "day", "left").select("day", "in_month", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("doc_ids", F.array().cast("array<bigint>")).alias("doc_ids"))
+    return days.join(deadlines(docs), "day", "left").select("day", "in_month", "doc_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def changed_since(docs: DataFrame, ts: str) -> DataFrame:
@@ -243,7 +244,7 @@ def catalogue(builtin: DataFrame, user: DataFrame, levels=None, scopes=None, sea
         d = d.filter(F.arrays_overlap("tags", F.array(*map(F.lit, tags))))
     order = {"name": ["name"], "level": ["level", "taxonomy_id"], "updated_at": [F.desc("updated_at")]}.get(sort, ["taxonomy_id"])
     total = d.agg(F.count(ONE).alias("total"))
-    page = d.orderBy(*order, "scope", "pattern_id").offset(offset).limit(min(limit, 500))
+    page = d.orderBy(*order, "scope", "pattern_id").offset(offset).limit(limit)
     return page.join(F.broadcast(total))
 
 

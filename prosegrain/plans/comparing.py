@@ -65,7 +65,7 @@ def _(t):
     return compare.line_diff(t.documents, t.docs)
 
 
-cte("ranges", "SELECT doc_id, g AS range_id, g * 5 AS start, g * 5 + 6 AS stop FROM (SELECT doc_id, unnest(generate_series(0, 2)) AS g FROM documents)")
+cte("ranges", "SELECT doc_id, g AS range_id, g * 5 AS start, g * 5 + 6 AS stop FROM (SELECT doc_id, unnest(generate_series(0, m)) AS g FROM (SELECT doc_id, max(sent_id) // 5 AS m FROM sents GROUP BY doc_id))")
 cte("rsent", "SELECT r.doc_id, r.range_id, h.sent_id, h.heat, h.word_count FROM ranges r JOIN hot h ON h.doc_id = r.doc_id AND h.sent_id BETWEEN r.start AND r.stop")
 cte("rhit", "SELECT r.doc_id, r.range_id, h.type FROM ranges r JOIN hits h ON h.doc_id = r.doc_id AND h.sent_id BETWEEN r.start AND r.stop")
 cte("passm", f"""SELECT b.doc_id, b.range_id, {jr('b.h', 1)} AS mean_heat, coalesce(e.entropy, 0.0) AS device_entropy, a.autocorrelation, coalesce(n.n, 0) AS pattern_count, b.w::BIGINT AS word_count
@@ -74,7 +74,8 @@ cte("passm", f"""SELECT b.doc_id, b.range_id, {jr('b.h', 1)} AS mean_heat, coale
 
 
 def passages(t):
-    r = t.documents.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("range_id"))
+    last = t.sents.groupBy("doc_id").agg(F.floor(F.max("sent_id") / 5).cast("int").alias("last"))
+    r = last.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("range_id"))
     r = r.withColumn("start", F.col("range_id") * 5).withColumn("end", F.col("range_id") * 5 + 6)
     return compare.passage_metrics(t.hot, t.hits, r)
 
@@ -235,7 +236,7 @@ def _(t):
 
 TYPES = [n for n, _ in fixed.VALIDATOR_RULES]
 cte("lab", " UNION ALL ".join(f"SELECT doc_id, sent_id, {q(n)} AS type FROM sents WHERE regexp_matches(text, {q('(?i)' + p)})" for n, p in fixed.VALIDATOR_RULES))
-cte("unit", "SELECT doc_id, sent_id, doc_id * 100000 + sent_id AS id, CASE word_count % 3 WHEN 0 THEN 'obvious' WHEN 1 THEN 'subtle' ELSE 'decoy' END AS difficulty, word_count % 3 = 2 AS decoy FROM sents")
+cte("unit", "SELECT doc_id, sent_id, doc_id || ':' || sent_id AS id, CASE word_count % 3 WHEN 0 THEN 'obvious' WHEN 1 THEN 'subtle' ELSE 'decoy' END AS difficulty, word_count % 3 = 2 AS decoy FROM sents")
 cte("det", "SELECT DISTINCT doc_id, sent_id, 'screen' AS detector, type FROM hits UNION ALL SELECT DISTINCT doc_id, sent_id, 'rules', type FROM rhits")
 cte("cell", """SELECT u.id, u.difficulty, d.detector, t.type, l.type IS NOT NULL AS e, x.type IS NOT NULL AS p, u.decoy AND t.type IN ('hedging', 'binary_contrast') AND l.type IS NULL AS a
   FROM unit u, (VALUES ('screen'), ('rules')) d(detector), (SELECT DISTINCT type FROM lab UNION SELECT DISTINCT type FROM det) t LEFT JOIN lab l ON l.doc_id = u.doc_id AND l.sent_id = u.sent_id AND l.type = t.type
@@ -247,11 +248,11 @@ def labels(t):
     exp = F.filter(F.array(*[F.when(X.matches(F.col("text"), p), F.lit(n)) for n, p in fixed.VALIDATOR_RULES]), lambda x: x.isNotNull())
     m = F.col("word_count") % 3
     absent = F.when(m == 2, F.array_except(F.array(F.lit("hedging"), F.lit("binary_contrast")), F.col("expected")))
-    return df.select((F.col("doc_id") * 100000 + F.col("sent_id")).alias("id"), exp.alias("expected"), F.when(m == 0, "obvious").when(m == 1, "subtle").otherwise("decoy").alias("difficulty"), "word_count").withColumn("absent", absent).drop("word_count")
+    return df.select(F.concat_ws(":", "doc_id", "sent_id").alias("id"), exp.alias("expected"), F.when(m == 0, "obvious").when(m == 1, "subtle").otherwise("decoy").alias("difficulty"), "word_count").withColumn("absent", absent).drop("word_count")
 
 
 def detections(t):
-    key = (F.col("doc_id") * 100000 + F.col("sent_id")).alias("id")
+    key = F.concat_ws(":", "doc_id", "sent_id").alias("id")
     a = t.hits.select(key, F.lit("screen").alias("detector"), "type", "confidence")
     b = detect.explode_hits(detect.classify_rules(t.sents)).select(key, F.lit("rules").alias("detector"), "type", "confidence")
     return stack(a, b)
@@ -295,7 +296,7 @@ def _(t):
 
 
 _types = "(" + ", ".join(q(x) for x in TYPES) + ")"
-cte("f1c", f"SELECT c.type, c.e, c.p, r.type IS NOT NULL AS q FROM cell c LEFT JOIN (SELECT DISTINCT doc_id * 100000 + sent_id AS id, type FROM rhits) r ON r.id = c.id AND r.type = c.type WHERE c.detector = 'screen' AND c.type IN {_types}")
+cte("f1c", f"SELECT c.type, c.e, c.p, r.type IS NOT NULL AS q FROM cell c LEFT JOIN (SELECT DISTINCT doc_id || ':' || sent_id AS id, type FROM rhits) r ON r.id = c.id AND r.type = c.type WHERE c.detector = 'screen' AND c.type IN {_types}")
 
 
 @query(

@@ -145,7 +145,7 @@ def _(t):
 
 @query("k14_dedupe_stream", "SELECT DISTINCT user_id, event_type AS provider FROM events")
 def _(t):
-    return K.drain(K.dedupe_stream(events(t, True), "10 minutes", ("user_id", "provider")).select("user_id", "provider"), "dedupe")
+    return K.drain(K.dedupe_stream(events(t, True), keys=("user_id", "provider")).select("user_id", "provider"), "dedupe")
 
 
 # ---------------------------------------------------------------- plug points

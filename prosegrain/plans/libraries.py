@@ -104,14 +104,14 @@ def _(t):
     return G.words_per_month(lib(t), "2025-04-15").withColumn("month", F.date_format("month", "yyyy-MM"))
 
 
-@query("g09_deadlines", "SELECT left(due_date, 10) AS day, count(*) AS n, string_agg(doc_id, ',' ORDER BY doc_id) AS doc_ids FROM lib WHERE due_date IS NOT NULL GROUP BY ALL")
+@query("g09_deadlines", "SELECT left(due_date, 10) AS day, doc_id, count(*) OVER (PARTITION BY left(due_date, 10)) AS n FROM lib WHERE due_date IS NOT NULL")
 def _(t):
-    return G.deadlines(lib(t)).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n", F.array_join("doc_ids", ",").alias("doc_ids"))
+    return G.deadlines(lib(t)).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "doc_id", "n")
 
 
-@query("g10_month_grid", "SELECT strftime(d, '%Y-%m-%d') AS day, month(d) = 2 AS in_month, (SELECT count(*) FROM lib WHERE left(due_date, 10) = strftime(d, '%Y-%m-%d')) AS n FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-28', TIMESTAMP '2024-03-02', INTERVAL 1 DAY)) AS d)")
+@query("g10_month_grid", "SELECT strftime(d, '%Y-%m-%d') AS day, month(d) = 2 AS in_month, doc_id, (SELECT count(*) FROM lib WHERE left(due_date, 10) = strftime(d, '%Y-%m-%d')) AS n FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-28', TIMESTAMP '2024-03-02', INTERVAL 1 DAY)) AS d) LEFT JOIN lib ON left(due_date, 10) = strftime(d, '%Y-%m-%d')")
 def _(t):
-    return G.month_grid(lib(t), "2024-02-10").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "in_month", "n")
+    return G.month_grid(lib(t), "2024-02-10").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "in_month", "doc_id", "n")
 
 
 cte("ftree", "SELECT f.folder_id, 0 AS depth, f.folder_id AS root_id FROM folders f WHERE f.parent_id IS NULL OR f.parent_id NOT IN (SELECT folder_id FROM folders) UNION ALL SELECT f.folder_id, t.depth + 1, t.root_id FROM ftree t JOIN folders f ON f.parent_id = t.folder_id")
@@ -221,13 +221,13 @@ def _(t):
     return G.export_patterns(builtp(t).drop("updated_at", "weight"), userp(t).drop("updated_at", "user_id", "doc_id"), level="document").select("id", "level")
 
 
-_new = "doc_id AS pos, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'p' || (doc_id % 50 + 30) END AS pattern_id, 'N' AS name, CASE WHEN doc_id % 5 = 1 THEN 'word' ELSE 'lexical' END AS level, 'hint' AS detection_hint"
+_new = "doc_id AS pos, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE CASE WHEN doc_id % 2 = 0 THEN 'p' ELSE 'q' END || (doc_id % 50 + 30) END AS pattern_id, 'N' AS name, CASE WHEN doc_id % 5 = 1 THEN 'word' ELSE 'lexical' END AS level, 'hint' AS detection_hint"
 
 
-@query("g24_check_import", f"SELECT pos, CASE WHEN NOT ok THEN 'invalid' WHEN pattern_id IN (SELECT pattern_id FROM userp WHERE doc_id < 40) THEN 'conflict' WHEN row_number() OVER (PARTITION BY pattern_id, ok ORDER BY pos) > 1 THEN 'duplicate' ELSE 'valid' END AS status FROM (SELECT *, pattern_id IS NOT NULL AND level = 'lexical' AS ok FROM (SELECT {_new} FROM documents))")
+@query("g24_check_import", f"SELECT pos, CASE WHEN NOT ok THEN 'invalid' WHEN pattern_id IN (SELECT pattern_id FROM userp) THEN 'conflict' WHEN row_number() OVER (PARTITION BY pattern_id, ok ORDER BY pos) > 1 THEN 'duplicate' ELSE 'valid' END AS status FROM (SELECT *, pattern_id IS NOT NULL AND level = 'lexical' AS ok FROM (SELECT {_new} FROM documents))")
 def _(t):
     new = t.documents.selectExpr(*[x.strip() for x in _split(_new)])
-    return G.check_import(new, userp(t).filter("doc_id < 40")).select("pos", "status")
+    return G.check_import(new, userp(t)).select("pos", "status")
 
 
 @query("g25_fork", "SELECT d.doc_id AS user_id, b.pattern_id, CASE WHEN d.doc_id % 3 = 0 THEN 'Mine' ELSE b.name END AS name, b.level, CASE WHEN d.doc_id % 2 = 0 THEN 0.1 ELSE b.weight END AS weight, 1 AS version FROM documents d JOIN builtp b ON b.pattern_id IN ('hedging', 'nominalization') WHERE NOT (d.doc_id % 4 = 1 AND b.pattern_id = 'hedging')")

@@ -148,10 +148,12 @@ def _(t):
     return p.select("batch_id", "position", "parsed", F.array_join("patterns.type", ",").alias("types"), F.coalesce(F.array_max("patterns.confidence"), F.lit(0.0)).alias("top"), "arc_role", F.col("word_count").cast("bigint").alias("word_count"), "clause_balance_ratio", "abstract")
 
 
-@query("a07_default_classification", "SELECT doc_id, sent_id, CASE WHEN known THEN clause_count ELSE 1 END::BIGINT AS clause_count, CASE WHEN known THEN arc_role ELSE 'claim' END AS arc_role, CASE WHEN known THEN 0.78 ELSE 0.5 END::DOUBLE AS clause_balance_ratio FROM (SELECT *, clause_count >= 2 AND sent_id > 0 AND NOT regexp_matches(text, '(?i)\\bdata\\b|\\bmethod\\b|\\bevidence\\b') AS known FROM feats) WHERE sent_id > 0 AND NOT regexp_matches(text, '(?i)\\bdata\\b|\\bmethod\\b|\\bevidence\\b')")
+@query("a07_default_classification", """SELECT f.doc_id, f.sent_id, CASE WHEN k.t IS NOT NULL THEN k.clause_count ELSE 1 END::BIGINT AS clause_count, coalesce(k.arc_role, 'claim') AS arc_role, coalesce(k.clause_balance_ratio, 0.5::DOUBLE) AS clause_balance_ratio FROM feats f
+  LEFT JOIN (SELECT lower(text) AS t, arg_min(clause_count, (doc_id, sent_id)) AS clause_count, arg_min(arc_role, (doc_id, sent_id)) AS arc_role, arg_min(clause_balance_ratio, (doc_id, sent_id)) AS clause_balance_ratio FROM feats WHERE clause_count >= 2 GROUP BY ALL) k ON k.t = lower(f.text)""")
 def _(t):
-    f = t.feats.filter("sent_id > 0 and arc_role <> 'evidence'")
-    cls = f.filter("clause_count >= 2").dropDuplicates(["hash"])
+    f = t.feats
+    rest = [c for c in f.columns if c != "hash"]
+    cls = f.filter("clause_count >= 2").groupBy("hash").agg(F.min_by(F.struct(*rest), F.struct("doc_id", "sent_id")).alias("v")).select("hash", "v.*")
     d = M.with_default_classification(f.select("doc_id", "sent_id", "hash"), cls)
     return d.select("doc_id", "sent_id", F.col("clause_count").cast("bigint").alias("clause_count"), "arc_role", "clause_balance_ratio")
 

@@ -61,12 +61,12 @@ _scores = {
 }
 _vals = ", ".join(f"({i}, '{k}', {jr(v, 9)})" for i, (k, v) in enumerate(_scores.items()))
 _targ = ", ".join(f"({q(a)}, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE, {e}::DOUBLE, {str(f).lower()})" for a, b, c, d, e, f in fixed.PURPOSE_TARGETS)
-cte("purposes", f"""SELECT p.doc_id, p.paragraph_id, p.n, z.purpose, z.v, row_number() OVER (PARTITION BY p.doc_id, p.paragraph_id ORDER BY z.v DESC, z.i) AS k FROM ({_p}) p, LATERAL (SELECT * FROM (VALUES {_vals}) v(i, purpose, v)) z""")
+cte("purposes", f"""SELECT p.doc_id, p.paragraph_id, p.n, z.purpose, z.v, lead(z.v) OVER (PARTITION BY p.doc_id, p.paragraph_id ORDER BY z.v DESC, z.i) AS v2, row_number() OVER (PARTITION BY p.doc_id, p.paragraph_id ORDER BY z.v DESC, z.i) AS k FROM ({_p}) p, LATERAL (SELECT * FROM (VALUES {_vals}) v(i, purpose, v)) z""")
 
 
 @query(
     "e02_paragraph_purpose",
-    f"SELECT a.doc_id, a.paragraph_id, a.purpose, {jr('least(1.0, 0.5 + (a.v - b.v) * 0.3::DOUBLE)', 2)} AS confidence, a.n AS sentence_count FROM purposes a JOIN purposes b USING (doc_id, paragraph_id) WHERE a.k = 1 AND b.k = 2",
+    f"SELECT doc_id, paragraph_id, purpose, {jr('least(1.0, 0.5 + (v - v2) * 0.3::DOUBLE)', 2)} AS confidence, n AS sentence_count FROM purposes WHERE k = 1",
 )
 def _(t):
     return profile.paragraph_purpose(scored(t), t.hits, dims.purpose_targets(t.spark)).select("doc_id", "paragraph_id", "purpose", "confidence", "sentence_count")

@@ -69,11 +69,11 @@ def _(t):
 
 @query(
     "b08_alpha_words",
-    "SELECT doc_id, sent_id, len(ws)::BIGINT AS n_words, array_to_string(ws[1:3], ' ') AS head FROM (SELECT doc_id, sent_id, regexp_extract_all(text, '[A-Za-z][A-Za-z''-]*') AS ws FROM sents)",
+    "SELECT doc_id, sent_id, len(ws)::BIGINT AS n_words, array_to_string(ws, ' ') AS words FROM (SELECT doc_id, sent_id, regexp_extract_all(text, '[A-Za-z][A-Za-z''-]*') AS ws FROM sents)",
 )
 def _(t):
     ws = X.alpha_words(F.col("text"))
-    return t.sents.select("doc_id", "sent_id", F.size(ws).cast("bigint").alias("n_words"), F.array_join(F.slice(ws, 1, 3), " ").alias("head"))
+    return t.sents.select("doc_id", "sent_id", F.size(ws).cast("bigint").alias("n_words"), F.array_join(ws, " ").alias("words"))
 
 
 CONTENT_SQL = r"list_distinct([w FOR w IN regexp_extract_all(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}\s''-]', ' ', 'g'), '\S+') IF len(w) > 2])"

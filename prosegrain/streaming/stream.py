@@ -16,8 +16,13 @@ ONE = "*"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name under the cluster's shared checkpoint folder; a temporary one only without it."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A new folder name under the shared checkpoint folder; a temporary one only in local mode without it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or "cluster" in master:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
@@ -43,20 +48,24 @@ def progress(s: DataFrame, cache: DataFrame) -> DataFrame:
 def upsert_cache(batch: DataFrame, path: str, tier: str = "full", batch_id: int = 0) -> None:
     """Add results to a cache of append-only files; a later write of a hash replaces the earlier one.
 
-    Runs from ``foreachBatch`` as well: repeating a batch changes nothing, because its rows carry the
-    same number. A batch without rows writes nothing.
+    Runs from ``foreachBatch`` as well. Rows carry the time of writing, which orders them across restarts, where
+    batch numbers begin anew; a repeated batch writes the same values once more.
     """
-    if batch.isEmpty():
-        return
-    rows = batch.dropDuplicates(["hash"]).withColumn("tier", F.lit(tier)).withColumn("seq", F.lit(batch_id).cast("bigint"))
+    rows = batch.dropDuplicates(["hash"]).withColumns({"tier": F.lit(tier), "written": F.current_timestamp(), "seq": F.lit(batch_id).cast("bigint")})
     rows.write.mode("append").partitionBy("tier").parquet(path)
 
 
 def read_cache(spark: SparkSession, path: str, tier: str = "full") -> DataFrame:
     """The newest row of each hash."""
     d = spark.read.parquet(path).filter(F.col("tier") == tier).drop("tier")
-    rest = [c for c in d.columns if c not in ("hash", "seq")]
-    return d.groupBy("hash").agg(F.max_by(F.struct(*rest), "seq").alias("v")).select("hash", "v.*")
+    rest = [c for c in d.columns if c not in ("hash", "seq", "written")]
+    return d.groupBy("hash").agg(F.max_by(F.struct(*rest), F.struct("written", "seq")).alias("v")).select("hash", "v.*")
+
+
+def compact_cache(spark: SparkSession, path: str, target: str, tiers=("full", "gate")) -> None:
+    """Write the newest rows of a cache as a new one, which replaces it."""
+    for tier in tiers:
+        upsert_cache(read_cache(spark, path, tier), target, tier)
 
 
 def suggestion_key(s: DataFrame, model: str, n: int, version: str = "v1") -> DataFrame:
@@ -138,9 +147,14 @@ def auto_versions(events: DataFrame, gap: str = "15 seconds") -> DataFrame:
     return library.snapshots(sessions(events, gap))
 
 
-def dedupe_stream(s: DataFrame, watermark: str = "10 minutes", keys=("hash",)) -> DataFrame:
-    """One row per key within the watermark; on a batch, one row per key."""
-    return s.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(list(keys)) if s.isStreaming else s.dropDuplicates(list(keys))
+def dedupe_stream(s: DataFrame, watermark: str | None = None, keys=("hash",)) -> DataFrame:
+    """One row per key ever, whose state on a stream is every key seen; with a watermark, streams only, one
+    row per key within it, and keys expire."""
+    if watermark is None:
+        return s.dropDuplicates(list(keys))
+    if not s.isStreaming:
+        raise ValueError("a watermark bounds the memory of a stream; a batch has none")
+    return s.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(list(keys))
 
 
 def stream_snapshots(saves: DataFrame) -> DataFrame:
