@@ -50,11 +50,23 @@ def sentence_type_sums(hits: DataFrame) -> DataFrame:
     return hits.groupBy(*SENT, "type").agg(X.exact_sum(F.col("confidence")).alias("conf"), F.count(F.lit(1)).alias("n"))
 
 
+BLOCK = 16
+
+
+def covering(w: DataFrame, per: DataFrame) -> DataFrame:
+    """Windows joined with the rows (doc_id, sent_id, …) that lie in them.
+
+    Both meet by blocks of sentences, so a window is a row for each block it touches, not for each sentence.
+    """
+    block = lambda c: F.floor(F.col(c) / BLOCK).cast("int")
+    wide = w.withColumn("block", F.explode(F.sequence(block("start_sentence"), block("end_sentence"))))
+    return wide.join(per.withColumn("block", block("sent_id")), ["doc_id", "block"]).filter(F.col("sent_id").between(F.col("start_sentence"), F.col("end_sentence"))).drop("block")
+
+
 def window_type_sums(w: DataFrame, hits: DataFrame) -> DataFrame:
     """Sum of confidence and count of hits per window and type."""
     return (
-        window_members(w.select(*WIN, "end_sentence"))
-        .join(sentence_type_sums(hits), SENT)
+        covering(w.select(*WIN, "end_sentence"), sentence_type_sums(hits))
         .groupBy(*WIN, "type")
         .agg(X.exact_sum(F.col("conf")).alias("conf"), F.sum("n").alias("n"))
     )
@@ -301,12 +313,11 @@ def density_violations(w: DataFrame, hits: DataFrame, thresholds: DataFrame, reg
     level_window = X.mapping(fixed.LEVEL_WINDOW, "medium")
     lim = thresholds.join(registry.select("type", "level", F.coalesce(F.col("tolerance")[genre], F.lit(1.0)).alias("tol")), "type", "left")
     lim = lim.select("type", "window_words", "max_count", "unit", F.coalesce("tol", F.lit(1.0)).alias("tol"),
-                     level_window(F.coalesce("level", F.lit("sentence"))).alias("size"))
+                     level_window(F.coalesce("level", F.lit("sentence"))).alias("wanted"))
     per = sentence_type_sums(hits.join(lim.select("type"), "type", "left_semi"))
     sums = (
-        window_members(w)
-        .join(per, SENT)
-        .join(lim, ["type", "size"])
+        covering(w.filter(F.col("size").isin(sorted(set(fixed.LEVEL_WINDOW.values()) | {"medium"}))), per.join(lim, "type"))
+        .filter(F.col("size") == F.col("wanted"))
         .groupBy("type", *WIN, "end_sentence", "word_count", "window_words", "max_count", "unit", "tol")
         .agg(X.exact_sum(F.col("conf")).alias("total"))
     )
