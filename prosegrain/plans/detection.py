@@ -83,13 +83,14 @@ def _lex_triggers():
 
 
 # The SQL's own reading: phrases without literal text are not rules, a given expression is wrapped to give its place.
-_SQL_LEX = [(s, i, j, p, _sql_regex(p), "phrase") for s, i, j, p in LEX_ROWS if p.strip() and p.strip("[]") != "anything"] + [
-    ("bundle", len(LEX), 0, "bundled words", "(?i)^((?:.*?[^a-z0-9_])??)(significant|crucial)(?:[^a-z0-9_]|$)", "A-Za-z0-9_"),
-    ("plain_pattern", len(LEX) + 1, 0, "plain", "(?i)^(.*?)(robust)", "phrase"),
+# A phrase's first literal word is looked for before its expression runs.
+_SQL_LEX = [(s, i, j, p, _sql_regex(p), "phrase", p.lower().split()[0]) for s, i, j, p in LEX_ROWS if p.strip() and p.strip("[]") != "anything"] + [
+    ("bundle", len(LEX), 0, "bundled words", "(?i)^((?:.*?[^a-z0-9_])??)(significant|crucial)(?:[^a-z0-9_]|$)", "A-Za-z0-9_", "i"),
+    ("plain_pattern", len(LEX) + 1, 0, "plain", "(?i)^(.*?)(robust)", "phrase", "robust"),
 ]
-cte("lex", "SELECT * FROM (VALUES " + ", ".join(f"({q(s)}, {i}, {j}, {q(p)}, {q(r)}, {q(k)})" for s, i, j, p, r, k in _SQL_LEX) + ") l(subcategory, sub_pos, phrase_pos, phrase, re, kind)")
+cte("lex", "SELECT * FROM (VALUES " + ", ".join(f"({q(s)}, {i}, {j}, {q(p)}, {q(r)}, {q(k)}, {q(h)})" for s, i, j, p, r, k, h in _SQL_LEX) + ") l(subcategory, sub_pos, phrase_pos, phrase, re, kind, head)")
 cte("trig", "SELECT * FROM (VALUES " + ", ".join(f"({q(s)}, {'[' + ', '.join(q(w) for w in ws) + ']::VARCHAR[]'}, {str(s in fixed.FAST_MARKERS).lower()})" for s, ws in _lex_triggers().items()) + ") t(subcategory, triggers, fast)")
-cte("lexall", "SELECT * FROM (SELECT s.doc_id, s.sent_id, s.text, l.*, regexp_extract(s.text, l.re, 2) AS evidence, len(regexp_extract(s.text, l.re, 1)) AS start, row_number() OVER (PARTITION BY s.doc_id, s.sent_id, l.subcategory ORDER BY l.phrase_pos) AS rn FROM sents s JOIN lex l ON regexp_matches(s.text, l.re)) WHERE rn = 1")
+cte("lexall", "SELECT * FROM (SELECT doc_id, sent_id, text, subcategory, sub_pos, phrase_pos, phrase, re, kind, regexp_extract(text, re, 2) AS evidence, len(regexp_extract(text, re, 1)) AS start, row_number() OVER (PARTITION BY doc_id, sent_id, subcategory ORDER BY phrase_pos) AS rn FROM (SELECT * FROM (SELECT *, lower(text) AS low FROM sents) s JOIN lex l ON contains(s.low, l.head)) p WHERE regexp_matches(text, re)) WHERE rn = 1")
 
 
 def _mode_sql(mode: str, cols: str, cap: int = 1_000_000) -> str:
