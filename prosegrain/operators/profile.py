@@ -266,19 +266,24 @@ def playbook_clusters(c: DataFrame, playbook: DataFrame) -> DataFrame:
     return c.join(playbook.select("type").distinct(), "type", "left_semi")
 
 
-def playbook_scores(hits: DataFrame, v: DataFrame, layers: DataFrame) -> DataFrame:
-    """Score of each layer of each document that has hits, its worst layer and the total."""
+def playbook_scores(docs: DataFrame, hits: DataFrame, v: DataFrame, layers: DataFrame) -> DataFrame:
+    """Score of every layer of every document, its worst layer and the total; layers without a hit count 0.
+
+    ``layers`` is the playbook, a dimension of a few dozen rows.
+    """
     n = hits.groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("c"))
     vc = windows.violation_counts(v)
     one = n.join(vc, ["doc_id", "type"], "left").join(layers, "type")
     one = one.withColumn("v", F.coalesce("violations", F.lit(0)).cast("bigint"))
-    g = one.groupBy("doc_id", "layer_pos", "layer", "label").agg(
+    g = one.groupBy("doc_id", "layer_pos").agg(
         F.sum(F.when(F.col("v") > 0, F.col("v")).otherwise(1)).alias("hit_count"), F.sum("v").alias("violation_count"),
         F.count(F.lit(1)).alias("n_patterns"),
     )
     w = Window.partitionBy("doc_id")
+    cells = docs.select("doc_id").crossJoin(layers.select("layer_pos", "layer", "label").distinct())
     return (
-        g.withColumn("total_hits", F.sum("hit_count").over(w))
+        cells.join(g, ["doc_id", "layer_pos"], "left").fillna(0, ["hit_count", "violation_count", "n_patterns"])
+        .withColumn("total_hits", F.sum("hit_count").over(w))
         .withColumn("rank", F.row_number().over(w.orderBy(F.desc("hit_count"), "layer_pos")))
         .select("doc_id", "layer", "label", "hit_count", "violation_count", "n_patterns", (F.col("rank") == 1).alias("worst"), "total_hits")
     )

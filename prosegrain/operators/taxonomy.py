@@ -357,15 +357,17 @@ def detect_rare_tail(docs, per_million: float = 100.0, share: float = 0.5):
     """Share of a document's words that are rare in the corpus, against the corpus-wide share.
 
     Words are counted per document first; the corpus table is the sum of those counts, so a frequent
-    word is never shuffled once per use.
+    word is never shuffled once per use. Words above the limit are few, at most a million divided by it, so they are
+    broadcast and every other word is rare.
     """
     t = docs.select("doc_id", F.explode(X.words(F.lower("text"))).alias("word")).withColumn("word", bare(F.col("word"))).filter("word <> ''")
     per = t.groupBy("doc_id", "word").agg(F.count(ONE).alias("c"))
     freq = per.groupBy("word").agg(F.sum("c").alias("f"))
     total = freq.agg(F.sum("f").alias("n"))
-    rare = freq.join(F.broadcast(total)).filter(F.col("f") * 1e6 / F.col("n") < per_million)
-    base = rare.groupBy("n").agg(F.sum("f").alias("rare")).select((F.col("rare") / F.col("n")).alias("corpus_share"))
-    g = per.join(rare.select("word", F.lit(1).alias("r")), "word", "left").groupBy("doc_id").agg(F.sum("c").alias("w"), F.sum(F.when(F.col("r") == 1, F.col("c")).otherwise(0)).alias("k"))
+    common = freq.join(F.broadcast(total)).filter(F.col("f") * 1e6 / F.col("n") >= per_million)
+    used = common.agg(F.coalesce(F.sum("f"), F.lit(0)).alias("used"))
+    base = total.join(F.broadcast(used)).select(((F.col("n") - F.col("used")) / F.col("n")).alias("corpus_share"))
+    g = per.join(F.broadcast(common.select("word", F.lit(1).alias("often"))), "word", "left").groupBy("doc_id").agg(F.sum("c").alias("w"), F.sum(F.when(F.col("often").isNull(), F.col("c")).otherwise(0)).alias("k"))
     v = X.js_round(F.col("k") / F.col("w"), 4)
     return _whole(g.join(F.broadcast(base)), v, v < F.col("corpus_share") * share)
 

@@ -29,11 +29,32 @@ def classify(docs: DataFrame, rules=fixed.SCREEN_RULES, sep: str = split.BLANK_L
     return s.withColumn("patterns", detect._rule_hits(F.col("text"), rules)).withColumn("heat", heat_of(F.col("patterns")))
 
 
-def analyze_corpus(docs: DataFrame, rules=fixed.SCREEN_RULES, sep: str = split.BLANK_LINE, guides: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Sentences, windows, profiles and, with guides, style violations and distances."""
+def analyze_corpus(
+    docs: DataFrame, rules=fixed.SCREEN_RULES, sep: str = split.BLANK_LINE, guides: DataFrame | None = None, lexicon: DataFrame | None = None,
+    dimensions: dict[str, DataFrame] | None = None, genre: str = "general", mode: str = "tiered", heat: float = 3.0,
+) -> dict[str, DataFrame]:
+    """All outputs of the analysis by name, each a plan of its own.
+
+    Always: sentences, hits, rule_hits, windows, window_metrics, density, profiles. With ``dimensions`` (registry, thresholds): regions and
+    window_violations. With a lexicon: candidates, and with ``dimensions`` (mapping, playbook) promoted hits. With guides: violations and distances.
+    """
     c = classify(docs, rules, sep)
-    out = {"sentences": c, "windows": windows.rolling_windows(c), "profiles": profile.profile(c)}
+    hits = detect.explode_hits(c)
+    w = windows.rolling_windows(c)
+    out = {
+        "sentences": c, "hits": hits, "windows": w, "profiles": profile.profile(c), "density": windows.pattern_density(w, hits),
+        "window_metrics": windows.window_metrics(w, c, hits), "rule_hits": detect.explode_hits(detect.classify_rules(split.sentences(docs, sep))),
+    }
+    dims = dimensions or {}
+    if "registry" in dims:
+        out["regions"] = windows.hot_regions(c, hits, dims["registry"], heat)
+        if "thresholds" in dims:
+            out["window_violations"] = windows.density_violations(w, hits, dims["thresholds"], dims["registry"], genre)
+    if lexicon is not None:
+        out["candidates"] = detect.match_lexicon(c, lexicon, mode)
+        if "mapping" in dims and "playbook" in dims:
+            out["promoted"] = detect.promote(hits, out["candidates"], dims["playbook"], dims["mapping"])
     if guides is not None:
-        out["violations"] = profile.style_delta(c, detect.explode_hits(c), guides)
+        out["violations"] = profile.style_delta(c, hits, guides)
         out["distances"] = profile.style_distance(out["violations"])
     return out

@@ -6,8 +6,8 @@ from prosegrain import dims
 from prosegrain.dims import fixed
 from prosegrain.operators import profile, split
 from prosegrain.plans import analyze
-from prosegrain.plans.catalog import RULES, cte, jr, jr0, q, query
-from prosegrain.plans.detection import cands
+from prosegrain.plans.catalog import ORACLES, RULES, cte, jr, jr0, q, query
+from prosegrain.plans.detection import cands, lexicon
 from prosegrain.plans.rolling import _OPEN, autocorr_sql, diversity, ent, ratio, regions, scored, violations
 
 
@@ -169,12 +169,13 @@ def _(t):
 
 @query(
     "e11_playbook_scores",
-    """SELECT doc_id, layer, label, hit_count::BIGINT AS hit_count, violation_count::BIGINT AS violation_count, n_patterns, row_number() OVER (PARTITION BY doc_id ORDER BY hit_count DESC, layer_pos) = 1 AS worst, sum(hit_count) OVER (PARTITION BY doc_id)::BIGINT AS total_hits FROM (
-  SELECT doc_id, layer_pos, layer, label, sum(CASE WHEN v > 0 THEN v ELSE 1 END) AS hit_count, sum(v) AS violation_count, count(*) AS n_patterns FROM (
-    SELECT n.doc_id, n.type, coalesce(v.v, 0) AS v FROM (SELECT DISTINCT doc_id, type FROM hits) n LEFT JOIN (SELECT doc_id, type, count(*) AS v FROM viol GROUP BY ALL) v USING (doc_id, type)) JOIN play USING (type) GROUP BY ALL)""",
+    """SELECT doc_id, layer, label, hit_count, violation_count, n_patterns, row_number() OVER (PARTITION BY doc_id ORDER BY hit_count DESC, layer_pos) = 1 AS worst, sum(hit_count) OVER (PARTITION BY doc_id)::BIGINT AS total_hits FROM (
+  SELECT d.doc_id, l.layer_pos, l.layer, l.label, coalesce(sum(CASE WHEN v > 0 THEN v ELSE 1 END) FILTER (WHERE v IS NOT NULL), 0)::BIGINT AS hit_count, coalesce(sum(v), 0)::BIGINT AS violation_count, count(v) AS n_patterns
+  FROM documents d CROSS JOIN (SELECT DISTINCT layer_pos, layer, label FROM play) l LEFT JOIN (SELECT * FROM (
+    SELECT n.doc_id, n.type, coalesce(v.v, 0) AS v FROM (SELECT DISTINCT doc_id, type FROM hits) n LEFT JOIN (SELECT doc_id, type, count(*) AS v FROM viol GROUP BY ALL) v USING (doc_id, type)) JOIN play USING (type)) x ON x.doc_id = d.doc_id AND x.layer_pos = l.layer_pos GROUP BY ALL)""",
 )
 def _(t):
-    return profile.playbook_scores(t.hits, violations(t), dims.playbook(t.spark))
+    return profile.playbook_scores(t.documents, t.hits, violations(t), dims.playbook(t.spark))
 
 
 def _n(p, i=True):
@@ -350,3 +351,25 @@ def _(t):
     return scan(t)["sections"].withColumn("types", F.array_join("types", ","))
 
 
+# ---------------------------------------------------------------- outputs of the whole analysis
+
+
+def analysis(t):
+    d = {"registry": t.registry, "thresholds": dims.thresholds(t.spark), "mapping": dims.marker_types(t.spark), "playbook": dims.playbook(t.spark)}
+    return analyze.analyze_corpus(t.docs, RULES, split.ONE_LINE, lexicon=lexicon(t), dimensions=d, genre="marketing", mode="exhaustive", heat=2.0)
+
+
+def _output(name, like, shape=lambda df: df):
+    """Registers an output under the SQL of the operator that makes it alone."""
+
+    @query(f"a02_{name}", ORACLES[like])
+    def _(t):
+        return shape(analysis(t)[name])
+
+
+_output("windows", "d01_rolling_windows")
+_output("rule_hits", "c13_classify_rules", lambda df: df.drop("hit_pos"))
+_output("candidates", "c04_match_lexicon", lambda df: df.drop("sub_pos", "matcher_role", "source"))
+_output("promoted", "c10_promote", lambda df: df.drop("hit_pos"))
+_output("window_violations", "d16_density_violations")
+_output("regions", "d19_hot_regions", lambda df: df.withColumn("primary_patterns", F.array_join("primary_patterns", ",")))
