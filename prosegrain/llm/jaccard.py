@@ -5,11 +5,13 @@
    ``d + 1 + e`` parts of the hash range at least ``e + 1`` hold the same shingles in both. Each set files the signature of
    each non-empty part, in its own band and, if it can be similar to larger sets, in the next; the pairs that share one
    include all links. A set with more than ``e`` empty parts files under the next hash function too, until one leaves
-   fewer, so no pair depends on empty parts. Common shingles gather nobody: a key is a whole part of a set. Keys travel packed in binary rows.
-3. Sets connected by shared keys form clusters. A cluster's sets are split into tiles of bounded size within size bands.
-   In a tile, bitmaps of hashed shingles bound each pair's overlap from above by their bit counts, and only pairs
-   that may reach the threshold are intersected as sorted arrays. Pairs already connected are skipped. Clusters of
-   several tiles are first tied together by a pivot tile for each band; only those that stay in pieces meet tile by tile.
+   fewer, so no pair depends on empty parts. Common shingles gather nobody: a key is a whole part of a set. Keys travel packed in
+   binary rows; sets that meet under several keys meet once.
+3. Each set has a bitmap of hashed shingles. Where sets meet, bit counts bound a pair's overlap from above; the pairs
+   that may reach the threshold connect sets to clusters, and only sets in clusters are loaded.
+4. A cluster's sets are split into tiles of bounded size within size bands. In a tile the pairs that the bitmaps allow
+   are intersected as sorted arrays. Pairs already connected are skipped. Clusters of several tiles are first tied
+   together by a pivot tile for each band; only those that stay in pieces meet tile by tile.
 
 Defined cases: null text, empty text and text without words have an empty set and stand alone; fewer words than the
 n-gram are one shingle; repeated rows are linked as equal sets; a null doc_id is kept but never names a component unless it
@@ -129,10 +131,33 @@ def _described(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Rec
     for batch in batches:
         data, off = common.utf8(batch.column(1))
         n, s = np.zeros(len(off) - 1, np.int64), np.zeros(len(off) - 1, np.int64)
+        maps = []
         for i, j in common.chunks(off):
             h, at = sets(data[off[i] : off[j]], off[i : j + 1] - off[i], words)
             n[i:j], s[i:j] = np.diff(at), signatures(h, at)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(s)], names=["doc_id", "n", "s"])
+            maps.extend(bitmap(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(s), pa.array(maps, pa.binary())], names=["doc_id", "n", "s", "bits"])
+
+
+def bitmap(h: np.ndarray) -> bytes:
+    """A set's hashed bitmap: the least power of two of bits that is no smaller than the set, between 64 and 65,536."""
+    bits = 1 << min(16, max(6, (len(h) - 1).bit_length()))
+    flags = np.zeros(bits, bool)
+    flags[(h >> U64(24)).astype(np.int64) & (bits - 1)] = True
+    return np.packbits(flags, bitorder="little").tobytes()
+
+
+def bitmaps(blobs: list[bytes]) -> np.ndarray:
+    """Bitmaps of different lengths as rows of one length, the shortest: longer ones are folded."""
+    least = min(map(len, blobs))
+    return np.stack([np.bitwise_or.reduce(np.frombuffer(b, U64).reshape(-1, least // 8), axis=0) for b in blobs])
+
+
+def may_overlap(maps: np.ndarray, n: np.ndarray, i: int, js: np.ndarray) -> np.ndarray:
+    """Most shingles that set i can share with sets js: each bit that only one of them has is a shingle that only it has."""
+    only_i = np.bitwise_count(maps[i] & ~maps[js]).sum(1, dtype=np.int64)
+    only_j = np.bitwise_count(maps[js] & ~maps[i]).sum(1, dtype=np.int64)
+    return np.minimum(n[i] - only_i, n[js] - only_j)
 
 
 def _filed(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int, bits: int) -> Iterator[pa.RecordBatch]:
@@ -171,15 +196,41 @@ def _filed(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int, bi
 
 
 def _met(t: pa.Table) -> pa.Table:
-    """For the keys of a bucket that several sets file under, the pairs of the first and each other set."""
+    """(meeting, s) of the sets of a bucket that share a key with others; the same sets under several keys are one meeting."""
     arrays = [np.frombuffer(x, np.int64).reshape(2, -1) for x in t["packed"].to_pylist()]
     keys, s = np.concatenate(arrays, axis=1)
     order = np.lexsort((s, keys))
     keys, s = keys[order], s[order]
+    once = np.append(True, (keys[1:] != keys[:-1]) | (s[1:] != s[:-1]))
+    keys, s = keys[once], s[once]
     new = np.append(True, keys[1:] != keys[:-1])
-    pivot = s[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    pairs = np.unique(np.stack([pivot, s], 1)[pivot != s], axis=0)
-    return pa.table({"u": pa.array(pairs[:, 0], pa.int64()), "v": pa.array(pairs[:, 1], pa.int64())})
+    starts, number = np.flatnonzero(new), np.cumsum(new) - 1
+    size = np.diff(np.append(starts, len(s)))
+    name = mix(np.add.reduceat(mix(s.view(U64)), starts) + size.astype(U64)).view(np.int64)
+    rows = np.stack([name[number], s], 1)[size[number] > 1]
+    rows = np.unique(rows, axis=0) if len(rows) else rows
+    return pa.table({"meeting": pa.array(rows[:, 0], pa.int64()), "s": pa.array(rows[:, 1], pa.int64())})
+
+
+def _may_link(t: pa.Table, num: int, den: int) -> pa.Table:
+    """Pairs (u, v) of each meeting that the bitmaps allow, as few as connect what they connect."""
+    meeting, s, n = (t[c].to_numpy() for c in ("meeting", "s", "n"))
+    blobs = t["bits"].to_pylist()
+    order = np.lexsort((n, meeting))
+    out = []
+    for rows in np.split(order, np.flatnonzero(np.diff(meeting[order])) + 1):
+        maps, size, group = bitmaps([blobs[r] for r in rows]), n[rows], np.arange(len(rows))
+        ends = np.searchsorted(size, size * den // num, "right")
+        for i in range(len(rows) - 1):
+            js = np.arange(i + 1, ends[i])
+            js = js[group[js] != group[i]]
+            if len(js):
+                js = js[may_overlap(maps, size, i, js) * (den + num) >= num * (size[i] + size[js])]
+                for j in js:
+                    if group[i] != group[j]:
+                        group[group == group[j]] = group[i]
+                        out.append((s[rows[i]], s[rows[j]]))
+    return pa.table({"u": pa.array([int(a) for a, _ in out], pa.int64()), "v": pa.array([int(b) for _, b in out], pa.int64())})
 
 
 def link(s: np.ndarray, members: list[np.ndarray], group: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
@@ -187,11 +238,7 @@ def link(s: np.ndarray, members: list[np.ndarray], group: np.ndarray, num: int,
     order = np.argsort([len(x) for x in members], kind="stable")
     members, s, group = [members[i] for i in order], s[order], group[order].copy()
     n = np.array([len(x) for x in members])
-    bits = 1 << min(16, max(6, int(np.median(n) * 4).bit_length()))
-    dense = np.zeros((len(n), bits), bool)
-    dense[np.repeat(np.arange(len(n)), n), (np.concatenate(members) >> U64(24)).astype(np.int64) & (bits - 1)] = True
-    maps = np.packbits(dense, axis=1).view(U64)
-    del dense
+    maps = bitmaps([bitmap(x) for x in members])
     ends = np.searchsorted(n, n * den // num, "right")
     out = []
     for i in range(len(n)):
@@ -199,7 +246,7 @@ def link(s: np.ndarray, members: list[np.ndarray], group: np.ndarray, num: int,
         js = js[group[js] != group[i]]
         if not len(js):
             continue
-        most = np.minimum(n[i] - np.bitwise_count(maps[i] & ~maps[js]).sum(1, dtype=np.int64), n[js] - np.bitwise_count(maps[js] & ~maps[i]).sum(1, dtype=np.int64))
+        most = may_overlap(maps, n, i, js)
         js = js[most * (den + num) >= num * (n[i] + n[js])]
         if not len(js):
             continue
@@ -242,9 +289,13 @@ def _links(docs: DataFrame, reps: DataFrame, words: int, num: int, den: int, cap
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(6, (size >> 22).bit_length())
     filed = docs.select("text").mapInArrow(lambda b: _filed(b, words, num, den, bits), "bucket long, packed binary")
-    clusters = common.stored(common.components(filed.groupBy("bucket").applyInArrow(_met, "u long, v long")).withColumnsRenamed({"node": "s", "root": "cluster"}))
+    met = common.stored(filed.groupBy("bucket").applyInArrow(_met, "meeting long, s long").distinct())
+    groups = max(1, met.count() >> 13)
+    near = met.join(reps.select("s", "n", "bits"), "s").withColumn("grp", F.pmod("meeting", F.lit(groups)))
+    may = near.groupBy("grp").applyInArrow(lambda t: _may_link(t, num, den), "u long, v long")
+    clusters = common.stored(common.components(may).withColumnsRenamed({"node": "s", "root": "cluster"}))
     step = math.log(den / num) * (1 + 1e-9)
-    members = reps.join(clusters, "s").withColumn("band", F.floor(F.log("n") / step))
+    members = reps.select("s", "doc_id", "n").join(clusters, "s").withColumn("band", F.floor(F.log("n") / step))
     by_band = members.groupBy("cluster", "band").agg(F.sum("n").alias("weight"))
     whole = by_band.groupBy("cluster").agg(F.sum("weight").alias("total"))
     tiles = common.stored(by_band.join(whole, "cluster").select("cluster", "band", F.when(F.col("total") <= capacity, 0).otherwise(F.ceil(F.col("weight") / capacity)).alias("tiles")))
@@ -281,8 +332,8 @@ def similar(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, capa
     ``capacity`` bounds the shingles in a tile.
     """
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    each = common.stored(docs.mapInArrow(lambda b: _described(b, words), "doc_id long, n long, s long"))
-    reps = each.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
+    each = common.stored(docs.mapInArrow(lambda b: _described(b, words), "doc_id long, n long, s long, bits binary"))
+    reps = each.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("bits").alias("bits"))
     known = common.stored(common.components(_links(docs, reps, words, num, den, capacity))).withColumnRenamed("node", "s")
     least = known.join(reps, "s").groupBy("root").agg(F.min("doc_id").alias("least"))
     named = reps.join(known.join(least, "root").select("s", "least"), "s", "left").select("s", F.coalesce("least", "doc_id").alias("component_id"))
