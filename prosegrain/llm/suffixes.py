@@ -12,7 +12,8 @@ left and right together of ``size`` bytes or more are repeated strings. Strings
 are left to the anchor they belong to.
 
 Whole copies are settled first: texts are told apart by their MD5, a text that occurs twice goes whole, and one of its rows
-stands for it. A gram with more than ``block`` places is dealt over several groups; what repeats only across them shows
+stands for it. So are places with one gram whose strings are all alike, by a 64-bit hash beside that of the gram: they repeat whole,
+and one stands for them. A gram with more than ``block`` places is dealt over several groups; what repeats only across them shows
 in two 64-bit hashes of each string, of which each group sends every one once, packed in binary rows.
 
 Defined cases: null text is empty; texts shorter than ``size`` never lose bytes, whatever their copies; repeated
@@ -33,17 +34,18 @@ from prosegrain.llm import common
 from prosegrain.llm.common import U64, mix
 
 GRAM = 32
-PIECE = 1 << 22
+PIECE = 1 << 20
 _PLACE = U64((1 << 26) - 1)
 WINDOW = [("a", "<u8"), ("b", "<u8"), ("tid", "V16"), ("p", "<i4")]
-ANCHOR = "key long, tid binary, o int, lo int, hi int"
+ANCHOR = "key long, sig long, tid binary, o int, lo int, hi int"
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def anchors(data: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
-    """Gram hashes and places of the anchors of all strings of ``size`` bytes in data, and the first and last string of each."""
+    """Of the anchors of all strings of ``size`` bytes in data: gram hashes, hashes of all bytes of their strings, places, and
+    the first and last string of each."""
     if len(data) < size:
-        return np.zeros(0, np.int64), *(np.zeros(0, np.int32) for _ in range(3))
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), *(np.zeros(0, np.int32) for _ in range(3))
     h, factor = data.astype(U64) + U64(1), U64(0x9E3779B97F4A7C15)
     for step in (1, 2, 4, 8, 16):
         h = h[:-step] * factor + h[step:]
@@ -58,7 +60,9 @@ def anchors(data: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
     least = np.minimum(ahead, np.minimum.accumulate(value, axis=1).ravel()[w - 1 : w - 1 + n])
     at = (least & _PLACE).astype(np.int64)
     first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    return key[at[first]].view(np.int64), at[first].astype(np.int32), first.astype(np.int32), (np.append(first[1:], n) - 1).astype(np.int32)
+    last = np.append(first[1:], n) - 1
+    sig = mix(Hashes(data, 0x3C6EF372FE94F82B).of(first, last - first + size) ^ mix(((at[first] - first) * 4096 + last - first).astype(U64)))
+    return key[at[first]].view(np.int64), sig.view(np.int64), at[first].astype(np.int32), first.astype(np.int32), last.astype(np.int32)
 
 
 def _anchored(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -67,7 +71,7 @@ def _anchored(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
     names = [c.split()[0] for c in ANCHOR.split(", ")]
     for batch in batches:
         data, off = common.utf8(batch.column(0))
-        parts: list[list] = [[], [], [], [], []]
+        parts: list[list] = [[] for _ in names]
         held = 0
         for i, tid in enumerate(batch.column(1).to_pylist()):
             if tid in seen or off[i + 1] - off[i] < size:
@@ -77,20 +81,20 @@ def _anchored(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
             seen.add(tid)
             for start in range(0, int(off[i + 1] - off[i]) - size + 1, PIECE):
                 text = data[off[i] + start : min(off[i] + start + PIECE + size - 1, off[i + 1])]
-                key, *places = anchors(text, size)
-                for column, values in zip(parts, (key, [tid] * len(key), *(p + np.int32(start) for p in places)), strict=True):
+                key, sig, *places = anchors(text, size)
+                for column, values in zip(parts, (key, sig, [tid] * len(key), *(p + np.int32(start) for p in places)), strict=True):
                     column.append(values)
                 held += len(key)
             if held > 200_000:
                 yield _anchor_rows(parts, names)
-                parts, held = [[], [], [], [], []], 0
+                parts, held = [[] for _ in names], 0
         if held:
             yield _anchor_rows(parts, names)
 
 
 def _anchor_rows(parts: list[list], names: list[str]) -> pa.RecordBatch:
-    tids = pa.array([t for ts in parts[1] for t in ts], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts[0])), tids, *(pa.array(np.concatenate(p).astype(np.int32)) for p in parts[2:])], names=names)
+    tids = pa.array([t for ts in parts[2] for t in ts], pa.binary())
+    return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(p)) for p in parts[:2]), tids, *(pa.array(np.concatenate(p).astype(np.int32)) for p in parts[3:])], names=names)
 
 
 class Hashes:
@@ -307,7 +311,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
             lo, hi = columns["lo"].to_numpy(), columns["hi"].to_numpy()
             own = row[s : s + 8192]
             contexts = [data[off[r] + a : off[r] + b + size].tobytes() for r, a, b in zip(own, lo, hi, strict=True)]
-            yield pa.RecordBatch.from_arrays([columns["grp"], columns["key"], tids.take(pa.array(own)), columns["o"], columns["lo"], columns["hi"], pa.array(contexts, pa.binary())], names=["grp", "key", "tid", "o", "lo", "hi", "context"])
+            yield pa.RecordBatch.from_arrays([columns["grp"], columns["shared"], columns["key"], tids.take(pa.array(own)), columns["o"], columns["lo"], columns["hi"], pa.array(contexts, pa.binary())], names=["grp", "shared", "key", "tid", "o", "lo", "hi", "context"])
 
 
 def spans(docs: DataFrame, size: int = 400, block: int = 4096, group: int = 2048) -> tuple[Column, DataFrame]:
@@ -317,25 +321,29 @@ def spans(docs: DataFrame, size: int = 400, block: int = 4096, group: int = 2048
     named = docs.select("doc_id", text.alias("text"), tid.alias("tid"))
     found = common.stored(named.select("text", "tid").mapInArrow(lambda b: _anchored(b, size), ANCHOR))
     place = F.struct("tid", "o")
-    keys = found.groupBy("key").agg(F.count("*").alias("places"), F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b")
-    keys = common.stored(keys.select("key", F.ceil(F.col("places") / block).cast("long").alias("blocks")))
-    n = keys.count()
-    buckets = max(1, n * 4 // group)  # a gram that matters has a few places on average
-    dealt = F.when(F.col("blocks") > 1, F.xxhash64("key", F.pmod(F.xxhash64("tid", "o"), "blocks"))).otherwise(F.pmod("key", F.lit(buckets)))
-    kept = found.join(keys, "key").select(dealt.alias("grp"), (F.col("blocks") > 1).alias("shared"), "key", "tid", "o", "lo", "hi")
-    per_text = kept.groupBy("tid").agg(F.collect_set(F.struct("grp", "key", "o", "lo", "hi", "shared")).alias("anchors"))
+    keys = found.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("key")
+    kept = found.join(common.stored(keys), "key").distinct()
+    # Places whose strings are all alike repeat whole; one of them meets the others of the gram, if there are any.
+    alike = kept.groupBy("key", "sig").agg(F.count("*").alias("places"), F.min(place).alias("rep"))
+    alike = common.stored(alike.join(alike.groupBy("key").agg(F.count("*").alias("kinds")), "key"))
+    n = alike.where("kinds > 1").count()
+    buckets = max(1, n // group)
+    blocks = F.ceil(F.col("kinds") / block)
+    dealt = F.when(blocks > 1, F.xxhash64("key", F.pmod(F.xxhash64("tid", "o"), blocks))).otherwise(F.pmod("key", F.lit(buckets)))
+    kept = common.stored(kept.join(alike.where("kinds > 1 or places > 1"), ["key", "sig"]))
+    direct = kept.where("places > 1").select("tid", F.col("lo").alias("first"), F.col("hi").alias("last"))
+    meets = kept.where((F.col("kinds") > 1) & (F.col("rep") == place)).select(dealt.alias("grp"), (blocks > 1).alias("shared"), "key", "tid", "o", "lo", "hi")
+    per_text = meets.groupBy("tid").agg(F.collect_list(F.struct(*meets.columns)).alias("anchors"))
     copies = named.where(F.octet_length("text") >= size).groupBy("tid").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
     # one row stands for a text; its id leads to the text, so that copies' texts are not gathered
     chosen = per_text.join(copies.select("tid", "doc_id"), "tid")
     texts = named.join(chosen.withColumnRenamed("doc_id", "rep"), "tid").where("doc_id <=> rep").select("text", "tid", "anchors")
-    made = texts.mapInArrow(lambda b: _contexts(b, size), "grp long, key long, tid binary, o int, lo int, hi int, context binary")
+    made = texts.mapInArrow(lambda b: _contexts(b, size), "grp long, shared boolean, key long, tid binary, o int, lo int, hi int, context binary")
     shape = "tid binary, first int, last int"
-    hot = keys.where("blocks > 1").select("key")
-    hits = made.groupBy("grp").applyInArrow(lambda t: _repeated(t, size), shape)
-    if hot.head(1):
+    hits = made.groupBy("grp").applyInArrow(lambda t: _repeated(t, size), shape).union(direct)
+    if alike.where(F.col("kinds") > block).head(1):
         bits = max(4, (n // 1000).bit_length())
-        shared = made.join(hot, "key", "left_semi").select("grp", "key", "tid", "o", "lo", "hi", "context")
-        over = shared.groupBy("grp").applyInArrow(lambda t: _strings(t, size, bits), "bucket long, packed binary")
+        over = made.where("shared").groupBy("grp").applyInArrow(lambda t: _strings(t, size, bits), "bucket long, packed binary")
         hits = hits.union(over.groupBy("bucket").applyInArrow(_across, shape))
     runs = hits.groupBy("tid").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     whole = copies.where("n > 1").select("tid", F.lit(True).alias("whole"))

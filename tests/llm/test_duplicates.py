@@ -82,10 +82,10 @@ def test_passages_of_very_long_texts(monkeypatch):
     text = np.random.default_rng(0).integers(97, 101, 5000).astype(np.uint8)
     whole = suffixes.anchors(text, 400)
     covered = np.zeros(len(text) - 399, int)
-    for a, b in zip(whole[2], whole[3], strict=True):
+    for a, b in zip(whole[3], whole[4], strict=True):
         covered[a : b + 1] += 1
     assert (covered == 1).all()
-    assert ((whole[1] >= whole[3]) & (whole[1] <= whole[2] + 368)).all()
+    assert ((whole[2] >= whole[4]) & (whole[2] <= whole[3] + 368)).all()
 
 
 BASE = {
