@@ -30,7 +30,7 @@ class Setting:
     window: int = 64
     most: int = 1500
     pieces: int = 4
-    epochs: int = 6
+    steps: int = 1000
     batch: int = 64
     rate: float = 0.01
 
@@ -52,7 +52,7 @@ def states(b: np.ndarray, x: np.ndarray, u: np.ndarray, keep: list | None = None
         np.take(x, b[t], axis=0, out=g, mode="clip")
         np.matmul(h, u, out=a)
         if keep is not None:
-            a, gates = a.copy(), np.empty_like(gates)
+            gates = np.empty_like(gates)
         np.add(g[:, : 2 * n], a[:, : 2 * n], out=gates)
         np.negative(gates, out=gates)
         np.exp(gates, out=gates)
@@ -63,7 +63,7 @@ def states(b: np.ndarray, x: np.ndarray, u: np.ndarray, keep: list | None = None
         new += g[:, 2 * n :]
         np.tanh(new, out=new)
         if keep is not None:
-            keep.append((h, z, r, new, a[:, 2 * n :]))
+            keep.append((h, z, r, new, a[:, 2 * n :].copy()))
         np.subtract(h, new, out=out[t])
         out[t] *= z
         out[t] += new
@@ -96,9 +96,9 @@ def train(windows: np.ndarray, y: np.ndarray, labels: int, s: Setting) -> list[n
     """Weights from full windows of bytes (rows, steps) and their languages; every position is trained to the window's label."""
     rng, p = np.random.default_rng(0), start(s.hidden, labels)
     m, v, step = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
-    for _ in range(s.epochs):
+    while step < s.steps:
         order = rng.permutation(len(windows))
-        for k in range(0, len(order), s.batch):
+        for k in range(0, min(len(order), (s.steps - step) * s.batch), s.batch):
             b, want = windows[order[k : k + s.batch]].T, y[order[k : k + s.batch]]
             kf, kb = [], []
             f, r = states(b, p[0], p[1], kf), states(b[::-1], p[2], p[3], kb)[::-1]
