@@ -8,4 +8,4 @@ _OPERATORS = (
     topk.op6_columnar_topk, packing.op7_cost_packing, suffixes.op8_suffix_dedup, langid.op9_byte_gru, bpe.op10_bpe_automaton,
 )
 QUERIES = {f.__name__: f for f in _OPERATORS} | {"pipeline": corpus_pipeline.run}
-ORACLES = {"op2_url_filters": urls.OP2_SQL, "op6_columnar_topk": topk.OP6_SQL}
+ORACLES = {"op2_url_filters": urls.OP2_SQL, "op3_ngram_jaccard": jaccard.OP3_SQL, "op6_columnar_topk": topk.OP6_SQL}
