@@ -62,8 +62,8 @@ def rarest(pages: DataFrame, given: Sequence[Rule]) -> dict[str, list[Rule]]:
     wanted = sorted({t for r in given for t in r.tokens()})
     spark = pages.sparkSession
     token = F.explode(F.split(F.lower(F.coalesce("url", F.lit(""))), "[^0-9a-z]+")).alias("token")
-    known = spark.createDataFrame([(t,) for t in wanted], "token string")
-    counts = dict(map(tuple, pages.select(token).join(known, "token").groupBy("token").count().collect())) if wanted else {}
+    known = spark.createDataFrame([(t,) for t in wanted], "token string")  # no longer than the list in hand
+    counts = dict(map(tuple, pages.select(token).join(F.broadcast(known), "token").groupBy("token").count().collect())) if wanted else {}
     index: dict[str, list[Rule]] = {}
     for r in given:
         index.setdefault(min(r.tokens(), key=lambda t: (counts.get(t, 0), t), default=""), []).append(r)
