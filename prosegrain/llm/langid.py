@@ -175,8 +175,12 @@ def fit(docs: DataFrame, may_learn: Column | None = None, s: Setting = Setting()
     """A model of ``lang`` from ``text``; only rows that ``may_learn`` holds for are used."""
     known = docs.select("doc_id", "text", "lang").where(f"lang is not null and octet_length(text) >= {s.window}")
     known = known.where(may_learn) if may_learn is not None else known
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= s.most).drop("place").distinct()
+    least = (F.xxhash64("doc_id"), "doc_id")
+    # Hash groups within a language choose first, so that no task ranks all of a frequent one.
+    chosen = known.select("doc_id", "lang").withColumn("part", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 64)
+    for by in (["lang", "part"], ["lang"]):
+        chosen = chosen.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*least))).where(F.col("place") <= s.most).drop("place")
+    chosen = chosen.select("doc_id", "lang").distinct()
     sample = known.join(chosen, ["doc_id", "lang"]).select("doc_id", "text", "lang").mapInArrow(lambda b: _pieces(b, s), "doc_id long, lang string, piece binary")
     got = sample.toPandas().sort_values(["doc_id", "piece"])
     labels = sorted(got["lang"].unique()) if len(got) else []
