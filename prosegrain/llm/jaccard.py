@@ -323,7 +323,10 @@ def _links(docs: DataFrame, reps: DataFrame, words: int, num: int, den: int, cap
         F.transform(upto("down"), lambda i: name(F.col("band") - 1, i, "band", "salt")),
     )
     rest = large.join(up, ["cluster", "band"], "left").join(down, ["cluster", "band"], "left").withColumn("tile", F.explode(pairs))
-    return links.union(_tiled(rest.select(*first.columns), num, den))
+    all_links = common.stored(links.union(_tiled(rest.select(*first.columns), num, den)))
+    for done in (met, loaded, links):
+        common.release(done)
+    return all_links
 
 
 def similar(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, capacity: int = 1 << 18) -> DataFrame:

@@ -331,6 +331,7 @@ def spans(docs: DataFrame, size: int = 400, block: int = 4096, group: int = 2048
     blocks = F.ceil(F.col("kinds") / block)
     dealt = F.when(blocks > 1, F.xxhash64("key", F.pmod(F.xxhash64("tid", "o"), blocks))).otherwise(F.pmod("key", F.lit(buckets)))
     kept = common.stored(kept.join(alike.where("kinds > 1 or places > 1"), ["key", "sig"]))
+    common.release(found)
     direct = kept.where("places > 1").select("tid", F.col("lo").alias("first"), F.col("hi").alias("last"))
     meets = kept.where((F.col("kinds") > 1) & (F.col("rep") == place)).select(dealt.alias("grp"), (blocks > 1).alias("shared"), "key", "tid", "o", "lo", "hi")
     per_text = meets.groupBy("tid").agg(F.collect_list(F.struct(*meets.columns)).alias("anchors"))
