@@ -46,12 +46,14 @@ def bands(num: int, den: int, most: int = 1 << 40) -> tuple[np.ndarray, np.ndarr
         least = max(1, num * (last + 1) // den)
         e = 0
         if differ:
-            for e in range(0, 400):
+            while True:  # so many that most sets of the band leave no more parts empty
                 k = differ + 1 + e
                 empty = k * math.exp(-least / k)
-                if empty <= 0.5 or e >= empty + 0.3 * math.sqrt(empty):
+                need = 0 if empty <= 0.5 else math.ceil(empty + math.sqrt(empty) * (1 if empty > 4 else 0.3))
+                if need <= e:
                     break
-                if k >= least:
+                e = need
+                if differ + 1 + e >= least:  # small sets: few parts, of which none may be empty
                     e = 0
                     break
         tops.append(top)

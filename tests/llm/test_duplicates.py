@@ -56,6 +56,24 @@ def test_jaccard(spark, awkward):
     assert jaccard.similar(awkward.limit(0)).count() == 0
 
 
+def test_every_band_has_parts_to_fill():
+    for num in (80, 85, 95):
+        tops, parts, spare = jaccard.bands(num, 100)
+        for last, top, k, e in zip(tops[:-1], tops[1:], parts[1:], spare[1:], strict=True):
+            differ = (100 - num) * 2 * int(top) // (100 + num)
+            assert k == 0 and differ == 0 or k >= differ + 1 + e and k - e <= num * (last + 1) // 100
+
+
+def test_long_sets_file_soon():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for n in (9, 300, 50_000):
+        h = np.sort(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        keys, owner = jaccard.part_keys(h, np.array([0, n]), 80, 100)
+        assert 0 < len(keys) < 8 * n and not owner.any()
+
+
 def test_suffixes(spark, awkward):
     rng = random.Random(3)
     parts = ["".join(rng.choice("abcdé ") for _ in range(n)) for n in (380, 399, 400, 401, 450, 700, 900)]
