@@ -334,8 +334,10 @@ def _links(docs: DataFrame, reps: DataFrame, words: int, num: int, den: int, cap
 def similar(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, capacity: int = 1 << 18) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: documents link when den * intersection >= num * union of their sets.
 
-    ``capacity`` bounds the shingles in a tile.
+    ``capacity`` bounds the shingles in a tile. Below a similarity of 0.7 sets would need more parts than they have shingles.
     """
+    if 10 * num < 7 * den:
+        raise ValueError("the similarity must be 0.7 or more")
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     each = common.stored(docs.mapInArrow(lambda b: _described(b, words), "doc_id long, n long, s long, bits binary"))
     reps = each.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("bits").alias("bits"))
