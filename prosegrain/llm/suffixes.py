@@ -61,11 +61,33 @@ def anchors(data: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
     at = (least & _PLACE).astype(np.int64)
     first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
     last = np.append(first[1:], n) - 1
-    sig = mix(Hashes(data, 0x3C6EF372FE94F82B).of(first, last - first + size) ^ mix(((at[first] - first) * 4096 + last - first).astype(U64)))
-    return key[at[first]].view(np.int64), sig.view(np.int64), at[first].astype(np.int32), first.astype(np.int32), last.astype(np.int32)
+    sig = _alike(data, at[first], first, last, size)
+    return key[at[first]].view(np.int64), sig, at[first].astype(np.int32), first.astype(np.int32), last.astype(np.int32)
 
 
-def _anchored(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def _alike(data: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, size: int) -> np.ndarray:
+    """A hash of all bytes of each anchor's strings and of where they stand about it."""
+    return mix(Hashes(data, 0x3C6EF372FE94F82B).of(first, last - first + size) ^ mix(((at - first) * 4096 + last - first).astype(U64))).view(np.int64)
+
+
+def text_anchors(data: np.ndarray, size: int, piece: int) -> tuple[np.ndarray, ...]:
+    """``anchors`` of a text of any length, read in pieces of ``piece`` strings; an anchor over borders is one."""
+    found = []
+    for start in range(0, len(data) - size + 1, piece):
+        key, sig, *places = anchors(data[start : start + piece + size - 1], size)
+        found.append((key, sig, *(p + np.int32(start) for p in places)))
+    key, sig, at, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+    starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    ends = np.append(starts[1:], len(at)) - 1
+    last = last[ends]
+    sig = sig[starts]
+    for i in np.flatnonzero(ends > starts):
+        a, b = int(first[starts[i]]), int(last[i])
+        sig[i] = _alike(data[a : b + size], at[starts[i : i + 1]].astype(np.int64) - a, np.array([0]), np.array([b - a]), size)[0]
+    return key[starts], sig, at[starts], first[starts], last
+
+
+def _anchored(batches: Iterator[pa.RecordBatch], size: int, piece: int) -> Iterator[pa.RecordBatch]:
     """(text, tid) -> ANCHOR; copies that a task has met lately are not repeated."""
     seen: set[bytes] = set()
     names = [c.split()[0] for c in ANCHOR.split(", ")]
@@ -79,12 +101,10 @@ def _anchored(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
             if len(seen) > 50_000:
                 seen.clear()
             seen.add(tid)
-            for start in range(0, int(off[i + 1] - off[i]) - size + 1, PIECE):
-                text = data[off[i] + start : min(off[i] + start + PIECE + size - 1, off[i + 1])]
-                key, sig, *places = anchors(text, size)
-                for column, values in zip(parts, (key, sig, [tid] * len(key), *(p + np.int32(start) for p in places)), strict=True):
-                    column.append(values)
-                held += len(key)
+            key, sig, *places = text_anchors(data[off[i] : off[i + 1]], size, piece)
+            for column, values in zip(parts, (key, sig, [tid] * len(key), *places), strict=True):
+                column.append(values)
+            held += len(key)
             if held > 200_000:
                 yield _anchor_rows(parts, names)
                 parts, held = [[] for _ in names], 0
@@ -314,12 +334,12 @@ def _contexts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([columns["grp"], columns["shared"], columns["key"], tids.take(pa.array(own)), columns["o"], columns["lo"], columns["hi"], pa.array(contexts, pa.binary())], names=["grp", "shared", "key", "tid", "o", "lo", "hi", "context"])
 
 
-def spans(docs: DataFrame, size: int = 400, block: int = 4096, group: int = 2048) -> tuple[Column, DataFrame]:
+def spans(docs: DataFrame, size: int = 400, block: int = 4096, group: int = 2048, piece: int = PIECE) -> tuple[Column, DataFrame]:
     """An expression for a text's id, and for the ids that lose bytes: the runs of starts of their repeated strings, or that all goes."""
     text = F.coalesce("text", F.lit(""))
     tid = F.unhex(F.md5(text.cast("binary")))
     named = docs.select("doc_id", text.alias("text"), tid.alias("tid"))
-    found = common.stored(named.select("text", "tid").mapInArrow(lambda b: _anchored(b, size), ANCHOR))
+    found = common.stored(named.select("text", "tid").mapInArrow(lambda b: _anchored(b, size, piece), ANCHOR))
     place = F.struct("tid", "o")
     keys = found.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("key")
     kept = found.join(common.stored(keys), "key").distinct()

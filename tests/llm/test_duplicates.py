@@ -106,6 +106,21 @@ def test_passages_of_very_long_texts(monkeypatch):
     assert ((whole[2] >= whole[4]) & (whole[2] <= whole[3] + 368)).all()
 
 
+def test_passages_over_the_borders_of_pieces(spark):
+    rng = random.Random(5)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    rows = []
+    for i in range(60):
+        passage = some(rng.choice([400, 405, 430, 700]))
+        rows.append((i, some(rng.randrange(900)) + passage + some(rng.randrange(500))))
+        rows.append((100 + i, some(rng.randrange(900)) + passage + some(rng.randrange(500))))
+    rows += [(300, "a" * 1500), (301, "ab" * 900), (302, "b" + "ab" * 300)]
+    want = sorted((d, sum(e - a for a, e in ranges), hashlib.sha256(kept).hexdigest()) for (d, _), (kept, ranges) in zip(rows, brute.repeated([t for _, t in rows], 400), strict=True))
+    for piece in (100, 500):
+        got = suffixes.digests(pages(spark, rows), piece=piece).collect()
+        assert sorted((r.doc_id, r.n_removed, r.kept_sha256) for r in got) == want
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
