@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from prosegrain.llm import common, jaccard, packing, pii, quality, suffixes
 
 
+#: Words of the shortest repeated passage that goes: over 50.
+PASSAGE = 51
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject. It learns from the labels of the stage's own documents."""
     s = quality.Setting()
@@ -35,8 +39,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 400 bytes or more that also stand elsewhere; those of which nothing is left go."""
-    clean = suffixes.cleaned(docs)
+    """Documents without the passages of 400 bytes, or of 51 words, or more that also stand elsewhere; those of which nothing is left go."""
+    clean = suffixes.cleaned(docs, words=PASSAGE)
     had = F.col("text").isNull() | (F.length("text") > 0)
     empty = docs.where(~had)
     return _counted(clean.where("text is null or length(text) > 0").union(empty))

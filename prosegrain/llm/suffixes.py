@@ -87,12 +87,33 @@ def text_anchors(data: np.ndarray, size: int, piece: int) -> tuple[np.ndarray, .
     return key[starts], sig, at[starts], first[starts], last
 
 
-def _anchored(batches: Iterator[pa.RecordBatch], size: int, piece: int) -> Iterator[pa.RecordBatch]:
+def word_bytes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Eight bytes of hash for each word of a run of documents, end to end, and the offsets of each document's: as many words
+    repeat in texts as eight times as many bytes of these."""
+    parts, at = [], np.zeros(len(off), np.int64)
+    for i, j in common.chunks(off):
+        starts, ends = word_places(data[off[i] : off[j]], off[i : j + 1] - off[i])
+        parts.append(common.run_hashes(data[off[i] : off[j]], starts, ends))
+        at[i + 1 : j + 1] = at[i] + np.searchsorted(starts, off[i + 1 : j + 1] - off[i])
+    return np.concatenate([np.zeros(0, U64), *parts]).view(np.uint8), at * 8
+
+
+def word_places(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return common.runs(common._WORD[data], off)
+
+
+def _read(column: pa.Array, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes that are compared, and their offsets."""
+    data, off = common.utf8(column)
+    return word_bytes(data, off) if words else (data, off)
+
+
+def _anchored(batches: Iterator[pa.RecordBatch], size: int, piece: int, words: bool) -> Iterator[pa.RecordBatch]:
     """(text, tid) -> ANCHOR; copies that a task has met lately are not repeated."""
     seen: set[bytes] = set()
     names = [c.split()[0] for c in ANCHOR.split(", ")]
     for batch in batches:
-        data, off = common.utf8(batch.column(0))
+        data, off = _read(batch.column(0), words)
         parts: list[list] = [[] for _ in names]
         held = 0
         for i, tid in enumerate(batch.column(1).to_pylist()):
@@ -318,10 +339,10 @@ def _across(t: pa.Table) -> pa.Table:
     return pa.table({"tid": pa.array([bytes(x) for x in hit["tid"]], pa.binary()), "first": pa.array(hit["p"].astype(np.int32)), "last": pa.array(hit["p"].astype(np.int32))})
 
 
-def _contexts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def _contexts(batches: Iterator[pa.RecordBatch], size: int, words: bool) -> Iterator[pa.RecordBatch]:
     """(text, tid, anchors) -> one row per anchor with the bytes of its strings."""
     for batch in batches:
-        data, off = common.utf8(batch.column(0))
+        data, off = _read(batch.column(0), words)
         tids, lists = batch.column(1), batch.column(2)
         start = np.frombuffer(lists.offsets.cast(pa.int64()).to_numpy()).view(np.int64)
         row = np.repeat(np.arange(len(off) - 1), np.diff(start))
@@ -334,12 +355,15 @@ def _contexts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([columns["grp"], columns["shared"], columns["key"], tids.take(pa.array(own)), columns["o"], columns["lo"], columns["hi"], pa.array(contexts, pa.binary())], names=["grp", "shared", "key", "tid", "o", "lo", "hi", "context"])
 
 
-def spans(docs: DataFrame, size: int = 400, block: int = 4096, group: int = 2048, piece: int = PIECE) -> tuple[Column, DataFrame]:
-    """An expression for a text's id, and for the ids that lose bytes: the runs of starts of their repeated strings, or that all goes."""
+def spans(docs: DataFrame, size: int = 400, block: int = 4096, group: int = 2048, piece: int = PIECE, words: bool = False) -> tuple[Column, DataFrame]:
+    """An expression for a text's id, and for the ids that lose bytes: the runs of starts of their repeated strings, or that all goes.
+
+    With ``words``, size and runs are in bytes of ``word_bytes``, and a text may be marked as whole that has less than size.
+    """
     text = F.coalesce("text", F.lit(""))
     tid = F.unhex(F.md5(text.cast("binary")))
     named = docs.select("doc_id", text.alias("text"), tid.alias("tid"))
-    found = common.stored(named.select("text", "tid").mapInArrow(lambda b: _anchored(b, size, piece), ANCHOR))
+    found = common.stored(named.select("text", "tid").mapInArrow(lambda b: _anchored(b, size, piece, words), ANCHOR))
     place = F.struct("tid", "o")
     keys = found.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("key")
     kept = found.join(common.stored(keys), "key").distinct()
@@ -355,11 +379,11 @@ def spans(docs: DataFrame, size: int = 400, block: int = 4096, group: int = 2048
     direct = kept.where("places > 1").select("tid", F.col("lo").alias("first"), F.col("hi").alias("last"))
     meets = kept.where((F.col("kinds") > 1) & (F.col("rep") == place)).select(dealt.alias("grp"), (blocks > 1).alias("shared"), "key", "tid", "o", "lo", "hi")
     per_text = meets.groupBy("tid").agg(F.collect_list(F.struct(*meets.columns)).alias("anchors"))
-    copies = named.where(F.octet_length("text") >= size).groupBy("tid").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
+    copies = named.where(F.octet_length("text") >= (size // 4 - 1 if words else size)).groupBy("tid").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
     # one row stands for a text; its id leads to the text, so that copies' texts are not gathered
     chosen = per_text.join(copies.select("tid", "doc_id"), "tid")
     texts = named.join(chosen.withColumnRenamed("doc_id", "rep"), "tid").where("doc_id <=> rep").select("text", "tid", "anchors")
-    made = texts.mapInArrow(lambda b: _contexts(b, size), "grp long, shared boolean, key long, tid binary, o int, lo int, hi int, context binary")
+    made = texts.mapInArrow(lambda b: _contexts(b, size, words), "grp long, shared boolean, key long, tid binary, o int, lo int, hi int, context binary")
     shape = "tid binary, first int, last int"
     hits = made.groupBy("grp").applyInArrow(lambda t: _repeated(t, size), shape).union(direct)
     if alike.where(F.col("kinds") > block).head(1):
@@ -380,21 +404,46 @@ def removed(length: int, runs: np.ndarray, size: int) -> np.ndarray:
     return np.stack([runs[starts, 0], end[np.append(starts[1:], len(runs)) - 1]], 1)
 
 
-def _cut(batches: Iterator[pa.RecordBatch], at: int, size: int):
-    """For each row of batches that end in (runs, whole): the batch, and the bytes, removed ranges of each text."""
+def _joined(ranges: np.ndarray) -> np.ndarray:
+    """Disjoint byte ranges of the same bytes."""
+    ranges = ranges[np.argsort(ranges[:, 0], kind="stable")]
+    end = np.maximum.accumulate(ranges[:, 1])
+    starts = np.flatnonzero(np.append(True, ranges[1:, 0] > end[:-1]))
+    return np.stack([ranges[starts, 0], end[np.append(starts[1:], len(ranges)) - 1]], 1)
+
+
+def _word_ranges(text: np.ndarray, runs: np.ndarray, whole: bool, words: int) -> np.ndarray:
+    """Byte ranges of the repeated strings of ``words`` words; runs are in bytes of ``word_bytes``."""
+    starts, ends = word_places(text, np.array([0, len(text)]))
+    if whole and len(starts) >= words:
+        return np.array([[0, len(text)]])
+    first, last = (runs[:, 0] + 7) // 8, runs[:, 1] // 8
+    first, last = first[first <= last], last[first <= last]
+    return np.stack([starts[first], ends[last + words - 1]], 1)
+
+
+def _cut(batches: Iterator[pa.RecordBatch], at: int, size: int, words: int = 0):
+    """For each row of batches that end in (runs, whole), with ``words`` in two such pairs: the batch, and the bytes, removed
+    ranges of each text."""
     for batch in batches:
         data, off = common.utf8(batch.column(at))
-        runs, whole = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1).to_pylist()
+        marks = [(batch.column(k), batch.column(k + 1).to_pylist()) for k in range(batch.num_columns - (4 if words else 2), batch.num_columns, 2)]
         out = []
         for i in range(batch.num_rows):
             text = data[off[i] : off[i + 1]]
-            if whole[i] and len(text) >= size:
-                ranges = np.array([[0, len(text)]])
-            elif runs[i].is_valid:
-                v = runs[i].values
-                ranges = removed(len(text), np.stack([v.field(0).to_numpy(), v.field(1).to_numpy()], 1).astype(np.int64), size)
-            else:
-                ranges = np.zeros((0, 2), np.int64)
+            ranges = np.zeros((0, 2), np.int64)
+            for by_word, (runs, whole) in enumerate(marks):
+                own = np.zeros((0, 2), np.int64)
+                if runs[i].is_valid:
+                    v = runs[i].values
+                    own = np.stack([v.field(0).to_numpy(), v.field(1).to_numpy()], 1).astype(np.int64)
+                if by_word:
+                    own = _word_ranges(text, own, whole[i], words) if len(own) or whole[i] else own
+                elif whole[i] and len(text) >= size:
+                    own = np.array([[0, len(text)]])
+                elif len(own):
+                    own = removed(len(text), own, size)
+                ranges = _joined(np.concatenate([ranges, own])) if by_word and len(own) else ranges if by_word else own
             out.append((text, ranges))
         yield batch, out
 
@@ -419,14 +468,20 @@ def _digests(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, gone, count)), pa.array(sha, pa.string())], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
 
-def _marked(docs: DataFrame, size: int, **bounds) -> DataFrame:
-    """docs with two more columns at the end, the repeated runs and whether all of the text goes."""
-    tid, lost = spans(docs, size, **bounds)
-    names = docs.columns
-    own = [docs[c] for c in names]
-    t = "tid_" + hashlib.md5("".join(names).encode()).hexdigest()  # a name that docs doesn't have
-    lost = lost.withColumnsRenamed({"tid": t, "runs": f"runs_{t}", "whole": f"whole_{t}"})
-    return docs.select(*own, tid.alias(t)).join(lost, t, "left").select(*names, f"runs_{t}", F.coalesce(f"whole_{t}", F.lit(False)).alias(f"whole_{t}"))
+def _marked(docs: DataFrame, size: int, words: int = 0, **bounds) -> DataFrame:
+    """docs with two more columns at the end, the repeated runs and whether all of the text goes; with ``words``, the same
+    for strings of so many words in another two."""
+    names, out = docs.columns, docs
+    added: list[str] = []
+    for by_word in (False, True) if words else (False,):
+        tid, lost = spans(docs, 8 * words if by_word else size, words=by_word, **bounds)
+        t = f"tid_{int(by_word)}" + hashlib.md5("".join(names).encode()).hexdigest()  # a name that docs doesn't have
+        lost = lost.withColumnsRenamed({"tid": t, "runs": f"runs_{t}", "whole": f"whole_{t}"})
+        if words:
+            lost = common.stored(lost)
+        out = out.select(*(out[c] for c in (*names, *added)), tid.alias(t)).join(lost, t, "left").select(*names, *added, f"runs_{t}", F.coalesce(f"whole_{t}", F.lit(False)).alias(f"whole_{t}"))
+        added += [f"runs_{t}", f"whole_{t}"]
+    return out
 
 
 def digests(docs: DataFrame, size: int = 400, **bounds) -> DataFrame:
@@ -435,20 +490,25 @@ def digests(docs: DataFrame, size: int = 400, **bounds) -> DataFrame:
     return _marked(docs, size, **bounds).mapInArrow(lambda b: _digests(b, size), SCHEMA)
 
 
-def cleaned(docs: DataFrame, size: int = 400, **bounds) -> DataFrame:
-    """docs with the repeated bytes taken out of each text; what is left of a cut character goes too."""
+def cleaned(docs: DataFrame, size: int = 400, words: int = 0, **bounds) -> DataFrame:
+    """docs with the repeated bytes taken out of each text; what is left of a cut character goes too.
+
+    With ``words``, strings of so many words that also start elsewhere go as well, however few bytes they have; what stands
+    between words makes no difference to these.
+    """
     at, schema = docs.columns.index("text"), docs.schema
+    extra = 4 if words else 2
 
     def run(batches):
-        for batch, texts in _cut(batches, at, size):
+        for batch, texts in _cut(batches, at, size, words):
             kept = [kept_bytes(t, r).decode("utf-8", "ignore") if len(r) else None for t, r in texts]
             old = batch.column(at).to_pylist()
             text = pa.array([a if b is None else b for a, b in zip(old, kept, strict=True)], pa.string())
-            columns = list(batch.columns[:-2])
+            columns = list(batch.columns[:-extra])
             columns[at] = text
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return _marked(docs, size, **bounds).mapInArrow(run, schema)
+    return _marked(docs, size, words, **bounds).mapInArrow(run, schema)
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:

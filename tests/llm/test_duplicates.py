@@ -121,6 +121,50 @@ def test_passages_over_the_borders_of_pieces(spark):
         assert sorted((r.doc_id, r.n_removed, r.kept_sha256) for r in got) == want
 
 
+def test_passages_of_51_words_go(spark):
+    rng = random.Random(8)
+    some = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(10**4)}" for _ in range(n)]
+    rows, want = [], {}
+    for i, n in enumerate([51, 50, 51, 62, 49, 51]):
+        passage = some(n)
+        if i == 2:
+            passage = list("abcdefghij" * 6)[:51]  # 101 bytes
+        for d in (i, 100 + i):
+            head, tail = some(rng.randrange(1, 90)), some(rng.randrange(1, 90))
+            rows.append((d, " ".join(head) + "\n" + " ".join(passage) + " " + " ".join(tail)))
+            want[d] = rows[-1][1] if n < 51 else " ".join(head) + "\n" + " " + " ".join(tail)
+    left, middle, right = some(40), some(20), some(40)  # two repeats of 40 words side by side are no passage of over 50
+    for d, x in ((200, left + middle + right), (201, left), (202, right)):
+        rows.append((d, " ".join(x)))
+        want[d] = rows[-1][1]
+    alone = " ".join(some(55))
+    rows += [(300, alone), (301, alone), (302, None), (303, "")]
+    want |= {302: None}
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, n_chars int")
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, docs, SF).collect()}
+    assert got == {**want, 303: ""}
+
+
+def test_stage_removes_by_bytes_and_by_words(spark):
+    rows = [tuple(r) for r in common.table(spark, SF, "documents", "doc_id", "text").collect()]
+    rows += [(10**9 + i, x * 700) for i, x in enumerate("ab")] + [(10**9 + 5, "a b " * 80), (10**9 + 6, "x " + "b a " * 40)]
+    texts = [(t or "").encode() for _, t in rows]
+    places = [[(m.start(), m.end(), m[0]) for m in re.finditer(rb"[^\x20\x09-\x0d]+", b)] for b in texts]
+    seen = {}
+    for w in places:
+        for i in range(len(w) - 50):
+            key = tuple(x[2] for x in w[i : i + 51])
+            seen[key] = seen.get(key, 0) + 1
+    whole = {t for t in texts if texts.count(t) > 1}
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, pages(spark, rows), SF).collect()}
+    for (d, _), b, w, (_, ranges) in zip(rows, texts, places, brute.repeated([t for _, t in rows], 400), strict=True):
+        keep = bytearray(b"\1" * len(b))
+        more = [(w[i][0], w[i + 50][1]) for i in range(len(w) - 50) if seen[tuple(x[2] for x in w[i : i + 51])] > 1]
+        for a, e in [*ranges, *more, *([(0, len(b))] if b in whole and (len(w) > 50 or len(b) >= 400) else [])]:
+            keep[a:e] = bytes(e - a)
+        assert got.get(d, "") == bytes(x for x, k in zip(b, keep, strict=True) if k).decode("utf-8", "ignore")
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
