@@ -8,7 +8,8 @@
    fewer, so no pair depends on empty parts. Common shingles gather nobody: a key is a whole part of a set. Keys travel packed in
    binary rows; sets that meet under several keys meet once.
 3. Each set has a bitmap of hashed shingles. Where sets meet, bit counts bound a pair's overlap from above; the pairs
-   that may reach the threshold connect sets to clusters, and only sets in clusters are loaded.
+   that may reach the threshold connect sets to clusters, and only sets in clusters are loaded. Large meetings are dealt over
+   blocks, which meet a pivot block first and each other only where that leaves several components.
 4. A cluster's sets are split into tiles of bounded size within size bands. In a tile the pairs that the bitmaps allow
    are intersected as sorted arrays. Pairs already connected are skipped. Clusters of several tiles are first tied
    together by a pivot tile for each band; only those that stay in pieces meet tile by tile.
@@ -26,7 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosegrain.llm import common
@@ -214,31 +215,55 @@ def _met(t: pa.Table) -> pa.Table:
     return pa.table({"meeting": pa.array(rows[:, 0], pa.int64()), "s": pa.array(rows[:, 1], pa.int64())})
 
 
+class Groups:
+    """Groups of the rows of a block; ``of`` has the group of each. Of two that meet the smaller is relabelled."""
+
+    def __init__(self, of: np.ndarray):
+        _, self.of = np.unique(of, return_inverse=True)
+        self.rows = {int(g): x.tolist() for g, x in enumerate(np.split(np.argsort(self.of, kind="stable"), np.cumsum(np.bincount(self.of))[:-1]))}
+
+    def join(self, i: int, j: int) -> bool:
+        """Joins the groups of rows i and j; whether they were two."""
+        a, b = int(self.of[i]), int(self.of[j])
+        if a == b:
+            return False
+        if len(self.rows[a]) < len(self.rows[b]):
+            a, b = b, a
+        self.of[self.rows[b]] = a
+        self.rows[a] += self.rows.pop(b)
+        return True
+
+
 def _may_link(t: pa.Table, num: int, den: int) -> pa.Table:
-    """Pairs (u, v) of each meeting that the bitmaps allow, as few as connect what they connect."""
+    """Pairs (u, v) of each meeting that the bitmaps allow, as few as connect what they connect; sets of one root, where there is
+    that column, are connected already."""
     meeting, s, n = (t[c].to_numpy() for c in ("meeting", "s", "n"))
+    root = t["root"].to_numpy() if "root" in t.column_names else s
     blobs = t["bits"].to_pylist()
     order = np.lexsort((n, meeting))
     out = []
     for rows in np.split(order, np.flatnonzero(np.diff(meeting[order])) + 1):
-        maps, size, group = bitmaps([blobs[r] for r in rows]), n[rows], np.arange(len(rows))
+        groups = Groups(root[rows])
+        if len(groups.rows) == 1:
+            continue
+        maps, size, group = bitmaps([blobs[r] for r in rows]), n[rows], groups.of
         ends = np.searchsorted(size, size * den // num, "right")
         for i in range(len(rows) - 1):
             js = np.arange(i + 1, ends[i])
             js = js[group[js] != group[i]]
             if len(js):
                 js = js[may_overlap(maps, size, i, js) * (den + num) >= num * (size[i] + size[js])]
-                for j in js:
-                    if group[i] != group[j]:
-                        group[group == group[j]] = group[i]
-                        out.append((s[rows[i]], s[rows[j]]))
+                out.extend((s[rows[i]], s[rows[j]]) for j in js if groups.join(i, j))
+                if len(groups.rows) == 1:
+                    break
     return pa.table({"u": pa.array([int(a) for a, _ in out], pa.int64()), "v": pa.array([int(b) for _, b in out], pa.int64())})
 
 
 def link(s: np.ndarray, members: list[np.ndarray], group: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
     """Links between sets of different groups until the groups they join are connected."""
     order = np.argsort([len(x) for x in members], kind="stable")
-    members, s, group = [members[i] for i in order], s[order], group[order].copy()
+    members, s, groups = [members[i] for i in order], s[order], Groups(group[order])
+    group = groups.of
     n = np.array([len(x) for x in members])
     maps = bitmaps([bitmap(x) for x in members])
     ends = np.searchsorted(n, n * den // num, "right")
@@ -257,8 +282,7 @@ def link(s: np.ndarray, members: list[np.ndarray], group: np.ndarray, num: int,
         both = np.add.reduceat((members[i][spot] == values).astype(np.int64), np.cumsum(n[js]) - n[js])
         for j in js[both * (den + num) >= num * (n[i] + n[js])]:
             out.append((int(s[i]), int(s[j])))
-            if group[i] != group[j]:
-                group[group == group[j]] = group[i]
+            groups.join(i, j)
     return out
 
 
@@ -286,62 +310,103 @@ def _tiled(members: DataFrame, num: int, den: int) -> DataFrame:
     return members.groupBy("cluster", "tile").applyInArrow(lambda t: _linked(t, num, den), "u long, v long")
 
 
-def _links(docs: DataFrame, reps: DataFrame, words: int, num: int, den: int, capacity: int) -> DataFrame:
+def _name(*x) -> Column:
+    return F.concat_ws(":", *x)
+
+
+def _pivots() -> Column:
+    """Tiles in which a row meets the pivot tile, that of salt 0, of its band and of the next one."""
+    every = F.transform(F.sequence(F.lit(0), F.greatest(F.col("tiles") - 1, F.lit(0))), lambda i: _name("band", i))
+    return F.when(F.col("salt") == 0, F.concat(every, F.array(_name(F.col("band") - 1, F.lit(0))))).otherwise(F.array(_name("band", "salt")))
+
+
+def _paired(rows: DataFrame, tiles: DataFrame, key: str) -> DataFrame:
+    """Each row in all pairs of tiles of its band and of the bands beside it; ``tiles`` has (key, band, tiles)."""
+    up = tiles.select(key, (F.col("band") - 1).alias("band"), F.col("tiles").alias("up"))
+    down = tiles.select(key, (F.col("band") + 1).alias("band"), F.col("tiles").alias("down"))
+    upto = lambda c: F.when(F.coalesce(F.col(c), F.lit(0)) > 0, F.sequence(F.lit(0).cast("long"), F.col(c) - 1)).otherwise(F.array().cast("array<long>"))
+    pairs = F.concat(
+        F.transform(upto("tiles"), lambda i: _name("band", F.least(i, F.col("salt")), "band", F.greatest(i, F.col("salt")))),
+        F.transform(upto("up"), lambda i: _name("band", "salt", F.col("band") + 1, i)),
+        F.transform(upto("down"), lambda i: _name(F.col("band") - 1, i, "band", "salt")),
+    )
+    return rows.join(up, [key, "band"], "left").join(down, [key, "band"], "left").withColumn("tile", F.explode(pairs))
+
+
+def blocks(met: DataFrame, reps: DataFrame, large: DataFrame, num: int, den: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of the large meetings by size band and salt, about ``block`` in each, and the number of salts of each band."""
+    rows = met.join(F.broadcast(large.select("meeting")), "meeting").join(reps.select("s", "n", "bits"), "s")
+    rows = common.stored(rows.withColumn("band", F.floor(F.log("n") / _step(num, den))))
+    tiles = common.stored(rows.groupBy("meeting", "band").agg(F.ceil(F.count("*") / block).alias("tiles")))
+    return rows.join(F.broadcast(tiles), ["meeting", "band"]).withColumn("salt", F.pmod(F.xxhash64("s"), "tiles")), tiles
+
+
+def _step(num: int, den: int) -> float:
+    """Bands of this width in log n: similar sets are in one band or in neighbouring ones."""
+    return math.log(den / num) * (1 + 1e-9)
+
+
+def _candidates(met: DataFrame, reps: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """Pairs (u, v) of sets that meet and that the bitmaps allow, as many as connect what they connect.
+
+    A meeting of more than ``block`` sets is dealt over blocks: each meets a pivot block first, and only blocks that are not in one
+    component then meet in pairs.
+    """
+    pairs = lambda rows, *by: rows.groupBy(*by).applyInArrow(lambda t: _may_link(t, num, den), "u long, v long")
+    groups = max(1, met.count() >> 13)
+    large = common.stored(met.groupBy("meeting").count().where(F.col("count") > block))
+    some = bool(large.head(1))
+    small = met.join(F.broadcast(large), "meeting", "left_anti") if some else met
+    may = pairs(small.join(reps.select("s", "n", "bits"), "s").withColumn("grp", F.pmod("meeting", F.lit(groups))), "grp")
+    if not some:
+        return may
+    rows, tiles = blocks(met, reps, large, num, den, block)
+    may = common.stored(may.union(pairs(rows.withColumn("tile", F.explode(_pivots())), "meeting", "tile")))
+    roots = common.stored(common.components(may))
+    rows = rows.join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
+    split = rows.groupBy("meeting").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("meeting")
+    rest = rows.join(F.broadcast(common.stored(split)), "meeting", "left_semi")
+    return may.union(pairs(_paired(rest, tiles, "meeting"), "meeting", "tile"))
+
+
+def _links(docs: DataFrame, reps: DataFrame, words: int, num: int, den: int, capacity: int, block: int) -> DataFrame:
     """Verified links (u, v) between signatures that leave no similar pair unconnected."""
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(6, (size >> 22).bit_length())
     filed = docs.select("text").mapInArrow(lambda b: _filed(b, words, num, den, bits), "bucket long, packed binary")
     met = common.stored(filed.groupBy("bucket").applyInArrow(_met, "meeting long, s long").distinct())
-    groups = max(1, met.count() >> 13)
-    near = met.join(reps.select("s", "n", "bits"), "s").withColumn("grp", F.pmod("meeting", F.lit(groups)))
-    may = near.groupBy("grp").applyInArrow(lambda t: _may_link(t, num, den), "u long, v long")
-    clusters = common.stored(common.components(may).withColumnsRenamed({"node": "s", "root": "cluster"}))
-    step = math.log(den / num) * (1 + 1e-9)
-    members = reps.select("s", "doc_id", "n").join(clusters, "s").withColumn("band", F.floor(F.log("n") / step))
+    clusters = common.stored(common.components(_candidates(met, reps, num, den, block)).withColumnsRenamed({"node": "s", "root": "cluster"}))
+    members = reps.select("s", "doc_id", "n").join(clusters, "s").withColumn("band", F.floor(F.log("n") / _step(num, den)))
     by_band = members.groupBy("cluster", "band").agg(F.sum("n").alias("weight"))
     whole = by_band.groupBy("cluster").agg(F.sum("weight").alias("total"))
     tiles = common.stored(by_band.join(whole, "cluster").select("cluster", "band", F.when(F.col("total") <= capacity, 0).otherwise(F.ceil(F.col("weight") / capacity)).alias("tiles")))
     placed = members.join(tiles, ["cluster", "band"]).withColumn("salt", F.when(F.col("tiles") > 0, F.pmod(F.xxhash64("s"), "tiles")).otherwise(0))
     loaded = docs.select("doc_id", "text").join(placed.select("doc_id", "s", "cluster", "band", "tiles", "salt"), "doc_id").select("text", "s", "cluster", "band", "tiles", "salt")
     loaded = common.stored(loaded.mapInArrow(lambda b: _loaded(b, words), "shingles binary, s long, cluster long, band long, tiles long, salt long"))
-    name = lambda *x: F.concat_ws(":", *x)
-    own = name("band", "salt")
-    pivot = F.when(
-        F.col("salt") == 0,
-        F.concat(F.transform(F.sequence(F.lit(0), F.greatest(F.col("tiles") - 1, F.lit(0))), lambda i: name("band", i)), F.array(name(F.col("band") - 1, F.lit(0)))),
-    ).otherwise(F.array(own))
-    first = loaded.withColumn("root", F.col("s")).withColumn("tile", F.explode(F.when(F.col("tiles") == 0, F.array(F.lit(""))).otherwise(pivot)))
+    first = loaded.withColumn("root", F.col("s")).withColumn("tile", F.explode(F.when(F.col("tiles") == 0, F.array(F.lit(""))).otherwise(_pivots())))
     links = common.stored(_tiled(first, num, den))
     roots = common.stored(common.components(links))
     large = loaded.where("tiles > 0").join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
     split = large.groupBy("cluster").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("cluster")
     large = large.join(split, "cluster", "left_semi")
-    up = tiles.select("cluster", (F.col("band") - 1).alias("band"), F.col("tiles").alias("up"))
-    down = tiles.select("cluster", (F.col("band") + 1).alias("band"), F.col("tiles").alias("down"))
-    upto = lambda c: F.when(F.coalesce(F.col(c), F.lit(0)) > 0, F.sequence(F.lit(0).cast("long"), F.col(c) - 1)).otherwise(F.array().cast("array<long>"))
-    pairs = F.concat(
-        F.transform(upto("tiles"), lambda i: name("band", F.least(i, F.col("salt")), "band", F.greatest(i, F.col("salt")))),
-        F.transform(upto("up"), lambda i: name("band", "salt", F.col("band") + 1, i)),
-        F.transform(upto("down"), lambda i: name(F.col("band") - 1, i, "band", "salt")),
-    )
-    rest = large.join(up, ["cluster", "band"], "left").join(down, ["cluster", "band"], "left").withColumn("tile", F.explode(pairs))
+    rest = _paired(large, tiles, "cluster")
     all_links = common.stored(links.union(_tiled(rest.select(*first.columns), num, den)))
     for done in (met, loaded, links):
         common.release(done)
     return all_links
 
 
-def similar(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, capacity: int = 1 << 18) -> DataFrame:
+def similar(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, capacity: int = 1 << 18, block: int = 4096) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: documents link when den * intersection >= num * union of their sets.
 
-    ``capacity`` bounds the shingles in a tile. Below a similarity of 0.7 sets would need more parts than they have shingles.
+    ``capacity`` bounds the shingles in a tile, ``block`` the sets that are compared by bitmaps at once. Below a similarity of 0.7 sets would need more parts than they have shingles.
     """
     if 10 * num < 7 * den:
         raise ValueError("the similarity must be 0.7 or more")
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     each = common.stored(docs.mapInArrow(lambda b: _described(b, words), "doc_id long, n long, s long, bits binary"))
     reps = each.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("bits").alias("bits"))
-    known = common.stored(common.components(_links(docs, reps, words, num, den, capacity))).withColumnRenamed("node", "s")
+    known = common.stored(common.components(_links(docs, reps, words, num, den, capacity, block))).withColumnRenamed("node", "s")
     least = known.join(reps, "s").groupBy("root").agg(F.min("doc_id").alias("least"))
     named = reps.join(known.join(least, "root").select("s", "least"), "s", "left").select("s", F.coalesce("least", "doc_id").alias("component_id"))
     full = each.where("n > 0").join(named, "s").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

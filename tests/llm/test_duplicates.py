@@ -56,6 +56,28 @@ def test_jaccard(spark, awkward):
     assert jaccard.similar(awkward.limit(0)).count() == 0
 
 
+def test_large_meetings_go_in_blocks(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for g in range(3):  # variants of a template: different sets that share nearly all parts
+        base = [rng.choice(words) for _ in range(90)]
+        for i in range(60):
+            t = list(base)
+            t[rng.randrange(90)] = f"v{g}x{i}"
+            rows.append((1000 * g + i, " ".join(t + [f"t{k}" for k in range(rng.randrange(14))])))
+    line = " ".join(rng.choice(words) for _ in range(30))  # a line that many share who are not near
+    rows += [(9000 + i, line + " " + " ".join(rng.choice(words) for _ in range(rng.randrange(5, 40)))) for i in range(150)]
+    sets = brute.shingle_sets([t for _, t in rows], 4)
+    got = {r.doc_id: r.component_id for r in jaccard.similar(pages(spark, rows), 4, 85, 100, 2000, 7).collect()}
+    assert got == dict(zip([d for d, _ in rows], brute.components([d for d, _ in rows], sets, 85, 100), strict=True))
+    met = spark.range(3000).selectExpr("id % 2 as meeting", "id as s")
+    reps = spark.range(3000).selectExpr("id as s", "100 + id % 50 as n", "cast('12345678' as binary) as bits")
+    placed, tiles = jaccard.blocks(met, reps, met.select("meeting").distinct(), 85, 100, 100)
+    assert placed.count() == 3000 and tiles.count() > 4
+    assert placed.groupBy("meeting", "band", "salt").count().agg({"count": "max"}).first()[0] < 150
+
+
 def test_every_band_has_parts_to_fill():
     for num in (80, 85, 95):
         tops, parts, spare = jaccard.bands(num, 100)
