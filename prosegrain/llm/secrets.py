@@ -99,16 +99,17 @@ def addressed(versions: DataFrame, text: str, rules: Sequence[Rule]) -> DataFram
     return rows.select("version", F.sha2("text", 256).alias("blob"), "due", F.when(F.size("due") > 0, F.col("text")).alias("text"))
 
 
+def _kept(r: Rule) -> Column:
+    size = lambda m: F.length(F.regexp_extract(m["value"], r.regex, r.group) if r.group else m["value"])
+    held = F.filter(f"_{r.kind}", lambda m: size(m) >= r.least)
+    return F.transform(held, lambda m: F.struct(F.lit(r.version).alias("rule"), F.lit(r.kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
+
+
 def _found(blobs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """blobs of (blob, fresh, due, text) to (blob, fresh, found)."""
     for r in rules:
         blobs = matches.matched(blobs, f"_{r.kind}", r.regex, F.array_contains("fresh", r.version) & F.array_contains("due", r.version))
-    named = []
-    for r in rules:
-        size = lambda m, r=r: F.length(F.regexp_extract(m["value"], r.regex, r.group) if r.group else m["value"])
-        held = F.filter(f"_{r.kind}", lambda m, size=size, r=r: size(m) >= r.least)
-        named.append(F.transform(held, lambda m, r=r: F.struct(F.lit(r.version).alias("rule"), F.lit(r.kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"))))
-    return blobs.select("blob", "fresh", F.concat(*named).alias("found"))
+    return blobs.select("blob", "fresh", F.concat(*map(_kept, rules)).alias("found"))
 
 
 def _unseen(rows: DataFrame, ledger: Ledger, rules: Sequence[Rule]) -> DataFrame:
@@ -143,7 +144,8 @@ def digests(docs: DataFrame, ledger: Ledger, rules: Sequence[Rule] = RULES) -> D
     """One row per document: base counts, a digest of the base spans, and all spans."""
     found = scan(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")), ledger, rules=rules)
     base = F.filter("found", lambda s: s["kind"].isin(*BASE))
-    counts = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    kinds = F.col("found.kind")
+    counts = [(F.size("found") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in BASE]
     return found.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("found")).alias("spans"))
 
 
