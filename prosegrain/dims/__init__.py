@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -107,18 +105,57 @@ def override(built_in: DataFrame, user: DataFrame, keys: list[str]) -> DataFrame
     return both.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_own")
 
 
+#: What a folder's patterns may say beyond the built-in columns.
+PATTERN_TEXTS = "directive string, hint string, rewrite_menu array<struct<id:int,instruction:string>>"
+#: An entry of a hit list, and a line of its index.
+HIT_ENTRY = (
+    "id string, phrase string, alternatives array<string>, subcategory string, tier string, signal string, fp_risk string, evidence string, "
+    "replacement string, genres string, template boolean, truncated boolean"
+)
+HIT_INDEX = "slug string, category string, entries bigint, tiers struct<strong:bigint,moderate:bigint,watch:bigint>"
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def load_dims(spark: SparkSession, dir: str | None = None) -> dict[str, DataFrame]:
     """All dimension tables; ``<dir>/<name>.json`` extends or overrides the built-in rows.
 
-    ``<dir>/lexicon.json`` is the phrase table; it has no built-in rows.
+    A folder's ``patterns.json`` may also hold a directive, a detection hint and a rewrite menu for each pattern: then the patterns have
+    the columns directive and hint, and there are the tables ``directives`` (type, directive), ``hints`` (type, hint) and ``menus``
+    (type, option, instruction). ``<dir>/lexicon.json`` is the phrase table; it has no built-in rows. ``<dir>/hitlists`` holds
+    ``index.json`` and a file of entries per category: ``hitlist_index`` and ``hitlists``, whose ``slug`` is the file's name.
     """
     out = {}
     for name, (build, keys) in BUILT_IN.items():
         df = build(spark)
-        path = os.path.join(dir, f"{name}.json") if dir else None
-        if path and os.path.exists(path):
-            df = override(df, spark.read.schema(df.schema).json(path, multiLine=True), keys)
+        path = f"{dir}/{name}.json"
+        if dir and _there(spark, path):
+            wide = df.select("*", *(F.lit(None).cast(x.split(" ", 1)[1]).alias(x.split()[0]) for x in PATTERN_TEXTS.split(", "))) if name == "patterns" else df
+            df = override(df, spark.read.schema(wide.schema).json(path, multiLine=True), keys)
         out[name] = df
-    if dir and os.path.exists(os.path.join(dir, "lexicon.json")):
-        out["lexicon"] = spark.read.json(os.path.join(dir, "lexicon.json"), multiLine=True)
+    p = out["patterns"]
+    if "rewrite_menu" in p.columns:
+        out["menus"] = p.select("type", F.inline("rewrite_menu")).withColumnRenamed("id", "option")
+        out["directives"] = p.filter("directive is not null").select("type", "directive")
+        out["hints"] = p.filter("hint is not null").select("type", "hint")
+        out["patterns"] = p.drop("rewrite_menu")
+    if dir and _there(spark, f"{dir}/lexicon.json"):
+        out["lexicon"] = spark.read.json(f"{dir}/lexicon.json", multiLine=True)
+    if dir and _there(spark, f"{dir}/hitlists/index.json"):
+        out["hitlist_index"] = spark.read.schema(HIT_INDEX).json(f"{dir}/hitlists/index.json", multiLine=True)
+        files = spark.read.schema(HIT_ENTRY).json(f"{dir}/hitlists", multiLine=True, pathGlobFilter="*.json")
+        slug = F.regexp_extract(F.input_file_name(), r"([^/]+)[.]json$", 1)
+        out["hitlists"] = files.withColumn("slug", F.url_decode(slug)).filter("slug <> 'index'").join(out["hitlist_index"].select("slug", "category"), "slug", "left")
     return out
+
+
+def hitlist_differences(index: DataFrame, entries: DataFrame) -> DataFrame:
+    """(slug, listed, found) of categories whose entries or tiers are not as many as the index says, or that only one side has."""
+    tiers = ["strong", "moderate", "watch"]
+    n = entries.groupBy("slug").agg(F.count(F.lit(1)).alias("entries"), *[F.sum((F.col("tier") == t).cast("bigint")).alias(t) for t in tiers])
+    found = n.select("slug", F.struct("entries", *tiers).alias("found"))
+    listed = index.select("slug", F.struct("entries", *[F.col(f"tiers.{t}").alias(t) for t in tiers]).alias("listed"))
+    return listed.join(found, "slug", "full").filter(~F.col("listed").eqNullSafe(F.col("found")))

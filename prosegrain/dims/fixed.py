@@ -196,10 +196,10 @@ FAST_MARKERS = (
     "persona_flattening safety_disclaimer signposting_filler spatial_metaphor stereotyped_opener "
     "superlative sycophantic_opener vague_contextualizer"
 ).split()
-# Candidates kept per sentence by mode.
-# What marks a bundled expression, and the labels of bundled and of manual phrases.
+# What marks a bundled expression, and the labels of bundled and of manual phrases.
 BUNDLE_MARK = "A-Za-z0-9_"
 SOURCE_LABELS = ["oai_regex_bundle", "kimi_field_manual"]
+# Candidates kept per sentence by mode.
 MODE_CAPS = {"fast": 4, "tiered": 8, "exhaustive": 20}
 # Words too common to trigger a scan.
 COMMON_TRIGGERS = (
@@ -465,3 +465,45 @@ LINE_DECAY = "Maintain structural variety throughout — avoid entropy decay tow
 POSITIVE_RHYTHM = "Vary sentence lengths — alternate short (5-8 words) and long (20-35 words)"
 POSITIVE_VARIETY = "Mix rhetorical structures — use questions, fragments, inversions, not just declaratives"
 POSITIVE_DECAY = "Maintain structural variety throughout — don't let the writing flatten toward the end"
+
+# Shapes of one opposition sentence.
+OPPOSITION_SHAPES = {
+    "not_about": r"^(.+?)\s+(?:is|are|was|were)\s+not\s+about\s+(.+?)(?:,\s*)?(?:but\s+(?:it\s+)?(?:is\s+)?about|[,;:—-]\s*(?:(?:it'?s|it is|this is|that is)\s+)?about)\s+(.+?)[.!?]?$",
+    "not_merely_about": r"^(?:it|this|that)\s+is\s+not\s+(?:simply|just|only|merely)\s+about\s+(.+?)\s+but\s+about\s+(.+?)[.!?]?$",
+    "not_only_can": r"^not\s+only\s+can\s+([A-Z][\w-]*)\s+(.+?),\s+but\s+(?:it|they|he|she|we|that)\s+can\s+also\s+(.+?)[.!?]?$",
+    "nuanced": r"^but\s+the\s+real\s+opportunity\s+is\s+much\s+more\s+nuanced:\s*(.+?)[.!?]?$",
+    "one_and_other": r"^on\s+(?:the\s+)?one\s+hand,\s*(.+?)[.;]\s*on\s+the\s+other\s+hand,\s*(.+?)[.!?]?$",
+    "one_hand": r"^on\s+(?:the\s+)?one\s+hand,\s*(.+?)[.!?]?$",
+    "other_hand": r"^on\s+the\s+other\s+hand,\s*(.+?)[.!?]?$",
+}
+
+# Shapes of two neighbouring sentences.
+OPPOSITION_PAIRS = {
+    "glance": (r"^at first glance,\s*(.+?)[.!?]?$", r"^but\s+the\s+real\s+opportunity\s+is\s+(?:much\s+more\s+nuanced:\s*)?(.+?)[.!?]?$"),
+    "hands": (r"^on\s+(?:the\s+)?one\s+hand,\s*(.+?)[.!?]?$", r"^on\s+the\s+other\s+hand,\s*(.+?)[.!?]?$"),
+    "about": (r"^(.+?)\s+(?:is|are|was|were)\s+not\s+about\s+(.+?)[.!?]?$", r"^(?:it|this|that)\s+is\s+about\s+(.+?)[.!?]?$"),
+}
+
+# Notes on the risk of a rewrite.
+RISK_NOTES = {
+    "neg": "Negation markers dropped relative to the source — the factual boundary of the claim may have shifted.",
+    "sure": "Strong certainty language increased versus the original; verify claim scope still matches.",
+    "loud": "Strong intensifiers appeared while the expression budget was set to none.",
+    "thin": "The rewrite is much shorter — check that supporting nuance was not removed.",
+    "blank": "No original passage to compare.",
+    "none": "No automatic red flags on negation, certainty spikes, or length collapse.",
+}
+# Words of the summary of a change.
+CHANGE_WORDS = {
+    "down": "density ↓", "up": "density ↑", "level": "density ~same", "fewer": " fewer pattern hits", "more": " more pattern hits",
+    "same": "pattern hits ~same", "variety": "more device variety", "less": "less device variety",
+}
+
+# Rewrites that depend on a setting or on a sentence's place.
+EMPHATIC_RULE = (r"\bimportant\b", "important and well-supported")
+BUDGET_NONE = r"\btruly\b|\bstrongest\b|\bsharpest\b"
+EVIDENCE_RULES = [
+    (r"^In strong writing,\s*", "Strong writing works best when "),
+    (r"^While traditional approaches relied heavily on manual processes,\s*", "Compared with manual processes, "),
+]
+RHYTHM_RULES = [(1, r"^This\b", "That focus"), (2, r"^Save\b", "Reserve")]

@@ -80,6 +80,25 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"(\S+)"), F.lit(1))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: what a lambda names is otherwise computed at every step."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(lens: Column, block: int = 64) -> Column:
+    """The sums before each of an array of lengths, in blocks, so that long arrays stay cheap."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    sums = lambda v: F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / block).cast("int")), lambda b: total(F.slice(v, b * block + 1, block)))
+    before = lambda v: F.aggregate(sums(v), F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    at = lambda i: F.floor(i / block).cast("int")
+    return let(lens, lambda v: let(before(v), lambda b: F.transform(v, lambda _, i: F.get(b, at(i)) + total(F.slice(v, at(i) * block + 1, i % block)))))
+
+
+def ascii_lower(c: Column) -> Column:
+    """A-Z lower-cased; every character keeps its place."""
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def alpha_words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"([A-Za-z][A-Za-z'-]*)"), F.lit(1))
 

@@ -154,14 +154,14 @@ def meaning_risk(pairs: DataFrame, claim_certainty: str = "preserve", expression
     risk = F.when(F.col("blank"), "low").when(F.col("neg") | loud, "high").when(sure | F.col("thin"), "elevated").otherwise("low")
     notes = F.concat_ws(
         " ",
-        F.when(F.col("neg"), "Negation markers dropped relative to the source — the factual boundary of the claim may have shifted."),
-        F.when(sure, "Strong certainty language increased versus the original; verify claim scope still matches."),
-        F.when(loud, "Strong intensifiers appeared while the expression budget was set to none."),
-        F.when(F.col("thin"), "The rewrite is much shorter — check that supporting nuance was not removed."),
+        F.when(F.col("neg"), fixed.RISK_NOTES["neg"]),
+        F.when(sure, fixed.RISK_NOTES["sure"]),
+        F.when(loud, fixed.RISK_NOTES["loud"]),
+        F.when(F.col("thin"), fixed.RISK_NOTES["thin"]),
     )
     blocked = (risk == "high") | ((risk == "elevated") & F.lit(claim_certainty == "preserve") & (F.col("neg") | F.col("sure")))
-    note = F.when(F.col("blank"), "No original passage to compare.").when(
-        notes == "", "No automatic red flags on negation, certainty spikes, or length collapse."
+    note = F.when(F.col("blank"), fixed.RISK_NOTES["blank"]).when(
+        notes == "", fixed.RISK_NOTES["none"]
     ).otherwise(notes)
     return d.withColumn("meaning_risk", risk).withColumn("apply_blocked", blocked).withColumn("meaning_note", note).drop(
         "neg", "sure", "loud", "thin", "blank"
@@ -174,11 +174,12 @@ def change_summary_of(before: str, after: str) -> Column:
     p = F.col(f"{after}_patterns") - F.col(f"{before}_patterns")
     e = X.js_round(F.col(f"{after}_entropy") - F.col(f"{before}_entropy"), 9)
     one = F.format_string("%.1f", F.abs(h))
+    w = fixed.CHANGE_WORDS
     return F.concat_ws(
         ", ",
-        F.when(h <= -0.5, F.concat(F.lit("density ↓"), one)).when(h >= 0.5, F.concat(F.lit("density ↑"), one)).otherwise("density ~same"),
-        F.when(p < 0, F.concat((-p).cast("string"), F.lit(" fewer pattern hits"))).when(p > 0, F.concat(p.cast("string"), F.lit(" more pattern hits"))).otherwise("pattern hits ~same"),
-        F.when(e >= 0.2, "more device variety").when(e <= -0.2, "less device variety"),
+        F.when(h <= -0.5, F.concat(F.lit(w["down"]), one)).when(h >= 0.5, F.concat(F.lit(w["up"]), one)).otherwise(w["level"]),
+        F.when(p < 0, F.concat((-p).cast("string"), F.lit(w["fewer"]))).when(p > 0, F.concat(p.cast("string"), F.lit(w["more"]))).otherwise(w["same"]),
+        F.when(e >= 0.2, w["variety"]).when(e <= -0.2, w["less"]),
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from prosegrain.dims import fixed, playbook_types
+from prosegrain.dims import fixed
 from prosegrain.functions import exprs as X
 from prosegrain.functions.frames import stack
 
@@ -58,30 +58,34 @@ def escape(c: Column) -> Column:
     return F.regexp_replace(c, r"([^\p{L}\p{N}\s])", r"\\$1")
 
 
-def matchers(lexicon: DataFrame) -> DataFrame:
-    """Add ``regex``, join ``keys`` and labels to lexicon(subcategory, sub_pos, phrase_pos, phrase[, pattern]).
+FLEX = r"[\s '’-]*"
+GAP = r"[\s '’-]+"
+GRAM = 3
+
+
+def matchers(lexicon: DataFrame, frequency: DataFrame | None = None) -> DataFrame:
+    """Add ``regex``, ``keys``, ``needs`` and labels to lexicon(subcategory, sub_pos, phrase_pos, phrase[, pattern]).
 
     One word is matched between bounds, several words with a flexible gap. A phrase with ``[slots]``
     becomes its literal parts with windows of up to 40 characters; slots at the ends are dropped. A given
     ``pattern`` is used as it is. Phrases without a literal part match nothing and are left out.
-    ``keys`` are the words a sentence must hold for the phrase to match; slot phrases and patterns have none.
+
+    ``keys`` (kind, key) file a phrase where a sentence that holds it must look: a single word under itself
+    (``word``); several words under one of them, and under the runs of words around it, as gaps may be empty (``part``); other literal text
+    under the first letters of its longest run (``gram``). The word is the rarest by ``frequency`` (word, n), without
+    that the longest that is no function word. ``needs`` is literal text that the sentence holds, without what gaps
+    may hold. Given patterns have neither.
     """
     given = F.col("pattern") if "pattern" in lexicon.columns else F.lit(None).cast("string")
     slot = F.col("phrase").rlike(r"\[[^\]]+\]")
     ws = X.words(F.lower("phrase"))
-    gap = r"[\s '’-]*"
     plain = F.concat(
-        F.lit("(?i)(?<![a-z0-9])"), F.array_join(F.transform(ws, escape), gap), F.lit("(?![a-z0-9])")
+        F.lit("(?i)(?<![a-z0-9])"), F.array_join(F.transform(ws, escape), FLEX), F.lit("(?![a-z0-9])")
     )
     parts = F.filter(F.split("phrase", r"\[[^\]]+\]"), lambda p: F.trim(p) != "")
     slotted = F.concat(
         F.lit("(?i)"), F.array_join(F.transform(parts, lambda p: escape(F.trim(p))), r"[^\n\r]{0,40}?")
     )
-    # The gap may be empty, so the first word of a match can be the first k words run together.
-    heads = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(ws), F.lit(1))),
-        lambda k: F.regexp_extract(F.array_join(F.slice(ws, F.lit(1), k), ""), "[a-z0-9]+", 0),
-    )
     triggers = F.filter(
         F.transform(F.regexp_extract_all("phrase", F.lit("([A-Za-z][A-Za-z-]{4,})"), F.lit(1)),
                     lambda t: F.regexp_replace(F.lower(t), "^-+|-+$", "")),
@@ -89,10 +93,11 @@ def matchers(lexicon: DataFrame) -> DataFrame:
     )
     literal = F.when(slot, F.size(parts) > 0).otherwise(F.size(ws) > 0)
     bundle = F.contains("regex", F.lit(fixed.BUNDLE_MARK))
-    return (
+    lex = (
         lexicon.filter(given.isNotNull() | literal)
         .withColumn("regex", F.coalesce(given, F.when(slot, slotted).otherwise(plain)))
-        .withColumn("keys", F.when(given.isNull() & ~slot, F.array_distinct(heads)))
+        .withColumn("_ws", F.when(given.isNull() & ~slot, ws))
+        .withColumn("_literal", F.when(given.isNull(), F.when(slot, F.array_join(F.transform(parts, lambda p: X.ascii_lower(F.trim(p))), "\n")).otherwise(X.ascii_lower(F.array_join(ws, " ")))))
         .withColumn("phrase_triggers", triggers)
         .withColumn("source", F.when(bundle, fixed.SOURCE_LABELS[0]).otherwise(fixed.SOURCE_LABELS[1]))
         .withColumn(
@@ -103,6 +108,39 @@ def matchers(lexicon: DataFrame) -> DataFrame:
             .otherwise("surface_exact_or_near_exact"),
         )
     )
+    return _filed(lex, frequency).drop("_ws", "_literal")
+
+
+def _filed(lex: DataFrame, frequency: DataFrame | None) -> DataFrame:
+    """lex with ``keys`` and ``needs``."""
+    simple = lambda w: w.rlike("^[a-z0-9]+$")
+    if frequency is None:
+        costs = F.transform("_ws", lambda w: F.when(w.isin(fixed.FUNCTION_WORDS), 1000 - F.length(w)).otherwise(100 - F.length(w)).cast("bigint"))
+        lex = lex.withColumn("_cost", costs)
+    else:
+        words = lex.select(F.explode("_ws").alias("word")).distinct().join(frequency, "word", "left")
+        seen = lex.select("phrase", F.posexplode("_ws").alias("i", "word")).distinct().join(words, "word")
+        costs = seen.groupBy("phrase").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("n", F.lit(0)).alias("n")))).alias("c"))
+        lex = lex.join(costs.select("phrase", F.col("c.n").alias("_cost")), "phrase", "left")
+    places = F.filter(F.transform("_ws", lambda w, i: F.when(simple(w), F.struct(F.get("_cost", i).alias("n"), i.alias("i")))), lambda x: x.isNotNull())
+    lex = lex.withColumn("_at", F.array_min(places)["i"])
+    # the words around that one which are runs of letters and digits as well
+    near = lambda i, step: F.aggregate(
+        F.sequence(F.lit(1), F.size("_ws")), F.struct(F.lit(0).alias("k"), F.lit(True).alias("go")),
+        lambda a, j: F.struct((a["k"] + F.when(a["go"] & simple(F.coalesce(F.get("_ws", i + step * j), F.lit(""))), 1).otherwise(0)).alias("k"),
+                              (a["go"] & simple(F.coalesce(F.get("_ws", i + step * j), F.lit("")))).alias("go")), lambda a: a["k"])
+    lex = lex.withColumn("_back", near(F.col("_at"), -1)).withColumn("_on", near(F.col("_at"), 1))
+    runs = F.flatten(F.transform(F.sequence(F.lit(0), F.col("_back")), lambda b: F.transform(
+        F.sequence(F.lit(0), F.col("_on")), lambda e: F.array_join(F.slice("_ws", F.col("_at") - b + 1, b + e + 1), ""))))
+    longest = F.array_max(F.transform(F.regexp_extract_all("_literal", F.lit("([a-z0-9]+)"), F.lit(1)), lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))["r"]
+    key = lambda kind, k: F.struct(F.lit(kind).alias("kind"), k.alias("key"))
+    keys = (
+        F.when((F.size("_ws") == 1) & F.col("_at").isNotNull(), F.array(key("word", F.get("_ws", F.lit(0)))))
+        .when(F.col("_at").isNotNull(), F.transform(F.array_distinct(runs), lambda r: key("part", r)))
+        .when(longest.isNotNull(), F.array(key("gram", F.substring(longest, 1, GRAM))))
+    )
+    needs = F.when(F.col("_ws").isNotNull(), F.array(F.regexp_replace("_literal", GAP, ""))).otherwise(F.transform(F.split("_literal", "\n"), lambda p: F.regexp_replace(p, GAP, "")))
+    return lex.withColumn("keys", keys).withColumn("needs", needs).drop("_cost", "_at", "_back", "_on")
 
 
 def _triggers(lex: DataFrame) -> DataFrame:
@@ -110,48 +148,90 @@ def _triggers(lex: DataFrame) -> DataFrame:
     return lex.groupBy("subcategory").agg(F.array_distinct(F.flatten(F.collect_set("phrase_triggers"))).alias("triggers"))
 
 
-def _phrase_hits(s: DataFrame, lex: DataFrame, keep: list[str]) -> DataFrame:
-    """(doc_id, sent_id, text, *keep) for every phrase that occurs in a sentence.
-
-    Sentences meet phrases by an equi join on words; only pairs that share a word reach the regex. Phrases without
-    a key word travel as one row that every sentence is tested against, as large as that part of the lexicon.
-    """
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1)))
-    keyed = lex.filter("keys is not null").select(*keep, "regex", F.explode("keys").alias("key"))
-    found = s.select(*SENT, "text", F.explode(tokens).alias("key")).join(keyed, "key").filter(F.rlike("text", F.col("regex"))).drop("key")
-    loose = lex.filter("keys is null").select(F.struct(*keep, "regex").alias("m")).agg(F.collect_list("m").alias("loose")).filter(F.size("loose") > 0)
-    tested = s.select(*SENT, "text").crossJoin(loose).select(*SENT, "text", F.explode(F.filter("loose", lambda m: F.rlike(F.col("text"), m["regex"]))).alias("m"))
-    return stack(found, tested.select(*SENT, "text", "m.*").select(found.columns))
+#: Lexicon keys up to which they travel to the sentences; beyond, words travel to the keys and texts are fetched by sentence.
+MOST_KEYS = 200_000
 
 
-def match_lexicon(s: DataFrame, lexicon: DataFrame, mode: str = "tiered", triggers: bool = True, cap: int | None = None) -> DataFrame:
+def _looked_up(given: list, grams: bool) -> Column:
+    """(kind, key, start, evidence) of all that a sentence can be looked up by, from its ``text`` and ``low``; ``given`` are expressions."""
+    low = F.col("low")
+    found, between = F.regexp_extract_all(low, F.lit("([a-z0-9]+)"), F.lit(1)), F.split(low, "[a-z0-9]+")
+    lens = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda w, g: F.length(w) + F.length(g))
+    starts = F.zip_with(X.running(lens), F.slice(between, F.lit(1), F.size(found)), lambda at, g: at + F.length(g))
+    none, no_text = F.lit(None).cast("int"), F.lit(None).cast("string")
+    entry = lambda kind, key, at=none, text=no_text: F.struct(F.lit(kind).alias("kind"), key.alias("key"), at.alias("start"), text.alias("evidence"))
+    out = [
+        F.zip_with(found, starts, lambda w, at: entry("word", w, at, F.substring(F.col("text"), at + 1, F.length(w)))),
+        F.transform(F.array_distinct(found), lambda w: entry("part", w)),
+    ]
+    if grams:
+        cuts = lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(w, i, n))))
+        out.append(F.transform(F.array_distinct(F.flatten(F.transform(F.array_distinct(found), cuts))), lambda g: entry("gram", g)))
+    if given:
+        at = lambda r: F.regexp_instr("text", F.lit(r)) - 1
+        own = F.array(*(F.when(at(r) >= 0, entry("given", F.lit(r), at(r), F.regexp_substr("text", F.lit(r)))) for r in given))
+        out.append(F.filter(own, lambda x: x.isNotNull()))
+    return F.concat(*out)
+
+
+def _phrase_hits(s: DataFrame, lex: DataFrame, keep: list[str], allowed=None) -> DataFrame:
+    """(doc_id, sent_id, *keep, start, evidence) of places of every phrase that occurs in a sentence, the first one among them.
+
+    Phrases meet sentences on keys (see ``matchers``). Single words are settled by that. Of the others only those whose literal
+    text the sentence holds, and that ``allowed`` (from candidates with ``low``) lets pass, run their expression; a task takes them in
+    the order of the expressions, so that each is compiled once there. Given patterns, which the caller wrote, are part of the plan.
+    """
+    given = [r.regex for r in lex.filter("keys is null").select("regex").distinct().collect()]
+    keyed = lex.withColumn("keys", F.coalesce("keys", F.array(F.struct(F.lit("given").alias("kind"), F.col("regex").alias("key")))))
+    n, grams = keyed.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0)), F.coalesce(F.max(F.exists("keys", lambda k: k["kind"] == "gram")), F.lit(False))).first()
+    keyed = keyed.select(F.struct(*keep).alias("m"), "regex", "needs", F.explode("keys").alias("k")).select("m", "regex", "needs", "k.kind", "k.key")
+    rows = s.select(*SENT, "text", X.ascii_lower(F.col("text")).alias("low")).withColumn("bare", F.regexp_replace("low", GAP, ""))
+    entries = F.inline(_looked_up(given, grams))
+    if n <= MOST_KEYS:
+        found = rows.select(*SENT, "text", "low", "bare", entries).join(F.broadcast(keyed), ["kind", "key"])
+    else:
+        found = rows.select(*SENT, entries).join(keyed, ["kind", "key"]).join(rows, SENT)
+    settled = F.col("evidence").isNotNull()
+    found = found.filter(settled | F.forall("needs", lambda x: F.contains("bare", x)))
+    found = found.select(*SENT, *[F.col(f"m.{c}").alias(c) for c in keep], "text", "low", "regex", "start", "evidence")
+    found = allowed(found) if allowed else found
+    found = found.select(*SENT, *keep, "start", "evidence", F.when(~settled, F.col("text")).alias("text"), F.when(~settled, F.col("regex")).alias("regex")).sortWithinPartitions("regex")
+    at = F.regexp_instr("text", F.col("regex"))
+    place = lambda start, evidence: F.array(F.struct(start.alias("_start"), evidence.alias("_evidence")))
+    places = F.when(settled, place(F.col("start"), F.col("evidence"))).when(at > 0, place(at - 1, F.regexp_substr("text", F.col("regex"))))
+    return found.select(*SENT, *keep, F.inline(places)).withColumnsRenamed({"_start": "start", "_evidence": "evidence"})
+
+
+def match_lexicon(s: DataFrame, lexicon: DataFrame, mode: str = "tiered", triggers: bool = True, cap: int | None = None, frequency: DataFrame | None = None) -> DataFrame:
     """candidates(doc_id, sent_id, subcategory, phrase, evidence, start, end, …).
 
-    The first matching phrase of each subcategory; with ``cap``, the first that many subcategories in order.
+    The first matching phrase of each subcategory; with ``cap``, the first that many subcategories in order. Outside the
+    exhaustive mode a subcategory is looked for only where one of its trigger words stands.
     """
     if mode == "off":
         return match_lexicon(s, lexicon, "exhaustive").filter(F.lit(False))
-    lex = matchers(lexicon)
+    lex = matchers(lexicon, frequency)
     if mode == "fast":
         lex = lex.filter(F.col("subcategory").isin(fixed.FAST_MARKERS))
-    found = _phrase_hits(s, lex, ["subcategory", "sub_pos", "phrase_pos", "phrase", "source", "matcher_role"])
+    allowed = None
     if triggers and mode != "exhaustive":
-        has = F.exists("triggers", lambda t: F.contains(F.lower("text"), t))
+        of = _triggers(lex)
+        has = F.exists("triggers", lambda t: F.contains("low", t))
         none = F.lit(False) if mode == "fast" else F.col("subcategory").isin(fixed.FAST_MARKERS)
-        found = found.join(_triggers(lex), "subcategory").filter(
-            F.when(F.size("triggers") == 0, none).otherwise(has)
-        ).drop("triggers")
+
+        def allowed(d):
+            return d.join(of, "subcategory").filter(F.when(F.size("triggers") == 0, none).otherwise(has)).drop("triggers")
+
+    found = _phrase_hits(s, lex, ["subcategory", "sub_pos", "phrase_pos", "phrase", "source", "matcher_role"], allowed)
     first = found.groupBy(*SENT, "subcategory").agg(
-        F.min_by(F.struct("sub_pos", "phrase", "regex", "source", "matcher_role", "text"), "phrase_pos").alias("m")
+        F.min_by(F.struct("sub_pos", "phrase", "source", "matcher_role", "start", "evidence"), F.struct("phrase_pos", "start")).alias("m")
     )
     if cap is not None:
         w = Window.partitionBy(*SENT).orderBy("m.sub_pos")
         first = first.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= cap)
-    start = F.regexp_instr("m.text", F.col("m.regex")) - 1
-    evidence = F.regexp_substr("m.text", F.col("m.regex"))
     return first.select(
         *SENT, "subcategory", F.col("m.sub_pos").alias("sub_pos"), F.col("m.phrase").alias("phrase"),
-        evidence.alias("evidence"), start.alias("start"), (start + F.length(evidence)).alias("end"),
+        F.col("m.evidence").alias("evidence"), F.col("m.start").alias("start"), (F.col("m.start") + F.length("m.evidence")).alias("end"),
         F.col("m.source").alias("source"), F.col("m.matcher_role").alias("matcher_role"),
     )
 
@@ -233,13 +313,13 @@ def _repeated(ws: Column) -> Column:
 
 
 def with_rule_features(s: DataFrame) -> DataFrame:
-    """Metrics, register scores and arc role of the rule classifier; no shuffle."""
+    """Metrics, register scores and arc role of the rule classifier; no shuffle. ``alpha_words`` counts words that begin with a letter."""
     text, lower = F.col("text"), F.lower("text")
     strong = F.filter(F.array(*map(F.lit, fixed.STRONG_WORDS)), lambda w: F.contains(lower, w))
     nominal = F.filter(F.array(*map(F.lit, fixed.NOMINAL_WORDS)), lambda w: F.contains(lower, w))
     df = s.withColumn("_strong", strong).withColumn("_nominal", nominal)
     clauses = X.match_count(text, r",|;|\band\b|\bbut\b|\bwhile\b") + 1
-    df = df.withColumn("clause_count", clauses)
+    df = df.withColumn("clause_count", clauses).withColumn("alpha_words", F.size(X.alpha_words(text)))
     k = F.col("clause_count")
     return (
         df.withColumn("has_participial", X.matches(lower, r"\b\w+ing\b", False))
@@ -307,15 +387,6 @@ def explode_hits(classified: DataFrame) -> DataFrame:
     )
 
 
-def nest_hits(s: DataFrame, hits: DataFrame) -> DataFrame:
-    """Sentences with their hits as an array in hit order; empty when there are none."""
-    nested = hits.groupBy(*SENT).agg(
-        F.array_sort(F.collect_list(F.struct("hit_pos", "type", "confidence", "evidence"))).alias("patterns")
-    )
-    empty = F.array().cast("array<struct<hit_pos:int,type:string,confidence:double,evidence:string>>")
-    return s.join(nested, SENT, "left").withColumn("patterns", F.coalesce("patterns", empty))
-
-
 # ---------------------------------------------------------------- heat and routing
 
 
@@ -469,27 +540,15 @@ def _gerund(c: Column) -> Column:
     return F.when(stem == "", t).otherwise(F.concat(base, rest))
 
 
-# Shapes of one opposition sentence: pattern and how its parts make the replacement.
-_ONE = {
-    "not_about": r"^(.+?)\s+(?:is|are|was|were)\s+not\s+about\s+(.+?)(?:,\s*)?(?:but\s+(?:it\s+)?(?:is\s+)?about|[,;:—-]\s*(?:(?:it'?s|it is|this is|that is)\s+)?about)\s+(.+?)[.!?]?$",
-    "not_merely_about": r"^(?:it|this|that)\s+is\s+not\s+(?:simply|just|only|merely)\s+about\s+(.+?)\s+but\s+about\s+(.+?)[.!?]?$",
-    "not_only_can": r"^not\s+only\s+can\s+([A-Z][\w-]*)\s+(.+?),\s+but\s+(?:it|they|he|she|we|that)\s+can\s+also\s+(.+?)[.!?]?$",
-    "nuanced": r"^but\s+the\s+real\s+opportunity\s+is\s+much\s+more\s+nuanced:\s*(.+?)[.!?]?$",
-    "one_and_other": r"^on\s+(?:the\s+)?one\s+hand,\s*(.+?)[.;]\s*on\s+the\s+other\s+hand,\s*(.+?)[.!?]?$",
-    "one_hand": r"^on\s+(?:the\s+)?one\s+hand,\s*(.+?)[.!?]?$",
-    "other_hand": r"^on\s+the\s+other\s+hand,\s*(.+?)[.!?]?$",
-}
-
-
 def rewrite_of(text: Column) -> Column:
     """Direct replacement of an opposition sentence, null when no shape fits."""
     t = X.squeeze(text)
 
     def part(shape, i):
-        return F.regexp_extract(t, "(?i)" + _ONE[shape], i)
+        return F.regexp_extract(t, "(?i)" + fixed.OPPOSITION_SHAPES[shape], i)
 
     def fits(shape):
-        return t.rlike("(?i)" + _ONE[shape])
+        return t.rlike("(?i)" + fixed.OPPOSITION_SHAPES[shape])
 
     made = (
         F.when(fits("not_about"), F.concat(X.trim_ws(part("not_about", 1)), F.lit(" depends on "), X.drop_article(part("not_about", 3))))
@@ -511,13 +570,6 @@ def rewrite_opposition(s: DataFrame) -> DataFrame:
     return s.select(*SENT, "text", rewrite_of(F.col("text")).alias("replacement")).filter("replacement is not null")
 
 
-_PAIR = {
-    "glance": (r"^at first glance,\s*(.+?)[.!?]?$", r"^but\s+the\s+real\s+opportunity\s+is\s+(?:much\s+more\s+nuanced:\s*)?(.+?)[.!?]?$"),
-    "hands": (r"^on\s+(?:the\s+)?one\s+hand,\s*(.+?)[.!?]?$", r"^on\s+the\s+other\s+hand,\s*(.+?)[.!?]?$"),
-    "about": (r"^(.+?)\s+(?:is|are|was|were)\s+not\s+about\s+(.+?)[.!?]?$", r"^(?:it|this|that)\s+is\s+about\s+(.+?)[.!?]?$"),
-}
-
-
 def rewrite_pairs(s: DataFrame) -> DataFrame:
     """Replacement of two adjacent sentences of a paragraph; a sentence is used once, left to right.
 
@@ -530,13 +582,13 @@ def rewrite_pairs(s: DataFrame) -> DataFrame:
     ).filter("np = paragraph_id").withColumn("b", X.squeeze(F.col("next_text")))
 
     def fits(k):
-        return F.col("a").rlike("(?i)" + _PAIR[k][0]) & F.col("b").rlike("(?i)" + _PAIR[k][1])
+        return F.col("a").rlike("(?i)" + fixed.OPPOSITION_PAIRS[k][0]) & F.col("b").rlike("(?i)" + fixed.OPPOSITION_PAIRS[k][1])
 
     def a(k, i):
-        return F.regexp_extract("a", "(?i)" + _PAIR[k][0], i)
+        return F.regexp_extract("a", "(?i)" + fixed.OPPOSITION_PAIRS[k][0], i)
 
     def b(k, i):
-        return F.regexp_extract("b", "(?i)" + _PAIR[k][1], i)
+        return F.regexp_extract("b", "(?i)" + fixed.OPPOSITION_PAIRS[k][1], i)
 
     df = df.withColumn(
         "kind", F.when(fits("glance"), "concessive_while").when(fits("hands"), "binary_contrast").when(fits("about"), "negation_reframe")
@@ -602,4 +654,37 @@ def apply_phrase_rules(docs: DataFrame, rules=None) -> DataFrame:
     return docs.select(*keys, plain.alias("binary"), level.alias("level"), compact.alias("compact"))
 
 
-PLAYBOOK_TYPES = playbook_types()
+# The forms below change a text that ``apply_phrase_rules`` has made plain.
+
+
+def _softened(text: Column) -> Column:
+    return X.fold_replace(tidy(F.regexp_replace(text, "(?i)" + fixed.BINARY_RULE[0], fixed.BINARY_RULE[1])), fixed.SOFTEN_RULES)
+
+
+def level_rewrite(docs: DataFrame) -> DataFrame:
+    """docs(text, statement_force, expression_budget, …) with ``level``: emphatic settings support the first claim of importance, a budget
+    of none takes the strongest words out."""
+    pattern, new = fixed.EMPHATIC_RULE
+    t = _softened(F.col("text"))
+    t = F.when(F.col("statement_force") == "emphatic", F.regexp_replace(t, rf"(?is)^(.*?){pattern}", f"$1{new}")).otherwise(t)
+    t = F.when(F.col("expression_budget") == "none", F.regexp_replace(F.regexp_replace(t, "(?i)" + fixed.BUDGET_NONE, ""), r"\s{2,}", " ")).otherwise(t)
+    return docs.withColumn("level", tidy(t))
+
+
+def evidence_first(docs: DataFrame) -> DataFrame:
+    """docs with ``evidence_first``: openings that put the claim before its ground are turned round."""
+    return docs.withColumn("evidence_first", tidy(X.fold_replace(_softened(F.col("text")), fixed.EVIDENCE_RULES)))
+
+
+def rhythm_rewrite(docs: DataFrame) -> DataFrame:
+    """docs with ``rhythm``: sentence by sentence, with other openings in certain places."""
+    from prosegrain.operators.split import plain_sentence_array
+
+    def turned(s: Column, i: Column) -> Column:
+        t = _softened(s)
+        out = t
+        for place, pattern, new in fixed.RHYTHM_RULES:
+            out = F.when(i == place, F.regexp_replace(t, pattern, new)).otherwise(out)
+        return out
+
+    return docs.withColumn("rhythm", tidy(F.array_join(F.transform(plain_sentence_array(F.col("text")), turned), " ")))

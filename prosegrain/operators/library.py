@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from prosegrain.functions import exprs as X
-from prosegrain.functions.frames import stack
+from prosegrain.functions.frames import stack, stored
 from prosegrain.operators import compare
 
 ONE = "*"
@@ -131,42 +130,57 @@ def visible_to(rows: DataFrame, user, workspace=None) -> DataFrame:
 
 # ---------------------------------------------------------------- folders
 
-MAX_DEPTH = 200
+# Links double in every round, so a tree of depth n takes log2(n) joins; each round is a table in the shared folder.
 
 
-def _recursive(folders: DataFrame, sql: str) -> DataFrame:
-    spark = folders.sparkSession
-    view = "folders_" + uuid.uuid4().hex
-    folders.select("folder_id", "parent_id", "name").createOrReplaceTempView(view)
-    # The row limit guards against runaway recursion; here the path array already stops cycles.
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return spark.sql(sql.format(v=view, depth=MAX_DEPTH))
+def _links(folders: DataFrame) -> DataFrame:
+    """(folder_id, up) of the folders whose parent exists."""
+    own = folders.select(F.col("folder_id").alias("up"))
+    return folders.select("folder_id", F.col("parent_id").alias("up")).join(own, "up", "left_semi").select("folder_id", "up")
 
 
-def folder_tree(folders: DataFrame) -> DataFrame:
-    """(folder_id, parent_id, name, depth, root_id); a folder whose parent is missing is a root."""
-    return _recursive(
-        folders,
-        """WITH RECURSIVE t MAX RECURSION LEVEL {depth} AS (
-             SELECT f.folder_id, f.parent_id, f.name, 0 AS depth, f.folder_id AS root_id FROM {v} f LEFT JOIN {v} p ON f.parent_id = p.folder_id WHERE p.folder_id IS NULL
-             UNION ALL SELECT f.folder_id, f.parent_id, f.name, t.depth + 1, t.root_id FROM t JOIN {v} f ON f.parent_id = t.folder_id)
-           SELECT * FROM t""",
-    )
-
-
-def ancestors(folders: DataFrame) -> DataFrame:
-    """(folder_id, ancestor_id, name, distance) with the folder itself at distance 0; cycles stop."""
-    return _recursive(
-        folders,
-        """WITH RECURSIVE t MAX RECURSION LEVEL {depth} AS (
-             SELECT folder_id, folder_id AS ancestor_id, parent_id, name, 0 AS distance, array(folder_id) AS seen FROM {v}
-             UNION ALL SELECT t.folder_id, f.folder_id, f.parent_id, f.name, t.distance + 1, concat(t.seen, array(f.folder_id)) FROM t JOIN {v} f ON f.folder_id = t.parent_id WHERE NOT array_contains(t.seen, f.folder_id))
-           SELECT folder_id, ancestor_id, name, distance FROM t""",
-    )
+def _doubled(links: DataFrame) -> DataFrame:
+    """Links over twice as many folders; those that would leave the tree are gone."""
+    return links.join(links.select(F.col("folder_id").alias("up"), F.col("up").alias("to")), "up").select("folder_id", F.col("to").alias("up"))
 
 
-def folder_paths(folders: DataFrame) -> DataFrame:
-    a = ancestors(folders).groupBy("folder_id").agg(F.sort_array(F.collect_list(F.struct("distance", "name")), asc=False).alias("p"))
+def folder_tree(folders: DataFrame) -> DataFrame:
+    """(folder_id, parent_id, name, depth, root_id); a folder whose parent is missing is a root. Folders in or under a cycle have no root
+    and are left out."""
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    links = _links(folders).select("folder_id", "up", one.alias("depth"))
+    at = stored(folders.select("folder_id").join(links, "folder_id", "left").select("folder_id", F.coalesce("up", "folder_id").alias("up"), F.coalesce("depth", zero).alias("depth")), "tree")
+    roots = at.filter("depth = 0").select("folder_id")
+    ends = roots.withColumnRenamed("folder_id", "up")
+    before = None
+    while True:
+        open_ = at.join(ends, "up", "left_anti").count()
+        if open_ in (0, before):  # what no round brings to a root goes round in circles
+            break
+        before = open_
+        ahead = at.select(F.col("folder_id").alias("up"), F.col("up").alias("to"), F.col("depth").alias("more"))
+        at = stored(at.join(ahead, "up").select("folder_id", F.col("to").alias("up"), (F.col("depth") + F.col("more")).alias("depth")), "tree")
+    done = at.join(ends, "up").select("folder_id", F.col("depth").cast("int").alias("depth"), F.col("up").alias("root_id"))
+    return folders.select("folder_id", "parent_id", "name").join(done, "folder_id")
+
+
+def ancestors(folders: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(folder_id, ancestor_id, name, distance) with the folder itself at distance 0; cycles stop. With ``of`` (folder_id) for these only."""
+    names = folders.select(F.col("folder_id").alias("ancestor_id"), "name")
+    start = folders.select("folder_id") if of is None else of.select("folder_id").distinct().join(folders.select("folder_id"), "folder_id", "left_semi")
+    found = stored(start.select("folder_id", F.col("folder_id").alias("ancestor_id"), F.lit(0).cast("bigint").alias("distance")), "above")
+    links, step, n = stored(_links(folders), "links"), 1, found.count()
+    while True:
+        more = found.join(links.select(F.col("folder_id").alias("ancestor_id"), "up"), "ancestor_id").select("folder_id", F.col("up").alias("ancestor_id"), (F.col("distance") + step).alias("distance"))
+        found = stored(stack(found, more).groupBy("folder_id", "ancestor_id").agg(F.min("distance").alias("distance")), "above")
+        n, before = found.count(), n
+        if n == before:
+            return found.join(names, "ancestor_id").select("folder_id", "ancestor_id", "name", F.col("distance").cast("int").alias("distance"))
+        links, step = stored(_doubled(links), "links"), 2 * step
+
+
+def folder_paths(folders: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    a = ancestors(folders, of).groupBy("folder_id").agg(F.sort_array(F.collect_list(F.struct("distance", "name")), asc=False).alias("p"))
     return a.select("folder_id", F.array_join("p.name", " / ").alias("path"), F.size("p").alias("depth"))
 
 
@@ -176,7 +190,7 @@ def search(docs: DataFrame, folders: DataFrame, q: str) -> tuple[DataFrame, Data
     if not q:
         return docs, folders
     d = docs.filter(F.contains(F.lower(F.coalesce("title", F.lit("Untitled"))), F.lit(q)))
-    up = ancestors(folders).join(d.select("folder_id").distinct(), "folder_id", "left_semi").select(F.col("ancestor_id").alias("folder_id"))
+    up = ancestors(folders, d).select(F.col("ancestor_id").alias("folder_id"))
     own = folders.filter(F.contains(F.lower("name"), F.lit(q))).select("folder_id")
     return d, folders.join(stack(up, own).distinct(), "folder_id", "left_semi")
 

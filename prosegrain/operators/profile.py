@@ -381,64 +381,66 @@ def budget(profile: DataFrame, hits: DataFrame) -> DataFrame:
     return profile.join(n, "doc_id", "left").select("doc_id", F.least(b, p, cap).cast("bigint").alias("budget"))
 
 
+def _chosen(ranked: str, state: Column, limit: Column, cap: Column, regional: bool) -> Column:
+    """``state`` after one look at each candidate of ``ranked``: it joins while there is room in the document and in its paragraph,
+    and, where regions choose, if its region has none yet. The state holds a few rows, so searching it is cheap."""
+
+    def step(a, x):
+        here = F.size(F.filter(a["picks"], lambda p: p["paragraph_id"] == x["paragraph_id"]))
+        known = F.exists(a["picks"], lambda p: p["sent_id"] == x["sent_id"])
+        free = ~F.exists(a["picks"], lambda p: p["region"].eqNullSafe(x["region"])) if regional else F.lit(True)
+        take = (F.size(a["picks"]) < limit) & ~known & (here < cap) & free
+        return F.when(take, F.struct(F.concat(a["picks"], F.array(x)).alias("picks"))).otherwise(a)
+
+    return F.aggregate(ranked, state, step)
+
+
 def pick_hot(s: DataFrame, hits: DataFrame, regions: DataFrame, budget: DataFrame) -> DataFrame:
     """Sentences to rewrite: one per hot region, then by impact with a bonus for a new type, within a
-    budget and a cap per paragraph. Each choice depends on the earlier ones, so a document's few
-    eligible sentences are picked in one grouped call."""
-    e = eligible(s, hits)
-    r = regions.select("doc_id", "start_sentence", "end_sentence", F.col("heat").alias("region_heat"))
-    e = e.join(
-        r.withColumn("sent_id", F.explode(F.sequence("start_sentence", "end_sentence"))), SENT, "left"
-    ).join(budget, "doc_id").filter("budget > 0")
-
-    def pick(pdf):
-        pdf = pdf.sort_values("sent_id", kind="stable")
-        cap = 1 if pdf["words"].iloc[0] <= 300 else 2
-        limit, used, chosen, types = int(pdf["budget"].iloc[0]), {}, [], set()
-
-        def take(row):
-            if len(chosen) >= limit or row.sent_id in chosen or used.get(row.paragraph_id, 0) >= cap:
-                return False
-            chosen.append(row.sent_id)
-            used[row.paragraph_id] = used.get(row.paragraph_id, 0) + 1
-            types.add(row.primary)
-            return True
-
-        in_region = pdf[pdf["start_sentence"].notna()]
-        starts = in_region[["start_sentence", "region_heat"]].drop_duplicates().sort_values(
-            ["region_heat", "start_sentence"], ascending=[False, True], kind="stable"
-        )
-        for start in starts["start_sentence"]:
-            group = in_region[in_region["start_sentence"] == start].sort_values("impact", ascending=False, kind="stable")
-            any(take(row) for row in group.itertuples())
-        rest = pdf[~pdf["sent_id"].isin(chosen)].copy()
-        bonus = rest["primary"].map(lambda t: 1.0 if t in types else 1.3).astype(float)
-        rest["score"] = rest["impact"] * bonus
-        rest = rest[(rest["score"] > 0) & ~rest["paragraph_id"].map(lambda p: used.get(p, 0) >= cap)]
-        for row in rest.sort_values("score", ascending=False, kind="stable").itertuples():
-            take(row)
-        return pdf[pdf["sent_id"].isin(chosen)][["doc_id", "sent_id", "heat", "impact"]]
-
-    cols = ["doc_id", "sent_id", "paragraph_id", "heat", "primary", "words", "impact", "start_sentence", "region_heat", "budget"]
-    return e.select(*cols).groupBy("doc_id").applyInPandas(pick, "doc_id bigint, sent_id int, heat double, impact double")
+    budget and a cap per paragraph. A choice depends on the earlier ones, so it is a fold over a document's ranked
+    eligible sentences."""
+    r = regions.select("doc_id", F.col("start_sentence").alias("region"), F.col("heat").alias("region_heat"), F.explode(F.sequence("start_sentence", "end_sentence")).alias("sent_id"))
+    e = eligible(s, hits).join(r, SENT, "left").join(budget, "doc_id").filter("budget > 0")
+    row = F.struct("sent_id", "paragraph_id", "heat", "impact", "primary", "region", "region_heat")
+    d = e.groupBy("doc_id").agg(F.collect_list(row).alias("rows"), F.first("budget").alias("budget"), F.first("words").alias("words"))
+    cap = F.when(F.col("words") <= 300, 1).otherwise(2)
+    by = lambda rows, *keys: F.transform(F.array_sort(F.transform(rows, lambda x: F.struct(*(k(x).alias(f"k{i}") for i, k in enumerate(keys)), x.alias("x")))), lambda y: y["x"])
+    sent = lambda x: x["sent_id"]
+    inside = by(F.filter("rows", lambda x: x["region"].isNotNull()), lambda x: -x["region_heat"], lambda x: x["region"], lambda x: -x["impact"], sent)
+    none = F.slice("rows", 1, 0)
+    d = d.withColumn("regional", inside).withColumn("first", _chosen("regional", F.struct(none.alias("picks")), F.col("budget"), cap, True))
+    fresh = lambda x: F.when(F.exists("first.picks", lambda p: p["primary"] == x["primary"]), 1.0).otherwise(1.3)
+    rest = by(F.filter("rows", lambda x: x["impact"] > 0), lambda x: -(x["impact"] * fresh(x)), sent)
+    d = d.withColumn("rest", rest).withColumn("all", _chosen("rest", F.col("first"), F.col("budget"), cap, False))
+    return d.select("doc_id", F.explode("all.picks").alias("p")).select("doc_id", "p.sent_id", "p.heat", "p.impact")
 
 
 # ---------------------------------------------------------------- advice
 
 
-def diagnose(hits: DataFrame, v: DataFrame, registry: DataFrame, genre: str = "general", k: int = 5) -> DataFrame:
-    """Top hot patterns per document by violations, self amplification and count."""
+def diagnose(hits: DataFrame, v: DataFrame | None, registry: DataFrame, genre: str = "general", k: int = 5,
+             passage: DataFrame | None = None, playbook: DataFrame | None = None) -> DataFrame:
+    """Top hot patterns per document by violations, self amplification and count.
+
+    ``passage`` (doc_id, start_sentence, end_sentence) and ``playbook`` (type) say which hits count; violations count whole documents.
+    """
+    if passage is not None:
+        hits = hits.join(passage.select("doc_id", "start_sentence", "end_sentence"), "doc_id").filter(F.col("sent_id").between(F.col("start_sentence"), F.col("end_sentence"))).drop("start_sentence", "end_sentence")
+    if playbook is not None:
+        hits = hits.join(playbook.select("type").distinct(), "type", "left_semi")
     n = hits.groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("sent_id", "hit_pos")).alias("first"))
     reg = registry.select("type", "name", "amplification", F.coalesce(F.col("tolerance")[genre], F.lit(1.0)).alias("tol"))
-    j = n.join(windows.violation_counts(v), ["doc_id", "type"], "left").join(reg, "type", "left")
+    j = n.join(windows.violation_counts(v), ["doc_id", "type"], "left") if v is not None else n.withColumn("violations", F.lit(0))
+    j = j.join(reg, "type", "left")
     j = j.filter(F.coalesce("tol", F.lit(1.0)) < 1.5).withColumn("violations", F.coalesce("violations", F.lit(0)).cast("bigint"))
     amp = F.when(F.col("amplification") == "high", 0).when(F.col("amplification") == "med", 1).otherwise(2)
     w = Window.partitionBy("doc_id").orderBy(F.desc("violations"), amp, F.desc("n"), "first")
     return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("doc_id", "rank", "type", "name", "n", "violations")
 
 
-def avoid_lines(hot: DataFrame, menus: DataFrame, history: DataFrame, seed: int = 0) -> DataFrame:
-    """One line per hot pattern: a menu option not used last time, chosen by a seeded hash."""
+def avoid_lines(hot: DataFrame, menus: DataFrame, history: DataFrame, seed: int = 0, directives: DataFrame | None = None) -> DataFrame:
+    """One line per hot pattern: a menu option not used last time, chosen by a seeded hash; without a menu the pattern's own
+    directive(type, directive), and without that its type."""
     m = menus.groupBy("type").agg(F.array_sort(F.collect_list(F.struct("option", "instruction"))).alias("menu"))
     j = hot.join(m, "type", "left").join(history, ["doc_id", "type"], "left")
     fresh = F.filter("menu", lambda o: o["option"] != F.coalesce("last_option", F.lit(-1)))
@@ -451,18 +453,23 @@ def avoid_lines(hot: DataFrame, menus: DataFrame, history: DataFrame, seed: int
     line = F.when(
         F.col("option").isNotNull(), F.concat(who, F.lit(" ("), F.col("n").cast("string"), F.lit("× detected"), suffix, F.lit("): "), "instruction")
     ).otherwise(F.concat(who, F.lit(" — avoid: "), "type"))
+    if directives is not None:
+        j = j.join(directives.select("type", "directive"), "type", "left")
+        plain = F.concat(F.col("name"), F.lit(" — "), F.regexp_replace("directive", r"^((?s:.*?))Do NOT ", "$1avoid: "))
+        line = F.when(F.col("option").isNull() & F.col("directive").isNotNull(), F.coalesce(plain, F.col("type"))).otherwise(line)
     return j.select("doc_id", "rank", "type", F.coalesce("option", F.lit(0)).alias("option"), line.alias("line"))
 
 
-def target_lines(profile: DataFrame, v: DataFrame) -> DataFrame:
-    """Advice from style violations and three global limits."""
+def target_lines(profile: DataFrame, v: DataFrame, personal: DataFrame | None = None) -> DataFrame:
+    """Advice from style violations and three global limits, and the lines of personal(doc_id, line)."""
     name = F.replace(F.col("dimension"), F.lit("_"), F.lit(" "))
     from_style = v.select("doc_id", F.concat(name, F.lit(": currently "), number(F.col("current")), F.lit(", target "), number(F.col("target"))).alias("line"))
     cells = F.array(
         F.when(F.col("autocorrelation") > 0.3, fixed.LINE_RHYTHM), F.when(F.col("device_entropy") < 2.0, fixed.LINE_VARIETY),
         F.when(F.col("convergence_slope") < -0.1, fixed.LINE_DECAY),
     )
-    return stack(from_style, profile.select("doc_id", F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("line")))
+    own = [personal.select("doc_id", "line")] if personal is not None else []
+    return stack(from_style, profile.select("doc_id", F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("line")), *own)
 
 
 def positive_targets(profile: DataFrame, guide: DataFrame | None = None) -> DataFrame:
@@ -470,13 +477,12 @@ def positive_targets(profile: DataFrame, guide: DataFrame | None = None) -> Data
         F.when(F.col("autocorrelation") > 0.25, fixed.POSITIVE_RHYTHM), F.when(F.col("device_entropy") < 2.0, fixed.POSITIVE_VARIETY),
         F.when(F.col("convergence_slope") < -0.05, fixed.POSITIVE_DECAY),
     ]
-    row = guide.first() if guide is not None else None
-    if row:
-        text = lambda x: f"{x:g}"
-        cells.append(F.lit(f"Target sentence length std dev: {text(row['len_std'])}+ words"))
-        cells.append(F.lit(f"Target device entropy: {text(row['entropy_min'])}+"))
-        if row["max_rho"] < 0.3:
-            cells.append(F.lit(f"Keep rhythm autocorrelation below {text(row['max_rho'])}"))
+    if guide is not None:
+        g = guide.select(F.col("len_std").alias("_std"), F.col("entropy_min").alias("_least"), F.col("max_rho").alias("_rho")).limit(1)
+        profile = profile.join(g, F.lit(True), "left")
+        cells.append(F.concat(F.lit("Target sentence length std dev: "), number(F.col("_std")), F.lit("+ words")))
+        cells.append(F.concat(F.lit("Target device entropy: "), number(F.col("_least")), F.lit("+")))
+        cells.append(F.when(F.col("_rho") < 0.3, F.concat(F.lit("Keep rhythm autocorrelation below "), number(F.col("_rho")))))
     return profile.select("doc_id", F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("line"))
 
 
@@ -508,6 +514,12 @@ def directives(settings: DataFrame) -> DataFrame:
     return settings.select("doc_id", F.posexplode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("pos", "line"))
 
 
+def tone(settings: DataFrame) -> DataFrame:
+    """(doc_id, line): the tone that settings(doc_id, statement_force, expression_budget) ask for."""
+    bits = F.concat_ws(", ", F.nullif(F.col("statement_force"), F.lit("")), F.when(F.col("expression_budget") != "", F.concat("expression_budget", F.lit(" strongest expressions"))))
+    return settings.select("doc_id", F.when(bits != "", F.concat(F.lit("Tone: "), bits)).otherwise("Default tone").alias("line"))
+
+
 # ---------------------------------------------------------------- opposition scan
 
 
@@ -524,8 +536,11 @@ def opposition_scan(s: DataFrame, hits: DataFrame, cands: DataFrame, mapping: Da
         F.sort_array(F.collect_set("type")).alias("types"), F.min_by("text", "sent_id").alias("excerpt"),
     )
     per = both.groupBy(*SENT).agg(F.count(F.lit(1)).alias("c"), F.collect_set("type").alias("ts"))
-    sec = windows.window_members(w.filter("size <> 'narrow'")).join(per, SENT).groupBy(*windows.WIN, "end_sentence", "word_count").agg(
-        F.sum("c").alias("hits"), F.count(F.lit(1)).alias("n_sentences"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("ts")))).alias("types"),
-    )
+    kinds = {f"t{i}": t for i, t in enumerate(sorted(fixed.OPPOSITION_TYPES))}
+    w = w.filter("size <> 'narrow'")
+    c = windows.changes(windows.reached(w, per), [], windows.FIRST, windows.AFTER, hits=F.col("c"), n_sentences=F.lit(1),
+                        **{n: F.array_contains("ts", t).cast("int") for n, t in kinds.items()})
+    sec = windows.swept(w, c, ["hits", "n_sentences", *kinds]).filter("n_sentences > 0")
+    sec = sec.withColumn("types", F.array_compact(F.array(*(F.when(F.col(n) > 0, t) for n, t in kinds.items())))).drop(*kinds)
     sec = sec.withColumn("density", F.when(F.col("word_count") > 0, X.js_round(F.col("hits") / F.col("word_count") * 1000, 2)).otherwise(0.0))
     return {"sentences": both.drop("text"), "paragraphs": paras, "sections": sec.drop("hits")}

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from prosegrain.dims import fixed
 from prosegrain.functions import exprs as X
+from prosegrain.functions.frames import stack
 
 SENT = ["doc_id", "sent_id"]
 WIN = ["doc_id", "size", "start_sentence"]
@@ -41,51 +44,92 @@ def rolling_windows(s: DataFrame, sets=fixed.WINDOW_SETS) -> DataFrame:
     )
 
 
-def window_members(w: DataFrame) -> DataFrame:
-    """One row per window and sentence in it; sentences then join on equal keys."""
-    return w.withColumn("sent_id", F.explode(F.sequence("start_sentence", "end_sentence")))
-
-
 def sentence_type_sums(hits: DataFrame) -> DataFrame:
     return hits.groupBy(*SENT, "type").agg(X.exact_sum(F.col("confidence")).alias("conf"), F.count(F.lit(1)).alias("n"))
 
 
-BLOCK = 16
+# ---------------------------------------------------------------- sums over windows
+#
+# The windows of a size, numbered by their start, have ascending starts and ends, so those that hold a sentence are a run of
+# numbers. What a sentence adds to its windows is one change at the run's first number and the reverse after its last one;
+# a running sum over the numbers gives every window's total. Windows are never multiplied by what is in them.
 
+SIZE = ["doc_id", "size"]
 
-def covering(w: DataFrame, per: DataFrame) -> DataFrame:
-    """Windows joined with the rows (doc_id, sent_id, …) that lie in them.
 
-    Both meet by blocks of sentences, so a window is a row for each block it touches, not for each sentence.
-    """
-    block = lambda c: F.floor(F.col(c) / BLOCK).cast("int")
-    wide = w.withColumn("block", F.explode(F.sequence(block("start_sentence"), block("end_sentence"))))
-    return wide.join(per.withColumn("block", block("sent_id")), ["doc_id", "block"]).filter(F.col("sent_id").between(F.col("start_sentence"), F.col("end_sentence"))).drop("block")
+def numbered(w: DataFrame) -> DataFrame:
+    """Windows with ``i``, their number within document and size."""
+    return w.withColumn("i", (F.row_number().over(Window.partitionBy(*SIZE).orderBy("start_sentence")) - 1).cast("bigint"))
 
 
-def window_type_sums(w: DataFrame, hits: DataFrame) -> DataFrame:
-    """Sum of confidence and count of hits per window and type."""
-    return (
-        covering(w.select(*WIN, "end_sentence"), sentence_type_sums(hits))
-        .groupBy(*WIN, "type")
-        .agg(X.exact_sum(F.col("conf")).alias("conf"), F.sum("n").alias("n"))
-    )
+def reached(w: DataFrame, rows: DataFrame, sizes=tuple(x[0] for x in fixed.WINDOW_SETS)) -> DataFrame:
+    """rows(doc_id, sent_id, …) with ``reach``, an array of (size, first, after): the numbers of the windows that hold the sentence."""
+    packed = rows.select("doc_id", F.col("sent_id").alias("pos"), F.lit(1).alias("k"), F.lit(None).cast("string").alias("size"), F.struct(*rows.columns).alias("row"))
+    empty = F.lit(None).cast(packed.schema["row"].dataType)
+    starts = w.select("doc_id", F.col("start_sentence").alias("pos"), F.lit(0).alias("k"), "size", empty.alias("row"))
+    ends = w.select("doc_id", F.col("end_sentence").alias("pos"), F.lit(2).alias("k"), "size", empty.alias("row"))
+    so_far = Window.partitionBy("doc_id").orderBy("pos", "k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    count = lambda k, name: F.sum(F.when((F.col("k") == k) & (F.col("size") == name), 1).otherwise(0)).over(so_far)
+    reach = F.array(*(F.struct(F.lit(n).alias("size"), count(2, n).alias("first"), count(0, n).alias("after")) for n in sizes))
+    return stack(packed, starts, ends).withColumn("reach", reach).filter("k = 1").select("row.*", "reach")
+
+
+def changes(rows: DataFrame, keys: list[str], first, after, **values: Column) -> DataFrame:
+    """(doc_id, size, *keys, i, *values) of rows with a ``reach``: +value at ``first`` and -value at ``after``, which are functions of
+    its entry; nothing where the run is empty."""
+    names = list(values)
+    held = rows.select("doc_id", *keys, *[v.cast("bigint").alias(n) for n, v in values.items()], F.explode("reach").alias("r"))
+    held = held.select("doc_id", *keys, *names, F.col("r.size").alias("size"), first("r").alias("a"), after("r").alias("b")).filter("a < b")
+    at = lambda c, sign: F.struct(F.col(c).cast("bigint").alias("i"), *[(sign * F.col(n)).alias(n) for n in names])
+    return held.select(*SIZE, *keys, F.inline(F.array(at("a", 1), at("b", -1))))
+
+
+FIRST = lambda r: F.col(f"{r}.first")
+AFTER = lambda r: F.col(f"{r}.after")
+
+
+def entropy_changes(c: DataFrame, key: str, value: str = "n") -> DataFrame:
+    """Changes of a count per key to changes of ``m``, the sum of the counts, and ``l``, the sum of n log2 n."""
+    d = c.groupBy(*SIZE, key, "i").agg(F.sum(value).alias("d"))
+    now = F.sum("d").over(Window.partitionBy(*SIZE, key).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    f = lambda n: F.when(n > 0, n * F.log2(n.cast("double"))).otherwise(0.0).cast("decimal(38,12)")
+    d = d.withColumn("now", now)
+    return d.select(*SIZE, "i", F.col("d").alias("m"), (f(F.col("now")) - f(F.col("now") - F.col("d"))).cast("decimal(38,12)").alias("l"))
+
+
+def swept(w: DataFrame, c: DataFrame, names: list[str], keys: list[str] | None = None) -> DataFrame:
+    """Windows with the totals of the changes ``names``; with ``keys``, for each of the keys that the document has."""
+    keys = keys or []
+    wide = numbered(w).select(*SIZE, "i", "start_sentence", "end_sentence", "word_count")
+    if keys:
+        wide = wide.join(c.select(*SIZE, *keys).distinct(), SIZE)
+    facts = [F.max(x).alias(x) for x in ("start_sentence", "end_sentence", "word_count")]
+    g = stack(wide, c.select(*SIZE, *keys, "i", *names), missing=True).groupBy(*SIZE, *keys, "i").agg(*facts, *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+    o = Window.partitionBy(*SIZE, *keys).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return g.select(*SIZE, *keys, "start_sentence", "end_sentence", "word_count", *[F.sum(n).over(o).alias(n) for n in names]).filter("start_sentence is not null")
+
+
+MICRO = 1_000_000  # confidences have six digits and are summed as whole numbers
+
+
+def micro(c: str) -> Column:
+    return (F.col(c).cast("decimal(18,6)") * MICRO).cast("bigint")
 
 
 def pattern_density(w: DataFrame, hits: DataFrame, types=fixed.DENSITY_PATTERNS) -> DataFrame:
     """Windows with ``density MAP<type, DOUBLE>``: confidence per 100 words, zeros kept."""
-    sums = window_type_sums(w, hits.filter(F.col("type").isin(types)))
-    maps = sums.groupBy(*WIN).agg(F.map_from_entries(F.collect_list(F.struct("type", "conf"))).alias("m"))
-    j = w.join(maps, WIN, "left")
+    names = [f"t{i}" for i in range(len(types))]
+    per = hits.filter(F.col("type").isin(types)).groupBy(*SENT).agg(*[F.sum(F.when(F.col("type") == t, micro("confidence")).otherwise(0)).alias(n) for t, n in zip(types, names)])
+    c = changes(reached(w, per), [], FIRST, AFTER, **{n: F.col(n) for n in names})
     entries = [
         F.struct(
             F.lit(t).alias("key"),
-            F.when(F.col("word_count") > 0, X.js_round(F.coalesce(F.col("m")[t], F.lit(0.0)) * (F.lit(100.0) / F.col("word_count")), 2))
+            F.when(F.col("word_count") > 0, X.js_round((F.col(n) / F.lit(float(MICRO))) * (F.lit(100.0) / F.col("word_count")), 2))
             .otherwise(0.0).alias("value"),
         )
-        for t in types
+        for t, n in zip(types, names)
     ]
-    return j.withColumn("density", F.map_from_entries(F.array(*entries))).drop("m")
+    return swept(w, c, names).select(*WIN, "end_sentence", "word_count", F.map_from_entries(F.array(*entries)).alias("density"))
 
 
 # ---------------------------------------------------------------- entropies by any key
@@ -243,51 +287,77 @@ def opening_variety(s: DataFrame, by: list[str]) -> DataFrame:
     return g.select(*by, F.when(F.col("n") <= 1, 1.0).otherwise(X.ratio(F.col("d"), F.col("n"))).alias("opening_variety"))
 
 
+def _entropy(m: Column, l: Column, t: Column) -> Column:
+    t = t.cast("double")
+    return F.when(t > 0, X.js_round(X.js_round((m.cast("double") * F.log2(t) - l.cast("double")) / t, 9), 3)).otherwise(0.0)
+
+
+def _new(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """rows with ``last`` and ``next``, the reach of the sentences in which the same thing stood before and stands after."""
+    o = Window.partitionBy("doc_id", *by).orderBy(*order)
+    return rows.withColumn("last", F.lag("reach").over(o)).withColumn("next", F.lead("reach").over(o)).withColumn(
+        "reach", F.zip_with("reach", F.sequence(F.lit(0), F.size("reach") - 1), lambda r, i: F.struct(
+            r["size"].alias("size"), r["first"].alias("first"), r["after"].alias("after"),
+            F.coalesce(F.get("last", i)["after"], F.lit(0)).alias("seen"), F.get("next", i)["first"].alias("again"))))
+
+
+# A thing counts once in a window that holds it and starts after its last use: the first of its kind there.
+_ONCE = lambda r: F.greatest(FIRST(r), F.col(f"{r}.seen"))
+# It is the only one there if the window ends before its next use, too.
+_ALONE = lambda r: F.least(AFTER(r), F.coalesce(F.col(f"{r}.again"), AFTER(r)))
+
+
 def window_metrics(w: DataFrame, s: DataFrame, hits: DataFrame) -> DataFrame:
-    """All per-window measures. A window holds at most its word budget, so each is one small row."""
-    types = hits.groupBy(*SENT).agg(F.sort_array(F.collect_list("type")).alias("types"))
-    cols = s.select(
-        *SENT, "text", "word_count", dominant_register().alias("register"), X.opening_key(F.col("text")).alias("opening")
-    ).join(types, SENT, "left")
-    g = (
-        window_members(w.select(*WIN, "end_sentence"))
-        .join(cols, SENT)
-        .groupBy(*WIN)
-        .agg(F.array_sort(F.collect_list(F.struct("sent_id", "text", "word_count", "register", "opening", "types"))).alias("ss"))
-    )
-    words = F.flatten(F.transform("ss.text", X.words))
-    lower = F.col("lower")
-    n = F.size("words")
-    wc = F.col("ss.word_count")
-    k = F.size("ss")
-    bins = F.transform(wc, lambda x: F.lpad((F.floor(x / 5) * 5).cast("string"), 8, "0"))
-    allt = F.flatten(F.transform(F.col("ss.types"), lambda t: F.coalesce(t, F.array().cast("array<string>"))))
-    dbl = F.transform(wc, lambda x: x.cast("double"))
-    add = lambda a, x: a + x
-    s1 = F.aggregate(dbl, F.lit(0.0), add)
-    s2 = F.aggregate(F.transform(dbl, lambda x: x * x), F.lit(0.0), add)
-    nx = F.slice(dbl, F.lit(2), k)
-    pr = F.aggregate(F.zip_with(F.slice(dbl, F.lit(1), F.greatest(k - 1, F.lit(0))), nx, lambda a, b: a * b), F.lit(0.0), add)
-    g = g.withColumn("words", words).withColumn("lower", F.transform("words", F.lower)).withColumn("stats", token_stats(lower)).withColumn("types", allt)
-    out = g.select(
-        *WIN,
-        X.entropy_of(X.array_counts(F.col("ss.register")), k).alias("register_entropy"),
-        X.entropy_of(X.array_counts(bins), k).alias("length_entropy"),
-        X.entropy_of(X.array_counts(F.col("types")), F.size("types")).alias("device_entropy"),
-        X.autocorrelation_of(k, s1, s2, pr, F.get(dbl, F.lit(0)), F.get(dbl, k - 1)).alias("autocorrelation"),
-        X.ratio(F.col("stats.distinct"), n).alias("ttr"),
-        X.ratio(F.col("stats.hapax"), n).alias("hapax_ratio"),
-        X.entropy_of(word_length_counts(F.col("words")), n).alias("word_length_entropy"),
-        F.when(k <= 1, 1.0).otherwise(X.ratio(F.size(F.array_distinct("ss.opening")), k)).alias("opening_variety"),
-        X.ratio(F.size(F.filter(lower, lambda x: x.isin(fixed.FUNCTION_WORDS))), n).alias("function_word_ratio"),
+    """All per-window measures, from changes between neighbouring windows: a token is looked at once per window set, however
+    many windows hold it."""
+    ws = X.words(F.col("text"))
+    base = s.select(*SENT, F.col("word_count").cast("bigint").alias("wc"), dominant_register().alias("register"), X.opening_key(F.col("text")).alias("opening"), ws.alias("ws"))
+    base = reached(w, base)
+    o = Window.partitionBy("doc_id").orderBy("sent_id")
+    one = F.lit(1)
+    regs = {f"r{i}": F.when(F.col("register") == r, 1).otherwise(0) for i, r in enumerate(fixed.REGISTERS)}
+    functions = F.size(F.filter("ws", lambda x: F.lower(x).isin(fixed.FUNCTION_WORDS)))
+    plain = changes(base, [], FIRST, AFTER, k=one, sum=F.col("wc"), square=F.col("wc") * F.col("wc"), tokens=F.size("ws"), functions=functions, **regs)
+    pairs = base.select(*SENT, "wc", "reach", F.lead("wc").over(o).alias("nx"), F.lead("reach").over(o).alias("ahead")).filter("nx is not null")
+    pairs = pairs.withColumn("reach", F.zip_with("reach", "ahead", lambda r, n: F.struct(r["size"].alias("size"), n["first"].alias("first"), r["after"].alias("after"))))
+    products = changes(pairs, [], FIRST, AFTER, product=F.col("wc") * F.col("nx"))
+    openings = changes(_new(base.select(*SENT, "opening", "reach"), ["opening"], ["sent_id"]), [], _ONCE, AFTER, openings=one)
+    tokens = base.select(*SENT, "reach", F.posexplode("ws").alias("at", "raw")).withColumn("word", F.lower("raw"))
+    words = _new(tokens.select(*SENT, "at", "word", "reach"), ["word"], ["sent_id", "at"])
+    types = changes(words, [], _ONCE, AFTER, types=one)
+    alone = changes(words, [], _ONCE, _ALONE, alone=one)
+    letters = F.length(F.regexp_replace("raw", "[^a-zA-Z]", ""))
+    lens = tokens.select(*SENT, "reach", letters.alias("len")).filter("len > 0").groupBy(*SENT, "reach", "len").agg(F.count(F.lit(1)).alias("n"))
+    by = lambda c, name: entropy_changes(c, name).withColumnsRenamed({"m": f"m_{name}", "l": f"l_{name}"})
+    sparse = [
+        by(changes(base.withColumn("bin", F.floor(F.col("wc") / 5)), ["bin"], FIRST, AFTER, n=one), "bin"),
+        by(changes(lens, ["len"], FIRST, AFTER, n=F.col("n")), "len"),
+        by(changes(reached(w, hits.select(*SENT, "type")), ["type"], FIRST, AFTER, n=one), "type"),
+    ]
+    names = ["k", "sum", "square", "tokens", "functions", *regs, "product", "openings", "types", "alone"] + [f"{x}_{n}" for n in ("bin", "len", "type") for x in "ml"]
+    g = swept(w, stack(plain, products, openings, types, alone, *sparse, missing=True), names)
+    ends = s.select("doc_id", "sent_id", F.col("word_count").alias("v"))
+    g = g.join(ends.withColumnsRenamed({"sent_id": "start_sentence", "v": "v_first"}), ["doc_id", "start_sentence"]).join(ends.withColumnsRenamed({"sent_id": "end_sentence", "v": "v_last"}), ["doc_id", "end_sentence"])
+    f = lambda n: F.when(F.col(n) > 0, F.col(n) * F.log2(F.col(n).cast("double"))).otherwise(0.0)
+    return g.select(
+        *WIN, "end_sentence", "word_count",
+        _entropy(F.col("k"), reduce(Column.__add__, map(f, regs)), F.col("k")).alias("register_entropy"),
+        _entropy(F.col("m_bin"), F.col("l_bin"), F.col("k")).alias("length_entropy"),
+        _entropy(F.col("m_type"), F.col("l_type"), F.col("m_type")).alias("device_entropy"),
+        X.autocorrelation_of(F.col("k"), F.col("sum"), F.col("square"), F.col("product"), F.col("v_first"), F.col("v_last")).alias("autocorrelation"),
+        X.ratio(F.col("types"), F.col("tokens")).alias("ttr"),
+        X.ratio(F.col("alone"), F.col("tokens")).alias("hapax_ratio"),
+        _entropy(F.col("m_len"), F.col("l_len"), F.col("tokens")).alias("word_length_entropy"),
+        F.when(F.col("k") <= 1, 1.0).otherwise(X.ratio(F.col("openings"), F.col("k"))).alias("opening_variety"),
+        X.ratio(F.col("functions"), F.col("tokens")).alias("function_word_ratio"),
     )
-    return w.join(out, WIN)
 
 
 def window_device_entropy(w: DataFrame, hits: DataFrame) -> DataFrame:
-    """Device entropy per window from per-sentence counts; 0 where a window has no hit."""
-    e = entropy(window_type_sums(w, hits).select(*WIN, "type", "n"), WIN)
-    return w.join(e, WIN, "left").withColumn("device_entropy", F.coalesce("entropy", F.lit(0.0))).drop("entropy")
+    """Device entropy per window; 0 where a window has no hit."""
+    c = entropy_changes(changes(reached(w, hits.select(*SENT, "type")), ["type"], FIRST, AFTER, n=F.lit(1)), "type")
+    g = swept(w, c, ["m", "l"])
+    return g.select(*WIN, "end_sentence", "word_count", _entropy(F.col("m"), F.col("l"), F.col("m")).alias("device_entropy"))
 
 
 def convergence(w: DataFrame) -> DataFrame:
@@ -313,14 +383,12 @@ def density_violations(w: DataFrame, hits: DataFrame, thresholds: DataFrame, reg
     level_window = X.mapping(fixed.LEVEL_WINDOW, "medium")
     lim = thresholds.join(registry.select("type", "level", F.coalesce(F.col("tolerance")[genre], F.lit(1.0)).alias("tol")), "type", "left")
     lim = lim.select("type", "window_words", "max_count", "unit", F.coalesce("tol", F.lit(1.0)).alias("tol"),
-                     level_window(F.coalesce("level", F.lit("sentence"))).alias("wanted"))
-    per = sentence_type_sums(hits.join(lim.select("type"), "type", "left_semi"))
-    sums = (
-        covering(w.filter(F.col("size").isin(sorted(set(fixed.LEVEL_WINDOW.values()) | {"medium"}))), per.join(lim, "type"))
-        .filter(F.col("size") == F.col("wanted"))
-        .groupBy("type", *WIN, "end_sentence", "word_count", "window_words", "max_count", "unit", "tol")
-        .agg(X.exact_sum(F.col("conf")).alias("total"))
-    )
+                     level_window(F.coalesce("level", F.lit("sentence"))).alias("size"))
+    sizes = sorted(set(fixed.LEVEL_WINDOW.values()) | {"medium"})
+    per = hits.join(lim.select("type"), "type", "left_semi").select(*SENT, "type", micro("confidence").alias("conf"))
+    w = w.filter(F.col("size").isin(sizes))
+    c = changes(reached(w, per, sizes), ["type"], FIRST, AFTER, conf=F.col("conf")).join(lim.select("type", "size"), ["type", "size"], "left_semi")
+    sums = swept(w, c, ["conf"], ["type"]).filter("conf > 0").withColumn("total", F.col("conf") / F.lit(float(MICRO))).join(lim, ["type", "size"])
     span = F.when(F.col("unit") == "per_1000_words", F.lit(1000.0)).otherwise(F.greatest(F.lit(1), F.col("window_words")).cast("double"))
     allowed = F.when(F.col("tol") == 0, 0.0).otherwise(F.col("max_count") * F.col("tol") * (F.col("word_count") / span))
     return (
@@ -336,9 +404,24 @@ def violation_counts(v: DataFrame) -> DataFrame:
 
 
 def word_windows(tokens: DataFrame, size: int, stride: int) -> DataFrame:
-    """tokens(doc_id, pos, word) with the sliding window ids each token falls in."""
-    first = F.greatest(F.lit(0), F.floor((F.col("pos") - size) / stride) + 1)
-    return tokens.withColumn("window_id", F.explode(F.sequence(first, F.floor(F.col("pos") / stride))))
+    """(doc_id, window_id, n, types, first_pos, last_pos) of sliding windows of ``size`` words of tokens(doc_id, pos, word).
+
+    A token is the first of its kind in the windows that start after its last use and hold it: a run of window numbers, so it is
+    two changes, not a row for each window.
+    """
+    o = Window.partitionBy("doc_id", "word").orderBy("pos")
+    at = lambda c: F.floor(c / stride).cast("bigint")
+    first = F.greatest(F.lit(0), at(F.col("pos") - size) + 1, F.coalesce(at(F.lag("pos").over(o)) + 1, F.lit(0)))
+    runs = tokens.select("doc_id", "pos", first.alias("a"), (at(F.col("pos")) + 1).alias("b")).filter("a < b")
+    c = runs.select("doc_id", F.inline(F.array(F.struct(F.col("a").alias("window_id"), F.lit(1).alias("d")), F.struct(F.col("b").alias("window_id"), F.lit(-1).alias("d")))))
+    c = c.groupBy("doc_id", "window_id").agg(F.sum("d").alias("d"))
+    ids = tokens.groupBy("doc_id").agg((F.max("pos") + 1).alias("words")).select("doc_id", "words", F.explode(F.sequence(F.lit(0).cast("bigint"), at(F.col("words") - 1))).alias("window_id"))
+    so_far = Window.partitionBy("doc_id").orderBy("window_id")
+    g = stack(ids, c, missing=True).groupBy("doc_id", "window_id").agg(F.max("words").alias("words"), F.coalesce(F.sum("d"), F.lit(0)).alias("d"))
+    g = g.withColumn("types", F.sum("d").over(so_far.rowsBetween(Window.unboundedPreceding, Window.currentRow))).filter("words is not null")
+    start = F.col("window_id") * stride
+    last = F.least(start + size, F.col("words")) - 1
+    return g.select("doc_id", "window_id", (last - start + 1).alias("n"), "types", start.alias("first_pos"), last.alias("last_pos"))
 
 
 # ---------------------------------------------------------------- hot regions

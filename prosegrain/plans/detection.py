@@ -111,11 +111,6 @@ def _(t):
     return detect.match_lexicon(t.sents, lexicon(t), "exhaustive").drop("sub_pos", "matcher_role", "source")
 
 
-@query("c05_mode_off", "SELECT 0::BIGINT AS n")
-def _(t):
-    return detect.match_lexicon(t.sents, lexicon(t), "off").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("c05_mode_fast", _mode_sql("fast", CAND, 4))
 def _(t):
     return detect.match_lexicon(t.sents, lexicon(t), "fast", cap=4).drop("sub_pos", "matcher_role", "source")
@@ -204,12 +199,12 @@ def _(t):
     return detect.explode_hits(detect.classify_rules(t.sents)).drop("hit_pos")
 
 
-FEATS = "clause_count::BIGINT AS clause_count, has_participial, has_relative_clause, clause_balance_ratio, construction_type, informational, involved, narrative, persuasive, abstract, elaborative, arc_role"
+FEATS = "clause_count::BIGINT AS clause_count, len(regexp_extract_all(text, '[A-Za-z][A-Za-z''-]*')) AS alpha_words, has_participial, has_relative_clause, clause_balance_ratio, construction_type, informational, involved, narrative, persuasive, abstract, elaborative, arc_role"
 
 
 @query("c13_rule_features", f"SELECT doc_id, sent_id, {FEATS} FROM feats")
 def _(t):
-    return t.feats.drop("text", "hash", "word_count", "paragraph_id").withColumn("clause_count", F.col("clause_count").cast("bigint"))
+    return t.feats.drop("text", "hash", "word_count", "paragraph_id").withColumns({c: F.col(c).cast("bigint") for c in ("clause_count", "alpha_words")})
 
 
 @query("c14_heat", "SELECT doc_id, sent_id, heat FROM hot")
@@ -241,6 +236,12 @@ def _(t):
     return detect.keep_patterns(t.hits, ids).select("doc_id", "sent_id", "type", "confidence")
 
 
+@query("c17_medium_patterns", "SELECT doc_id, sent_id, type, confidence FROM hits WHERE type IN ('binary_contrast', 'nominalization', 'hedging', 'sentence_opener_repetition', 'importance_inflation', 'transition_formulaic', 'llm_fingerprint_word', 'participial_cascade', 'agentless_passive', 'resumptive_phrase', 'tricolon_abstract')")
+def _(t):
+    ids = t.values([(x,) for x in fixed.MEDIUM_IDS], "type string")
+    return detect.keep_patterns(t.hits, ids).select("doc_id", "sent_id", "type", "confidence")
+
+
 def _term(w):
     return r"\b" + w.replace("-", "[- ]") + r"\b"
 
@@ -324,12 +325,12 @@ def _finish(x):
 
 
 def _g(shape, i, col="a"):
-    p = shape if shape.startswith("^") else detect._ONE[shape]
+    p = shape if shape.startswith("^") else fixed.OPPOSITION_SHAPES[shape]
     return f"regexp_extract({col}, {q('(?i)' + p)}, {i})"
 
 
 def _fit(shape, col="a"):
-    p = shape if shape.startswith("^") else detect._ONE[shape]
+    p = shape if shape.startswith("^") else fixed.OPPOSITION_SHAPES[shape]
     return f"regexp_matches({col}, {q('(?i)' + p)})"
 
 
@@ -352,7 +353,7 @@ def _(t):
     return detect.rewrite_opposition(t.sents)
 
 
-_P = detect._PAIR
+_P = fixed.OPPOSITION_PAIRS
 
 
 def _pair(k):
@@ -414,6 +415,59 @@ def _(t):
     return detect.apply_phrase_rules(t.sents.select("doc_id", "sent_id", "text"), PHRASES)
 
 
+def _stock_sql(x):
+    for a, b in _STOCK:
+        x = f"replace({x}, {q(a)}, {q(b)})"
+    return x
+
+
+# The forms that reorder and that settings choose, on sentences that hold the phrases of the built-in tables.
+_STOCK = [(" truly ", " truly deserve the strongest "), (" perhaps ", " perhaps arguably "), (" robust ", " important cutting-edge technologies of remarkable potential "), (" landscape ", " virtually every very foundations "), (" slightly ", " sharpest ")]
+cte("stock_rows", "SELECT doc_id, sent_id, CASE sent_id % 4 WHEN 0 THEN 'In strong writing, ' WHEN 1 THEN 'While traditional approaches relied heavily on manual processes, ' ELSE '' END || " + _stock_sql("text") + " AS text, CASE doc_id % 3 WHEN 0 THEN 'emphatic' ELSE 'measured' END AS statement_force, CASE doc_id % 2 WHEN 0 THEN 'none' ELSE 'one' END AS expression_budget FROM sents")
+
+
+def stock(t):
+    text = F.col("text")
+    for a, b in _STOCK:
+        text = F.replace(text, F.lit(a), F.lit(b))
+    head = F.when(F.col("sent_id") % 4 == 0, "In strong writing, ").when(F.col("sent_id") % 4 == 1, "While traditional approaches relied heavily on manual processes, ").otherwise("")
+    return t.sents.select(
+        "doc_id", "sent_id", F.concat(head, text).alias("text"), F.when(F.col("doc_id") % 3 == 0, "emphatic").otherwise("measured").alias("statement_force"),
+        F.when(F.col("doc_id") % 2 == 0, "none").otherwise("one").alias("expression_budget"),
+    )
+
+
+_SOFT = _fold(_tidy("regexp_replace(text, " + q("(?i)" + fixed.BINARY_RULE[0]) + ", " + q(_binary_to) + ")"), [
+    ("\\bhas perhaps arguably created\\b", "may have created"), ("\\bPerhaps more importantly,\\s*the\\b", "The"), ("\\btruly fundamental paradigm shift\\b", "important change"),
+    ("\\bvery foundations\\b", "basic assumptions"), ("\\bremarkable potential\\b", "practical potential"), ("\\bvirtually every\\b", "many"), ("\\bPerhaps more importantly,\\s*", ""),
+    ("\\bperhaps arguably\\b", "arguably"), ("\\bunprecedented opportunities\\b", "new opportunities"), ("\\bpowerful tools\\b", "useful tools"), ("\\bcutting-edge technologies\\b", "new technologies"),
+    ("\\bparticularly noteworthy\\b", "worth noting"), ("\\buniquely favorable\\b", "favorable"), ("\\bundoubtedly play a crucial role\\b", "will likely matter"),
+    ("\\bstrongest expressions\\b", "strongest expressions"), ("\\btruly deserve\\b", "deserve"),
+])
+cte("soft_rows", f"SELECT *, {_SOFT} AS y FROM stock_rows")
+_emph = "CASE statement_force WHEN 'emphatic' THEN regexp_replace(y, '(?i)\\bimportant\\b', 'important and well-supported') ELSE y END"
+
+
+@query("c29_level_by_setting", f"""SELECT doc_id, sent_id, {_tidy("CASE expression_budget WHEN 'none' THEN regexp_replace(regexp_replace(z, '(?i)\\btruly\\b|\\bstrongest\\b|\\bsharpest\\b', '', 'g'), '\\s{2,}', ' ', 'g') ELSE z END")} AS level FROM (SELECT *, {_emph} AS z FROM soft_rows)""")
+def _(t):
+    return detect.level_rewrite(stock(t)).select("doc_id", "sent_id", "level")
+
+
+@query("c29_evidence_first", "SELECT doc_id, sent_id, " + _tidy("regexp_replace(regexp_replace(y, '(?i)^In strong writing,\\s*', 'Strong writing works best when '), '(?i)^While traditional approaches relied heavily on manual processes,\\s*', 'Compared with manual processes, ')") + " AS evidence_first FROM soft_rows")
+def _(t):
+    return detect.evidence_first(stock(t)).select("doc_id", "sent_id", "evidence_first")
+
+
+cte("rhythms", r"""SELECT doc_id, i, text FROM (SELECT doc_id, unnest(p) AS text, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, [x FOR x IN [regexp_replace(y, '^\s+|\s+$', '', 'g') FOR y IN regexp_extract_all('Opening. This ' || replace(text, chr(10), ' ') || ' Save it.', '([^.!?]+[.!?]+|[^.!?]+$)')] IF x <> ''] AS p FROM mdocs))""")
+cte("rhythms2", f"SELECT doc_id, i, {_SOFT} AS y FROM rhythms")
+
+
+@query("c29_rhythm", "SELECT doc_id, " + _tidy("string_agg(CASE WHEN i = 2 THEN regexp_replace(y, '^This\\b', 'That focus') WHEN i = 3 THEN regexp_replace(y, '^Save\\b', 'Reserve') ELSE y END, ' ' ORDER BY i)") + " AS rhythm FROM rhythms2 GROUP BY doc_id")
+def _(t):
+    text = F.concat(F.lit("Opening. This "), F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), F.lit(" Save it."))
+    return detect.rhythm_rewrite(t.docs.select("doc_id", text.alias("text"))).select("doc_id", "rhythm")
+
+
 @query("c30_heat_level", "SELECT CASE WHEN heat IS NULL OR heat < 1 THEN 'none' WHEN heat < 3 THEN 'low' WHEN heat < 6 THEN 'medium' ELSE 'high' END AS level, count(*) AS n FROM hot GROUP BY ALL")
 def _(t):
     return t.hot.groupBy(X.heat_level(F.col("heat")).alias("level")).agg(F.count(F.lit(1)).alias("n"))

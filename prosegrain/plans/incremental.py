@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from prosegrain import dims
-from prosegrain.operators import detect
+from prosegrain.operators import detect, plug, split
 from prosegrain.plans.catalog import cte, jr, q, query
 from prosegrain.plans.comparing import osents
 from prosegrain.plans.profiles import classified
@@ -17,24 +17,48 @@ def _(t):
 
 @query("k02_upsert_cache", "SELECT count(*) AS n, sum(w)::BIGINT AS words FROM (SELECT lower(text) AS t, max(word_count) AS w FROM (SELECT text, word_count FROM osents UNION ALL SELECT text, word_count FROM sents) GROUP BY ALL)")
 def _(t):
-    path = K.scratch(t.spark, "cache")
-    K.upsert_cache(osents(t).select("hash", "word_count"), path, "full", 1)
-    K.upsert_cache(t.sents.select("hash", "word_count"), path, "full", 2)
-    return K.read_cache(t.spark, path).agg(F.count(F.lit(1)).alias("n"), F.sum("word_count").alias("words"))
+    cache, schema = K.Cache(t.spark, K.scratch(t.spark, "cache")), "hash bigint, word_count int"
+    cache.upsert(osents(t).select("hash", "word_count"), "full", "first", 1)
+    cache.upsert(t.sents.select("hash", "word_count"), "full", "second", 1)
+    cache.compact(schema)
+    return cache.read(schema).agg(F.count(F.lit(1)).alias("n"), F.sum("word_count").alias("words"))
 
 
 @query("k03_gate_cache", "SELECT count(DISTINCT lower(text)) AS full_rows, count(DISTINCT CASE WHEN sent_id % 2 = 0 THEN lower(text) END) AS gate_rows FROM osents")
 def _(t):
-    path = K.scratch(t.spark, "cache")
+    cache, schema = K.Cache(t.spark, K.scratch(t.spark, "cache")), "hash bigint, sent_id int"
     s = osents(t).select("hash", "sent_id")
-    K.upsert_cache(s, path, "full", 1)
-    K.upsert_cache(s.filter("sent_id % 2 = 0"), path, "gate", 1)
+    cache.upsert(s, "full")
+    cache.upsert(s.filter("sent_id % 2 = 0"), "gate")
     one = F.lit(1)
-    full = K.read_cache(t.spark, path, "full").agg(F.count(one).alias("full_rows")).withColumn("k", one)
-    gate = K.read_cache(t.spark, path, "gate").agg(F.count(one).alias("gate_rows")).withColumn("k", one)
+    full = cache.read(schema, "full").agg(F.count(one).alias("full_rows")).withColumn("k", one)
+    gate = cache.read(schema, "gate").agg(F.count(one).alias("gate_rows")).withColumn("k", one)
     return full.join(gate, "k").drop("k")
 
 
+def arriving(t, rows, turn, files):
+    """rows as a stream that reads one file a micro-batch, in the order of ``turn`` (0 to files - 1)."""
+    path = K.scratch(t.spark, "arriving")
+    numbered = rows.withColumn("_turn", turn)
+    for i in range(files):
+        numbered.filter(F.col("_turn") == i).drop("_turn").coalesce(1).write.mode("append").parquet(path)
+    return K.document_stream(t.spark, path, rows.schema, maxFilesPerTrigger=1)
+
+
+@query("k15_cached_stream", "SELECT doc_id, sent_id, word_count, EXISTS (SELECT 1 FROM firsts f WHERE f.h = lower(s.text) AND f.turn < s.doc_id % 4) AS cached FROM sents s")
+def _(t):
+    """Sentences in four micro-batches against a cache that each of them fills and that is compacted on the way."""
+    cache, out = K.Cache(t.spark, K.scratch(t.spark, "cache")), K.scratch(t.spark, "cached")
+    s = arriving(t, t.sents.select("doc_id", "sent_id", "hash", F.col("word_count").alias("w")), F.col("doc_id") % 4, 4)
+    schema = "hash bigint, word_count int"
+    sink = K.cached_sink(cache, schema, lambda new: new.select("hash", F.col("w").alias("word_count")), out, every=2)
+    K.stream_cached(s, sink, K.scratch(t.spark, "cached-check"), availableNow=True).awaitTermination()
+    return t.spark.read.parquet(out).select("doc_id", "sent_id", "word_count", "cached")
+
+
+cte("firsts", "SELECT lower(text) AS h, min(doc_id % 4) AS turn FROM sents GROUP BY ALL")
+
+
 @query("k04_suggestion_key", "SELECT count(DISTINCT lower(text) || '|' || coalesce((SELECT string_agg(DISTINCT type, ',' ORDER BY type) FROM hits h WHERE h.doc_id = s.doc_id AND h.sent_id = s.sent_id), '')) AS n_keys, count(*) AS n FROM sents s")
 def _(t):
     k = K.suggestion_key(classified(t), "m", 3)
@@ -99,10 +123,33 @@ def events(t, streaming=False):
     return ev.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", F.col("event_type").alias("provider"), F.col("value").cast("decimal(18,2)").alias("value"))
 
 
+LATE = 5  # micro-batches in which the events arrive
+
+
+def arrivals(t):
+    """The events as a stream in five micro-batches by time, every tenth row one batch late; then a row that only moves the watermark.
+
+    Returns the stream and a watermark that no row is too late for.
+    """
+    ev = events(t)
+    ends = ev.agg(F.unix_timestamp(F.min("ts")).alias("a"), F.unix_timestamp(F.max("ts")).alias("b"))
+    a, b = ends.first()
+    step = (b - a) // (LATE - 1) + 1
+    turn = F.floor((F.unix_timestamp("ts") - a) / step).cast("int") + F.when(F.col("event_id") % 10 == 0, 1).otherwise(0)
+    last = ends.select(F.lit(None).cast("bigint").alias("event_id"), F.timestamp_seconds(F.col("b") + 10 * step + 864000).alias("ts"), F.lit(None).cast("bigint").alias("user_id"),
+                       F.lit(None).cast("string").alias("provider"), F.lit(None).cast("decimal(18,2)").alias("value"))
+    rows = ev.unionByName(last.select(*[F.col(c).cast(ev.schema[c].dataType) for c in ev.columns]))
+    return arriving(t, rows, F.when(F.col("event_id").isNull(), LATE).otherwise(turn), LATE + 1), f"{step} seconds"
+
+
+def as_saves(ev, time="ts"):
+    return ev.select(F.col("user_id").alias("doc_id"), F.col("ts").alias(time), F.col("event_id").alias("save_id"), F.col("provider").alias("content"))
+
+
 @query("k10_stream_snapshots", "SELECT doc_id, save_id, content FROM (SELECT user_id AS doc_id, event_id AS save_id, event_type AS content, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE p IS NULL OR p <> content")
 def _(t):
-    s = events(t, True).select(F.col("user_id").alias("doc_id"), F.col("ts").alias("saved_at"), F.col("event_id").alias("save_id"), F.col("provider").alias("content"))
-    return K.drain(K.stream_snapshots(s), "snapshots")
+    ev, watermark = arrivals(t)
+    return K.drain(K.stream_snapshots(as_saves(ev, "saved_at"), watermark), "snapshots")
 
 
 def _act(size, slide):
@@ -121,6 +168,20 @@ def _(t):
     return act(t, "1 day")
 
 
+@query("k11_activity_stream", _act(86400, None))
+def _(t):
+    ev, watermark = arrivals(t)
+    a = K.drain(K.activity(ev, "1 day", None, watermark), "activity")
+    return a.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "provider", "n", F.col("value").cast("double").alias("value"))
+
+
+@query("k12_activity_stream", _act(86400, 21600))
+def _(t):
+    ev, watermark = arrivals(t)
+    a = K.drain(K.activity(ev, "1 day", "6 hours", watermark), "activity")
+    return a.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "provider", "n", F.col("value").cast("double").alias("value"))
+
+
 @query("k12_activity_sliding", _act(86400, 21600))
 def _(t):
     return act(t, "1 day", "6 hours")
@@ -140,7 +201,19 @@ def _(t):
 
 @query("k13_auto_versions", "SELECT doc_id, save_id, content FROM (SELECT *, lag(content) OVER (PARTITION BY doc_id ORDER BY last, save_id) AS p FROM sess) WHERE p IS NULL OR p <> content")
 def _(t):
-    return K.auto_versions(saves(t), "6 hours").select("doc_id", "save_id", "content")
+    return K.auto_versions(saves(t), 6 * 3600).select("doc_id", "save_id", "content")
+
+
+@query("k13_sessions_stream", "SELECT doc_id, save_id, n, content FROM sess")
+def _(t):
+    ev, watermark = arrivals(t)
+    return K.drain(K.sessions(as_saves(ev), "6 hours", watermark).select("doc_id", "save_id", "n", "content"), "sessions")
+
+
+@query("k13_auto_versions_stream", "SELECT doc_id, save_id, content FROM (SELECT *, lag(content) OVER (PARTITION BY doc_id ORDER BY last, save_id) AS p FROM sess) WHERE p IS NULL OR p <> content")
+def _(t):
+    ev, watermark = arrivals(t)
+    return K.drain(K.auto_versions(as_saves(ev), 6 * 3600, watermark), "versions")
 
 
 @query("k14_dedupe_stream", "SELECT DISTINCT user_id, event_type AS provider FROM events")
@@ -148,6 +221,17 @@ def _(t):
     return K.drain(K.dedupe_stream(events(t, True), keys=("user_id", "provider")).select("user_id", "provider"), "dedupe")
 
 
+@query("k14_dedupe_within", "SELECT event_id, user_id FROM events")
+def _(t):
+    """Every event arrives twice, a micro-batch apart; within the watermark a key is kept once, and keys older than that leave."""
+    ev = events(t)
+    twice = ev.withColumn("_again", F.explode(F.array(F.lit(0), F.lit(1))))
+    a, b = ev.agg(F.unix_timestamp(F.min("ts")), F.unix_timestamp(F.max("ts"))).first()
+    step = (b - a) // 3 + 1
+    s = arriving(t, twice, F.floor((F.unix_timestamp("ts") - a) / step).cast("int") + F.col("_again"), 4)
+    return K.drain(K.dedupe_stream(s, f"{2 * step} seconds", keys=("event_id",)).select("event_id", "user_id"), "dedupe")
+
+
 # ---------------------------------------------------------------- plug points
 
 
@@ -168,3 +252,30 @@ def _(t):
     reg = dims.override(dims.registry(t.spark), own, ["type"])
     return t.hits.filter(F.col("type").isin("hedging", "nominalization")).join(reg, "type").select("doc_id", "sent_id", "type", "weight")
 
+
+
+@query("u01_batch_classifier", "SELECT doc_id, sent_id, floor((0.25::DOUBLE * word_count + 0.5::DOUBLE * len(regexp_replace(text, '[^,]', '', 'g')) - 3.0::DOUBLE) * 1000.0 + 0.5) / 1000.0 AS score, 0.25::DOUBLE * word_count + 0.5::DOUBLE * len(regexp_replace(text, '[^,]', '', 'g')) >= 3.0 AS dense FROM sents")
+def _(t):
+    """A numeric model over batches: it is loaded once in a task."""
+
+    def load():
+        import numpy as np
+        import pyarrow.compute as pc
+
+        weights = np.array([0.25, 0.5])
+
+        def model(batch):
+            x = np.stack([batch["word_count"].to_numpy(), pc.count_substring(batch["text"], ",").to_numpy()], 1).astype(float)
+            score = x @ weights - 3.0
+            return {"score": np.floor(score * 1000 + 0.5) / 1000, "dense": score >= 0}
+
+        return model
+
+    return plug.classify_batches(t.sents.select("doc_id", "sent_id", "text", "word_count"), load, "score double, dense boolean", ["text", "word_count"]).select("doc_id", "sent_id", "score", "dense")
+
+
+@query("u04_sentences_in_sql", "SELECT doc_id, sent_id, paragraph_id, text FROM sents")
+def _(t):
+    plug.register_functions(t.spark, split.ONE_LINE, "line_")
+    t.docs.createOrReplaceTempView("u04_docs")
+    return t.spark.sql("SELECT d.doc_id, s.sent_id, s.paragraph_id, s.text FROM u04_docs d, LATERAL line_sentences(d.text) s")

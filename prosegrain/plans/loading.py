@@ -51,12 +51,16 @@ _RAW = """doc_id AS id, source AS category, lang || (doc_id % 4) AS subcategory,
   CASE doc_id % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'unknown' END AS fp_risk,
   substr(CASE WHEN doc_id % 3 = 0 THEN '"Beyond ' || w1 || '," "Extending ' || w2 || '," "The same ' || w3 || ' as before"' WHEN doc_id % 3 = 1 THEN w1 || ' (plain / simple) / ' || w2 || ' / a longer way to say ' || w3 || ' (with' ELSE w4 END, 1, 60) AS replacement,
   substr('tech marketing, academic ' || w1 || ', code docs, news', 1, 40) AS genres"""
-cte("lexraw", rf"SELECT {_RAW} FROM (SELECT *, ws[1] AS w1, coalesce(ws[2], 'b') AS w2, coalesce(ws[3], 'c') AS w3, coalesce(ws[4], 'd') AS w4 FROM (SELECT *, [regexp_replace(w, '[^A-Za-z]', '', 'g') FOR w IN regexp_extract_all(text, '\S+')[1:4]] AS ws FROM documents))")
+# Whole texts: each group of four words is an entry of its own.
+ENTRIES = 1_000_000  # more than the groups of any text
+cte("lexraw", rf"""SELECT {_RAW} FROM (SELECT doc_id * {ENTRIES} + g AS doc_id, source, lang, coalesce(ws[4 * g + 1], 'a') AS w1, coalesce(ws[4 * g + 2], 'b') AS w2, coalesce(ws[4 * g + 3], 'c') AS w3, coalesce(ws[4 * g + 4], 'd') AS w4
+  FROM (SELECT *, unnest(range(greatest(1, (len(ws) + 3) // 4))) AS g FROM (SELECT doc_id, source, lang, [regexp_replace(w, '[^A-Za-z]', '', 'g') FOR w IN regexp_extract_all(text, '\S+')] AS ws FROM documents)))""")
 
 
 def lexraw(t):
-    ws = F.transform(F.slice(F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1)), 1, 4), lambda w: F.regexp_replace(w, "[^A-Za-z]", ""))
-    d = t.documents.withColumn("ws", ws)
+    ws = F.transform(F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1)), lambda w: F.regexp_replace(w, "[^A-Za-z]", ""))
+    groups = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(ws) + 3) / 4).cast("int") - 1)), lambda g: F.slice(ws, g * 4 + 1, 4))
+    d = t.documents.select("doc_id", "source", "lang", F.posexplode(groups).alias("g", "ws")).withColumn("doc_id", F.col("doc_id") * ENTRIES + F.col("g"))
     d = d.withColumns({f"w{i}": F.coalesce(F.get("ws", F.lit(i - 1)), F.lit("abcd"[i - 1])) for i in range(1, 5)})
     from prosegrain.plans.libraries import _split
 

@@ -226,7 +226,16 @@ def _(t):
     return profile.eligible(t.hot, t.hits).select("doc_id", "sent_id", "impact")
 
 
-@query("e15_pick_hot")
+cte("budgets", "SELECT b.doc_id, w AS words, least(CASE WHEN w <= 150 THEN 2 WHEN w <= 500 THEN 3 WHEN w <= 1000 THEN 5 ELSE 3 END, coalesce(p.n, 0), greatest(1, ceil(b.n * 0.2::DOUBLE)))::BIGINT AS budget FROM (SELECT doc_id, sum(word_count) AS w, count(*) AS n FROM sents GROUP BY doc_id) b LEFT JOIN (SELECT doc_id, count(DISTINCT sent_id) AS n FROM hits GROUP BY doc_id) p USING (doc_id)")
+cte("elig", f"SELECT h.doc_id, h.sent_id, h.paragraph_id, h.heat, {_imp.replace("heat *", "h.heat *")} AS impact, (SELECT arg_min(type, (-confidence, hit_pos)) FROM hits x WHERE x.doc_id = h.doc_id AND x.sent_id = h.sent_id) AS main, r.start_sentence AS region, r.heat AS region_heat, budgets.budget, CASE WHEN words <= 300 THEN 1 ELSE 2 END AS cap FROM hot h JOIN hc USING (doc_id, sent_id) JOIN budgets USING (doc_id) LEFT JOIN regions r ON r.doc_id = h.doc_id AND h.sent_id BETWEEN r.start_sentence AND r.end_sentence WHERE budget > 0 AND cmax >= 0.45 AND ((cmax >= 0.8 AND h.heat >= 1.0) OR h.heat >= CASE WHEN words <= 800 THEN 1.8 ELSE 2.5 END)")
+cte("ranked1", "SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY region_heat DESC, region, impact DESC, sent_id) AS k FROM elig WHERE region IS NOT NULL")
+cte("walk1", "SELECT DISTINCT doc_id, 0::BIGINT AS k, []::INT[] AS sents, []::INT[] AS paras, []::INT[] AS regs, []::VARCHAR[] AS mains FROM elig UNION ALL SELECT w.doc_id, c.k, CASE WHEN t THEN list_append(sents, c.sent_id) ELSE sents END, CASE WHEN t THEN list_append(paras, c.paragraph_id) ELSE paras END, CASE WHEN t THEN list_append(regs, c.region) ELSE regs END, CASE WHEN t THEN list_append(mains, c.main) ELSE mains END FROM walk1 w JOIN ranked1 c ON c.doc_id = w.doc_id AND c.k = w.k + 1, LATERAL (SELECT len(sents) < c.budget AND NOT list_contains(regs, c.region) AND len(list_filter(paras, lambda p: p = c.paragraph_id)) < c.cap AS t)")
+cte("walked", "SELECT doc_id, arg_max(sents, k) AS sents, arg_max(paras, k) AS paras, arg_max(mains, k) AS mains FROM walk1 GROUP BY doc_id")
+cte("ranked2", "SELECT e.*, row_number() OVER (PARTITION BY doc_id ORDER BY e.impact * CASE WHEN list_contains(walked.mains, e.main) THEN 1.0::DOUBLE ELSE 1.3::DOUBLE END DESC, sent_id) AS k FROM elig e JOIN walked USING (doc_id) WHERE e.impact > 0 AND NOT list_contains(walked.sents, e.sent_id)")
+cte("walk2", "SELECT doc_id, 0::BIGINT AS k, sents, paras FROM walked UNION ALL SELECT w.doc_id, c.k, CASE WHEN t THEN list_append(sents, c.sent_id) ELSE sents END, CASE WHEN t THEN list_append(paras, c.paragraph_id) ELSE paras END FROM walk2 w JOIN ranked2 c ON c.doc_id = w.doc_id AND c.k = w.k + 1, LATERAL (SELECT len(sents) < c.budget AND len(list_filter(paras, lambda p: p = c.paragraph_id)) < c.cap AS t)")
+
+
+@query("e15_pick_hot", "SELECT e.doc_id, e.sent_id, e.heat, e.impact FROM elig e JOIN (SELECT doc_id, unnest(arg_max(sents, k)) AS sent_id FROM walk2 GROUP BY doc_id) p USING (doc_id, sent_id)")
 def _(t):
     b = profile.budget(counts(t), t.hits)
     return profile.pick_hot(t.hot, t.hits, regions(t), b)
@@ -259,6 +268,18 @@ def _(t):
     return diagnosis(t)
 
 
+cte("pbtypes", "SELECT * FROM (VALUES " + ", ".join(f"({q(x)})" for x in dims.playbook_types()) + ") p(type)")
+
+
+@query("e17_diagnose_passage", f"""SELECT doc_id, rank, type, name, n, violations FROM (SELECT n.doc_id, n.type, r.name, n.n, coalesce(v.v, 0) AS violations, row_number() OVER (PARTITION BY n.doc_id ORDER BY coalesce(v.v, 0) DESC, CASE r.amplification WHEN 'high' THEN 0 WHEN 'med' THEN 1 ELSE 2 END, n.n DESC, n.f1, n.f2) AS rank
+  FROM (SELECT doc_id, type, count(*) AS n, min(sent_id) AS f1, arg_min(hit_pos, sent_id) AS f2 FROM hits WHERE sent_id BETWEEN doc_id % 3 AND doc_id % 3 + 12 AND type IN (SELECT type FROM pbtypes) GROUP BY ALL) n LEFT JOIN (SELECT doc_id, type, count(*) AS v FROM viol GROUP BY ALL) v USING (doc_id, type) LEFT JOIN registry r USING (type)
+  LEFT JOIN (VALUES {_tol}) g(type, tol) USING (type) WHERE coalesce(g.tol, 1.0) < 1.5) WHERE rank <= 5""")
+def _(t):
+    """Hits of thirteen sentences of every document, of the playbook's types."""
+    passage = t.documents.select("doc_id", (F.col("doc_id") % 3).alias("start_sentence"), (F.col("doc_id") % 3 + 12).alias("end_sentence"))
+    return profile.diagnose(t.hits, violations(t), t.registry, "marketing", passage=passage, playbook=dims.playbook(t.spark))
+
+
 MENUS = [("hedging", 1, "State it."), ("hedging", 2, "Show the doubt."), ("llm_fingerprint_word", 1, "Use a plain word."), ("llm_fingerprint_word", 2, "Cut it."), ("llm_fingerprint_word", 3, "Name the thing."), ("em_dash_overuse", 1, "Use a comma.")]
 cte("menu", "SELECT * FROM (VALUES " + ", ".join(f"({q(a)}, {b}, {q(c)})" for a, b, c in MENUS) + ") m(type, option, instruction)")
 
@@ -285,6 +306,32 @@ def _(t):
     return profile.target_lines(profile.profile(classified(t)), style(t).filter("guide = 'general'"))
 
 
+@query(
+    "e19_personal_targets",
+    f"""SELECT doc_id, replace(dimension, '_', ' ') || ': currently ' || {_num('current')} || ', target ' || {_num('target')} AS line FROM sviol WHERE guide = 'general'
+  UNION ALL SELECT doc_id, {q(fixed.LINE_RHYTHM)} FROM profs WHERE autocorrelation > 0.3 UNION ALL SELECT doc_id, {q(fixed.LINE_VARIETY)} FROM profs WHERE device_entropy < 2.0 UNION ALL SELECT doc_id, {q(fixed.LINE_DECAY)} FROM profs WHERE convergence_slope < -0.1
+  UNION ALL SELECT doc_id, 'Write as in ' || source FROM documents""",
+)
+def _(t):
+    own = t.documents.select("doc_id", F.concat(F.lit("Write as in "), "source").alias("line"))
+    return profile.target_lines(profile.profile(classified(t)), style(t).filter("guide = 'general'"), own)
+
+
+@query("e18_directive_lines", "SELECT doc_id, rank, type, 0 AS option, name || ' — avoid: ' || 'use ' || name AS line FROM diag")
+def _(t):
+    """No menu holds the patterns: their own directives stand in."""
+    d = diagnosis(t)
+    none = t.values([], "type string, option int, instruction string")
+    history = d.select("doc_id", "type", F.lit(1).alias("last_option"))
+    own = t.registry.select("type", F.concat(F.lit("Do NOT use "), "name").alias("directive"))
+    return profile.avoid_lines(d, none, history, directives=own)
+
+
+@query("e20_registry_directives", "SELECT doc_id, rank, type, n, coalesce('Do NOT use ' || name, 'Avoid: ' || type) AS line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f1, f2) AS rank FROM (SELECT doc_id, type, count(*) AS n, min(sent_id) AS f1, arg_min(hit_pos, sent_id) AS f2 FROM hits GROUP BY ALL)) LEFT JOIN registry USING (type) WHERE rank <= 8")
+def _(t):
+    return profile.avoid_directives(t.hits, t.registry.withColumn("directive", F.concat(F.lit("Do NOT use "), "name")))
+
+
 @query("e20_avoid_directives", "SELECT doc_id, rank, type, n, 'Avoid: ' || type AS line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f1, f2) AS rank FROM (SELECT doc_id, type, count(*) AS n, min(sent_id) AS f1, arg_min(hit_pos, sent_id) AS f2 FROM hits GROUP BY ALL)) WHERE rank <= 8")
 def _(t):
     return profile.avoid_directives(t.hits, t.registry)
@@ -321,6 +368,11 @@ def _(t):
     return profile.directives(s).select("doc_id", "line")
 
 
+@query("e22_tone", f"SELECT doc_id, CASE WHEN f IS NULL AND b IS NULL THEN 'Default tone' ELSE 'Tone: ' || concat_ws(', ', f, b || ' strongest expressions') END AS line FROM (SELECT doc_id, {_setsql['statement_force']} AS f, {_setsql['expression_budget']} AS b FROM documents)")
+def _(t):
+    return profile.tone(t.documents.select("doc_id", *[F.expr(_setsql[f]).alias(f) for f in ("statement_force", "expression_budget")]))
+
+
 _types = "(" + ", ".join(q(x) for x in fixed.OPPOSITION_TYPES) + ")"
 _signal = q("(?i)" + fixed.OPPOSITION_SIGNAL_RE)
 cte("oscan", f"""SELECT x.doc_id, x.sent_id, s.paragraph_id, s.text, x.type, arg_min(x.evidence, x.o) AS evidence FROM (
@@ -367,6 +419,14 @@ def _output(name, like, shape=lambda df: df):
         return shape(analysis(t)[name])
 
 
+@query("c05_mode_off", "SELECT doc_id, sent_id, heat, NULL::VARCHAR AS subcategory FROM hot")
+def _(t):
+    """The whole analysis without the lexicon: sentences and their heat as ever, and no candidate."""
+    d = {"registry": t.registry, "mapping": dims.marker_types(t.spark), "playbook": dims.playbook(t.spark)}
+    out = analyze.analyze_corpus(t.docs, RULES, split.ONE_LINE, lexicon=lexicon(t), dimensions=d, mode="off")
+    return out["sentences"].join(out["candidates"].select("doc_id", "sent_id", "subcategory"), ["doc_id", "sent_id"], "left").select("doc_id", "sent_id", "heat", "subcategory")
+
+
 _output("windows", "d01_rolling_windows")
 _output("rule_hits", "c13_classify_rules", lambda df: df.drop("hit_pos"))
 _output("candidates", "c04_match_lexicon", lambda df: df.drop("sub_pos", "matcher_role", "source"))

@@ -180,9 +180,7 @@ def _(t):
 @query("d18_word_windows", "SELECT doc_id, window_id, count(*) AS n, count(DISTINCT word) AS types, min(pos)::BIGINT AS first_pos, max(pos)::BIGINT AS last_pos FROM (SELECT doc_id, word, pos, unnest(generate_series(CASE WHEN pos < 200 THEN 0 ELSE (pos - 200) // 100 + 1 END, pos // 100)) AS window_id FROM tok) GROUP BY ALL")
 def _(t):
     w = windows.word_windows(t.tokens, *fixed.WORD_WINDOWS["lexical"])
-    return w.groupBy("doc_id", "window_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("word").alias("types"), F.min("pos").cast("bigint").alias("first_pos"), F.max("pos").cast("bigint").alias("last_pos")
-    )
+    return w.select("doc_id", "window_id", F.col("n").cast("bigint").alias("n"), "types", "first_pos", "last_pos")
 
 
 cte("islands", "SELECT doc_id, g, min(sent_id) AS start_sentence, max(sent_id) AS end_sentence, count(*) AS n, sum(heat::DECIMAL(18,6))::DOUBLE / count(*) AS avg FROM (SELECT doc_id, sent_id, heat, sent_id - row_number() OVER (PARTITION BY doc_id ORDER BY sent_id) AS g FROM hot WHERE heat >= 2) GROUP BY doc_id, g HAVING count(*) >= 2")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from prosegrain.functions import exprs as X
+from prosegrain.functions.frames import stack, stored
 from prosegrain.operators import detect
 
 # Widths at which the raw export cuts a column.
@@ -149,9 +150,17 @@ def lexicon_violations(lex: DataFrame, matchers: DataFrame | None = None) -> Dat
     )
     bad = lex.select("id", F.explode(F.filter(checks, lambda x: x.isNotNull())).alias("problem"))
     m = matchers if matchers is not None else detect.matchers(lexicon_phrases(lex))
-    want = lex.filter("not truncated and not template").select("id", "subcategory", F.explode("matchable").alias("alt")).filter("not contains(alt, '[')")
-    hit = want.join(m.select("subcategory", "regex"), "subcategory").filter(F.rlike("alt", F.col("regex"))).select("id", "alt").distinct()
-    miss = want.join(hit, ["id", "alt"], "left_anti").select("id", F.lit("unmatched").alias("problem"))
-    from prosegrain.functions.frames import stack
-
+    want = lex.filter("not truncated and not template").select("id", "subcategory", F.posexplode("matchable").alias("i", "alt")).filter("not contains(alt, '[')")
+    # A wording's own matcher is tried first; only what it leaves meets the others of its subcategory, on their keys.
+    if {"id", "phrase"} <= set(m.columns):
+        own = want.join(m.select("id", F.col("phrase").alias("alt"), "regex"), ["id", "alt"]).filter(F.rlike("alt", F.col("regex"))).select("id", "i")
+        want = stored(want.join(own, ["id", "i"], "left_anti"), "unsettled")
+    if not want.head(1):
+        return bad
+    if "keys" in m.columns:
+        hit = detect._phrase_hits(want.select(F.col("id").alias("doc_id"), F.col("i").alias("sent_id"), F.col("alt").alias("text")), m, ["subcategory"])
+        hit = hit.select(F.col("doc_id").alias("id"), F.col("sent_id").alias("i"), "subcategory").distinct()
+    else:
+        hit = want.join(m.select("subcategory", "regex"), "subcategory").filter(F.rlike("alt", F.col("regex"))).select("id", "i", "subcategory").distinct()
+    miss = want.join(hit, ["id", "i", "subcategory"], "left_anti").select("id", F.lit("unmatched").alias("problem")).distinct()
     return stack(bad, miss)

@@ -2,42 +2,72 @@
 
 from __future__ import annotations
 
-import uuid
+import json
+import re
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prosegrain.dims import fixed
-from prosegrain.functions import exprs as X
 
-MAX_DEPTH = 100
+_TOKEN = re.compile(r'[\s,:]*+([{}\[\]]|"(?:[^"\\]|\\.)*+"|[^\s,:{}\[\]"]++)', re.S)
+
+
+def _deep(text: str):
+    """A JSON value nested more deeply than the parser of the standard library goes."""
+    held: list = [[]]
+    for m in _TOKEN.finditer(text):
+        t = m[1]
+        if t in "{[":
+            held.append([t])
+        elif t in "}]":
+            kind, *items = held.pop()
+            held[-1].append(dict(zip(items[::2], items[1::2], strict=True)) if kind == "{" else items)
+        else:
+            held[-1].append(json.loads(t))
+    (out,) = held.pop()
+    return out
+
+
+def tree_text(tree: str | None, blocks: frozenset[str]) -> str:
+    """Blocks of one tree, joined by blank lines: each holds the text of the leaves below it, in order."""
+    try:
+        root = json.loads(tree or "null")
+    except RecursionError:
+        root = _deep(tree)
+    except ValueError:
+        return ""
+    found: list[list[str]] = []
+    todo = [(root, -1)]  # (node, the number of the outermost block that it lies in); the root is no block
+    while todo:
+        node, block = todo.pop()
+        if not isinstance(node, dict):
+            continue
+        if block is None and node.get("type") in blocks:
+            block = len(found)
+            found.append([])
+        block = None if block == -1 else block
+        text = node.get("text")
+        if text not in (None, "") and not isinstance(text, (dict, list)):
+            if block is not None:
+                found[block].append(text if isinstance(text, str) else json.dumps(text))
+            continue
+        content = node.get("content")
+        todo.extend((child, block) for child in reversed(content if isinstance(content, list) else []))
+    joined = ("".join(x).strip(" \t\n\v\f\r") for x in found)
+    return "\n\n".join(x for x in joined if x)
 
 
 def flatten_rich_text(docs: DataFrame, blocks=tuple(fixed.BLOCK_TYPES)) -> DataFrame:
     """(doc_id, text): blocks of the tree in docs(doc_id, tree STRING), joined by blank lines.
 
-    The tree is walked level by level over all documents at once; each node carries its path, and the
-    path of the outermost block it lies in.
+    A tree is walked once, inside its own row, however deep it is.
     """
-    spark = docs.sparkSession
-    view = "trees_" + uuid.uuid4().hex
-    docs.select("doc_id", "tree").createOrReplaceTempView(view)
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    kinds = ", ".join(f"'{b}'" for b in blocks)
-    leaves = spark.sql(
-        f"""WITH RECURSIVE n MAX RECURSION LEVEL {MAX_DEPTH} AS (
-              SELECT doc_id, try_parse_json(tree) AS node, array(0) AS path, cast(NULL AS array<int>) AS block FROM {view}
-              UNION ALL
-              SELECT n.doc_id, c.value, concat(n.path, array(c.pos)),
-                     coalesce(n.block, CASE WHEN try_variant_get(c.value, '$.type', 'string') IN ({kinds}) THEN concat(n.path, array(c.pos)) END)
-              FROM n, LATERAL variant_explode(try_variant_get(n.node, '$.content', 'variant')) c
-              WHERE coalesce(try_variant_get(n.node, '$.text', 'string'), '') = '')
-            SELECT doc_id, block, path, try_variant_get(node, '$.text', 'string') AS text FROM n
-            WHERE block IS NOT NULL AND coalesce(try_variant_get(node, '$.text', 'string'), '') <> ''"""
-    )
-    b = leaves.groupBy("doc_id", "block").agg(F.array_sort(F.collect_list(F.struct("path", "text"))).alias("t"))
-    b = b.select("doc_id", "block", X.trim_ws(F.array_join("t.text", "")).alias("text")).filter("text <> ''")
-    text = b.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block", "text"))).alias("b"))
-    return docs.select("doc_id").join(text.select("doc_id", F.array_join("b.text", "\n\n").alias("text")), "doc_id", "left").withColumn(
-        "text", F.coalesce("text", F.lit(""))
-    )
+    kinds = frozenset(blocks)
+
+    @F.pandas_udf("string")
+    def walked(tree: pd.Series) -> pd.Series:
+        return tree.map(lambda t: tree_text(t, kinds))
+
+    return docs.select("doc_id", walked("tree").alias("text"))

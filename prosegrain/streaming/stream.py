@@ -2,30 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosegrain.functions import exprs as X
+from prosegrain.functions.frames import scratch
 from prosegrain.operators import library
 
 SENT = ["doc_id", "sent_id"]
 ONE = "*"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name under the shared checkpoint folder; a temporary one only in local mode without it."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or "cluster" in master:
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 # ---------------------------------------------------------------- caches
 
 
@@ -45,27 +34,89 @@ def progress(s: DataFrame, cache: DataFrame) -> DataFrame:
     return c.groupBy("doc_id").agg(F.count(ONE).alias("total"), n.alias("cached"), (F.count(ONE) - n).alias("to_do"))
 
 
-def upsert_cache(batch: DataFrame, path: str, tier: str = "full", batch_id: int = 0) -> None:
-    """Add results to a cache of append-only files; a later write of a hash replaces the earlier one.
+class Cache:
+    """Results by sentence hash, in generations of files.
+
+    The newest complete folder ``g<number>`` under ``path`` counts. In it each write has a folder of its own, ``part=<order>.<name>.<id>``:
+    a micro-batch that is repeated replaces what it wrote, whatever came after, and keeps its place in the order, also
+    across restarts. ``compact`` writes the newest row of each hash as the next generation and renames it into place; the last
+    generation stays until the one after, for readers that have begun. One stream writes at a time.
+    """
 
-    Runs from ``foreachBatch`` as well. Rows carry the time of writing, which orders them across restarts, where
-    batch numbers begin anew; a repeated batch writes the same values once more.
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._root = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._fs = self._root.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _names(self, folder: str, prefix: str) -> list[str]:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        found = [f.getPath().getName() for f in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return sorted(n for n in found if n.startswith(prefix))
+
+    def _generation(self) -> str:
+        return f"{self.path}/{(self._names(self.path, 'g') or ['g000000'])[-1]}"
+
+    def upsert(self, batch: DataFrame, tier: str = "full", name: str = "batch", batch_id: int = 0) -> None:
+        """Add results; a later write of a hash replaces the earlier one. ``name`` tells streams apart."""
+        folder = self._generation()
+        own = f".{name}-{tier}.{batch_id}"
+        parts = self._names(folder, "part=")
+        part = next((p for p in parts if p.endswith(own)), None)
+        if part is None:
+            part = f"part={int(parts[-1][5:].split('.')[0]) + 1 if parts else 1:09d}{own}"
+        batch.dropDuplicates(["hash"]).withColumn("tier", F.lit(tier)).write.mode("overwrite").partitionBy("tier").parquet(f"{folder}/{part}")
+
+    def read(self, schema, tier: str = "full", but: tuple[str, int] | None = None) -> DataFrame:
+        """The newest row of each hash; ``but`` leaves out what the write of that name and id has added."""
+        folder = self._generation()
+        fields = schema if isinstance(schema, str) else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        if not self._names(folder, "part="):
+            return self.spark.createDataFrame([], fields)
+        d = self.spark.read.schema(f"{fields}, part string, tier string").option("basePath", folder).parquet(folder).filter(F.col("tier") == tier)
+        if but is not None:
+            d = d.filter(~F.col("part").endswith(f".{but[0]}-{tier}.{but[1]}"))
+        rest = [c for c in d.columns if c not in ("hash", "part", "tier")]
+        return d.groupBy("hash").agg(F.max_by(F.struct(*rest), "part").alias("v")).select("hash", "v.*")
+
+    def compact(self, schema, tiers=("full", "gate")) -> None:
+        """Replace this generation by one that holds the newest row of each hash once."""
+        jvm = self.spark._jvm.org.apache.hadoop.fs
+        number = int(self._generation().rsplit("/g", 1)[1])
+        fresh = f"{self.path}/_{uuid.uuid4().hex}"
+        for i, tier in enumerate(tiers):
+            self.read(schema, tier).withColumn("tier", F.lit(tier)).write.mode("overwrite").partitionBy("tier").parquet(f"{fresh}/part={i:09d}.compact-{tier}.0")
+        self._fs.rename(jvm.Path(fresh), jvm.Path(f"{self.path}/g{number + 1:06d}"))
+        for old in self._names(self.path, "g")[:-2]:
+            self._fs.delete(jvm.Path(f"{self.path}/{old}"), True)
+
+    def size(self) -> int:
+        """Writes of the newest generation."""
+        return len(self._names(self._generation(), "part="))
+
+
+def cached_sink(cache: Cache, schema, classify, out: str, tier: str = "full", name: str = "stream", every: int = 16):
+    """What ``foreachBatch`` runs: sentences meet the cache, ``classify`` works on each unknown hash once, its results join the cache,
+    and (sentences with results, cached) go to ``out``.
+
+    A repeated batch replaces both writes and doesn't see its own results as known. The cache is compacted before
+    a batch when it holds ``every`` writes.
     """
-    rows = batch.dropDuplicates(["hash"]).withColumns({"tier": F.lit(tier), "written": F.current_timestamp(), "seq": F.lit(batch_id).cast("bigint")})
-    rows.write.mode("append").partitionBy("tier").parquet(path)
 
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        if cache.size() >= every:
+            cache.compact(schema, (tier,))
+        known = cache.read(schema, tier, but=(name, batch_id))
+        fresh = batch.join(known.select("hash"), "hash", "left_anti").dropDuplicates(["hash"])
+        cache.upsert(classify(fresh), tier, name, batch_id)
+        rows = with_cache(batch, known.select("hash")).join(cache.read(schema, tier), "hash", "left")
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-def read_cache(spark: SparkSession, path: str, tier: str = "full") -> DataFrame:
-    """The newest row of each hash."""
-    d = spark.read.parquet(path).filter(F.col("tier") == tier).drop("tier")
-    rest = [c for c in d.columns if c not in ("hash", "seq", "written")]
-    return d.groupBy("hash").agg(F.max_by(F.struct(*rest), F.struct("written", "seq")).alias("v")).select("hash", "v.*")
+    return sink
 
 
-def compact_cache(spark: SparkSession, path: str, target: str, tiers=("full", "gate")) -> None:
-    """Write the newest rows of a cache as a new one, which replaces it."""
-    for tier in tiers:
-        upsert_cache(read_cache(spark, path, tier), target, tier)
+def stream_cached(s: DataFrame, sink, checkpoint: str, **trigger):
+    w = s.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink)
+    return w.trigger(**trigger).start() if trigger else w.start()
 
 
 def suggestion_key(s: DataFrame, model: str, n: int, version: str = "v1") -> DataFrame:
@@ -134,17 +185,20 @@ def activity(events: DataFrame, size: str = "1 day", slide: str | None = None, w
 
 
 def sessions(events: DataFrame, gap: str = "15 seconds", watermark: str = "1 minute") -> DataFrame:
-    """Bursts of saves(doc_id, ts, save_id, content) as one version each: the last text of the burst."""
-    return (
+    """Bursts of saves(doc_id, ts, save_id, content) as one version each: the last text of the burst. On a stream a burst is written when
+    the watermark has passed its end."""
+    d = (
         events.withWatermark("ts", watermark).groupBy(F.session_window("ts", gap), "doc_id")
         .agg(F.count(ONE).alias("n"), F.max_by("content", F.struct("ts", "save_id")).alias("content"), F.max("save_id").alias("save_id"))
-        .select("doc_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("saved_at"), "n", "save_id", "content")
     )
+    return d.select("doc_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("saved_at"), "n", "save_id", "content")
 
 
-def auto_versions(events: DataFrame, gap: str = "15 seconds") -> DataFrame:
-    """Bursts whose text differs from the version before."""
-    return library.snapshots(sessions(events, gap))
+def auto_versions(events: DataFrame, gap_seconds: int = 15, watermark: str = "1 minute") -> DataFrame:
+    """Bursts whose text differs from the version before; on a stream (doc_id, save_id, content), bursts and their comparison in one state."""
+    if not events.isStreaming:
+        return library.snapshots(sessions(events, f"{gap_seconds} seconds", watermark))
+    return _differing(events.withWatermark("ts", watermark).withColumnRenamed("ts", "saved_at"), None, gap_seconds * 1000)
 
 
 def dedupe_stream(s: DataFrame, watermark: str | None = None, keys=("hash",)) -> DataFrame:
@@ -157,27 +211,63 @@ def dedupe_stream(s: DataFrame, watermark: str | None = None, keys=("hash",)) ->
     return s.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(list(keys))
 
 
-def stream_snapshots(saves: DataFrame) -> DataFrame:
-    """Saves(doc_id, saved_at, save_id, content) whose text differs from the one before, on a stream.
+def stream_snapshots(saves: DataFrame, watermark: str = "1 hour", expire: int | None = None) -> DataFrame:
+    """Saves(doc_id, saved_at, save_id, content) whose text differs from the one before in event time, on a stream.
 
-    The state of a document is one hash. Rows of a micro-batch are put in time order per document.
+    Saves wait in the state until the watermark has passed them, so a late one lands between its neighbours; those
+    that come after the mark are dropped. Then the state of a document is the hash of its last text, and with ``expire``
+    seconds without a save it goes too, and the next save counts as a first one. Rows without a document only move the watermark.
     """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+    d = saves if watermark is None else saves.withWatermark("saved_at", watermark)
+    return _differing(d, expire)
+
+
+def _differing(d: DataFrame, expire: int | None, gap: int = 0) -> DataFrame:
+    """Versions of saves: those less than ``gap`` milliseconds after the one before are one burst, which its last text stands for."""
     import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key, frames, state: GroupState):
-        last = state.get[0] if state.exists else None
-        pdf = pd.concat(list(frames)).sort_values(["saved_at", "save_id"], kind="stable")
-        before = pdf["h"].shift(1)
-        changed = pdf["h"] != before
-        changed.iloc[0] = last is None or int(pdf["h"].iloc[0]) != last
-        state.update((int(pdf["h"].iloc[-1]),))
-        yield pdf[changed][["doc_id", "save_id", "content"]]
-
-    d = saves.withColumn("h", F.xxhash64("content"))
-    return d.groupBy("doc_id").applyInPandasWithState(
-        step, "doc_id bigint, save_id bigint, content string", "h bigint", "append", GroupStateTimeout.NoTimeout
-    )
+        doc = key[0]
+        if doc is None or doc != doc:
+            return
+        mark = state.getCurrentWatermarkMs() * 1000
+        last, seen, at, ids, hashes, texts = state.get if state.exists else (None, None, [], [], [], [])
+        rows = list(zip(at, ids, hashes, texts, strict=True))
+        for pdf in frames:
+            rows.extend((int(a), int(i), int(h), c) for a, i, h, c in pdf[["at", "save_id", "h", "content"]].itertuples(index=False, name=None))
+        rows.sort(key=lambda r: r[:2])
+        bursts: list[list] = []
+        for r in rows:
+            if bursts and r[0] < bursts[-1][-1][0] + gap * 1000:
+                bursts[-1].append(r)
+            else:
+                bursts.append([r])
+        wait, out = [], []
+        for burst in bursts:
+            a, _, h, c = burst[-1]
+            if wait or a + gap * 1000 > mark:
+                wait.extend(burst)
+                continue
+            if last is None or h != last:
+                out.append((doc, max(r[1] for r in burst), c))
+            last, seen = h, a
+        over = None if seen is None or expire is None else seen // 1000 + expire * 1000
+        if not wait and (over is not None and over * 1000 <= mark or last is None):
+            if state.exists:
+                state.remove()
+        else:
+            state.update((last, seen, *([r[k] for r in wait] for k in range(4))))
+            if wait:
+                state.setTimeoutTimestamp(max(wait[0][0] // 1000 + gap, mark // 1000) + 1)
+            elif over is not None:
+                state.setTimeoutTimestamp(over + 1)
+        if out:
+            yield pd.DataFrame(out, columns=["doc_id", "save_id", "content"])
+
+    keyed = d.withColumns({"h": F.xxhash64("content"), "at": F.unix_micros(F.col("saved_at").cast("timestamp"))})
+    held = "last bigint, seen bigint, at array<bigint>, ids array<bigint>, hashes array<bigint>, texts array<string>"
+    return keyed.groupBy("doc_id").applyInPandasWithState(step, "doc_id bigint, save_id bigint, content string", held, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drain(stream: DataFrame, name: str = "drain", mode: str = "append") -> DataFrame:

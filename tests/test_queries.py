@@ -17,9 +17,9 @@ def test_queries_match_their_sql():
     assert not [x for x in lines if x.rstrip().endswith("EMPTY")]
 
 
-def test_each_query_has_sql_or_is_order_dependent():
+def test_each_query_has_sql():
     sys.path.insert(0, ROOT)
     import __spark_entry__ as e
 
     own = {x for x in e.queries() if x != "pipeline" and not re.match(r"op\d", x)}
-    assert own - set(e.oracle_sql()) == {"e15_pick_hot"}
+    assert not own - set(e.oracle_sql())

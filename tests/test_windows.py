@@ -81,6 +81,34 @@ def test_word_windows_and_blocks_agree(spark):
 
     text = " ".join(f"w{i % 7}" for i in range(733))
     d = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    a = windows.word_windows(split.doc_tokens(d), 200, 100).groupBy("window_id").agg(F.count("*").alias("n"), F.sum((F.col("word") == "w3").cast("int")).alias("k"))
+    a = windows.word_windows(split.doc_tokens(d), 200, 100)
     b = taxonomy.block_windows(d, 200, 100, k=lambda w: w == "w3")
-    assert sorted((r.window_id, r.n, r.k) for r in a.collect()) == sorted((r.window_id, r.words, r.k) for r in b.collect())
+    assert sorted((r.window_id, r.n) for r in a.collect()) == sorted((r.window_id, r.words) for r in b.collect())
+    words = text.split()
+    assert sorted((r.window_id, r.first_pos, r.last_pos, r.types) for r in a.collect()) == [
+        (i, 100 * i, min(100 * i + 200, 733) - 1, len(set(words[100 * i : 100 * i + 200]))) for i in range(8)
+    ]
+
+
+def test_sums_over_windows_are_those_of_their_sentences(spark):
+    import random
+
+    rng = random.Random(4)
+    s = [(d, i, rng.randint(0, 60)) for d in (1, 2, 3) for i in range(rng.choice([1, 40, 150]))]
+    sents = spark.createDataFrame(s, "doc_id long, sent_id int, word_count int")
+    hits = [(d, i, rng.choice("abc"), round(rng.random(), 6)) for d, i, _ in s for _ in range(rng.choice([0, 0, 1, 2]))]
+    h = spark.createDataFrame(hits, "doc_id long, sent_id int, type string, confidence double")
+    w = windows.rolling_windows(sents)
+    got = {(r.doc_id, r.size, r.start_sentence): r.density for r in windows.pattern_density(w, h, ["a", "b"]).collect()}
+    entropies = {(r.doc_id, r.size, r.start_sentence): r.device_entropy for r in windows.window_device_entropy(w, h).collect()}
+    assert len(got) == len(entropies) == w.count()
+    from collections import Counter
+    from math import log2
+
+    for r in w.collect():
+        inside = [x for x in hits if x[0] == r.doc_id and r.start_sentence <= x[1] <= r.end_sentence]
+        for t in "ab":
+            total = sum(round(x[3] * 10**6) for x in inside if x[2] == t) / 10**6
+            assert abs(got[r.doc_id, r.size, r.start_sentence][t] - (total * 100 / r.word_count if r.word_count else 0)) <= 0.0051
+        n = Counter(x[2] for x in inside)
+        assert abs(entropies[r.doc_id, r.size, r.start_sentence] + sum(c / len(inside) * log2(c / len(inside)) for c in n.values())) < 0.001
