@@ -145,6 +145,19 @@ def shingles(h: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return mix(np.append(sums[inside], rest)), np.append(doc[: len(sums)][inside], few)
 
 
+def named(rows: DataFrame, names: DataFrame, key: str | list[str], count: str, how: str = "left", heavy: int = 10_000) -> DataFrame:
+    """rows joined with names (key, count, ...), which has one row for each key of rows and how many rows have it.
+
+    Keys that more than one in ``heavy`` rows have are fewer than ``heavy``, so these names may be broadcast; a third of all rows may
+    have one key without meeting in a task.
+    """
+    total = names.agg(F.sum(count)).first()[0] or 0
+    large = names.where(F.col(count) > max(total // heavy, 1)).drop(count)
+    rest = rows.join(F.broadcast(large.select(key)), key, "left_anti").join(names.drop(count), key, how)
+    out = rows.join(F.broadcast(large), key)
+    return out.union(rest.select(*out.columns))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the undirected edges (u, v); root is the smallest node it can reach.
 

@@ -1,6 +1,7 @@
 """All links between documents whose sets of word n-grams are similar, as connected components.
 
-1. Equal sets are one set from the first step on, by a 64-bit signature; the shingles themselves are 64-bit hashes.
+1. Equal sets are one set from the first step on, by a 64-bit signature; the shingles themselves are 64-bit hashes. A second
+   64-bit signature shows where different sets share the first; these few get another.
 2. Sets meet in size bands. In a band of largest size u two similar sets differ in at most ``d`` shingles, so of
    ``d + 1 + e`` parts of the hash range at least ``e + 1`` hold the same shingles in both. Each set files the signature of
    each non-empty part, in its own band and, if it can be similar to larger sets, in the next; the pairs that share one
@@ -15,8 +16,8 @@
    together by a pivot tile for each band; only those that stay in pieces meet tile by tile.
 
 Defined cases: null text, empty text and text without words have an empty set and stand alone; fewer words than the
-n-gram are one shingle; repeated rows are linked as equal sets; a null doc_id is kept but never names a component unless it
-is all there is; an empty table gives no rows; only doc_id and text are read.
+n-gram are one shingle; repeated rows are linked as equal sets; a null doc_id is kept, links like any other, and never names a
+component unless it is all there is; an empty table gives no rows; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -82,9 +83,18 @@ def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
-def signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A 64-bit signature of each set."""
-    return mix(_sums(mix(h ^ U64(0x5BD1E995)), at) + np.diff(at).astype(U64) * U64(0x9E3779B97F4A7C15)).view(np.int64)
+def checks(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A second signature of each set, independent of the first."""
+    return mix(_sums(mix(h * U64(0xD6E8FEB86659FD93) ^ U64(0x27D4EB2F165667C5)), at) ^ np.diff(at).astype(U64)).view(np.int64)
+
+
+def signatures(h: np.ndarray, at: np.ndarray, shared: frozenset[int] = frozenset()) -> np.ndarray:
+    """A 64-bit signature of each set; sets whose signature is one of ``shared`` have one by ``checks`` instead."""
+    s = mix(_sums(mix(h ^ U64(0x5BD1E995)), at) + np.diff(at).astype(U64) * U64(0x9E3779B97F4A7C15)).view(np.int64)
+    if shared:
+        again = np.isin(s, np.fromiter(shared, np.int64))
+        s[again] = mix(checks(h, at)[again].view(U64)).view(np.int64)
+    return s
 
 
 def part_keys(h: np.ndarray, at: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,16 +140,17 @@ def part_keys(h: np.ndarray, at: np.ndarray, num: int, den: int) -> tuple[np.nda
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def _described(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+def _described(batches: Iterator[pa.RecordBatch], words: int, shared: frozenset[int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, off = common.utf8(batch.column(1))
-        n, s = np.zeros(len(off) - 1, np.int64), np.zeros(len(off) - 1, np.int64)
+        data, off = common.utf8(batch.column(2))
+        n, s, c = (np.zeros(len(off) - 1, np.int64) for _ in range(3))
         maps = []
         for i, j in common.chunks(off):
             h, at = sets(data[off[i] : off[j]], off[i : j + 1] - off[i], words)
-            n[i:j], s[i:j] = np.diff(at), signatures(h, at)
+            n[i:j], s[i:j], c[i:j] = np.diff(at), signatures(h, at, shared), checks(h, at)
             maps.extend(bitmap(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(s), pa.array(maps, pa.binary())], names=["doc_id", "n", "s", "bits"])
+        columns = [batch.column(0), batch.column(1), *map(pa.array, (n, s, c)), pa.array(maps, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tid", "n", "s", "c", "bits"])
 
 
 def bitmap(h: np.ndarray) -> bytes:
@@ -163,7 +174,7 @@ def may_overlap(maps: np.ndarray, n: np.ndarray, i: int, js: np.ndarray) -> np.n
     return np.minimum(n[i] - only_i, n[js] - only_j)
 
 
-def _filed(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int, bits: int) -> Iterator[pa.RecordBatch]:
+def _filed(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int, bits: int, shared: frozenset[int]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, np.ndarray]] = []
     seen: set[int] = set()  # sets that this task has filed lately: copies need not be filed again
 
@@ -181,7 +192,7 @@ def _filed(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int, bi
         data, off = common.utf8(batch.column(0))
         for i, j in common.chunks(off):
             h, at = sets(data[off[i] : off[j]], off[i : j + 1] - off[i], words)
-            s = signatures(h, at)
+            s = signatures(h, at, shared)
             if len(seen) > 100_000:
                 seen.clear()
             fresh = np.zeros(len(s), bool)
@@ -292,14 +303,14 @@ def _linked(t: pa.Table, num: int, den: int) -> pa.Table:
     return pa.table({"u": pa.array([a for a, _ in pairs], pa.int64()), "v": pa.array([b for _, b in pairs], pa.int64())})
 
 
-def _loaded(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+def _loaded(batches: Iterator[pa.RecordBatch], words: int, shared: frozenset[int]) -> Iterator[pa.RecordBatch]:
     """doc text, s, ... -> the same with the shingles in place of the text, for rows whose text has that signature."""
     for batch in batches:
         data, off = common.utf8(batch.column(0))
         want, keep, blobs = batch.column(1).to_numpy(), [], []
         for i, j in common.chunks(off):
             h, at = sets(data[off[i] : off[j]], off[i : j + 1] - off[i], words)
-            for k in np.flatnonzero(signatures(h, at) == want[i:j]):
+            for k in np.flatnonzero(signatures(h, at, shared) == want[i:j]):
                 keep.append(i + k)
                 blobs.append(h[at[k] : at[k + 1]].tobytes())
         rest = batch.take(pa.array(keep, pa.int64()))
@@ -335,10 +346,10 @@ def _paired(rows: DataFrame, tiles: DataFrame, key: str) -> DataFrame:
 
 def blocks(met: DataFrame, reps: DataFrame, large: DataFrame, num: int, den: int, block: int) -> tuple[DataFrame, DataFrame]:
     """The rows of the large meetings by size band and salt, about ``block`` in each, and the number of salts of each band."""
-    rows = met.join(F.broadcast(large.select("meeting")), "meeting").join(reps.select("s", "n", "bits"), "s")
+    rows = met.join(large.select("meeting"), "meeting").join(reps.select("s", "n", "bits"), "s")
     rows = common.stored(rows.withColumn("band", F.floor(F.log("n") / _step(num, den))))
     tiles = common.stored(rows.groupBy("meeting", "band").agg(F.ceil(F.count("*") / block).alias("tiles")))
-    return rows.join(F.broadcast(tiles), ["meeting", "band"]).withColumn("salt", F.pmod(F.xxhash64("s"), "tiles")), tiles
+    return rows.join(tiles, ["meeting", "band"]).withColumn("salt", F.pmod(F.xxhash64("s"), "tiles")), tiles
 
 
 def _step(num: int, den: int) -> float:
@@ -356,7 +367,7 @@ def _candidates(met: DataFrame, reps: DataFrame, num: int, den: int, block: int)
     groups = max(1, met.count() >> 13)
     large = common.stored(met.groupBy("meeting").count().where(F.col("count") > block))
     some = bool(large.head(1))
-    small = met.join(F.broadcast(large), "meeting", "left_anti") if some else met
+    small = met.join(large, "meeting", "left_anti") if some else met
     may = pairs(small.join(reps.select("s", "n", "bits"), "s").withColumn("grp", F.pmod("meeting", F.lit(groups))), "grp")
     if not some:
         return may
@@ -365,24 +376,27 @@ def _candidates(met: DataFrame, reps: DataFrame, num: int, den: int, block: int)
     roots = common.stored(common.components(may))
     rows = rows.join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
     split = rows.groupBy("meeting").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("meeting")
-    rest = rows.join(F.broadcast(common.stored(split)), "meeting", "left_semi")
+    rest = rows.join(common.stored(split), "meeting", "left_semi")
     return may.union(pairs(_paired(rest, tiles, "meeting"), "meeting", "tile"))
 
 
-def _links(docs: DataFrame, reps: DataFrame, words: int, num: int, den: int, capacity: int, block: int) -> DataFrame:
+def _links(docs: DataFrame, reps: DataFrame, words: int, num: int, den: int, capacity: int, block: int, shared: frozenset[int]) -> DataFrame:
     """Verified links (u, v) between signatures that leave no similar pair unconnected."""
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(6, (size >> 22).bit_length())
-    filed = docs.select("text").mapInArrow(lambda b: _filed(b, words, num, den, bits), "bucket long, packed binary")
+    filed = docs.select("text").mapInArrow(lambda b: _filed(b, words, num, den, bits, shared), "bucket long, packed binary")
     met = common.stored(filed.groupBy("bucket").applyInArrow(_met, "meeting long, s long").distinct())
     clusters = common.stored(common.components(_candidates(met, reps, num, den, block)).withColumnsRenamed({"node": "s", "root": "cluster"}))
-    members = reps.select("s", "doc_id", "n").join(clusters, "s").withColumn("band", F.floor(F.log("n") / _step(num, den)))
+    members = reps.select("s", "row", "n").join(clusters, "s").withColumn("band", F.floor(F.log("n") / _step(num, den)))
     by_band = members.groupBy("cluster", "band").agg(F.sum("n").alias("weight"))
     whole = by_band.groupBy("cluster").agg(F.sum("weight").alias("total"))
     tiles = common.stored(by_band.join(whole, "cluster").select("cluster", "band", F.when(F.col("total") <= capacity, 0).otherwise(F.ceil(F.col("weight") / capacity)).alias("tiles")))
     placed = members.join(tiles, ["cluster", "band"]).withColumn("salt", F.when(F.col("tiles") > 0, F.pmod(F.xxhash64("s"), "tiles")).otherwise(0))
-    loaded = docs.select("doc_id", "text").join(placed.select("doc_id", "s", "cluster", "band", "tiles", "salt"), "doc_id").select("text", "s", "cluster", "band", "tiles", "salt")
-    loaded = common.stored(loaded.mapInArrow(lambda b: _loaded(b, words), "shingles binary, s long, cluster long, band long, tiles long, salt long"))
+    # one row stands for a set, by its id, which may be null, and its text's digest; rows that are equal in both are one
+    wanted = placed.select(F.col("row.doc_id").alias("doc"), F.col("row.tid").alias("tid"), "s", "cluster", "band", "tiles", "salt")
+    loaded = docs.join(wanted, (docs["doc_id"].eqNullSafe(wanted["doc"])) & (docs["tid"] == wanted["tid"])).drop(docs["tid"])
+    loaded = loaded.dropDuplicates(["doc", "tid", "s"]).select("text", "s", "cluster", "band", "tiles", "salt")
+    loaded = common.stored(loaded.mapInArrow(lambda b: _loaded(b, words, shared), "shingles binary, s long, cluster long, band long, tiles long, salt long"))
     first = loaded.withColumn("root", F.col("s")).withColumn("tile", F.explode(F.when(F.col("tiles") == 0, F.array(F.lit(""))).otherwise(_pivots())))
     links = common.stored(_tiled(first, num, den))
     roots = common.stored(common.components(links))
@@ -391,26 +405,68 @@ def _links(docs: DataFrame, reps: DataFrame, words: int, num: int, den: int, cap
     large = large.join(split, "cluster", "left_semi")
     rest = _paired(large, tiles, "cluster")
     all_links = common.stored(links.union(_tiled(rest.select(*first.columns), num, den)))
-    for done in (met, loaded, links):
+    for done in (met, clusters, tiles, loaded, links, roots):
         common.release(done)
     return all_links
 
 
+def _sets(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame, frozenset[int]]:
+    """Each row with its set's size and signature; one row per set; and the signatures that different sets shared."""
+    shared: frozenset[int] = frozenset()
+    while True:
+        each = common.stored(docs.mapInArrow(lambda b, x=shared: _described(b, words, x), "doc_id long, tid binary, n long, s long, c long, bits binary"))
+        sums = [F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "tid")).alias("row"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")).alias("best")]
+        sums += [F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("rows"), F.min("c").alias("c"), F.max("c").alias("d")]
+        reps = common.stored(each.where("n > 0").groupBy("s").agg(*sums))
+        more = [r.s for r in reps.where("c <> d").select("s").collect()]  # about n * n / 2**65 of n sets
+        if not more:
+            return each, reps, shared
+        common.release(each)
+        common.release(reps)
+        shared |= frozenset(more)
+
+
+def _resolved(docs: DataFrame, words: int, num: int, den: int, capacity: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """``_sets`` of docs, with the root of each set's component."""
+    if 10 * num < 7 * den:
+        raise ValueError("the similarity must be 0.7 or more")
+    text = F.coalesce(docs["text"], F.lit(""))
+    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("tid"), text.alias("text"))
+    each, reps, shared = _sets(docs, words)
+    links = _links(docs, reps, words, num, den, capacity, block, shared)
+    roots = common.components(links).withColumnRenamed("node", "s")
+    return each, common.stored(reps.join(roots, "s", "left").select("s", "n", "rows", "doc_id", "best", F.coalesce("root", "s").alias("root")))
+
+
 def similar(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, capacity: int = 1 << 18, block: int = 4096) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: documents link when den * intersection >= num * union of their sets.
 
     ``capacity`` bounds the shingles in a tile, ``block`` the sets that are compared by bitmaps at once. Below a similarity of 0.7 sets would need more parts than they have shingles.
     """
-    if 10 * num < 7 * den:
-        raise ValueError("the similarity must be 0.7 or more")
-    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    each = common.stored(docs.mapInArrow(lambda b: _described(b, words), "doc_id long, n long, s long, bits binary"))
-    reps = each.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("bits").alias("bits"))
-    known = common.stored(common.components(_links(docs, reps, words, num, den, capacity, block))).withColumnRenamed("node", "s")
-    least = known.join(reps, "s").groupBy("root").agg(F.min("doc_id").alias("least"))
-    named = reps.join(known.join(least, "root").select("s", "least"), "s", "left").select("s", F.coalesce("least", "doc_id").alias("component_id"))
-    full = each.where("n > 0").join(named, "s").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    return full.union(each.where("n = 0").select("doc_id", "n", "doc_id"))
+    each, found = _resolved(docs, words, num, den, capacity, block)
+    least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = common.stored(found.join(least, "root").select("s", "rows", "component_id"))
+    full = common.named(each.where("n > 0").select("doc_id", "n", "s"), named, "s", "rows")
+    return full.select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(each.where("n = 0").select("doc_id", "n", "doc_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, capacity: int = 1 << 18, block: int = 4096) -> DataFrame:
+    """docs with one row of each component: that with the smallest id, of equal ids that with the least digest of its text; rows of no id
+    come last. Rows equal in id and text are one. Rows without words stay."""
+    each, found = _resolved(docs, words, num, den, capacity, block)
+    best = found.groupBy("root").agg(F.min("best").alias("best"), F.sum("rows").alias("of"))
+    chosen = common.stored(found.join(best.where("of > 1"), "root").select("s", "rows", F.col("best.doc_id").alias("kept_id"), F.col("best.tid").alias("kept_tid")))
+    rows = common.named(each.where("n > 0").select("doc_id", "tid", "s"), chosen, "s", "rows", how="inner")
+    stays = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("tid") == F.col("kept_tid"))
+    marks = common.stored(rows.groupBy("doc_id", "tid").agg(F.max(F.when(stays, F.lit(1)).otherwise(0)).alias("stays"), F.count("*").alias("times")).where("stays = 0 or times > 1"))
+    names = docs.columns
+    key, once = (f"_{x}_of_{'_'.join(names)}" for x in ("key", "once"))  # names that docs doesn't have
+    tid = F.unhex(F.md5(F.coalesce(docs["text"], F.lit(""))))
+    keyed = docs.select(F.struct(*(docs[c].alias(c) for c in names)).alias(once), F.struct(docs["doc_id"].cast("long").alias("doc_id"), tid.alias("tid")).alias(key))
+    marked = marks.select(F.struct("doc_id", "tid").alias(key), "stays")
+    plain = keyed.join(marked, key, "left_anti").select(f"{once}.*")
+    again = keyed.join(marked.where("stays = 1"), key, "left_semi").dropDuplicates([key]).select(f"{once}.*")
+    return plain.union(again)
 
 
 def op3_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

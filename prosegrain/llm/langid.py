@@ -3,10 +3,11 @@
 Two small networks read windows of a text's UTF-8 bytes, one from either end, and label every byte; a document's
 probabilities are the means over its bytes. Windows start afresh, so a text of any length is read whole in bounded memory.
 The network is trained here, by backpropagation through time, on ``pieces`` windows spread over each of at most ``most``
-documents of a language (those with the smallest hash of their id): the only bound on what is learnt from.
+documents (those with the smallest hash of their id) of each of the ``labels`` most frequent languages: the only bounds on what is
+learnt from. A text that is shorter than a window fills one by repetition. Only the windows travel.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; so is every text if nothing can be learnt;
-repeated rows are labelled each; an empty table gives no rows; lang is read for learning only, other columns not at all.
+rows without lang are not learnt from; repeated rows are labelled each; an empty table gives no rows; lang is read for learning only, other columns not at all.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ class Setting:
     hidden: int = 8
     window: int = 64
     most: int = 1500
+    labels: int = 64
     pieces: int = 4
     steps: int = 1000
     batch: int = 64
@@ -158,36 +160,37 @@ class Model:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], s: Setting) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, lang) to (doc_id, lang, pieces): up to ``s.pieces`` windows of each text, end to end; a text that is shorter than a
+    window is read round and round until it fills one."""
     for batch in batches:
         data, off = common.utf8(batch.column(1))
-        langs, pieces, docs = [], [], []
-        for i, lang in enumerate(batch.column(2).to_pylist()):
-            size = int(off[i + 1] - off[i])
-            spots = sorted({int(x) for x in np.linspace(0, size - s.window, s.pieces)}) if size >= s.window else []
-            for at in spots:
-                langs.append(lang)
-                docs.append(batch.column(0)[i].as_py())
-                pieces.append(data[off[i] + at : off[i] + at + s.window].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(langs, pa.string()), pa.array(pieces, pa.binary())], names=["doc_id", "lang", "piece"])
+        pieces = []
+        for i in range(batch.num_rows):
+            text = data[off[i] : off[i + 1]]
+            size = len(text) - s.window
+            spots = sorted({int(x) for x in np.linspace(0, size, s.pieces)}) if size >= 0 else []
+            pieces.append(b"".join(text[x : x + s.window].tobytes() for x in spots) if spots else np.resize(text, s.window if len(text) else 0).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(pieces, pa.binary())], names=["doc_id", "lang", "pieces"])
 
 
 def fit(docs: DataFrame, may_learn: Column | None = None, s: Setting = Setting()) -> Model:
     """A model of ``lang`` from ``text``; only rows that ``may_learn`` holds for are used."""
-    known = docs.select("doc_id", "text", "lang").where(f"lang is not null and octet_length(text) >= {s.window}")
+    known = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", "lang").where("lang is not null and octet_length(text) > 0")
     known = known.where(may_learn) if may_learn is not None else known
-    least = (F.xxhash64("doc_id"), "doc_id")
-    # Hash groups within a language choose first, so that no task ranks all of a frequent one.
-    chosen = known.select("doc_id", "lang").withColumn("part", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 64)
+    cut = known.mapInArrow(lambda b: _pieces(b, s), "doc_id long, lang string, pieces binary")
+    # Hash groups within a language choose first, so that no task ranks all of a frequent one; a task ranks its own rows before that.
+    chosen = cut.withColumn("part", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 64)
     for by in (["lang", "part"], ["lang"]):
-        chosen = chosen.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*least))).where(F.col("place") <= s.most).drop("place")
-    chosen = chosen.select("doc_id", "lang").distinct()
-    sample = known.join(chosen, ["doc_id", "lang"]).select("doc_id", "text", "lang").mapInArrow(lambda b: _pieces(b, s), "doc_id long, lang string, piece binary")
-    got = sample.toPandas().sort_values(["doc_id", "piece"])
+        w = Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id", "pieces")
+        chosen = chosen.withColumn("place", F.row_number().over(w)).where(F.col("place") <= s.most).drop("place")
+    frequent = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(s.labels).select("lang")
+    got = chosen.join(F.broadcast(frequent), "lang").select("doc_id", "lang", "pieces").toPandas().sort_values(["doc_id", "pieces"])
     labels = sorted(got["lang"].unique()) if len(got) else []
     if not labels:
         return Model([], [], s.window)
-    windows = np.frombuffer(b"".join(got["piece"]), np.uint8).reshape(len(got), s.window)
-    return Model(labels, train(windows, np.searchsorted(labels, got["lang"]), len(labels), s), s.window)
+    y = np.repeat(np.searchsorted(labels, got["lang"]), got["pieces"].map(len) // s.window)
+    windows = np.frombuffer(b"".join(got["pieces"]), np.uint8).reshape(-1, s.window)
+    return Model(labels, train(windows, y, len(labels), s), s.window)
 
 
 def _labelled(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:

@@ -7,8 +7,9 @@ tokens' vectors. A two-layer network learns the labels of a sample of ``most`` r
 their id; the only bound on what is learnt from), and a temperature fitted on a fifth of the sample calibrates it.
 
 Defined cases: null and empty texts have all-zero features and get the network's score for those; repeated rows are
-scored each; several labels of one id count by their mean; without usable labels every score is 0.5; an empty table
-gives no rows; input columns other than doc_id and text are never read for a score.
+scored each; several labels of one id count by their mean, and of several texts of one id that with the least features is learnt from;
+without usable labels every score is 0.5; an empty table gives no rows; texts of any length are pooled whole; input columns other
+than doc_id and text are never read for a score.
 """
 
 from __future__ import annotations
@@ -162,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, s:
             x = pooled(*common.utf8(b.column(1)), vectors, s.bits)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    got = chosen.mapInArrow(features, "doc_id long, y double, x array<double>").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    got = chosen.mapInArrow(features, "doc_id long, y double, x array<double>").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x")).toPandas().sort_values("doc_id")
     d = 2 * s.dims
     if got.empty:
         return Model(vectors, np.zeros(d), np.ones(d), (np.zeros((d, 1)), np.zeros(1), np.zeros(1), np.zeros(1)), 1.0, s.bits)

@@ -55,8 +55,8 @@ class Rule:
 
 RULES = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?+\x20*+[:=]\x20*+["']?+([A-Za-z0-9+/_.=-]++)""", 6, 2, ("password", "passwd", "secret", "token", "apikey", "api_key"), "[:=]"),
-    Rule("access", r"AKIA[A-Z0-9]++", 20, 0, ("akia",)),
-    Rule("hex", r"[0-9a-f]++", 24, 0, (), r"[0-9a-f]{24}"),
+    Rule("access", r"AKIA[A-Z0-9]{16,}+", 20, 0, ("akia",)),
+    Rule("hex", r"(?<![0-9a-f])[0-9a-f]{24,}+", 24, 0, (), r"[0-9a-f]{24}"),
     Rule("private", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 1, 0, ("private key-----",)),
     Rule("web", r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", 1, 0, (".eyj",)),
     Rule("hub", r"(?:gh[pousr]_[A-Za-z0-9]{36}|glpat-[A-Za-z0-9_-]{20}|xox[abprs]-[A-Za-z0-9-]{10,}+)", 1, 0, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")),

@@ -38,7 +38,7 @@ PIECE = 1 << 20
 _PLACE = U64((1 << 26) - 1)
 WINDOW = [("a", "<u8"), ("b", "<u8"), ("tid", "V16"), ("p", "<i4")]
 ANCHOR = "key long, sig long, tid binary, o int, lo int, hi int"
-SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
 
 
 def anchors(data: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
@@ -356,7 +356,8 @@ def _contexts(batches: Iterator[pa.RecordBatch], size: int, words: bool) -> Iter
 
 
 def spans(docs: DataFrame, size: int = 400, block: int = 4096, group: int = 2048, piece: int = PIECE, words: bool = False) -> tuple[Column, DataFrame]:
-    """An expression for a text's id, and for the ids that lose bytes: the runs of starts of their repeated strings, or that all goes.
+    """An expression for a text's id, and for the ids that lose bytes: the runs of starts of their repeated strings, or that all goes, and
+    how many rows have the text.
 
     With ``words``, size and runs are in bytes of ``word_bytes``, and a text may be marked as whole that has less than size.
     """
@@ -365,24 +366,28 @@ def spans(docs: DataFrame, size: int = 400, block: int = 4096, group: int = 2048
     named = docs.select("doc_id", text.alias("text"), tid.alias("tid"))
     found = common.stored(named.select("text", "tid").mapInArrow(lambda b: _anchored(b, size, piece, words), ANCHOR))
     place = F.struct("tid", "o")
-    keys = found.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("key")
-    kept = found.join(common.stored(keys), "key").distinct()
+    keys = common.stored(found.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("rows")).where("a <> b").select("key", "rows"))
+    kept = common.named(found, keys, "key", "rows", how="inner").distinct()
     # Places whose strings are all alike repeat whole; one of them meets the others of the gram, if there are any.
-    alike = kept.groupBy("key", "sig").agg(F.count("*").alias("places"), F.min(place).alias("rep"))
-    alike = common.stored(alike.join(alike.groupBy("key").agg(F.count("*").alias("kinds")), "key"))
+    each = common.stored(kept.groupBy("key", "sig").agg(F.count("*").alias("places"), F.min(place).alias("rep")))
+    kinds = common.stored(each.groupBy("key").agg(F.count("*").alias("kinds"), F.count("*").alias("rows")))
+    alike = common.stored(common.named(each, kinds, "key", "rows"))
     n = alike.where("kinds > 1").count()
     buckets = max(1, n // group)
     blocks = F.ceil(F.col("kinds") / block)
     dealt = F.when(blocks > 1, F.xxhash64("key", F.pmod(F.xxhash64("tid", "o"), blocks))).otherwise(F.pmod("key", F.lit(buckets)))
-    kept = common.stored(kept.join(alike.where("kinds > 1 or places > 1"), ["key", "sig"]))
-    common.release(found)
+    several = alike.where("kinds > 1 or places > 1").withColumn("rows", F.col("places"))
+    kept = common.stored(common.named(kept, several, ["key", "sig"], "rows", how="inner"))
+    for done in (found, keys, each, kinds):
+        common.release(done)
     direct = kept.where("places > 1").select("tid", F.col("lo").alias("first"), F.col("hi").alias("last"))
     meets = kept.where((F.col("kinds") > 1) & (F.col("rep") == place)).select(dealt.alias("grp"), (blocks > 1).alias("shared"), "key", "tid", "o", "lo", "hi")
     per_text = meets.groupBy("tid").agg(F.collect_list(F.struct(*meets.columns)).alias("anchors"))
     copies = named.where(F.octet_length("text") >= (size // 4 - 1 if words else size)).groupBy("tid").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
     # one row stands for a text; its id leads to the text, so that copies' texts are not gathered
     chosen = per_text.join(copies.select("tid", "doc_id"), "tid")
-    texts = named.join(chosen.withColumnRenamed("doc_id", "rep"), "tid").where("doc_id <=> rep").select("text", "tid", "anchors")
+    chosen = chosen.withColumnsRenamed({"doc_id": "rep", "tid": "of"})
+    texts = named.join(chosen, (named["tid"] == chosen["of"]) & named["doc_id"].eqNullSafe(chosen["rep"])).select("text", "tid", "anchors")
     made = texts.mapInArrow(lambda b: _contexts(b, size, words), "grp long, shared boolean, key long, tid binary, o int, lo int, hi int, context binary")
     shape = "tid binary, first int, last int"
     hits = made.groupBy("grp").applyInArrow(lambda t: _repeated(t, size), shape).union(direct)
@@ -391,8 +396,12 @@ def spans(docs: DataFrame, size: int = 400, block: int = 4096, group: int = 2048
         over = made.where("shared").groupBy("grp").applyInArrow(lambda t: _strings(t, size, bits), "bucket long, packed binary")
         hits = hits.union(over.groupBy("bucket").applyInArrow(_across, shape))
     runs = hits.groupBy("tid").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    whole = copies.where("n > 1").select("tid", F.lit(True).alias("whole"))
-    return tid, runs.join(whole, "tid", "full").select("tid", "runs", F.coalesce("whole", F.lit(False)).alias("whole"))
+    whole = copies.where("n > 1").select("tid", F.lit(True).alias("whole"), F.col("n").alias("rows"))
+    lost = runs.join(whole, "tid", "full").select("tid", "runs", F.coalesce("whole", F.lit(False)).alias("whole"), F.coalesce("rows", F.lit(1)).alias("rows"))
+    lost = common.stored(lost)
+    for done in (alike, kept):
+        common.release(done)
+    return tid, lost
 
 
 def removed(length: int, runs: np.ndarray, size: int) -> np.ndarray:
@@ -423,15 +432,15 @@ def _word_ranges(text: np.ndarray, runs: np.ndarray, whole: bool, words: int) ->
 
 
 def _cut(batches: Iterator[pa.RecordBatch], at: int, size: int, words: int = 0):
-    """For each row of batches that end in (runs, whole), with ``words`` in two such pairs: the batch, and the bytes, removed
-    ranges of each text."""
+    """For each row of batches that end in (runs, whole), with ``words`` in two such pairs: the batch, and each text's bytes, the
+    ranges removed by bytes, and all removed ranges."""
     for batch in batches:
         data, off = common.utf8(batch.column(at))
         marks = [(batch.column(k), batch.column(k + 1).to_pylist()) for k in range(batch.num_columns - (4 if words else 2), batch.num_columns, 2)]
         out = []
         for i in range(batch.num_rows):
             text = data[off[i] : off[i + 1]]
-            ranges = np.zeros((0, 2), np.int64)
+            ranges = by_bytes = np.zeros((0, 2), np.int64)
             for by_word, (runs, whole) in enumerate(marks):
                 own = np.zeros((0, 2), np.int64)
                 if runs[i].is_valid:
@@ -444,7 +453,8 @@ def _cut(batches: Iterator[pa.RecordBatch], at: int, size: int, words: int = 0):
                 elif len(own):
                     own = removed(len(text), own, size)
                 ranges = _joined(np.concatenate([ranges, own])) if by_word and len(own) else ranges if by_word else own
-            out.append((text, ranges))
+                by_bytes = by_bytes if by_word else own
+            out.append((text, by_bytes, ranges))
         yield batch, out
 
 
@@ -457,15 +467,17 @@ def kept_bytes(text: np.ndarray, ranges: np.ndarray) -> bytes:
     return text[keep].tobytes()
 
 
-def _digests(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for batch, texts in _cut(batches, 1, size):
+def _digests(batches: Iterator[pa.RecordBatch], size: int, words: int) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    for batch, texts in _cut(batches, 1, size, words):
         n, gone, count, sha = [], [], [], []
-        for text, ranges in texts:
+        for text, ranges, _ in texts:
             n.append(len(text))
             gone.append(int((ranges[:, 1] - ranges[:, 0]).sum()))
             count.append(len(ranges))
             sha.append(hashlib.sha256(kept_bytes(text, ranges)).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, gone, count)), pa.array(sha, pa.string())], names=[c.split()[0] for c in SCHEMA.split(", ")])
+        rest = pa.array([kept_bytes(t, r).decode("utf-8", "ignore") for t, _, r in texts], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n, gone, count)), pa.array(sha, pa.string()), rest], names=names)
 
 
 def _marked(docs: DataFrame, size: int, words: int = 0, **bounds) -> DataFrame:
@@ -476,18 +488,18 @@ def _marked(docs: DataFrame, size: int, words: int = 0, **bounds) -> DataFrame:
     for by_word in (False, True) if words else (False,):
         tid, lost = spans(docs, 8 * words if by_word else size, words=by_word, **bounds)
         t = f"tid_{int(by_word)}" + hashlib.md5("".join(names).encode()).hexdigest()  # a name that docs doesn't have
-        lost = lost.withColumnsRenamed({"tid": t, "runs": f"runs_{t}", "whole": f"whole_{t}"})
-        if words:
-            lost = common.stored(lost)
-        out = out.select(*(out[c] for c in (*names, *added)), tid.alias(t)).join(lost, t, "left").select(*names, *added, f"runs_{t}", F.coalesce(f"whole_{t}", F.lit(False)).alias(f"whole_{t}"))
+        lost = lost.withColumnsRenamed({"tid": t, "runs": f"runs_{t}", "whole": f"whole_{t}", "rows": f"rows_{t}"})
+        joined = common.named(out.select(*(out[c] for c in (*names, *added)), tid.alias(t)), lost, t, f"rows_{t}")
+        out = joined.select(*names, *added, f"runs_{t}", F.coalesce(f"whole_{t}", F.lit(False)).alias(f"whole_{t}"))
         added += [f"runs_{t}", f"whole_{t}"]
     return out
 
 
-def digests(docs: DataFrame, size: int = 400, **bounds) -> DataFrame:
-    """SCHEMA for every row: what is removed and a digest of what stays."""
+def digests(docs: DataFrame, size: int = 400, words: int = 51, **bounds) -> DataFrame:
+    """SCHEMA for every row: what is removed by bytes and a digest of what stays; the last column is the text without repeated strings
+    of ``size`` bytes and, unless ``words`` is 0, without repeated passages of so many words (see ``cleaned``)."""
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    return _marked(docs, size, **bounds).mapInArrow(lambda b: _digests(b, size), SCHEMA)
+    return _marked(docs, size, words, **bounds).mapInArrow(lambda b: _digests(b, size, words), SCHEMA)
 
 
 def cleaned(docs: DataFrame, size: int = 400, words: int = 0, **bounds) -> DataFrame:
@@ -501,7 +513,7 @@ def cleaned(docs: DataFrame, size: int = 400, words: int = 0, **bounds) -> DataF
 
     def run(batches):
         for batch, texts in _cut(batches, at, size, words):
-            kept = [kept_bytes(t, r).decode("utf-8", "ignore") if len(r) else None for t, r in texts]
+            kept = [kept_bytes(t, r).decode("utf-8", "ignore") if len(r) else None for t, _, r in texts]
             old = batch.column(at).to_pylist()
             text = pa.array([a if b is None else b for a, b in zip(old, kept, strict=True)], pa.string())
             columns = list(batch.columns[:-extra])

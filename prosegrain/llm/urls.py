@@ -1,16 +1,17 @@
 """URL filters by an index of rules over their rarest token.
 
-A rule is a pattern over a url's host and path: ``*`` stands for anything, ``^`` for one separator or an end, ``||`` at the
-start for the start of the host or of one of its parent domains, and a closing ``*`` is implied after a path. Runs
+A rule is a pattern over a url from its host up to its fragment, in lower case: ``*`` stands for anything, ``^`` for one separator
+(neither letter nor digit) or an end, ``||`` at the start for the start of the host or of one of its parent domains. Runs
 of letters and digits between separators are its tokens. Spark counts the rules' tokens over all urls, each rule is
 filed under its rarest one, and a url's tokens fetch the rules to try; only those run their regular expression.
-Rules without a whole token are tried on every url.
+A rule without a whole token runs on urls that hold its longest literal.
 
 Host rules (``example.com/en/``) decide first, the longest that fits winning, equal lengths by text; then the general patterns
 block. What nothing fits is allowed. Rules are a list that the caller holds, so the index is no larger than that list.
 
-Defined cases: a null url, or one without ``://``, has an empty host and path, no rule, and is allowed; repeated rows
-are judged each; an empty table gives no rows; other columns are not read, in particular not the page itself.
+Defined cases: a null url, or one without ``://``, has an empty host and path, no rule, and is allowed; a null page_id is kept;
+repeated rows are judged each; a url of any length is judged whole; an empty table gives no rows; other columns are not read,
+in particular not the page itself.
 """
 
 from __future__ import annotations
@@ -31,8 +32,15 @@ _TOKEN = re.compile("[0-9a-z]+")
 
 #: Rules of the contract's form: (verdict, host and path).
 HOST_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: Words that mark an unwanted host or path where they stand alone.
-BLOCK_WORDS = ("ads", "adult", "bets", "casino", "pills", "porn", "spam", "viagra", "xxx")
+# What is blocked beyond the host rules.
+ADVERTISING = ("^ad^", "^ads^", "^adserver^", "^adservice^", "^advert*^", "^banner*^", "^doubleclick^", "^popunder^", "^sponsored^", "/click?*url=", "/redirect?*url=", "?*affiliate=", "?*aff_id=")
+TRACKING = ("^beacon^", "^pixel.gif", "^tracker^", "^tracking^", "?*clickid=", "?*utm_medium=cpc", "?*utm_campaign=*utm_term=")
+ADULT = ("^adult^", "^escort*^", "^porn*^", "^sex-*^", "^webcam*girls^", "^xxx^")
+GAMBLING = ("^bets^", "^casino^", "^jackpot^", "^online-*poker^", "^poker-*^", "^slots^", "^sportsbook*^")
+DRUGS = ("^cheap-*meds^", "^cialis^", "^pills^", "^viagra^")
+FRAUD = ("^crack*download^", "^hacked^", "^keygen^", "^login-*verify^", "^phish*^", "^spam^", "^warez^", "/wp-login.php", ".exe^")
+TRAPS = ("/calendar/*/calendar/", "/cgi-bin/*.pl?", "/checkout^", "^jsessionid^", "?*sessionid=", "?*sort=*&sort=")
+PATTERNS = ADVERTISING + TRACKING + ADULT + GAMBLING + DRUGS + FRAUD + TRAPS
 
 
 @dataclass(frozen=True)
@@ -44,7 +52,7 @@ class Rule:
 
     def regex(self) -> str:
         body = self.pattern.removeprefix("||")
-        parts = {"*": ".*", "^": "(?:[^0-9A-Za-z]|^|$)"}
+        parts = {"*": ".*", "^": "(?:[^0-9a-z]|^|$)"}
         return ("^(?:[^/]*[.])?" if body != self.pattern else "") + "".join(parts.get(c, re.escape(c)) for c in body)
 
     def tokens(self) -> list[str]:
@@ -53,8 +61,13 @@ class Rule:
         return re.findall(r"(?<=[^0-9a-z*])[0-9a-z]+(?=[^0-9a-z*])", edged)
 
 
-def rules(hosts: Sequence[tuple[str, str]] = HOST_RULES, words: Sequence[str] = BLOCK_WORDS) -> list[Rule]:
-    return [Rule(v, t, f"||{t}", True) for v, t in hosts] + [Rule("block", w, f"^{w}^") for w in words]
+    def literal(self) -> str:
+        """The longest run without a sign of the pattern language; it stands in every url that the rule fits."""
+        return max(re.split("[*^]", self.pattern.removeprefix("||").translate(_LOWER)), key=len)
+
+
+def rules(hosts: Sequence[tuple[str, str]] = HOST_RULES, patterns: Sequence[str] = PATTERNS) -> list[Rule]:
+    return [Rule(v, t, f"||{t}", True) for v, t in hosts] + [Rule("block", p, p) for p in patterns]
 
 
 def rarest(pages: DataFrame, given: Sequence[Rule]) -> dict[str, list[Rule]]:
@@ -70,12 +83,13 @@ def rarest(pages: DataFrame, given: Sequence[Rule]) -> dict[str, list[Rule]]:
     return index
 
 
-def parts(url: str | None) -> tuple[str, str]:
+def parts(url: str | None) -> tuple[str, str, str]:
+    """Host, path and query."""
     at = (url or "").find("://")
     if at < 0:
-        return "", ""
-    m = re.match(r"([^/?#]*)([^?#]*)", url[at + 3 :])
-    return m[1].translate(_LOWER), m[2]
+        return "", "", ""
+    m = re.match(r"([^/?#]*)([^?#]*)([^#]*)", url[at + 3 :])
+    return m[1].translate(_LOWER), m[2], m[3]
 
 
 def _judged(batches: Iterator[pa.RecordBatch], index: dict[str, list[Rule]]) -> Iterator[pa.RecordBatch]:
@@ -83,11 +97,14 @@ def _judged(batches: Iterator[pa.RecordBatch], index: dict[str, list[Rule]]) ->
     for batch in batches:
         out = []
         for url in batch.column(1).to_pylist():
-            host, path = parts(url)
-            plain, low = host + path, host + path.translate(_LOWER)
+            host, path, query = parts(url)
+            plain, low = host + path, host + (path + query).translate(_LOWER)
             best = None
-            for token in {"", *_TOKEN.findall(low)}:
-                for regex, r in compiled.get(token, ()):
+            found = [x for token in set(_TOKEN.findall(low)) for x in compiled.get(token, ())]
+            for among, tried in ((compiled.get("", ()), True), (found, False)):
+                for regex, r in among:
+                    if tried and r.literal() not in low:
+                        continue
                     if regex.search(plain if r.named else low) and (best is None or (not r.named, -len(r.text), r.text) < (not best.named, -len(best.text), best.text)):
                         best = r
             out.append((host, path, best.text if best and best.named else None, best.verdict if best else "allow"))
@@ -112,13 +129,17 @@ WITH a AS (
 ), b AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM a),
 c AS (
   SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM b
+    regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path, translate(regexp_extract(rest, '^[^#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM b
 ), rules(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
   ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
 d AS (
   SELECT *, (SELECT arg_max(h || p, length(h || p)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS rule FROM c
 )
 SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN (SELECT min(verdict) FROM rules WHERE h || p = rule)
-  WHEN regexp_matches(host || translate(path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '(^|[^0-9A-Za-z])(ads|adult|bets|casino|pills|porn|spam|viagra|xxx)([^0-9A-Za-z]|$)') THEN 'block' ELSE 'allow' END AS verdict FROM d
+  WHEN regexp_matches(low, '(^|[^0-9a-z])(ads?|adserver|adservice|advert.*|banner.*|doubleclick|popunder|sponsored|beacon|tracker|tracking)([^0-9a-z]|$)', 's')
+    OR regexp_matches(low, '(^|[^0-9a-z])(adult|escort.*|porn.*|sex-.*|webcam.*girls|xxx|bets|casino|jackpot|online-.*poker|poker-.*|slots|sportsbook.*)([^0-9a-z]|$)', 's')
+    OR regexp_matches(low, '(^|[^0-9a-z])(cheap-.*meds|cialis|pills|viagra|crack.*download|hacked|keygen|login-.*verify|phish.*|spam|warez|jsessionid)([^0-9a-z]|$)', 's')
+    OR regexp_matches(low, '(^|[^0-9a-z])pixel[.]gif|/(click|redirect)[?].*url=|[?].*(affiliate|aff_id|clickid|sessionid)=|[?].*utm_medium=cpc|[?].*utm_campaign=.*utm_term=', 's')
+    OR regexp_matches(low, '/wp-login[.]php|[.]exe([^0-9a-z]|$)|/calendar/.*/calendar/|/cgi-bin/.*[.]pl[?]|/checkout([^0-9a-z]|$)|[?].*sort=.*&sort=', 's')
+  THEN 'block' ELSE 'allow' END AS verdict FROM d
 """
