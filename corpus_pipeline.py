@@ -18,7 +18,11 @@ PASSAGE = 51
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject. It learns from the labels of the stage's own documents."""
+    """Documents that the classifier does not reject. It learns from the labels of the stage's own documents.
+
+    Null and empty texts are scored like any other; repeated rows are judged each; without labels nothing is rejected; rows of one id are
+    each judged by their own text; an empty table gives no rows.
+    """
     s = quality.Setting()
     model = quality.fit(docs, common.table(spark, sf_dir, "labels", "doc_id", "quality"), quality.learnable(), s)
     name = "_quality_of_" + "_".join(docs.columns)  # a name that docs doesn't have
@@ -28,14 +32,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest id: five words, similarity 0.8 or more.
 
-    Documents without words stay. Repeated rows of an id are one document.
+    Of rows with one id and different texts each is a document of its own; rows equal in id and text are one. Rows without an id are
+    kept if their group has no other. Documents without words stay.
     """
-    same = jaccard.similar(docs, words=5, num=80, den=100)
-    losers = common.stored(same.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct())
-    repeated = common.stored(same.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    kept = docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(once)
+    return jaccard.one_of_each(docs, words=5, num=80, den=100)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +47,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind."""
+    """Documents with personal data replaced by its kind. Null texts stay null; every row stays; other columns are passed on, the number of
+    characters brought up to date; an empty table gives no rows."""
     return _counted(pii.masked(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in training sequences of 2048 tokens."""
+    """The pieces of all documents in training sequences of 2048 tokens. Null and empty texts are the closing token alone; repeated rows are
+    packed as often as they occur; an empty table gives no rows."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
