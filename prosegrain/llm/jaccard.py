@@ -454,8 +454,8 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     """docs with one row of each component: that with the smallest id, of equal ids that with the least digest of its text; rows of no id
     come last. Rows equal in id and text are one. Rows without words stay."""
     each, found = _resolved(docs, words, num, den, capacity, block)
-    best = found.groupBy("root").agg(F.min("best").alias("best"), F.sum("rows").alias("of"))
-    chosen = common.stored(found.join(best.where("of > 1"), "root").select("s", "rows", F.col("best.doc_id").alias("kept_id"), F.col("best.tid").alias("kept_tid")))
+    best = found.groupBy("root").agg(F.min("best").alias("one"), F.sum("rows").alias("of"))
+    chosen = common.stored(found.join(best.where("of > 1"), "root").select("s", "rows", F.col("one.doc_id").alias("kept_id"), F.col("one.tid").alias("kept_tid")))
     rows = common.named(each.where("n > 0").select("doc_id", "tid", "s"), chosen, "s", "rows", how="inner")
     stays = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("tid") == F.col("kept_tid"))
     marks = common.stored(rows.groupBy("doc_id", "tid").agg(F.max(F.when(stays, F.lit(1)).otherwise(0)).alias("stays"), F.count("*").alias("times")).where("stays = 0 or times > 1"))
