@@ -89,6 +89,9 @@ class Cache:
         for old in self._names(self.path, "g")[:-2]:
             self._fs.delete(jvm.Path(f"{self.path}/{old}"), True)
 
+    def has(self, tier: str, name: str, batch_id: int) -> bool:
+        return any(p.endswith(f".{name}-{tier}.{batch_id}") for p in self._names(self._generation(), "part="))
+
     def size(self) -> int:
         """Writes of the newest generation."""
         return len(self._names(self._generation(), "part="))
@@ -103,7 +106,7 @@ def cached_sink(cache: Cache, schema, classify, out: str, tier: str = "full", na
     """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        if cache.size() >= every:
+        if cache.size() >= every and not cache.has(tier, name, batch_id):  # a repeated batch has not been committed
             cache.compact(schema, (tier,))
         known = cache.read(schema, tier, but=(name, batch_id))
         fresh = batch.join(known.select("hash"), "hash", "left_anti").dropDuplicates(["hash"])
@@ -214,8 +217,8 @@ def dedupe_stream(s: DataFrame, watermark: str | None = None, keys=("hash",)) ->
 def stream_snapshots(saves: DataFrame, watermark: str = "1 hour", expire: int | None = None) -> DataFrame:
     """Saves(doc_id, saved_at, save_id, content) whose text differs from the one before in event time, on a stream.
 
-    Saves wait in the state until the watermark has passed them, so a late one lands between its neighbours; those
-    that come after the mark are dropped. Then the state of a document is the hash of its last text, and with ``expire``
+    Saves wait in the state until the watermark has passed them, so a late one lands between its neighbours; one that comes
+    when a later save of its document has been passed is dropped. Then the state of a document is the hash of its last text, and with ``expire``
     seconds without a save it goes too, and the next save counts as a first one. Rows without a document only move the watermark.
     """
     d = saves if watermark is None else saves.withWatermark("saved_at", watermark)
@@ -234,8 +237,10 @@ def _differing(d: DataFrame, expire: int | None, gap: int = 0) -> DataFrame:
         mark = state.getCurrentWatermarkMs() * 1000
         last, seen, at, ids, hashes, texts = state.get if state.exists else (None, None, [], [], [], [])
         rows = list(zip(at, ids, hashes, texts, strict=True))
+        passed = -(1 << 62) if seen is None else max(seen, seen + gap * 1000 - 1)  # what is older has had its turn
         for pdf in frames:
-            rows.extend((int(a), int(i), int(h), c) for a, i, h, c in pdf[["at", "save_id", "h", "content"]].itertuples(index=False, name=None))
+            new = pdf[["at", "save_id", "h", "content"]].itertuples(index=False, name=None)
+            rows.extend((int(a), int(i), int(h), c) for a, i, h, c in new if a > passed)
         rows.sort(key=lambda r: r[:2])
         bursts: list[list] = []
         for r in rows:

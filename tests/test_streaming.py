@@ -34,7 +34,7 @@ def test_snapshots_of_a_stream_with_late_rows_are_those_of_the_batch(spark, tmp_
 
 def test_late_saves_land_between_their_neighbours(spark, tmp_path):
     at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
-    batches = [[(1, at(0), 1, "a"), (1, at(4), 3, "a")], [(1, at(2), 2, "b"), (2, at(5), 9, "x")], [(1, at(20), 4, "a")], [(1, at(1), 5, "too late")], [END]]
+    batches = [[(1, at(0), 1, "a"), (1, at(4), 3, "a")], [(1, at(2), 2, "b"), (2, at(5), 9, "x")], [(1, at(20), 4, "a")], [(1, at(21), 6, "a")], [(1, at(1), 5, "too late")], [END]]
     got = stream.drain(stream.stream_snapshots(deliveries(spark, str(tmp_path / "in"), batches), "6 hours"))
     assert sorted((r.doc_id, r.save_id) for r in got.collect()) == [(1, 1), (1, 2), (1, 3), (2, 9)]
     # with an expiry the last text is forgotten: the same text counts again
