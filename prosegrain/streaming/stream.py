@@ -254,7 +254,7 @@ def _differing(d: DataFrame, expire: int | None, gap: int = 0) -> DataFrame:
             if wait or a + gap * 1000 > mark:
                 wait.extend(burst)
                 continue
-            if last is None or h != last:
+            if last is None or h != last or (expire is not None and burst[0][0] - seen > expire * 1_000_000):
                 out.append((doc, max(r[1] for r in burst), c))
             last, seen = h, a
         over = None if seen is None or expire is None else seen // 1000 + expire * 1000
