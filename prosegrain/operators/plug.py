@@ -37,9 +37,10 @@ def _quoted(x: str) -> str:
     return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def register_functions(spark: SparkSession, sep: str = split.BLANK_LINE, prefix: str = "") -> None:
-    """Temporary table functions for SQL, for use with LATERAL: ``paragraphs(text)`` gives (paragraph_id, text), ``sentences(text)``
-    (sent_id, paragraph_id, text). They are the splitter's rules as SQL, and stay inside the plan."""
+def register_functions(spark: SparkSession, sep: str = split.BLANK_LINE, prefix: str = "doc_") -> None:
+    """Temporary table functions for SQL, for use with LATERAL: ``doc_paragraphs(text)`` gives (paragraph_id, text),
+    ``doc_sentences(text)`` (sent_id, paragraph_id, text); ``sentences`` alone is a function of Spark's own. They are the splitter's rules
+    as SQL, and stay inside the plan."""
     trim = lambda x: f"btrim({x}, ' \\t\\n\\u000b\\u000c\\r')"
     swap = lambda x, p, r: f"regexp_replace({x}, {_quoted(p)}, {_quoted(r)})"
     paragraphs = f"filter(transform(split(replace(_text, '\\r\\n', '\\n'), {_quoted(sep)}), p -> {trim('p')}), p -> p <> '')"
