@@ -103,3 +103,28 @@ def test_rules_by_rarest_token(spark):
     index = urls.rarest(pages, [rule, urls.Rule("block", "any", "*x*")])
     assert sorted(index) == ["", "common"]
     assert rule.tokens() == ["example", "com", "common"]
+
+
+def test_patterns_decide_as_all_expressions_would(spark):
+    import random
+    import re
+
+    rng = random.Random(2)
+    parts = ["ads", "Ad", "banner12", "banners", "x", "casino-win", "sex-shop", "click?a=1&url=b", "crack-free-download", "pixel.gif", "track", "setup.exe", "setup.exes", "calendar", "2024", "checkout", "jsessionid", "-", ".", "/", "?", "&", "sort=a", "_", "AFF_ID=7"]
+    hosts = ["www.ads.org", "adserver.example.org", "m.casinos.org", "example.org:80", "porn4u.de", "cheap-good-meds.info", "EXAMPLE.org"]
+    given = [f"http://{rng.choice(hosts)}/" + "".join(rng.choice(parts) + rng.choice(["", "/", "?", "&"]) for _ in range(rng.randrange(6))) for _ in range(600)]
+    given += ["http://a.org/" + "long" * 50_000 + "/ads/", "http://a.org/" + "long" * 50_000, None]
+    rules = urls.rules()
+    pages = spark.createDataFrame([(i if i % 50 else None, u) for i, u in enumerate(given)], "page_id long, url string")
+
+    def plain(url):
+        host, path, query = urls.parts(url)
+        low = host + (path + query).translate(urls._LOWER)
+        named = [r for r in rules if r.named and re.search(r.regex(), host + path, re.S)]
+        if named:
+            return max(named, key=lambda r: len(r.text)).verdict
+        return "block" if any(re.search(r.regex(), low, re.S) for r in rules if not r.named) else "allow"
+
+    got = sorted((str(r.page_id), r.verdict) for r in urls.judge(pages, rules).collect())
+    want = sorted((str(i if i % 50 else None), plain(u)) for i, u in enumerate(given))
+    assert got == want and {v for _, v in want} == {"allow", "block"}

@@ -130,3 +130,23 @@ def test_quality(spark, awkward):
     assert len({r.own for r in out if not (r.text or "").strip(" ")}) == 1
     none = quality.fit(awkward, spark.createDataFrame([], "doc_id long, quality int"))
     assert {r.own for r in quality.scored(awkward, none, "own").collect()} == {0.5}
+
+
+def test_short_texts_are_learnt_from(spark):
+    rows = [(i, f"le chat numero {i:02d}", "fr") for i in range(20)] + [(100 + i, f"the quick brown fox number {i} jumps over the lazy dog and then over the other one, too", "en") for i in range(20)]
+    rows += [(200, "", "de"), (201, None, "de"), (202, "no language", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, s=langid.Setting(steps=150))
+    assert model.labels == ["en", "fr"]
+    got = {r.doc_id: r.lang_pred for r in langid.label(docs, model).collect()}
+    assert sum(got[i] == lang for i, t, lang in rows[:40]) >= 38 and got[200] == got[201] == "und"
+    assert langid.fit(docs, s=langid.Setting(steps=2, labels=1)).labels == ["en"]  # the most frequent, by name where they tie
+
+
+def test_several_texts_of_an_id_are_learnt_from_alike(spark):
+    docs = common.table(spark, SF, "documents", "doc_id", "text")
+    twice = docs.union(docs.selectExpr("doc_id", "concat(text, ' and more') as text"))
+    labels = common.table(spark, SF, "labels", "doc_id", "quality")
+    s = quality.Setting(epochs=3)
+    a, b = (quality.fit(x, labels, None, s) for x in (twice.coalesce(1), twice.orderBy("text").repartition(5)))
+    assert all(np.allclose(x, y, atol=1e-6) for x, y in zip(a.layers, b.layers, strict=True))
