@@ -538,9 +538,8 @@ def opposition_scan(s: DataFrame, hits: DataFrame, cands: DataFrame, mapping: Da
     per = both.groupBy(*SENT).agg(F.count(F.lit(1)).alias("c"), F.collect_set("type").alias("ts"))
     kinds = {f"t{i}": t for i, t in enumerate(sorted(fixed.OPPOSITION_TYPES))}
     w = w.filter("size <> 'narrow'")
-    c = windows.changes(windows.reached(w, per), [], windows.FIRST, windows.AFTER, hits=F.col("c"), n_sentences=F.lit(1),
-                        **{n: F.array_contains("ts", t).cast("int") for n, t in kinds.items()})
-    sec = windows.swept(w, c, ["hits", "n_sentences", *kinds]).filter("n_sentences > 0")
+    values = {"hits": F.col("row.c"), "n_sentences": F.lit(1), **{n: F.array_contains("row.ts", t).cast("int") for n, t in kinds.items()}}
+    sec = windows.totals(windows.swept(windows.reached(w, per), list(values), windows._held(**values)), list(values)).filter("n_sentences > 0")
     sec = sec.withColumn("types", F.array_compact(F.array(*(F.when(F.col(n) > 0, t) for n, t in kinds.items())))).drop(*kinds)
     sec = sec.withColumn("density", F.when(F.col("word_count") > 0, X.js_round(F.col("hits") / F.col("word_count") * 1000, 2)).otherwise(0.0))
     return {"sentences": both.drop("text"), "paragraphs": paras, "sections": sec.drop("hits")}

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from prosegrain.dims import fixed
 from prosegrain.functions import exprs as X
-from prosegrain.functions.frames import stack
+from prosegrain.functions.frames import stack, stored
 
 SENT = ["doc_id", "sent_id"]
 WIN = ["doc_id", "size", "start_sentence"]
@@ -52,61 +52,73 @@ def sentence_type_sums(hits: DataFrame) -> DataFrame:
 #
 # The windows of a size, numbered by their start, have ascending starts and ends, so those that hold a sentence are a run of
 # numbers. What a sentence adds to its windows is one change at the run's first number and the reverse after its last one;
-# a running sum over the numbers gives every window's total. Windows are never multiplied by what is in them.
+# a running sum over the numbers gives every window's total. Windows are never multiplied by what is in them. Sentences and the
+# ends of windows share one order within the document, so one shuffle by document is enough.
 
 SIZE = ["doc_id", "size"]
+NAMES = [x[0] for x in fixed.WINDOW_SETS]
 
 
-def numbered(w: DataFrame) -> DataFrame:
-    """Windows with ``i``, their number within document and size."""
-    return w.withColumn("i", (F.row_number().over(Window.partitionBy(*SIZE).orderBy("start_sentence")) - 1).cast("bigint"))
+def reached(w: DataFrame, rows: DataFrame) -> DataFrame:
+    """The starts of the windows, and rows(doc_id, sent_id, …), in one table partitioned by document.
 
-
-def reached(w: DataFrame, rows: DataFrame, sizes=tuple(x[0] for x in fixed.WINDOW_SETS)) -> DataFrame:
-    """rows(doc_id, sent_id, …) with ``reach``, an array of (size, first, after): the numbers of the windows that hold the sentence."""
-    packed = rows.select("doc_id", F.col("sent_id").alias("pos"), F.lit(1).alias("k"), F.lit(None).cast("string").alias("size"), F.struct(*rows.columns).alias("row"))
-    empty = F.lit(None).cast(packed.schema["row"].dataType)
-    starts = w.select("doc_id", F.col("start_sentence").alias("pos"), F.lit(0).alias("k"), "size", empty.alias("row"))
-    ends = w.select("doc_id", F.col("end_sentence").alias("pos"), F.lit(2).alias("k"), "size", empty.alias("row"))
+    A row has itself as ``row``, and ``first`` and ``after``: by window size, in the order of NAMES, the number of the first window that
+    holds its sentence and the number after the last. A window has (size, i, start_sentence, end_sentence, word_count), i its number.
+    """
+    packed = rows.select("doc_id", F.col("sent_id").alias("pos"), F.lit(1).alias("k"), F.struct(*rows.columns).alias("row"))
+    fact = ["size", "start_sentence", "end_sentence", "word_count"]
+    ends = F.array(*(F.struct(F.col(c).alias("pos"), F.lit(k).alias("k")) for c, k in (("start_sentence", 0), ("end_sentence", 2))))
+    both = stack(packed, w.select("doc_id", *fact, F.inline(ends)), missing=True)
     so_far = Window.partitionBy("doc_id").orderBy("pos", "k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    count = lambda k, name: F.sum(F.when((F.col("k") == k) & (F.col("size") == name), 1).otherwise(0)).over(so_far)
-    reach = F.array(*(F.struct(F.lit(n).alias("size"), count(2, n).alias("first"), count(0, n).alias("after")) for n in sizes))
-    return stack(packed, starts, ends).withColumn("reach", reach).filter("k = 1").select("row.*", "reach")
+    count = lambda k, n: F.sum(F.when((F.col("k") == k) & (F.col("size") == n), 1).otherwise(0)).over(so_far)
+    both = both.withColumns({"first": F.array(*(count(2, n) for n in NAMES)), "after": F.array(*(count(0, n) for n in NAMES))})
+    i = F.get("after", F.array_position(F.array(*map(F.lit, NAMES)), F.col("size")).cast("int") - 1) - 1
+    return both.filter("k < 2").select("doc_id", *fact, F.when(F.col("k") == 0, i).alias("i"), "row", "first", "after")
+
+
+def swept(r: DataFrame, names: list[str], made, keys: list[str] | None = None) -> DataFrame:
+    """Windows of ``reached`` with the totals of ``names``. ``made`` gives, for a size and its place in ``first`` and ``after``, the runs
+    of a row: (a, b, {name: value}), of windows a up to, not including, b. With ``keys``, columns of the row, the changes stay apart."""
+    keys = keys or []
+    blank = [F.lit(None).cast("string").alias("size_"), F.lit(None).cast("bigint").alias("i_"), *[F.lit(0).cast("bigint").alias(n) for n in names]]
+
+    def change(size, at, sign, values):
+        return F.struct(F.lit(size).alias("size_"), at.cast("bigint").alias("i_"), *[(sign * values[n] if n in values else F.lit(0)).cast("bigint").alias(n) for n in names])
+
+    cells = []
+    for j, size in enumerate(NAMES):
+        for x, y, values in made(size, j):
+            cells += [F.when(x < y, change(size, x, 1, values)), F.when(x < y, change(size, y, -1, values))]
+    own = F.array(F.struct(*blank))
+    out = F.when(F.col("row").isNull(), own).otherwise(F.filter(F.array(*cells), lambda c: c.isNotNull()))
+    key = [F.col(f"row.{k}").alias(k) for k in keys]
+    e = r.select("doc_id", "size", "i", "start_sentence", "end_sentence", "word_count", *key, F.inline(out))
+    e = e.select("doc_id", F.coalesce("size", "size_").alias("size"), F.coalesce(F.col("i").cast("bigint"), F.col("i_")).alias("i"), "start_sentence", "end_sentence", "word_count", *keys, *names)
+    return e
 
 
-def changes(rows: DataFrame, keys: list[str], first, after, **values: Column) -> DataFrame:
-    """(doc_id, size, *keys, i, *values) of rows with a ``reach``: +value at ``first`` and -value at ``after``, which are functions of
-    its entry; nothing where the run is empty."""
-    names = list(values)
-    held = rows.select("doc_id", *keys, *[v.cast("bigint").alias(n) for n, v in values.items()], F.explode("reach").alias("r"))
-    held = held.select("doc_id", *keys, *names, F.col("r.size").alias("size"), first("r").alias("a"), after("r").alias("b")).filter("a < b")
-    at = lambda c, sign: F.struct(F.col(c).cast("bigint").alias("i"), *[(sign * F.col(n)).alias(n) for n in names])
-    return held.select(*SIZE, *keys, F.inline(F.array(at("a", 1), at("b", -1))))
+FACTS = ("start_sentence", "end_sentence", "word_count")
 
 
-FIRST = lambda r: F.col(f"{r}.first")
-AFTER = lambda r: F.col(f"{r}.after")
+def totals(e: DataFrame, names: list[str]) -> DataFrame:
+    """Windows with the running sums of the changes ``names``."""
+    g = e.groupBy(*SIZE, "i").agg(*[F.max(x).alias(x) for x in FACTS], *[F.sum(n).alias(n) for n in names])
+    o = Window.partitionBy(*SIZE).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return g.select(*SIZE, *FACTS, *[F.sum(n).over(o).alias(n) for n in names]).filter("start_sentence is not null")
 
 
-def entropy_changes(c: DataFrame, key: str, value: str = "n") -> DataFrame:
-    """Changes of a count per key to changes of ``m``, the sum of the counts, and ``l``, the sum of n log2 n."""
-    d = c.groupBy(*SIZE, key, "i").agg(F.sum(value).alias("d"))
+def entropy_changes(e: DataFrame, key: str, value: str = "n") -> DataFrame:
+    """Changes of a count per key to changes of ``m``, the sum of the counts, and ``l``, the sum of n log2 n; windows pass."""
+    d = e.groupBy(*SIZE, key, "i").agg(*[F.max(x).alias(x) for x in FACTS], F.sum(value).alias("d"))
     now = F.sum("d").over(Window.partitionBy(*SIZE, key).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     f = lambda n: F.when(n > 0, n * F.log2(n.cast("double"))).otherwise(0.0).cast("decimal(38,12)")
     d = d.withColumn("now", now)
-    return d.select(*SIZE, "i", F.col("d").alias("m"), (f(F.col("now")) - f(F.col("now") - F.col("d"))).cast("decimal(38,12)").alias("l"))
+    return d.select(*SIZE, "i", *FACTS, F.col("d").alias("m"), (f(F.col("now")) - f(F.col("now") - F.col("d"))).cast("decimal(38,12)").alias("l"))
 
 
-def swept(w: DataFrame, c: DataFrame, names: list[str], keys: list[str] | None = None) -> DataFrame:
-    """Windows with the totals of the changes ``names``; with ``keys``, for each of the keys that the document has."""
-    keys = keys or []
-    wide = numbered(w).select(*SIZE, "i", "start_sentence", "end_sentence", "word_count")
-    if keys:
-        wide = wide.join(c.select(*SIZE, *keys).distinct(), SIZE)
-    facts = [F.max(x).alias(x) for x in ("start_sentence", "end_sentence", "word_count")]
-    g = stack(wide, c.select(*SIZE, *keys, "i", *names), missing=True).groupBy(*SIZE, *keys, "i").agg(*facts, *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
-    o = Window.partitionBy(*SIZE, *keys).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return g.select(*SIZE, *keys, "start_sentence", "end_sentence", "word_count", *[F.sum(n).over(o).alias(n) for n in names]).filter("start_sentence is not null")
+def _held(**values):
+    """Runs of all windows that hold the sentence."""
+    return lambda size, j: [(F.get("first", F.lit(j)), F.get("after", F.lit(j)), values)]
 
 
 MICRO = 1_000_000  # confidences have six digits and are summed as whole numbers
@@ -120,7 +132,7 @@ def pattern_density(w: DataFrame, hits: DataFrame, types=fixed.DENSITY_PATTERNS)
     """Windows with ``density MAP<type, DOUBLE>``: confidence per 100 words, zeros kept."""
     names = [f"t{i}" for i in range(len(types))]
     per = hits.filter(F.col("type").isin(types)).groupBy(*SENT).agg(*[F.sum(F.when(F.col("type") == t, micro("confidence")).otherwise(0)).alias(n) for t, n in zip(types, names)])
-    c = changes(reached(w, per), [], FIRST, AFTER, **{n: F.col(n) for n in names})
+    g = totals(swept(reached(w, per), names, _held(**{n: F.col(f"row.{n}") for n in names})), names)
     entries = [
         F.struct(
             F.lit(t).alias("key"),
@@ -129,7 +141,7 @@ def pattern_density(w: DataFrame, hits: DataFrame, types=fixed.DENSITY_PATTERNS)
         )
         for t, n in zip(types, names)
     ]
-    return swept(w, c, names).select(*WIN, "end_sentence", "word_count", F.map_from_entries(F.array(*entries)).alias("density"))
+    return g.select(*WIN, "end_sentence", "word_count", F.map_from_entries(F.array(*entries)).alias("density"))
 
 
 # ---------------------------------------------------------------- entropies by any key
@@ -293,50 +305,60 @@ def _entropy(m: Column, l: Column, t: Column) -> Column:
 
 
 def _new(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """rows with ``last`` and ``next``, the reach of the sentences in which the same thing stood before and stands after."""
+    """rows with ``seen``, where the windows after the last use of the same thing begin, and ``again``, the first window of its next use."""
     o = Window.partitionBy("doc_id", *by).orderBy(*order)
-    return rows.withColumn("last", F.lag("reach").over(o)).withColumn("next", F.lead("reach").over(o)).withColumn(
-        "reach", F.zip_with("reach", F.sequence(F.lit(0), F.size("reach") - 1), lambda r, i: F.struct(
-            r["size"].alias("size"), r["first"].alias("first"), r["after"].alias("after"),
-            F.coalesce(F.get("last", i)["after"], F.lit(0)).alias("seen"), F.get("next", i)["first"].alias("again"))))
+    return rows.withColumns({"seen": F.lag("after").over(o), "again": F.lead("first").over(o)})
 
 
-# A thing counts once in a window that holds it and starts after its last use: the first of its kind there.
-_ONCE = lambda r: F.greatest(FIRST(r), F.col(f"{r}.seen"))
-# It is the only one there if the window ends before its next use, too.
-_ALONE = lambda r: F.least(AFTER(r), F.coalesce(F.col(f"{r}.again"), AFTER(r)))
+def _once(name: str, alone: str | None = None):
+    """A thing counts once in a window that holds it and starts after its last use; it is alone if the window ends before its next one."""
+    at = lambda c, j: F.get(c, F.lit(j))
+
+    def runs(size, j):
+        start = F.greatest(at("first", j), F.coalesce(at("seen", j), F.lit(0)))
+        out = [(start, at("after", j), {name: F.lit(1)})]
+        return out + ([(start, F.least(at("after", j), F.coalesce(at("again", j), at("after", j))), {alone: F.lit(1)})] if alone else [])
+
+    return runs
 
 
 def window_metrics(w: DataFrame, s: DataFrame, hits: DataFrame) -> DataFrame:
     """All per-window measures, from changes between neighbouring windows: a token is looked at once per window set, however
-    many windows hold it."""
-    ws = X.words(F.col("text"))
-    base = s.select(*SENT, F.col("word_count").cast("bigint").alias("wc"), dominant_register().alias("register"), X.opening_key(F.col("text")).alias("opening"), ws.alias("ws"))
-    base = reached(w, base)
+    many windows hold it. What the parts share is a table in the shared folder."""
+    types = hits.groupBy(*SENT).agg(F.collect_list("type").alias("types"))
+    base = s.select(*SENT, F.col("word_count").cast("bigint").alias("wc"), dominant_register().alias("register"), X.opening_key(F.col("text")).alias("opening"), X.words(F.col("text")).alias("ws"))
     o = Window.partitionBy("doc_id").orderBy("sent_id")
+    base = base.withColumn("nx", F.lead("wc").over(o)).join(types, SENT, "left")
+    r = reached(w, base)
+    so = Window.partitionBy("doc_id").orderBy(F.col("row.sent_id").asc_nulls_last())
+    r = stored(r.withColumn("ahead", F.when(F.col("row").isNotNull(), F.lead("first").over(so))), "windows")
+    rows = r.filter("row is not null")
     one = F.lit(1)
-    regs = {f"r{i}": F.when(F.col("register") == r, 1).otherwise(0) for i, r in enumerate(fixed.REGISTERS)}
-    functions = F.size(F.filter("ws", lambda x: F.lower(x).isin(fixed.FUNCTION_WORDS)))
-    plain = changes(base, [], FIRST, AFTER, k=one, sum=F.col("wc"), square=F.col("wc") * F.col("wc"), tokens=F.size("ws"), functions=functions, **regs)
-    pairs = base.select(*SENT, "wc", "reach", F.lead("wc").over(o).alias("nx"), F.lead("reach").over(o).alias("ahead")).filter("nx is not null")
-    pairs = pairs.withColumn("reach", F.zip_with("reach", "ahead", lambda r, n: F.struct(r["size"].alias("size"), n["first"].alias("first"), r["after"].alias("after"))))
-    products = changes(pairs, [], FIRST, AFTER, product=F.col("wc") * F.col("nx"))
-    openings = changes(_new(base.select(*SENT, "opening", "reach"), ["opening"], ["sent_id"]), [], _ONCE, AFTER, openings=one)
-    tokens = base.select(*SENT, "reach", F.posexplode("ws").alias("at", "raw")).withColumn("word", F.lower("raw"))
-    words = _new(tokens.select(*SENT, "at", "word", "reach"), ["word"], ["sent_id", "at"])
-    types = changes(words, [], _ONCE, AFTER, types=one)
-    alone = changes(words, [], _ONCE, _ALONE, alone=one)
+    row = lambda c: F.col(f"row.{c}")
+    regs = {f"r{i}": F.when(row("register") == x, 1).otherwise(0) for i, x in enumerate(fixed.REGISTERS)}
+    functions = F.size(F.filter(row("ws"), lambda x: F.lower(x).isin(fixed.FUNCTION_WORDS)))
+    dense = {"k": one, "sum": row("wc"), "square": row("wc") * row("wc"), "tokens": F.size(row("ws")), "functions": functions, **regs}
+    pairs = lambda size, j: [(F.coalesce(F.get("ahead", F.lit(j)), F.lit(0)), F.when(row("nx").isNull(), 0).otherwise(F.get("after", F.lit(j))), {"product": row("wc") * row("nx")})]
+    plain = swept(r, [*dense, "product"], lambda size, j: _held(**dense)(size, j) + pairs(size, j))
+    empty = [F.lit(None).cast(r.schema[c].dataType).alias(c) for c in ("size", "i", *FACTS)]
+    short = lambda *cols: rows.select("doc_id", *empty, row("sent_id").alias("sent_id"), "first", "after", *cols)
+    packed = lambda d, *cols: d.withColumn("row", F.struct(*cols)) if cols else d.withColumn("row", F.struct(F.lit(1).alias("x")))
+    openings = swept(packed(_new(short(row("opening").alias("opening")), ["opening"], ["sent_id"])), ["openings"], _once("openings"))
+    tokens = short(F.posexplode(row("ws")).alias("at", "raw")).withColumn("word", F.lower("raw"))
+    words = swept(packed(_new(tokens.drop("raw"), ["word"], ["sent_id", "at"])), ["types", "alone"], _once("types", "alone"))
     letters = F.length(F.regexp_replace("raw", "[^a-zA-Z]", ""))
-    lens = tokens.select(*SENT, "reach", letters.alias("len")).filter("len > 0").groupBy(*SENT, "reach", "len").agg(F.count(F.lit(1)).alias("n"))
-    by = lambda c, name: entropy_changes(c, name).withColumnsRenamed({"m": f"m_{name}", "l": f"l_{name}"})
-    sparse = [
-        by(changes(base.withColumn("bin", F.floor(F.col("wc") / 5)), ["bin"], FIRST, AFTER, n=one), "bin"),
-        by(changes(lens, ["len"], FIRST, AFTER, n=F.col("n")), "len"),
-        by(changes(reached(w, hits.select(*SENT, "type")), ["type"], FIRST, AFTER, n=one), "type"),
-    ]
-    names = ["k", "sum", "square", "tokens", "functions", *regs, "product", "openings", "types", "alone"] + [f"{x}_{n}" for n in ("bin", "len", "type") for x in "ml"]
-    g = swept(w, stack(plain, products, openings, types, alone, *sparse, missing=True), names)
-    ends = s.select("doc_id", "sent_id", F.col("word_count").alias("v"))
+    lens = tokens.withColumn("len", letters).filter("len > 0").groupBy("doc_id", "sent_id", "len").agg(F.count(one).alias("n"), F.first("first").alias("first"), F.first("after").alias("after"))
+    lens = lens.select("doc_id", *empty, "first", "after", F.struct("len", "n").alias("row"))
+    bins = short(F.floor(row("wc") / 5).alias("bin"))
+    kinds = short(F.explode(row("types")).alias("type"))
+    by = lambda d, key, n: entropy_changes(swept(d, ["n"], _held(n=n), [key]), key).withColumnsRenamed({"m": f"m_{key}", "l": f"l_{key}"})
+    sparse = [by(packed(bins, "bin"), "bin", one), by(lens, "len", row("n")), by(packed(kinds, "type"), "type", one)]
+    names = [*dense, "product", "openings", "types", "alone"] + [f"{x}_{n}" for n in ("bin", "len", "type") for x in "ml"]
+    every = stack(plain, openings, words, *sparse, missing=True)
+    g = every.groupBy(*SIZE, "i").agg(*[F.max(x).alias(x) for x in FACTS], *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+    o = Window.partitionBy(*SIZE).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    g = g.select(*SIZE, *FACTS, *[F.sum(n).over(o).alias(n) for n in names]).filter("start_sentence is not null")
+    ends = rows.select("doc_id", row("sent_id").alias("sent_id"), row("wc").alias("v"))
     g = g.join(ends.withColumnsRenamed({"sent_id": "start_sentence", "v": "v_first"}), ["doc_id", "start_sentence"]).join(ends.withColumnsRenamed({"sent_id": "end_sentence", "v": "v_last"}), ["doc_id", "end_sentence"])
     f = lambda n: F.when(F.col(n) > 0, F.col(n) * F.log2(F.col(n).cast("double"))).otherwise(0.0)
     return g.select(
@@ -355,8 +377,8 @@ def window_metrics(w: DataFrame, s: DataFrame, hits: DataFrame) -> DataFrame:
 
 def window_device_entropy(w: DataFrame, hits: DataFrame) -> DataFrame:
     """Device entropy per window; 0 where a window has no hit."""
-    c = entropy_changes(changes(reached(w, hits.select(*SENT, "type")), ["type"], FIRST, AFTER, n=F.lit(1)), "type")
-    g = swept(w, c, ["m", "l"])
+    e = swept(reached(w, hits.select(*SENT, "type")), ["n"], _held(n=F.lit(1)), ["type"])
+    g = totals(entropy_changes(e, "type"), ["m", "l"])
     return g.select(*WIN, "end_sentence", "word_count", _entropy(F.col("m"), F.col("l"), F.col("m")).alias("device_entropy"))
 
 
@@ -384,11 +406,13 @@ def density_violations(w: DataFrame, hits: DataFrame, thresholds: DataFrame, reg
     lim = thresholds.join(registry.select("type", "level", F.coalesce(F.col("tolerance")[genre], F.lit(1.0)).alias("tol")), "type", "left")
     lim = lim.select("type", "window_words", "max_count", "unit", F.coalesce("tol", F.lit(1.0)).alias("tol"),
                      level_window(F.coalesce("level", F.lit("sentence"))).alias("size"))
-    sizes = sorted(set(fixed.LEVEL_WINDOW.values()) | {"medium"})
-    per = hits.join(lim.select("type"), "type", "left_semi").select(*SENT, "type", micro("confidence").alias("conf"))
-    w = w.filter(F.col("size").isin(sizes))
-    c = changes(reached(w, per, sizes), ["type"], FIRST, AFTER, conf=F.col("conf")).join(lim.select("type", "size"), ["type", "size"], "left_semi")
-    sums = swept(w, c, ["conf"], ["type"]).filter("conf > 0").withColumn("total", F.col("conf") / F.lit(float(MICRO))).join(lim, ["type", "size"])
+    # The limits' types, few as they are, become columns; each counts in the windows of its size only.
+    kinds = {f"t{i}": (r.type, r.size) for i, r in enumerate(lim.select("type", "size").distinct().orderBy("type").collect())}
+    per = hits.join(lim.select("type"), "type", "left_semi").groupBy(*SENT).agg(*[F.sum(F.when(F.col("type") == t, micro("confidence")).otherwise(0)).alias(n) for n, (t, _) in kinds.items()])
+    runs = lambda size, j: _held(**{n: F.col(f"row.{n}") for n, (_, z) in kinds.items() if z == size})(size, j) if any(z == size for _, z in kinds.values()) else []
+    g = totals(swept(reached(w, per), list(kinds), runs), list(kinds))
+    cells = F.array(*(F.when((F.col("size") == z) & (F.col(n) > 0), F.struct(F.lit(t).alias("type"), (F.col(n) / F.lit(float(MICRO))).alias("total"))) for n, (t, z) in kinds.items()))
+    sums = g.select(*SIZE, *FACTS, F.inline(F.filter(cells, lambda c: c.isNotNull()))).join(lim, ["type", "size"])
     span = F.when(F.col("unit") == "per_1000_words", F.lit(1000.0)).otherwise(F.greatest(F.lit(1), F.col("window_words")).cast("double"))
     allowed = F.when(F.col("tol") == 0, 0.0).otherwise(F.col("max_count") * F.col("tol") * (F.col("word_count") / span))
     return (
