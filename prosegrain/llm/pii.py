@@ -216,7 +216,7 @@ def masked(docs: DataFrame, **how) -> DataFrame:
     rows = occurrences(based(plain))
     rows = common.stored(rows.where(F.size("seen") > 0).select(_row_key(rows).alias("row"), F.concat(_bare("base"), _bare("keys")).alias("plain"), "seen"))
     ordered = F.transform(F.concat("plain", _named_added()), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    spans = rows.join(added(rows, **how), "row", "left").select("row", F.array_sort(ordered).alias("spans"))
+    spans = rows.join(added(rows, **how), "row", "left").select("row", F.array_sort(ordered).alias("spans")).where(F.size("spans") > 0)
     spans = common.stored(spans.dropDuplicates(["row"]))
     common.release(rows)
     marked = docs.select(F.struct(*(docs[c].alias(c) for c in names)).alias("doc"), _row_key(docs).alias("row")).join(spans, "row", "left")
