@@ -150,56 +150,57 @@ def _triggers(lex: DataFrame) -> DataFrame:
 
 #: Lexicon keys up to which they travel to the sentences; beyond, words travel to the keys and texts are fetched by sentence.
 MOST_KEYS = 200_000
+#: Phrases without a key word up to which their expressions are part of the plan; beyond, they are looked up by a few letters.
+MOST_LOOSE = 64
 
 
-def _looked_up(given: list, grams: bool) -> Column:
-    """(kind, key, start, evidence) of all that a sentence can be looked up by, from its ``text`` and ``low``; ``given`` are expressions."""
-    low = F.col("low")
-    found, between = F.regexp_extract_all(low, F.lit("([a-z0-9]+)"), F.lit(1)), F.split(low, "[a-z0-9]+")
-    lens = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda w, g: F.length(w) + F.length(g))
-    starts = F.zip_with(X.running(lens), F.slice(between, F.lit(1), F.size(found)), lambda at, g: at + F.length(g))
-    none, no_text = F.lit(None).cast("int"), F.lit(None).cast("string")
-    entry = lambda kind, key, at=none, text=no_text: F.struct(F.lit(kind).alias("kind"), key.alias("key"), at.alias("start"), text.alias("evidence"))
-    out = [
-        F.zip_with(found, starts, lambda w, at: entry("word", w, at, F.substring(F.col("text"), at + 1, F.length(w)))),
-        F.transform(F.array_distinct(found), lambda w: entry("part", w)),
-    ]
-    if grams:
-        cuts = lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(w, i, n))))
-        out.append(F.transform(F.array_distinct(F.flatten(F.transform(F.array_distinct(found), cuts))), lambda g: entry("gram", g)))
-    if given:
-        at = lambda r: F.regexp_instr("text", F.lit(r)) - 1
-        own = F.array(*(F.when(at(r) >= 0, entry("given", F.lit(r), at(r), F.regexp_substr("text", F.lit(r)))) for r in given))
-        out.append(F.filter(own, lambda x: x.isNotNull()))
-    return F.concat(*out)
+def _grams(found: Column) -> Column:
+    """All runs of up to GRAM letters of the words."""
+    cuts = lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(w, i, n))))
+    return F.transform(F.array_distinct(F.flatten(F.transform(found, cuts))), lambda g: F.concat(F.lit("*"), g))
 
 
 def _phrase_hits(s: DataFrame, lex: DataFrame, keep: list[str], allowed=None) -> DataFrame:
-    """(doc_id, sent_id, *keep, start, evidence) of places of every phrase that occurs in a sentence, the first one among them.
+    """(doc_id, sent_id, *keep, start, evidence) of the first place of every phrase that occurs in a sentence.
 
-    Phrases meet sentences on keys (see ``matchers``). Single words are settled by that. Of the others only those whose literal
-    text the sentence holds, and that ``allowed`` (from candidates with ``low``) lets pass, run their expression; a task takes them in
-    the order of the expressions, so that each is compiled once there. Given patterns, which the caller wrote, are part of the plan.
+    Phrases meet sentences on keys (see ``matchers``). Single words are settled by that: the first of them is found in the text with all
+    signs blanked. Of the others only those whose literal text the sentence holds, and that ``allowed`` (from candidates with
+    ``low``) lets pass, run their expression; a task takes them in the order of the expressions, so that each is compiled once
+    there. Given patterns, which the caller wrote, are part of the plan, and so are phrases without a key word while they are few.
     """
-    given = [r.regex for r in lex.filter("keys is null").select("regex").distinct().collect()]
-    keyed = lex.withColumn("keys", F.coalesce("keys", F.array(F.struct(F.lit("given").alias("kind"), F.col("regex").alias("key")))))
-    n, grams = keyed.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0)), F.coalesce(F.max(F.exists("keys", lambda k: k["kind"] == "gram")), F.lit(False))).first()
-    keyed = keyed.select(F.struct(*keep).alias("m"), "regex", "needs", F.explode("keys").alias("k")).select("m", "regex", "needs", "k.kind", "k.key")
+    kind = F.coalesce(F.element_at("keys", 1)["kind"], F.lit("given"))
+    counts = dict(map(tuple, lex.groupBy(kind.alias("k")).agg(F.sum(F.greatest(F.lit(1), F.size("keys")))).collect()))
+    grams = counts.get("gram", 0) > MOST_LOOSE
+    planned = lex.filter(kind == "given") if grams else lex.filter(kind.isin("given", "gram"))
+    given = [(r.regex, r.needs) for r in planned.select("regex", "needs").distinct().collect()]
+    named = F.when(kind == "given", F.array(F.struct(F.lit("given").alias("kind"), F.col("regex").alias("key"))))
+    if not grams:
+        named = named.when(kind == "gram", F.array(F.struct(F.lit("given").alias("kind"), F.col("regex").alias("key"))))
+    keyed = lex.withColumn("keys", named.otherwise(F.col("keys"))).select(F.struct(*keep).alias("m"), "regex", "needs", F.explode("keys").alias("k"))
+    mark = F.when(F.col("k.kind") == "gram", F.concat(F.lit("*"), "k.key")).when(F.col("k.kind") == "given", F.concat(F.lit("="), "k.key")).otherwise(F.col("k.key"))
+    keyed = keyed.select("m", "regex", "needs", "k.kind", mark.alias("key"))
     rows = s.select(*SENT, "text", X.ascii_lower(F.col("text")).alias("low")).withColumn("bare", F.regexp_replace("low", GAP, ""))
-    entries = F.inline(_looked_up(given, grams))
-    if n <= MOST_KEYS:
-        found = rows.select(*SENT, "text", "low", "bare", entries).join(F.broadcast(keyed), ["kind", "key"])
+    found = F.array_distinct(F.regexp_extract_all("low", F.lit("([a-z0-9]+)"), F.lit(1)))
+    entries = F.concat(found, _grams(found)) if grams else found
+    if given:
+        fits = [F.when(reduce(Column.__and__, [F.contains("bare", F.lit(x)) for x in needs or []], F.lit(True)) & (F.regexp_instr("text", F.lit(r)) > 0), F.lit("=" + r)) for r, needs in given]
+        entries = F.concat(entries, F.filter(F.array(*fits), lambda x: x.isNotNull()))
+    if sum(counts.values()) <= MOST_KEYS:
+        met = rows.select(*SENT, "text", "low", "bare", F.explode(entries).alias("key")).join(F.broadcast(keyed), "key")
     else:
-        found = rows.select(*SENT, entries).join(keyed, ["kind", "key"]).join(rows, SENT)
-    settled = F.col("evidence").isNotNull()
-    found = found.filter(settled | F.forall("needs", lambda x: F.contains("bare", x)))
-    found = found.select(*SENT, *[F.col(f"m.{c}").alias(c) for c in keep], "text", "low", "regex", "start", "evidence")
-    found = allowed(found) if allowed else found
-    found = found.select(*SENT, *keep, "start", "evidence", F.when(~settled, F.col("text")).alias("text"), F.when(~settled, F.col("regex")).alias("regex")).sortWithinPartitions("regex")
+        met = rows.select(*SENT, F.explode(entries).alias("key")).join(keyed, "key").join(rows, SENT)
+    single = F.col("kind") == "word"
+    met = met.filter(single | (F.col("kind") == "given") | F.forall("needs", lambda x: F.contains("bare", x)))
+    met = met.select(*SENT, *[F.col(f"m.{c}").alias(c) for c in keep], "text", "low", "kind", "key", "regex")
+    met = allowed(met) if allowed else met
+    blanked = F.concat(F.lit(" "), F.regexp_replace("low", "[^a-z0-9]", " "), F.lit(" "))
+    start = F.when(single, F.call_function("locate", F.concat(F.lit(" "), "key", F.lit(" ")), blanked) - 1)
+    evidence = F.when(single, F.substring(F.col("text"), start + 1, F.length("key")))
+    met = met.select(*SENT, *keep, start.alias("start"), evidence.alias("evidence"), F.when(~single, F.col("text")).alias("text"), F.when(~single, F.col("regex")).alias("regex")).sortWithinPartitions("regex")
     at = F.regexp_instr("text", F.col("regex"))
     place = lambda start, evidence: F.array(F.struct(start.alias("_start"), evidence.alias("_evidence")))
-    places = F.when(settled, place(F.col("start"), F.col("evidence"))).when(at > 0, place(at - 1, F.regexp_substr("text", F.col("regex"))))
-    return found.select(*SENT, *keep, F.inline(places)).withColumnsRenamed({"_start": "start", "_evidence": "evidence"})
+    places = F.when(F.col("regex").isNull(), place(F.col("start"), F.col("evidence"))).when(at > 0, place(at - 1, F.regexp_substr("text", F.col("regex"))))
+    return met.select(*SENT, *keep, F.inline(places)).withColumnsRenamed({"_start": "start", "_evidence": "evidence"})
 
 
 def match_lexicon(s: DataFrame, lexicon: DataFrame, mode: str = "tiered", triggers: bool = True, cap: int | None = None, frequency: DataFrame | None = None) -> DataFrame:

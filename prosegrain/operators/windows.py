@@ -79,22 +79,28 @@ def reached(w: DataFrame, rows: DataFrame) -> DataFrame:
 def swept(r: DataFrame, names: list[str], made, keys: list[str] | None = None) -> DataFrame:
     """Windows of ``reached`` with the totals of ``names``. ``made`` gives, for a size and its place in ``first`` and ``after``, the runs
     of a row: (a, b, {name: value}), of windows a up to, not including, b. With ``keys``, columns of the row, the changes stay apart."""
-    keys = keys or []
-    blank = [F.lit(None).cast("string").alias("size_"), F.lit(None).cast("bigint").alias("i_"), *[F.lit(0).cast("bigint").alias(n) for n in names]]
-
-    def change(size, at, sign, values):
-        return F.struct(F.lit(size).alias("size_"), at.cast("bigint").alias("i_"), *[(sign * values[n] if n in values else F.lit(0)).cast("bigint").alias(n) for n in names])
-
-    cells = []
+    cells = []  # (size, window, sign, whether the run is there, values)
     for j, size in enumerate(NAMES):
         for x, y, values in made(size, j):
-            cells += [F.when(x < y, change(size, x, 1, values)), F.when(x < y, change(size, y, -1, values))]
-    own = F.array(F.struct(*blank))
-    out = F.when(F.col("row").isNull(), own).otherwise(F.filter(F.array(*cells), lambda c: c.isNotNull()))
-    key = [F.col(f"row.{k}").alias(k) for k in keys]
-    e = r.select("doc_id", "size", "i", "start_sentence", "end_sentence", "word_count", *key, F.inline(out))
-    e = e.select("doc_id", F.coalesce("size", "size_").alias("size"), F.coalesce(F.col("i").cast("bigint"), F.col("i_")).alias("i"), "start_sentence", "end_sentence", "word_count", *keys, *names)
-    return e
+            cells += [(F.lit(size), x, 1, x < y, values), (F.lit(size), y, -1, x < y, values)]
+    c = F.col("_cell")
+    pick = lambda xs: reduce(lambda w, ix: w.when(c == ix[0], ix[1]), list(enumerate(xs))[1:], F.when(c == 0, xs[0]))
+    sign = F.when(c < 0, 0).when(c % 2 == 0, 1).otherwise(-1)
+
+    def value(n):
+        found = [v.get(n) for *_, v in cells]
+        if all(x is found[0] for x in found):
+            return F.coalesce(sign * found[0], F.lit(0))
+        return F.coalesce(pick([F.lit(0) if x is None else k * x for (_, _, k, _, _), x in zip(cells, found)]), F.lit(0))
+
+    own = F.col("row").isNull()
+    e = r.withColumn("_cell", F.explode(F.when(own, F.array(F.lit(-1))).otherwise(F.array(*map(F.lit, range(len(cells)))))))
+    e = e.filter((c < 0) | pick([x[3] for x in cells]))
+    size, at = (pick([x[k] for x in cells]) for k in (0, 1))
+    return e.select(
+        "doc_id", F.coalesce("size", size).alias("size"), F.coalesce(F.col("i"), at).cast("bigint").alias("i"), *FACTS,
+        *[F.col(f"row.{k}").alias(k) for k in keys or []], *[F.when(own, F.lit(0)).otherwise(value(n)).cast("bigint").alias(n) for n in names],
+    )
 
 
 FACTS = ("start_sentence", "end_sentence", "word_count")
@@ -121,27 +127,42 @@ def _held(**values):
     return lambda size, j: [(F.get("first", F.lit(j)), F.get("after", F.lit(j)), values)]
 
 
-MICRO = 1_000_000  # confidences have six digits and are summed as whole numbers
+BLOCK = 16
+
 
+def covering(w: DataFrame, per: DataFrame) -> DataFrame:
+    """Windows joined with the rows (doc_id, sent_id, …) that lie in them.
 
-def micro(c: str) -> Column:
-    return (F.col(c).cast("decimal(18,6)") * MICRO).cast("bigint")
+    Both meet by blocks of sentences, so a window is a row for each block it touches, not for each sentence.
+    """
+    block = lambda c: F.floor(F.col(c) / BLOCK).cast("int")
+    wide = w.withColumn("block", F.explode(F.sequence(block("start_sentence"), block("end_sentence"))))
+    return wide.join(per.withColumn("block", block("sent_id")), ["doc_id", "block"]).filter(F.col("sent_id").between(F.col("start_sentence"), F.col("end_sentence"))).drop("block")
+
+
+def window_type_sums(w: DataFrame, hits: DataFrame) -> DataFrame:
+    """Sum of confidence and count of hits per window and type."""
+    return (
+        covering(w.select(*WIN, "end_sentence"), sentence_type_sums(hits))
+        .groupBy(*WIN, "type")
+        .agg(X.exact_sum(F.col("conf")).alias("conf"), F.sum("n").alias("n"))
+    )
 
 
 def pattern_density(w: DataFrame, hits: DataFrame, types=fixed.DENSITY_PATTERNS) -> DataFrame:
     """Windows with ``density MAP<type, DOUBLE>``: confidence per 100 words, zeros kept."""
-    names = [f"t{i}" for i in range(len(types))]
-    per = hits.filter(F.col("type").isin(types)).groupBy(*SENT).agg(*[F.sum(F.when(F.col("type") == t, micro("confidence")).otherwise(0)).alias(n) for t, n in zip(types, names)])
-    g = totals(swept(reached(w, per), names, _held(**{n: F.col(f"row.{n}") for n in names})), names)
+    sums = window_type_sums(w, hits.filter(F.col("type").isin(types)))
+    maps = sums.groupBy(*WIN).agg(F.map_from_entries(F.collect_list(F.struct("type", "conf"))).alias("m"))
+    j = w.join(maps, WIN, "left")
     entries = [
         F.struct(
             F.lit(t).alias("key"),
-            F.when(F.col("word_count") > 0, X.js_round((F.col(n) / F.lit(float(MICRO))) * (F.lit(100.0) / F.col("word_count")), 2))
+            F.when(F.col("word_count") > 0, X.js_round(F.coalesce(F.col("m")[t], F.lit(0.0)) * (F.lit(100.0) / F.col("word_count")), 2))
             .otherwise(0.0).alias("value"),
         )
-        for t, n in zip(types, names)
+        for t in types
     ]
-    return g.select(*WIN, "end_sentence", "word_count", F.map_from_entries(F.array(*entries)).alias("density"))
+    return j.withColumn("density", F.map_from_entries(F.array(*entries))).drop("m")
 
 
 # ---------------------------------------------------------------- entropies by any key
@@ -405,14 +426,14 @@ def density_violations(w: DataFrame, hits: DataFrame, thresholds: DataFrame, reg
     level_window = X.mapping(fixed.LEVEL_WINDOW, "medium")
     lim = thresholds.join(registry.select("type", "level", F.coalesce(F.col("tolerance")[genre], F.lit(1.0)).alias("tol")), "type", "left")
     lim = lim.select("type", "window_words", "max_count", "unit", F.coalesce("tol", F.lit(1.0)).alias("tol"),
-                     level_window(F.coalesce("level", F.lit("sentence"))).alias("size"))
-    # The limits' types, few as they are, become columns; each counts in the windows of its size only.
-    kinds = {f"t{i}": (r.type, r.size) for i, r in enumerate(lim.select("type", "size").distinct().orderBy("type").collect())}
-    per = hits.join(lim.select("type"), "type", "left_semi").groupBy(*SENT).agg(*[F.sum(F.when(F.col("type") == t, micro("confidence")).otherwise(0)).alias(n) for n, (t, _) in kinds.items()])
-    runs = lambda size, j: _held(**{n: F.col(f"row.{n}") for n, (_, z) in kinds.items() if z == size})(size, j) if any(z == size for _, z in kinds.values()) else []
-    g = totals(swept(reached(w, per), list(kinds), runs), list(kinds))
-    cells = F.array(*(F.when((F.col("size") == z) & (F.col(n) > 0), F.struct(F.lit(t).alias("type"), (F.col(n) / F.lit(float(MICRO))).alias("total"))) for n, (t, z) in kinds.items()))
-    sums = g.select(*SIZE, *FACTS, F.inline(F.filter(cells, lambda c: c.isNotNull()))).join(lim, ["type", "size"])
+                     level_window(F.coalesce("level", F.lit("sentence"))).alias("wanted"))
+    per = sentence_type_sums(hits.join(lim.select("type"), "type", "left_semi"))
+    sums = (
+        covering(w.filter(F.col("size").isin(sorted(set(fixed.LEVEL_WINDOW.values()) | {"medium"}))), per.join(lim, "type"))
+        .filter(F.col("size") == F.col("wanted"))
+        .groupBy("type", *WIN, "end_sentence", "word_count", "window_words", "max_count", "unit", "tol")
+        .agg(X.exact_sum(F.col("conf")).alias("total"))
+    )
     span = F.when(F.col("unit") == "per_1000_words", F.lit(1000.0)).otherwise(F.greatest(F.lit(1), F.col("window_words")).cast("double"))
     allowed = F.when(F.col("tol") == 0, 0.0).otherwise(F.col("max_count") * F.col("tol") * (F.col("word_count") / span))
     return (
