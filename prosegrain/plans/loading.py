@@ -58,10 +58,13 @@ cte("lexraw", rf"""SELECT {_RAW} FROM (SELECT doc_id * {ENTRIES} + g AS doc_id,
 
 
 def lexraw(t):
+    # The words are a column of their own: a lambda would cut the whole text again for each of its entries.
     ws = F.transform(F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1)), lambda w: F.regexp_replace(w, "[^A-Za-z]", ""))
-    groups = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(ws) + 3) / 4).cast("int") - 1)), lambda g: F.slice(ws, g * 4 + 1, 4))
-    d = t.documents.select("doc_id", "source", "lang", F.posexplode(groups).alias("g", "ws")).withColumn("doc_id", F.col("doc_id") * ENTRIES + F.col("g"))
-    d = d.withColumns({f"w{i}": F.coalesce(F.get("ws", F.lit(i - 1)), F.lit("abcd"[i - 1])) for i in range(1, 5)})
+    d = t.documents.select("doc_id", "source", "lang", ws.alias("ws"))
+    last = F.greatest(F.lit(0), F.floor((F.size("ws") + 3) / 4).cast("int") - 1)
+    word = lambda g, i: F.coalesce(F.get("ws", g * 4 + i), F.lit("abcd"[i])).alias(f"w{i + 1}")
+    groups = F.transform(F.sequence(F.lit(0), last), lambda g: F.struct(*(word(g, i) for i in range(4))))
+    d = d.select("doc_id", "source", "lang", F.posexplode(groups).alias("g", "w")).select((F.col("doc_id") * ENTRIES + F.col("g")).alias("doc_id"), "source", "lang", "w.*")
     from prosegrain.plans.libraries import _split
 
     return d.selectExpr(*[x.strip() for x in _split(_RAW)])

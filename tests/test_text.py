@@ -73,3 +73,17 @@ def test_three_item_lists_matches_one_expression(spark):
     d = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in d.select(X.three_item_lists(F.col("t"))).collect()]
     assert got == [len(re.findall(fixed.THREE_ITEM_RE, t, re.I)) for t in texts]
+
+
+def test_raw_lexicon_cuts_a_long_text_once(spark, tmp_path):
+    from prosegrain.plans.catalog import Tables
+    from prosegrain.plans.loading import ENTRIES, lexraw
+
+    ws = [f"w{chr(97 + i % 26)}{i}" for i in range(40_003)]
+    spark.createDataFrame([(3, " ".join(ws), "en", "web"), (4, "", "fr", "web")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    d = lexraw(Tables(spark, str(tmp_path)))
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "lambdafunction" in x and "regexp_extract_all" in x.split("lambdafunction", 1)[1]]
+    got = {r.id: r.genres for r in d.collect()}
+    assert len(got) == 10_002 and got[3 * ENTRIES + 9_000] == f"tech marketing, academic w{chr(97 + 36_000 % 26)}, code docs, news"[:40]
+    assert got[3 * ENTRIES + 10_000] and got[4 * ENTRIES] == "tech marketing, academic a, code docs, news"[:40]
