@@ -114,11 +114,11 @@ def fidelity(pairs: DataFrame, threshold: float = 0.45) -> DataFrame:
 
 
 def is_valid(original: Column, text: Column) -> Column:
-    o = X.overlap(original, text)
     placeholder = (F.length(text) < 12) | X.matches(text, fixed.PLACEHOLDER_RE)
     foreign = X.matches(text, fixed.FOREIGN_SCENE_RE) & ~X.matches(original, fixed.FOREIGN_SCENE_RE)
-    wild = (F.length(text) / F.greatest(F.length(original), F.lit(1)) > 2.5) & (o < 0.35)
-    return ~placeholder & (X.trim_ws(text) != X.trim_ws(original)) & ~foreign & (o >= 0.22) & ~wild
+    wild = F.length(text) / F.greatest(F.length(original), F.lit(1)) > 2.5
+    close = X.overlap(original, text) >= F.when(wild, 0.35).otherwise(0.22)  # last, and once: it costs most
+    return ~placeholder & (X.trim_ws(text) != X.trim_ws(original)) & ~foreign & close
 
 
 def valid_suggestions(pairs: DataFrame) -> DataFrame:
