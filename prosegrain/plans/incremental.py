@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from prosegrain import dims
+from prosegrain.functions.frames import stored
 from prosegrain.operators import detect, plug, split
 from prosegrain.plans.catalog import cte, jr, q, query
 from prosegrain.plans.comparing import osents
@@ -49,10 +50,13 @@ def arriving(t, rows, turn, files):
 def _(t):
     """Sentences in four micro-batches against a cache that each of them fills and that is compacted on the way."""
     cache, out = K.Cache(t.spark, K.scratch(t.spark, "cache")), K.scratch(t.spark, "cached")
-    s = arriving(t, t.sents.select("doc_id", "sent_id", "hash", F.col("word_count").alias("w")), F.col("doc_id") % 4, 4)
+    s = stored(t.sents.select("doc_id", "sent_id", "hash", F.col("word_count").alias("w")))
     schema = "hash bigint, word_count int"
     sink = K.cached_sink(cache, schema, lambda new: new.select("hash", F.col("w").alias("word_count")), out, every=2)
-    K.stream_cached(s, sink, K.scratch(t.spark, "cached-check"), availableNow=True).awaitTermination()
+    path, check = K.scratch(t.spark, "arriving"), K.scratch(t.spark, "cached-check")
+    for i in range(4):  # the stream goes on where it was; what has arrived since is its next micro-batch
+        s.filter(F.col("doc_id") % 4 == i).write.mode("append").parquet(path)
+        K.stream_cached(K.document_stream(t.spark, path, s.schema), sink, check, availableNow=True).awaitTermination()
     return t.spark.read.parquet(out).select("doc_id", "sent_id", "word_count", "cached")
 
 
@@ -72,13 +76,15 @@ cte("chg", "SELECT doc_id, sent_id FROM sents s WHERE NOT EXISTS (SELECT 1 FROM
 def _(t):
     from prosegrain.operators import compare
 
-    changed = compare.diff_sentences(osents(t), t.sents)
-    return K.scope(t.sents, changed).select("doc_id", "sent_id")
+    s = stored(t.sents.select("doc_id", "sent_id", "paragraph_id", "hash"))
+    old = stored(osents(t).select("doc_id", "hash"))
+    return K.scope(s, compare.diff_sentences(old, s)).select("doc_id", "sent_id")
 
 
 @query(
     "k06_waterfall",
     "SELECT doc_id, sent_id, CASE WHEN n <= 1 THEN 'screen' WHEN sent_id % 3 = 0 THEN 'full' WHEN sent_id % 2 = 0 THEN 'medium' ELSE 'gate' END AS tier, coalesce(CASE WHEN n <= 1 THEN n WHEN sent_id % 3 = 0 THEN 100 WHEN sent_id % 2 = 0 THEN 50 END, -1)::BIGINT AS result FROM (SELECT doc_id, sent_id, (SELECT count(*) FROM screen r WHERE regexp_matches(text, r.re)) AS n FROM sents)",
+    once=True,
 )
 def _(t):
     r = detect.route(t.sents)
