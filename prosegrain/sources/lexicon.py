@@ -148,11 +148,22 @@ def lexicon_violations(lex: DataFrame, matchers: DataFrame | None = None) -> Dat
         F.when(F.exists("alternatives", lambda a: count(a, "[") != count(a, "]")), "brackets"),
         F.when(F.exists("alternatives", lambda a: a.rlike('["“”]')), "quotes"),
     )
-    bad = lex.select("id", F.explode(F.filter(checks, lambda x: x.isNotNull())).alias("problem"))
+    checks = F.filter(checks, lambda x: x.isNotNull())
+    alts = F.filter("matchable", lambda a: ~F.contains(a, F.lit("[")))
+    if matchers is None:
+        # A wording's own matcher is an expression of the wording, so it is tried in the row; few rows have more to tell.
+        ws = lambda a: X.words(F.lower(a))
+        alts = F.filter(alts, lambda a: ~((F.size(ws(a)) > 0) & F.rlike(a, detect.wording_regex(ws(a)))))
+    alts = F.when(~F.col("truncated") & ~F.col("template"), alts).otherwise(F.array().cast("array<string>"))
+    rows = lex.select("id", "subcategory", checks.alias("problems"), alts.alias("alts"))
+    if matchers is None:
+        # Kept before any filter: pushed below the cleaning steps, a filter would repeat each of them for every use of its result.
+        rows = stored(rows, "unsettled")
+    bad = rows.select("id", F.explode("problems").alias("problem"))
+    want = rows.select("id", "subcategory", F.posexplode("alts").alias("i", "alt"))
     m = matchers if matchers is not None else detect.matchers(lexicon_phrases(lex))
-    want = lex.filter("not truncated and not template").select("id", "subcategory", F.posexplode("matchable").alias("i", "alt")).filter("not contains(alt, '[')")
-    # A wording's own matcher is tried first; only what it leaves meets the others of its subcategory, on their keys.
-    if {"id", "phrase"} <= set(m.columns):
+    # What its own matcher leaves meets the others of its subcategory, on their keys.
+    if matchers is not None and {"id", "phrase"} <= set(m.columns):
         own = want.join(m.select("id", F.col("phrase").alias("alt"), "regex"), ["id", "alt"]).filter(F.rlike("alt", F.col("regex"))).select("id", "i")
         want = stored(want.join(own, ["id", "i"], "left_anti"), "unsettled")
     if not want.head(1):
