@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from prosegrain.functions import exprs as X
-from prosegrain.operators import split
+from prosegrain.operators import detect, split
 
 
 def cut(spark, text):
@@ -87,3 +87,27 @@ def test_raw_lexicon_cuts_a_long_text_once(spark, tmp_path):
     got = {r.id: r.genres for r in d.collect()}
     assert len(got) == 10_002 and got[3 * ENTRIES + 9_000] == f"tech marketing, academic w{chr(97 + 36_000 % 26)}, code docs, news"[:40]
     assert got[3 * ENTRIES + 10_000] and got[4 * ENTRIES] == "tech marketing, academic a, code docs, news"[:40]
+
+
+def test_cheap_forms_agree_with_the_plain_expressions(spark):
+    """The fast forms of counting, cutting and matching on odd texts, against one expression for each."""
+    odd = ["", " ", "one", "a  b", " a b", "a b ", "a\tb c", "a\nb c", "\n a", "a b c", "Et al. said e.g. this, i.e. that; And BUT while. Mr. J. R. Smith... \"Next\" one! (So) it is.",
+           "A.B. c. D. E.g. F", "brand, andy; whiled, but,and", "sting ing ring. wing_ xing9 going", "thatch WHICH who's that_", "evİdence data9 method-ical evidence", "Perhaps it's not robust — JOY", None,
+           "Hi.\" \"Yes?!\" he said ...” But no… st. Vs. al.x", "x. Mr.Y mr. dr. Z."]
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "doc_id long, text string").withColumn("sent_id", F.lit(1))
+    t = F.col("text")
+    old = F.regexp_replace(F.regexp_replace(t, split.PROTECT_ABBR, "$1$2" + split.DOT), split.PROTECT_INITIAL, "$1$2" + split.DOT)
+    old = F.regexp_replace(F.regexp_replace(old, split.TERMINATOR, "$1" + split.END), split.OPENER, split.CUT + "$1")
+    old = F.filter(F.transform(F.split(F.translate(old, split.DOT + split.END, "."), split.CUT), X.trim_ws), lambda s: s != "")
+    rules = [("a", r"\b(robust|data)\b", 0.5), ("b", r"^(Perhaps|Et al)\b", 0.6), ("c", "—", 0.7), ("d", r"\bit's not\b", 0.8), ("e", r"\bp\w+s\b", 0.9)]
+    plain = F.filter(F.array(*[F.when(X.matches(t, p), F.struct(F.lit(n).alias("type"), F.lit(c).alias("confidence"), X.first_match(t, p).alias("evidence"))) for n, p, c in rules]), lambda h: h.isNotNull())
+    f = detect.features(d)
+    low = F.lower(t)
+    rows = f.select(
+        F.struct(X.count_words(t), split.sentence_array(t), detect._rule_hits(t, rules), "clause_count", "has_participial", "has_relative_clause", F.col("arc_role") == "evidence").alias("new"),
+        F.struct(F.regexp_count(t, F.lit(r"\S+")), old, plain, X.match_count(t, r",|;|\band\b|\bbut\b|\bwhile\b") + 1, X.matches(low, r"\b\w+ing\b", False),
+                 X.matches(low, r"\bthat\b|\bwhich\b|\bwho\b", False), F.coalesce(X.matches(t, r"\bdata\b|\bmethod\b|\bevidence\b"), F.lit(False))).alias("old"),
+    ).collect()
+    for r in rows:
+        assert tuple(r.new) == tuple(r.old)
+    assert X.literals(r"\b(robust|data)\b") == ["robust", "data"] and X.literals(r"a|b") == X.literals(r"a.b") == X.literals(r"\b(a|)\b") == []
