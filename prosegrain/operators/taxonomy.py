@@ -44,9 +44,10 @@ def _counted(df: DataFrame, unit: str, pattern: str, least: int = 1) -> DataFram
 
 
 def _per_doc(docs: DataFrame, **patterns: str) -> DataFrame:
-    """Words and matches per document; no shuffle, a document is one row."""
+    """Words and matches per document; no shuffle, a document is one row. Filters stay above the generator, so nothing is counted again."""
     t = F.col("text")
-    return docs.select("doc_id", X.count_words(t).alias("words"), *[_n(t, p).alias(k) for k, p in patterns.items()]).filter("words > 0")
+    counts = F.struct(X.count_words(t).alias("words"), *[_n(t, p).alias(k) for k, p in patterns.items()])
+    return docs.select("doc_id", F.inline(F.array(counts))).filter("words > 0")
 
 
 def _rate(n: str) -> Column:
