@@ -51,3 +51,19 @@ def test_own_wording_needs_no_join(spark, tmp_path):
     out = lexicon.lexicon_violations(bad)
     assert [tuple(r) for r in out.collect()] == [(1, "tier")] and "lookbehind" not in plan(out) and "LogicalRDD" not in plan(out)
     assert [tuple(r) for r in lexicon.lexicon_violations(lex.limit(1), detect.matchers(lexicon.lexicon_phrases(lex)).filter("phrase <> 'three'")).collect()] == [(1, "unmatched")]
+
+
+def test_counts_of_a_document_are_not_repeated(spark):
+    q = load_catalog().QUERIES
+    p = plan(q["j45_sensory"](spark, PATH))
+    assert p.count("shadow") <= 3 and p.count("whisper") <= 3  # the marks, and one expression for each sense
+    p = plan(q["e13_impact"](spark, PATH))
+    assert p.count("robust") <= 4 and "Join" not in p and "Aggregate" not in p
+
+
+def test_expressions_look_ahead_and_replacements_for_their_words(spark):
+    assert X.rx(r"\b(?:glow|dark)\b").startswith("(?i)(?=[dg])") and X.rx(r"\b(a|b)c\b").startswith("(?i)(?<!") and X.rx(r"\ba|b\b").startswith("(?i)(?<!")
+    d = spark.createDataFrame([("Glow glowing DARK, dark_ darkness, the dark",)], "t string")
+    assert d.select(X.match_count(F.col("t"), r"\b(?:glow|dark)\b").alias("n")).collect()[0].n == 3
+    p = d.select(X.fold_replace(F.col("t"), [(r"\bdark\b", "dim"), (r"^glow,?\s*", "x"), (r"\bthe\b", "a")]).alias("x"))
+    assert p.collect()[0].x == "xglowing dim, dark_ darkness, a dim" and plan(p).count("Contains") + plan(p).lower().count("contains(") >= 2
