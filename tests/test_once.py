@@ -67,3 +67,8 @@ def test_expressions_look_ahead_and_replacements_for_their_words(spark):
     assert d.select(X.match_count(F.col("t"), r"\b(?:glow|dark)\b").alias("n")).collect()[0].n == 3
     p = d.select(X.fold_replace(F.col("t"), [(r"\bdark\b", "dim"), (r"^glow,?\s*", "x"), (r"\bthe\b", "a")]).alias("x"))
     assert p.collect()[0].x == "xglowing dim, dark_ darkness, a dim" and plan(p).count("Contains") + plan(p).lower().count("contains(") >= 2
+
+
+def test_a_text_is_rewritten_once(spark):
+    d = spark.createDataFrame([("one . two.  three",)], "t string").select(detect.tidy(F.regexp_replace("t", "one", "four")).alias("x"))
+    assert d.collect()[0].x == "four. Two. Three" and plan(d).count("one, four") == 1
