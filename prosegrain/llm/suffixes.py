@@ -16,6 +16,11 @@ stands for it. So are places with one gram whose strings are all alike, by a 64-
 and one stands for them. A gram with more than ``block`` places is dealt over several groups; what repeats only across them shows
 in two 64-bit hashes of each string, of which each group sends every one once, packed in binary rows.
 
+Anchors travel once, packed in binary rows by ranges of gram hashes; what occurs once ends there. A task sends at most ``often`` kinds
+of places with one gram to its range, one place for each kind: that the others repeat is known by then, so they are dealt over all
+ranges. Strings of bytes and of words share the pass over the texts, the join that brings the texts to their anchors, and the one that
+brings the results to the texts; texts are shuffled in these two joins only.
+
 Defined cases: null text is empty; texts shorter than ``size`` never lose bytes, whatever their copies; repeated
 rows are copies; a null doc_id is kept; an empty table gives no rows; only doc_id and text are read.
 """
@@ -35,17 +40,28 @@ from prosegrain.llm.common import U64, mix
 
 GRAM = 32
 PIECE = 1 << 20
+#: Short texts are read in runs of about so many bytes.
+RUN = 1 << 15
 _PLACE = U64((1 << 26) - 1)
 WINDOW = [("a", "<u8"), ("b", "<u8"), ("tid", "V16"), ("p", "<i4")]
-ANCHOR = "key long, sig long, tid binary, o int, lo int, hi int"
+ANCHOR = np.dtype([("key", "<i8"), ("sig", "<i8"), ("t1", "<u8"), ("t2", "<u8"), ("o", "<i4"), ("lo", "<i4"), ("hi", "<i4"), ("known", "<i4")])
+#: What is known of an anchor in its task: that its strings repeat whole, that it stands for its kind of place.
+ALIKE, MEETS = 1, 2
+KEPT = "words boolean, key long, tid binary, o int, lo int, hi int, kinds int, alike boolean, meets boolean"
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
 
 
 def anchors(data: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
     """Of the anchors of all strings of ``size`` bytes in data: gram hashes, hashes of all bytes of their strings, places, and
     the first and last string of each."""
+    return run_anchors(data, np.array([0, len(data)]), size)[1:]
+
+
+def run_anchors(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """``anchors`` of each of the texts that stand end to end in data, with the number of its text before them."""
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), *(np.zeros(0, np.int32) for _ in range(3)))
     if len(data) < size:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), *(np.zeros(0, np.int32) for _ in range(3))
+        return none
     h, factor = data.astype(U64) + U64(1), U64(0x9E3779B97F4A7C15)
     for step in (1, 2, 4, 8, 16):
         h = h[:-step] * factor + h[step:]
@@ -58,11 +74,17 @@ def anchors(data: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
     value = np.append(value, np.full(-len(value) % w, ~U64(0), U64)).reshape(-1, w)
     ahead = np.minimum.accumulate(value[:, ::-1], axis=1)[:, ::-1].ravel()[:n]
     least = np.minimum(ahead, np.minimum.accumulate(value, axis=1).ravel()[w - 1 : w - 1 + n])
-    at = (least & _PLACE).astype(np.int64)
-    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    last = np.append(first[1:], n) - 1
-    sig = _alike(data, at[first], first, last, size)
-    return key[at[first]].view(np.int64), sig, at[first].astype(np.int32), first.astype(np.int32), last.astype(np.int32)
+    inside = np.ones(n, bool)  # strings that end in their text
+    for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        inside[max(a, b - size + 1) : b] = False
+    starts = np.flatnonzero(inside)
+    if not len(starts):
+        return none
+    at = (least[starts] & _PLACE).astype(np.int64)
+    new = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    at, first, last = at[new], starts[new], starts[np.append(new[1:], len(starts)) - 1]
+    text = np.searchsorted(off, first, "right") - 1
+    return text, key[at].view(np.int64), _alike(data, at, first, last, size), *((x - off[text]).astype(np.int32) for x in (at, first, last))
 
 
 def _alike(data: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, size: int) -> np.ndarray:
@@ -102,40 +124,125 @@ def word_places(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return common.runs(common._WORD[data], off)
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, so that work arrays stay small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def _read(column: pa.Array, words: bool) -> tuple[np.ndarray, np.ndarray]:
     """The bytes that are compared, and their offsets."""
     data, off = common.utf8(column)
     return word_bytes(data, off) if words else (data, off)
 
 
-def _anchored(batches: Iterator[pa.RecordBatch], size: int, piece: int, words: bool) -> Iterator[pa.RecordBatch]:
-    """(text, tid) -> ANCHOR; copies that a task has met lately are not repeated."""
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where a row of the sorted columns differs from the one before."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _lens(starts: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(starts, n))
+
+
+def _places(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ANCHOR rows by gram, kind and place, each place once; the number of each one's kind; and where kinds start. Places whose kind
+    has several are ALIKE."""
+    rows = rows[np.lexsort((rows["o"], rows["t2"], rows["t1"], rows["sig"], rows["key"]))]
+    at = _starts(*(rows[c] for c in ("key", "t1", "t2", "o")))
+    known = np.maximum.reduceat(rows["known"], at)
+    rows = rows[at]
+    kinds = _starts(rows["key"], rows["sig"])
+    lens = _lens(kinds, len(rows))
+    alike = (lens > 1) | (np.maximum.reduceat(known, kinds) & ALIKE > 0)
+    number = np.repeat(np.arange(len(kinds)), lens)
+    rows["known"] = np.where(alike, ALIKE, 0)[number]
+    return rows, number, kinds
+
+
+def _packed(rows: np.ndarray, words: bool, bits: int, often: int) -> pa.RecordBatch:
+    """ANCHOR rows of a task packed by bucket: ranges of gram hashes for those that others decide on, as many again for those that
+    are settled, and the same for words."""
+    rows, _, kinds = _places(rows)
+    first = np.zeros(len(rows), bool)
+    first[kinds] = True
+    keys = rows["key"][kinds]
+    starts = _starts(keys)
+    turn = np.arange(len(kinds)) - np.repeat(starts, _lens(starts, len(kinds)))
+    rows["known"][kinds[turn >= often]] |= MEETS
+    settled = ~first
+    settled[kinds[turn >= often]] = True
+    bucket = (rows["key"].astype(U64) >> U64(64 - bits)).astype(np.int64)
+    spread = (mix(rows["t1"] ^ mix(rows["o"].astype(U64))) >> U64(64 - bits)).astype(np.int64)
+    bucket = np.where(settled, spread + (1 << bits), bucket) + (int(words) << (bits + 1))
+    order = np.argsort(bucket, kind="stable")
+    rows, bucket = rows[order], bucket[order]
+    starts = _starts(bucket)
+    return pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int64()), pa.array([x.tobytes() for x in np.split(rows, starts[1:])], pa.binary())], names=["bucket", "packed"])
+
+
+def _anchored(batches: Iterator[pa.RecordBatch], sizes: list[int], piece: int, bits: int, often: int, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """(text, tid) -> ``_packed`` anchors of strings of bytes and, with a second size, of words; copies that a task has met lately are
+    not repeated."""
     seen: set[bytes] = set()
-    names = [c.split()[0] for c in ANCHOR.split(", ")]
-    for batch in batches:
-        data, off = _read(batch.column(0), words)
-        parts: list[list] = [[] for _ in names]
-        held = 0
-        for i, tid in enumerate(batch.column(1).to_pylist()):
-            if tid in seen or off[i + 1] - off[i] < size:
-                continue
-            if len(seen) > 50_000:
-                seen.clear()
-            seen.add(tid)
-            key, sig, *places = text_anchors(data[off[i] : off[i + 1]], size, piece)
-            for column, values in zip(parts, (key, sig, [tid] * len(key), *places), strict=True):
-                column.append(values)
-            held += len(key)
-            if held > 200_000:
-                yield _anchor_rows(parts, names)
-                parts, held = [[] for _ in names], 0
-        if held:
-            yield _anchor_rows(parts, names)
-
-
-def _anchor_rows(parts: list[list], names: list[str]) -> pa.RecordBatch:
-    tids = pa.array([t for ts in parts[2] for t in ts], pa.binary())
-    return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(p)) for p in parts[:2]), tids, *(pa.array(np.concatenate(p).astype(np.int32)) for p in parts[3:])], names=names)
+    held: list[list[np.ndarray]] = [[] for _ in sizes]
+    for batch in _sliced(batches):
+        tids = batch.column(1).to_pylist()
+        fresh = []
+        for i, tid in enumerate(tids):
+            if tid not in seen:
+                if len(seen) > 50_000:
+                    seen.clear()
+                seen.add(tid)
+                fresh.append(i)
+        if not fresh:
+            continue
+        batch = batch.take(pa.array(fresh))
+        ids = np.frombuffer(b"".join(tids[i] for i in fresh), "<u8").reshape(-1, 2)
+        for words, size in enumerate(sizes):
+            data, off = _read(batch.column(0), bool(words))
+            for i, j in common.chunks(off, min(RUN, piece)):
+                if off[j] - off[i] < size:
+                    continue
+                if j - i == 1:
+                    columns = (0, *text_anchors(data[off[i] : off[j]], size, piece))
+                else:
+                    columns = run_anchors(data[off[i] : off[j]], off[i : j + 1] - off[i], size)
+                rows = np.zeros(len(columns[1]), ANCHOR)
+                for name, values in zip(("key", "sig", "o", "lo", "hi"), columns[1:], strict=True):
+                    rows[name] = values
+                rows["t1"], rows["t2"] = ids[i + columns[0]].T
+                held[words].append(rows)
+            if sum(map(len, held[words])) > most:
+                yield _packed(np.concatenate(held[words]), bool(words), bits, often)
+                held[words] = []
+    for words, rows in enumerate(held):
+        if sum(map(len, rows)):
+            yield _packed(np.concatenate(rows), bool(words), bits, often)
+
+
+def _kept(t: pa.Table, bits: int) -> pa.Table:
+    """KEPT: the places of a bucket whose gram has others."""
+    bucket = t["bucket"][0].as_py()
+    rows = np.frombuffer(b"".join(t["packed"].to_pylist()), ANCHOR)
+    if bucket >> bits & 1:
+        kinds, alike, meets = np.full(len(rows), -1, np.int32), rows["known"] & ALIKE > 0, rows["known"] & MEETS > 0
+    else:
+        rows, number, first = _places(rows)
+        starts = _starts(rows["key"][first])
+        kinds = np.repeat(_lens(starts, len(first)), _lens(starts, len(first))).astype(np.int32)[number]
+        alike, meets = rows["known"] > 0, np.zeros(len(rows), bool)
+        meets[first] = kinds[first] > 1
+        keep = alike | meets
+        rows, kinds, alike, meets = rows[keep], kinds[keep], alike[keep], meets[keep]
+    tids = pa.array([x.tobytes() for x in np.stack([rows["t1"], rows["t2"]], 1)], pa.binary())
+    columns = [pa.array(np.full(len(rows), bool(bucket >> bits + 1))), pa.array(rows["key"]), tids, *(pa.array(rows[c]) for c in ("o", "lo", "hi")), pa.array(kinds), pa.array(alike), pa.array(meets)]
+    return pa.table(columns, names=[c.split()[0] for c in KEPT.split(", ")])
 
 
 class Hashes:
@@ -303,15 +410,18 @@ def _grouped(t: pa.Table) -> tuple[pa.Table, np.ndarray]:
     return t.take(pa.array(order[new])), key[new]
 
 
-def _repeated(t: pa.Table, size: int) -> pa.Table:
+def _repeated(t: pa.Table, sizes: list[int]) -> pa.Table:
+    words = t["words"][0].as_py()
     t, key = _grouped(t)
     o, lo, hi = (t[c].to_numpy().astype(np.int64) for c in ("o", "lo", "hi"))
-    member, first, last = repeats(key, t["context"].to_pylist(), o, lo, hi, size)
-    return pa.table({"tid": t["tid"].take(pa.array(member)), "first": pa.array(first.astype(np.int32)), "last": pa.array(last.astype(np.int32))})
+    member, first, last = repeats(key, t["context"].to_pylist(), o, lo, hi, sizes[words])
+    return pa.table({"words": pa.array(np.full(len(member), words)), "tid": t["tid"].take(pa.array(member)), "first": pa.array(first.astype(np.int32)), "last": pa.array(last.astype(np.int32))})
 
 
-def _strings(t: pa.Table, size: int, bits: int) -> pa.Table:
+def _strings(t: pa.Table, sizes: list[int], bits: int) -> pa.Table:
     """Of a group that shares its gram with others: each of its strings once, by two hashes, packed by bucket."""
+    words = t["words"][0].as_py()
+    size = sizes[words]
     t, _ = _grouped(t)
     lo = t["lo"].to_numpy().astype(np.int64)
     tids = np.array([np.void(x) for x in t["tid"].to_pylist()])
@@ -327,7 +437,7 @@ def _strings(t: pa.Table, size: int, bits: int) -> pa.Table:
     rows = rows[np.append(True, (rows["a"][1:] != rows["a"][:-1]) | (rows["b"][1:] != rows["b"][:-1]))]
     bucket = (rows["a"] >> U64(64 - bits)).astype(np.int64)
     starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-    return pa.table({"bucket": pa.array(bucket[starts]), "packed": pa.array([x.tobytes() for x in np.split(rows, starts[1:])], pa.binary())})
+    return pa.table({"words": pa.array(np.full(len(starts), words)), "bucket": pa.array(bucket[starts]), "packed": pa.array([x.tobytes() for x in np.split(rows, starts[1:])], pa.binary())})
 
 
 def _across(t: pa.Table) -> pa.Table:
@@ -336,70 +446,73 @@ def _across(t: pa.Table) -> pa.Table:
     rows = rows[order]
     same = (rows["a"][1:] == rows["a"][:-1]) & (rows["b"][1:] == rows["b"][:-1])
     hit = rows[np.append(same, False) | np.append(False, same)]
-    return pa.table({"tid": pa.array([bytes(x) for x in hit["tid"]], pa.binary()), "first": pa.array(hit["p"].astype(np.int32)), "last": pa.array(hit["p"].astype(np.int32))})
+    words = pa.array(np.full(len(hit), t["words"][0].as_py()))
+    return pa.table({"words": words, "tid": pa.array([bytes(x) for x in hit["tid"]], pa.binary()), "first": pa.array(hit["p"].astype(np.int32)), "last": pa.array(hit["p"].astype(np.int32))})
 
 
-def _contexts(batches: Iterator[pa.RecordBatch], size: int, words: bool) -> Iterator[pa.RecordBatch]:
+def _contexts(batches: Iterator[pa.RecordBatch], sizes: list[int]) -> Iterator[pa.RecordBatch]:
     """(text, tid, anchors) -> one row per anchor with the bytes of its strings."""
-    for batch in batches:
-        data, off = _read(batch.column(0), words)
+    for batch in _sliced(batches):
+        read = [_read(batch.column(0), bool(words)) for words in range(len(sizes))]
         tids, lists = batch.column(1), batch.column(2)
         start = np.frombuffer(lists.offsets.cast(pa.int64()).to_numpy()).view(np.int64)
-        row = np.repeat(np.arange(len(off) - 1), np.diff(start))
+        row = np.repeat(np.arange(batch.num_rows), np.diff(start))
         for s in range(0, len(row), 8192):
             part = lists.values.slice(start[0] + s, min(8192, len(row) - s))
             columns = {f.name: part.field(k) for k, f in enumerate(part.type)}
-            lo, hi = columns["lo"].to_numpy(), columns["hi"].to_numpy()
+            lo, hi, words = (columns[c].to_numpy(zero_copy_only=False) for c in ("lo", "hi", "words"))
             own = row[s : s + 8192]
-            contexts = [data[off[r] + a : off[r] + b + size].tobytes() for r, a, b in zip(own, lo, hi, strict=True)]
-            yield pa.RecordBatch.from_arrays([columns["grp"], columns["shared"], columns["key"], tids.take(pa.array(own)), columns["o"], columns["lo"], columns["hi"], pa.array(contexts, pa.binary())], names=["grp", "shared", "key", "tid", "o", "lo", "hi", "context"])
+            contexts = []
+            for r, a, b, w in zip(own.tolist(), lo.tolist(), hi.tolist(), words.astype(int).tolist(), strict=True):
+                data, off = read[w]
+                contexts.append(data[off[r] + a : off[r] + b + sizes[w]].tobytes())
+            yield pa.RecordBatch.from_arrays([columns["words"], columns["grp"], columns["shared"], columns["key"], tids.take(pa.array(own)), columns["o"], columns["lo"], columns["hi"], pa.array(contexts, pa.binary())], names=["words", "grp", "shared", "key", "tid", "o", "lo", "hi", "context"])
 
 
-def spans(docs: DataFrame, size: int = 400, block: int = 4096, group: int = 2048, piece: int = PIECE, words: bool = False) -> tuple[Column, DataFrame]:
-    """An expression for a text's id, and for the ids that lose bytes: the runs of starts of their repeated strings, or that all goes, and
-    how many rows have the text.
+def spans(docs: DataFrame, size: int = 400, words: int = 0, block: int = 4096, group: int = 2048, piece: int = PIECE, often: int = 16) -> tuple[Column, DataFrame]:
+    """An expression for a text's id, and for the ids that lose bytes: the runs of starts of their repeated strings, of ``size`` bytes and,
+    in bytes of ``word_bytes``, of so many words; whether the text has copies, and how many rows have it.
 
-    With ``words``, size and runs are in bytes of ``word_bytes``, and a text may be marked as whole that has less than size.
+    A text that is marked as whole may have less than ``size`` bytes or less than ``words`` words.
     """
+    sizes = [size, 8 * words] if words else [size]
     text = F.coalesce("text", F.lit(""))
     tid = F.unhex(F.md5(text.cast("binary")))
     named = docs.select("doc_id", text.alias("text"), tid.alias("tid"))
-    found = common.stored(named.select("text", "tid").mapInArrow(lambda b: _anchored(b, size, piece, words), ANCHOR))
-    place = F.struct("tid", "o")
-    keys = common.stored(found.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("rows")).where("a <> b").select("key", "rows"))
-    kept = common.named(found, keys, "key", "rows", how="inner").distinct()
-    # Places whose strings are all alike repeat whole; one of them meets the others of the gram, if there are any.
-    each = common.stored(kept.groupBy("key", "sig").agg(F.count("*").alias("places"), F.min(place).alias("rep")))
-    kinds = common.stored(each.groupBy("key").agg(F.count("*").alias("kinds"), F.count("*").alias("rows")))
-    alike = common.stored(common.named(each, kinds, "key", "rows"))
-    n = alike.where("kinds > 1").count()
+    n_bytes = F.octet_length("text")
+    copies = common.stored(named.groupBy("tid").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.max(n_bytes).cast("long").alias("bytes")))
+    bits = max(4, ((copies.agg(F.sum(F.col("n") * F.col("bytes"))).first()[0] or 0) >> 22).bit_length())
+    found = named.select("text", "tid").mapInArrow(lambda b: _anchored(b, sizes, piece, bits, often), "bucket long, packed binary")
+    kept = common.stored(found.groupBy("bucket").applyInArrow(lambda t: _kept(t, bits), KEPT))
+    direct = kept.where("alike").select("words", "tid", F.col("lo").alias("first"), F.col("hi").alias("last"))
+    meets = kept.where("meets").drop("alike", "meets")
+    n = meets.count()
     buckets = max(1, n // group)
-    blocks = F.ceil(F.col("kinds") / block)
+    # Only grams that filled their share in a task, or have that many kinds, may have more than a block of places.
+    heavy = common.stored(meets.where((F.col("kinds") < 0) | (F.col("kinds") >= min(often, block))).groupBy("words", "key").agg(F.count("*").alias("all"), F.count("*").alias("rows")).where(F.col("all") > block))
+    some = bool(heavy.head(1))
+    meets = common.named(meets, heavy, ["words", "key"], "rows") if some else meets.withColumn("all", F.lit(1))
+    blocks = F.coalesce(F.ceil(F.col("all") / block), F.lit(1))
     dealt = F.when(blocks > 1, F.xxhash64("key", F.pmod(F.xxhash64("tid", "o"), blocks))).otherwise(F.pmod("key", F.lit(buckets)))
-    several = alike.where("kinds > 1 or places > 1").withColumn("rows", F.col("places"))
-    kept = common.stored(common.named(kept, several, ["key", "sig"], "rows", how="inner"))
-    for done in (found, keys, each, kinds):
-        common.release(done)
-    direct = kept.where("places > 1").select("tid", F.col("lo").alias("first"), F.col("hi").alias("last"))
-    meets = kept.where((F.col("kinds") > 1) & (F.col("rep") == place)).select(dealt.alias("grp"), (blocks > 1).alias("shared"), "key", "tid", "o", "lo", "hi")
-    per_text = meets.groupBy("tid").agg(F.collect_list(F.struct(*meets.columns)).alias("anchors"))
-    copies = named.where(F.octet_length("text") >= (size // 4 - 1 if words else size)).groupBy("tid").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
+    meets = meets.select("words", dealt.alias("grp"), (blocks > 1).alias("shared"), "key", "tid", "o", "lo", "hi")
+    per_text = meets.groupBy("tid").agg(F.collect_set(F.struct(*meets.columns)).alias("anchors"))
     # one row stands for a text; its id leads to the text, so that copies' texts are not gathered
     chosen = per_text.join(copies.select("tid", "doc_id"), "tid")
     chosen = chosen.withColumnsRenamed({"doc_id": "rep", "tid": "of"})
-    texts = named.join(chosen, (named["tid"] == chosen["of"]) & named["doc_id"].eqNullSafe(chosen["rep"])).select("text", "tid", "anchors")
-    made = texts.mapInArrow(lambda b: _contexts(b, size, words), "grp long, shared boolean, key long, tid binary, o int, lo int, hi int, context binary")
-    shape = "tid binary, first int, last int"
-    hits = made.groupBy("grp").applyInArrow(lambda t: _repeated(t, size), shape).union(direct)
-    if alike.where(F.col("kinds") > block).head(1):
-        bits = max(4, (n // 1000).bit_length())
-        over = made.where("shared").groupBy("grp").applyInArrow(lambda t: _strings(t, size, bits), "bucket long, packed binary")
-        hits = hits.union(over.groupBy("bucket").applyInArrow(_across, shape))
-    runs = hits.groupBy("tid").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    whole = copies.where("n > 1").select("tid", F.lit(True).alias("whole"), F.col("n").alias("rows"))
-    lost = runs.join(whole, "tid", "full").select("tid", "runs", F.coalesce("whole", F.lit(False)).alias("whole"), F.coalesce("rows", F.lit(1)).alias("rows"))
+    texts = named.join(chosen.hint("merge"), (named["tid"] == chosen["of"]) & named["doc_id"].eqNullSafe(chosen["rep"])).select("text", "tid", "anchors")
+    made = texts.mapInArrow(lambda b: _contexts(b, sizes), "words boolean, grp long, shared boolean, key long, tid binary, o int, lo int, hi int, context binary")
+    shape = "words boolean, tid binary, first int, last int"
+    hits = made.groupBy("words", "grp").applyInArrow(lambda t: _repeated(t, sizes), shape).union(direct)
+    if some:
+        wide = max(4, (n // 1000).bit_length())
+        over = made.where("shared").groupBy("words", "grp").applyInArrow(lambda t: _strings(t, sizes, wide), "words boolean, bucket long, packed binary")
+        hits = hits.union(over.groupBy("words", "bucket").applyInArrow(_across, shape))
+    run = F.struct("first", "last")
+    runs = hits.groupBy("tid").agg(F.collect_set(F.when(~F.col("words"), run)).alias("runs"), F.collect_set(F.when(F.col("words"), run)).alias("word_runs"))
+    whole = copies.where((F.col("n") > 1) & (F.col("bytes") >= min(size, 2 * words - 1 if words else size))).select("tid", F.lit(True).alias("whole"), F.col("n").alias("rows"))
+    lost = runs.join(whole, "tid", "full").select("tid", "runs", "word_runs", F.coalesce("whole", F.lit(False)).alias("whole"), F.coalesce("rows", F.lit(1)).alias("rows"))
     lost = common.stored(lost)
-    for done in (alike, kept):
+    for done in (copies, kept, heavy):
         common.release(done)
     return tid, lost
 
@@ -432,16 +545,17 @@ def _word_ranges(text: np.ndarray, runs: np.ndarray, whole: bool, words: int) ->
 
 
 def _cut(batches: Iterator[pa.RecordBatch], at: int, size: int, words: int = 0):
-    """For each row of batches that end in (runs, whole), with ``words`` in two such pairs: the batch, and each text's bytes, the
-    ranges removed by bytes, and all removed ranges."""
+    """For each row of batches that end in (runs, word_runs, whole): the batch, and each text's bytes, the ranges removed by bytes,
+    and all removed ranges."""
     for batch in batches:
         data, off = common.utf8(batch.column(at))
-        marks = [(batch.column(k), batch.column(k + 1).to_pylist()) for k in range(batch.num_columns - (4 if words else 2), batch.num_columns, 2)]
+        whole = batch.column(batch.num_columns - 1).to_pylist()
+        marks = [batch.column(batch.num_columns - 3 + by_word) for by_word in range(2 if words else 1)]
         out = []
         for i in range(batch.num_rows):
             text = data[off[i] : off[i + 1]]
             ranges = by_bytes = np.zeros((0, 2), np.int64)
-            for by_word, (runs, whole) in enumerate(marks):
+            for by_word, runs in enumerate(marks):
                 own = np.zeros((0, 2), np.int64)
                 if runs[i].is_valid:
                     v = runs[i].values
@@ -481,18 +595,13 @@ def _digests(batches: Iterator[pa.RecordBatch], size: int, words: int) -> Iterat
 
 
 def _marked(docs: DataFrame, size: int, words: int = 0, **bounds) -> DataFrame:
-    """docs with two more columns at the end, the repeated runs and whether all of the text goes; with ``words``, the same
-    for strings of so many words in another two."""
-    names, out = docs.columns, docs
-    added: list[str] = []
-    for by_word in (False, True) if words else (False,):
-        tid, lost = spans(docs, 8 * words if by_word else size, words=by_word, **bounds)
-        t = f"tid_{int(by_word)}" + hashlib.md5("".join(names).encode()).hexdigest()  # a name that docs doesn't have
-        lost = lost.withColumnsRenamed({"tid": t, "runs": f"runs_{t}", "whole": f"whole_{t}", "rows": f"rows_{t}"})
-        joined = common.named(out.select(*(out[c] for c in (*names, *added)), tid.alias(t)), lost, t, f"rows_{t}")
-        out = joined.select(*names, *added, f"runs_{t}", F.coalesce(f"whole_{t}", F.lit(False)).alias(f"whole_{t}"))
-        added += [f"runs_{t}", f"whole_{t}"]
-    return out
+    """docs with three more columns at the end: the repeated runs by bytes and by words, and whether all of the text goes."""
+    names = docs.columns
+    tid, lost = spans(docs, size, words, **bounds)
+    t = "tid_" + hashlib.md5("".join(names).encode()).hexdigest()  # a name that docs doesn't have
+    lost = lost.withColumnsRenamed({"tid": t, "runs": f"runs_{t}", "word_runs": f"words_{t}", "whole": f"whole_{t}", "rows": f"rows_{t}"})
+    joined = common.named(docs.select(*(docs[c] for c in names), tid.alias(t)), lost, t, f"rows_{t}", merge=True)
+    return joined.select(*names, f"runs_{t}", f"words_{t}", F.coalesce(f"whole_{t}", F.lit(False)).alias(f"whole_{t}"))
 
 
 def digests(docs: DataFrame, size: int = 400, words: int = 51, **bounds) -> DataFrame:
@@ -509,14 +618,13 @@ def cleaned(docs: DataFrame, size: int = 400, words: int = 0, **bounds) -> DataF
     between words makes no difference to these.
     """
     at, schema = docs.columns.index("text"), docs.schema
-    extra = 4 if words else 2
 
     def run(batches):
         for batch, texts in _cut(batches, at, size, words):
             kept = [kept_bytes(t, r).decode("utf-8", "ignore") if len(r) else None for t, _, r in texts]
             old = batch.column(at).to_pylist()
             text = pa.array([a if b is None else b for a, b in zip(old, kept, strict=True)], pa.string())
-            columns = list(batch.columns[:-extra])
+            columns = list(batch.columns[:-3])
             columns[at] = text
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 

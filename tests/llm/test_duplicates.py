@@ -432,3 +432,38 @@ def test_stages_on_awkward_rows(spark, awkward):
     assert len(masked) == len({(r.doc_id, r.text) for r in rows}) and (10, "mail <email> or <phone>") in masked
     pieces = corpus_pipeline.pack_sequences(spark, awkward, SF).collect()
     assert len([p for p in pieces if p.start == 0]) == len(rows) and {p.doc_tokens for p in pieces if p.doc_id in (1, 2)} == {1}
+
+
+def test_frequent_grams_need_no_bucket_of_their_own(spark):
+    rng = random.Random(11)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line = some(60)  # one gram in many places, of which few repeat
+    rows = [(i, some(rng.randrange(200, 380)) + line + some(rng.randrange(200, 380))) for i in range(60)]
+    rows += [(100 + i, some(50) + rows[i][1] + some(50)) for i in range(0, 60, 7)] + [(200 + i, rows[3][1]) for i in range(3)] + [(300, rows[5][1] * 3)]
+    want = sorted((d, sum(e - a for a, e in ranges), hashlib.sha256(kept).hexdigest()) for (d, _), (kept, ranges) in zip(rows, brute.repeated([t for _, t in rows], 400), strict=True))
+    for bounds in ({"often": 1, "block": 3, "group": 8}, {"often": 2}, {"block": 5}):
+        got = suffixes.digests(pages(spark, rows), **bounds).collect()
+        assert sorted((r.doc_id, r.n_removed, r.kept_sha256) for r in got) == want, bounds
+
+
+def test_anchors_travel_packed_and_alike(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.choice([10, 390, 400, 700, 5000, 40_000]))) for _ in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([hashlib.md5(x.encode()).digest() for x in texts])], names=["text", "tid"])
+    packed = [x for b in suffixes._anchored(iter([batch]), [400], suffixes.PIECE, 4, 16) for x in b["packed"].to_pylist()]
+    assert len(packed) <= 32  # a row for each bucket, none for an anchor
+    rows = np.frombuffer(b"".join(packed), suffixes.ANCHOR)
+    want = [(k, s, o, a, b) for t in texts for k, s, o, a, b in zip(*(x.tolist() for x in suffixes.anchors(np.frombuffer(t.encode(), np.uint8), 400)), strict=True)]
+    assert sorted(zip(*(rows[c].tolist() for c in ("key", "sig", "o", "lo", "hi")), strict=True)) == sorted(want)
+
+
+def test_texts_are_brought_to_results_once(spark):
+    docs = spark.createDataFrame([(i, f"w{i} " * 30 + "some words that all of them have " * 20) for i in range(6)], "doc_id long, text string")
+    for out in (suffixes.cleaned(docs, words=51), jaccard.one_of_each(docs)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 1 and "Union" not in plan and "BroadcastHashJoin" not in plan
+    again = docs.union(docs.limit(1))  # rows equal in id and text are one
+    assert jaccard.one_of_each(again).count() == jaccard.one_of_each(docs).count()
