@@ -394,7 +394,7 @@ def _links(docs: DataFrame, reps: DataFrame, words: int, num: int, den: int, cap
     placed = members.join(tiles, ["cluster", "band"]).withColumn("salt", F.when(F.col("tiles") > 0, F.pmod(F.xxhash64("s"), "tiles")).otherwise(0))
     # one row stands for a set, by its id, which may be null, and its text's digest; rows that are equal in both are one
     wanted = placed.select(F.col("row.doc_id").alias("doc"), F.col("row.tid").alias("tid"), "s", "cluster", "band", "tiles", "salt")
-    loaded = docs.join(wanted, (docs["doc_id"].eqNullSafe(wanted["doc"])) & (docs["tid"] == wanted["tid"])).drop(docs["tid"])
+    loaded = docs.join(wanted.hint("merge"), (docs["doc_id"].eqNullSafe(wanted["doc"])) & (docs["tid"] == wanted["tid"])).drop(docs["tid"])
     loaded = loaded.dropDuplicates(["doc", "tid", "s"]).select("text", "s", "cluster", "band", "tiles", "salt")
     loaded = common.stored(loaded.mapInArrow(lambda b: _loaded(b, words, shared), "shingles binary, s long, cluster long, band long, tiles long, salt long"))
     first = loaded.withColumn("root", F.col("s")).withColumn("tile", F.explode(F.when(F.col("tiles") == 0, F.array(F.lit(""))).otherwise(_pivots())))
@@ -464,7 +464,9 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     tid = F.unhex(F.md5(F.coalesce(docs["text"], F.lit(""))))
     keyed = docs.select(F.struct(*(docs[c].alias(c) for c in names)).alias(once), F.struct(docs["doc_id"].cast("long").alias("doc_id"), tid.alias("tid")).alias(key))
     marked = marks.select(F.struct("doc_id", "tid").alias(key), "stays")
-    plain = keyed.join(marked, key, "left_anti").select(f"{once}.*")
+    plain = keyed.join(marked.hint("merge"), key, "left_anti").select(f"{once}.*")
+    if not marks.where("stays = 1").head(1):  # no row is repeated in both
+        return plain
     again = keyed.join(marked.where("stays = 1"), key, "left_semi").dropDuplicates([key]).select(f"{once}.*")
     return plain.union(again)
 
