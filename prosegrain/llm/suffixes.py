@@ -16,7 +16,7 @@ stands for it. So are places with one gram whose strings are all alike, by a 64-
 and one stands for them. A gram with more than ``block`` places is dealt over several groups; what repeats only across them shows
 in two 64-bit hashes of each string, of which each group sends every one once, packed in binary rows.
 
-Anchors travel once, packed in binary rows by ranges of gram hashes; what occurs once ends there. A task sends at most ``often`` kinds
+Anchors travel once, packed in binary rows by ranges of hashes of the grams' hashes; what occurs once ends there. A task sends at most ``often`` kinds
 of places with one gram to its range, one place for each kind: that the others repeat is known by then, so they are dealt over all
 ranges. Strings of bytes and of words share the pass over the texts, the join that brings the texts to their anchors, and the one that
 brings the results to the texts; texts are shuffled in these two joins only.
@@ -177,7 +177,7 @@ def _packed(rows: np.ndarray, words: bool, bits: int, often: int) -> pa.RecordBa
     rows["known"][kinds[turn >= often]] |= MEETS
     settled = ~first
     settled[kinds[turn >= often]] = True
-    bucket = (rows["key"].astype(U64) >> U64(64 - bits)).astype(np.int64)
+    bucket = (mix(rows["key"].astype(U64)) >> U64(64 - bits)).astype(np.int64)  # mixed again: the least of many hashes is small
     spread = (mix(rows["t1"] ^ mix(rows["o"].astype(U64))) >> U64(64 - bits)).astype(np.int64)
     bucket = np.where(settled, spread + (1 << bits), bucket) + (int(words) << (bits + 1))
     order = np.argsort(bucket, kind="stable")

@@ -455,6 +455,7 @@ def test_anchors_travel_packed_and_alike(spark):
     batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([hashlib.md5(x.encode()).digest() for x in texts])], names=["text", "tid"])
     packed = [x for b in suffixes._anchored(iter([batch]), [400], suffixes.PIECE, 4, 16) for x in b["packed"].to_pylist()]
     assert len(packed) <= 32  # a row for each bucket, none for an anchor
+    assert max(map(len, packed)) < 4 * sum(map(len, packed)) / 16  # anchors are the least hashes of many, yet fill all buckets
     rows = np.frombuffer(b"".join(packed), suffixes.ANCHOR)
     want = [(k, s, o, a, b) for t in texts for k, s, o, a, b in zip(*(x.tolist() for x in suffixes.anchors(np.frombuffer(t.encode(), np.uint8), 400)), strict=True)]
     assert sorted(zip(*(rows[c].tolist() for c in ("key", "sig", "o", "lo", "hi")), strict=True)) == sorted(want)
