@@ -13,7 +13,8 @@
    blocks, which meet a pivot block first and each other only where that leaves several components.
 4. A cluster's sets are split into tiles of bounded size within size bands. In a tile the pairs that the bitmaps allow
    are intersected as sorted arrays. Pairs already connected are skipped. Clusters of several tiles are first tied
-   together by a pivot tile for each band; only those that stay in pieces meet tile by tile.
+   together by a pivot tile for each band; only those that stay in pieces meet tile by tile, as larger bitmaps first, and
+   their sets are loaded only where these allow a pair of different pieces.
 
 Defined cases: null text, empty text and text without words have an empty set and stand alone; fewer words than the
 n-gram are one shingle; repeated rows are linked as equal sets; a null doc_id is kept, links like any other, and never names a
@@ -153,9 +154,9 @@ def _described(batches: Iterator[pa.RecordBatch], words: int, shared: frozenset[
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tid", "n", "s", "c", "bits"])
 
 
-def bitmap(h: np.ndarray) -> bytes:
-    """A set's hashed bitmap: the least power of two of bits that is no smaller than the set, between 64 and 65,536."""
-    bits = 1 << min(16, max(6, (len(h) - 1).bit_length()))
+def bitmap(h: np.ndarray, sharper: int = 0) -> bytes:
+    """A set's hashed bitmap: the least power of two of bits that is no smaller than the set, doubled ``sharper`` times, between 64 and 65,536."""
+    bits = 1 << min(16, max(6, (len(h) - 1).bit_length() + sharper))
     flags = np.zeros(bits, bool)
     flags[(h >> U64(24)).astype(np.int64) & (bits - 1)] = True
     return np.packbits(flags, bitorder="little").tobytes()
@@ -175,6 +176,7 @@ def may_overlap(maps: np.ndarray, n: np.ndarray, i: int, js: np.ndarray) -> np.n
 
 
 def _filed(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int, bits: int, shared: frozenset[int]) -> Iterator[pa.RecordBatch]:
+    """Signatures and keys by bucket, the first ``bits`` bits of the key; the next 32 travel. Sets that meet by chance are told apart later."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     seen: set[int] = set()  # sets that this task has filed lately: copies need not be filed again
 
@@ -184,8 +186,9 @@ def _filed(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int, bi
         order = np.argsort(keys)
         keys, s = keys[order], s[order]
         bucket = (keys >> U64(64 - bits)).astype(np.int64)
+        keys = ((keys << U64(bits)) >> U64(32)).astype(np.uint32)
         starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(keys) else []
-        blobs = [np.concatenate([a.view(np.int64), b]).tobytes() for a, b in zip(np.split(keys, starts[1:]), np.split(s, starts[1:]), strict=True)] if len(keys) else []
+        blobs = [b.tobytes() + a.tobytes() for a, b in zip(np.split(keys, starts[1:]), np.split(s, starts[1:]), strict=True)] if len(keys) else []
         return pa.RecordBatch.from_arrays([pa.array(bucket[starts] if len(keys) else [], pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "packed"])
 
     for batch in batches:
@@ -211,8 +214,8 @@ def _filed(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int, bi
 
 def _met(t: pa.Table) -> pa.Table:
     """(meeting, s) of the sets of a bucket that share a key with others; the same sets under several keys are one meeting."""
-    arrays = [np.frombuffer(x, np.int64).reshape(2, -1) for x in t["packed"].to_pylist()]
-    keys, s = np.concatenate(arrays, axis=1)
+    blobs = [(x, len(x) // 12) for x in t["packed"].to_pylist()]
+    s, keys = (np.concatenate([np.frombuffer(x, kind, n, at * n) for x, n in blobs]) for kind, at in ((np.int64, 0), (np.uint32, 8)))
     order = np.lexsort((s, keys))
     keys, s = keys[order], s[order]
     once = np.append(True, (keys[1:] != keys[:-1]) | (s[1:] != s[:-1]))
@@ -317,6 +320,31 @@ def _loaded(batches: Iterator[pa.RecordBatch], words: int, shared: frozenset[int
         yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()), *rest.columns[1:]], names=["shingles", *batch.schema.names[1:]])
 
 
+def _mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """shingles, ... -> n and a bitmap of four times the usual size in place of the shingles."""
+    for batch in batches:
+        sets = [np.frombuffer(x, U64) for x in batch.column(0).to_pylist()]
+        columns = [pa.array(list(map(len, sets)), pa.int64()), pa.array([bitmap(x, 2) for x in sets], pa.binary()), *batch.columns[1:]]
+        yield pa.RecordBatch.from_arrays(columns, names=["n", "bits", *batch.schema.names[1:]])
+
+
+def _near(t: pa.Table, num: int, den: int) -> pa.Table:
+    """The sets of a tile that the bitmaps allow to be similar to one of another root there."""
+    order = np.argsort(t["n"].to_numpy(), kind="stable")
+    n, (_, root) = t["n"].to_numpy()[order], np.unique(t["root"].to_numpy()[order], return_inverse=True)
+    near = np.zeros(len(n), bool)
+    if len(np.unique(root)) > 1:
+        blobs = t["bits"].to_pylist()
+        maps, ends = bitmaps([blobs[i] for i in order]), np.searchsorted(n, n * den // num, "right")
+        for i in range(len(n) - 1):
+            js = np.arange(i + 1, ends[i])
+            js = js[root[js] != root[i]]
+            js = js[may_overlap(maps, n, i, js) * (den + num) >= num * (n[i] + n[js])]
+            near[js] = True
+            near[i] |= len(js) > 0
+    return t.select(["cluster", "tile", "s"]).take(pa.array(order[near]))
+
+
 def _tiled(members: DataFrame, num: int, den: int) -> DataFrame:
     return members.groupBy("cluster", "tile").applyInArrow(lambda t: _linked(t, num, den), "u long, v long")
 
@@ -357,8 +385,8 @@ def _step(num: int, den: int) -> float:
     return math.log(den / num) * (1 + 1e-9)
 
 
-def _candidates(met: DataFrame, reps: DataFrame, num: int, den: int, block: int) -> DataFrame:
-    """Pairs (u, v) of sets that meet and that the bitmaps allow, as many as connect what they connect.
+def _candidates(met: DataFrame, reps: DataFrame, num: int, den: int, block: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs (u, v) of sets that meet and that the bitmaps allow, as many as connect what they connect; and the stored tables they read.
 
     A meeting of more than ``block`` sets is dealt over blocks: each meets a pivot block first, and only blocks that are not in one
     component then meet in pairs.
@@ -370,14 +398,32 @@ def _candidates(met: DataFrame, reps: DataFrame, num: int, den: int, block: int)
     small = met.join(large, "meeting", "left_anti") if some else met
     may = pairs(small.join(reps.select("s", "n", "bits"), "s").withColumn("grp", F.pmod("meeting", F.lit(groups))), "grp")
     if not some:
-        return may
+        return may, [large]
     rows, tiles = blocks(met, reps, large, num, den, block)
     may = common.stored(may.union(pairs(rows.withColumn("tile", F.explode(_pivots())), "meeting", "tile")))
     roots = common.stored(common.components(may))
     rows = rows.join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
     split = rows.groupBy("meeting").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("meeting")
-    rest = rows.join(common.stored(split), "meeting", "left_semi")
-    return may.union(pairs(_paired(rest, tiles, "meeting"), "meeting", "tile"))
+    split = common.stored(split)
+    rest = rows.join(split, "meeting", "left_semi")
+    return may.union(pairs(_paired(rest, tiles, "meeting"), "meeting", "tile")), [large, tiles, may, roots, split]
+
+
+#: Tiles that meet as bitmaps hold the sets of so many tiles that meet as shingles.
+WIDER = 8
+
+
+def _apart(large: DataFrame, tiles: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows of clusters that are still in pieces, in the pairs of tiles where they may be similar to a set of another root.
+
+    Tiles meet in pairs as bitmaps, which are much smaller; shingles travel only to where a bitmap allows it.
+    """
+    wide = lambda t: t.where("tiles > 0").withColumn("tiles", F.ceil(F.col("tiles") / WIDER))
+    maps = large.select("shingles", "s", "cluster", "band", "tiles", "root").mapInArrow(_mapped, "n long, bits binary, s long, cluster long, band long, tiles long, root long")
+    rows = common.stored(wide(maps).withColumn("salt", F.pmod(F.xxhash64("s"), "tiles")))
+    pairs = _paired(rows, wide(tiles), "cluster").select("cluster", "tile", "s", "n", "root", "bits")
+    near = common.stored(pairs.groupBy("cluster", "tile").applyInArrow(lambda t: _near(t, num, den), "cluster long, tile string, s long"))
+    return near.join(large.select("s", "shingles", "root"), "s")
 
 
 def _links(docs: DataFrame, reps: DataFrame, words: int, num: int, den: int, capacity: int, block: int, shared: frozenset[int]) -> DataFrame:
@@ -386,7 +432,10 @@ def _links(docs: DataFrame, reps: DataFrame, words: int, num: int, den: int, cap
     bits = max(6, (size >> 22).bit_length())
     filed = docs.select("text").mapInArrow(lambda b: _filed(b, words, num, den, bits, shared), "bucket long, packed binary")
     met = common.stored(filed.groupBy("bucket").applyInArrow(_met, "meeting long, s long").distinct())
-    clusters = common.stored(common.components(_candidates(met, reps, num, den, block)).withColumnsRenamed({"node": "s", "root": "cluster"}))
+    may, read = _candidates(met, reps, num, den, block)
+    clusters = common.stored(common.components(may).withColumnsRenamed({"node": "s", "root": "cluster"}))
+    for done in (met, *read):
+        common.release(done)
     members = reps.select("s", "row", "n").join(clusters, "s").withColumn("band", F.floor(F.log("n") / _step(num, den)))
     by_band = members.groupBy("cluster", "band").agg(F.sum("n").alias("weight"))
     whole = by_band.groupBy("cluster").agg(F.sum("weight").alias("total"))
@@ -401,11 +450,13 @@ def _links(docs: DataFrame, reps: DataFrame, words: int, num: int, den: int, cap
     links = common.stored(_tiled(first, num, den))
     roots = common.stored(common.components(links))
     large = loaded.where("tiles > 0").join(roots.withColumnRenamed("node", "s"), "s", "left").withColumn("root", F.coalesce("root", "s"))
-    split = large.groupBy("cluster").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("cluster")
-    large = large.join(split, "cluster", "left_semi")
-    rest = _paired(large, tiles, "cluster")
-    all_links = common.stored(links.union(_tiled(rest.select(*first.columns), num, den)))
-    for done in (met, clusters, tiles, loaded, links, roots):
+    split = common.stored(large.groupBy("cluster").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("cluster"))
+    read = [clusters, tiles, loaded, roots, split]
+    all_links = links
+    if split.head(1):
+        all_links = common.stored(links.union(_tiled(_apart(large.join(split, "cluster", "left_semi"), tiles, num, den), num, den)))
+        read.append(links)
+    for done in read:
         common.release(done)
     return all_links
 
@@ -435,7 +486,10 @@ def _resolved(docs: DataFrame, words: int, num: int, den: int, capacity: int, bl
     each, reps, shared = _sets(docs, words)
     links = _links(docs, reps, words, num, den, capacity, block, shared)
     roots = common.components(links).withColumnRenamed("node", "s")
-    return each, common.stored(reps.join(roots, "s", "left").select("s", "n", "rows", "doc_id", "best", F.coalesce("root", "s").alias("root")))
+    found = common.stored(reps.join(roots, "s", "left").select("s", "n", "rows", "doc_id", "best", F.coalesce("root", "s").alias("root")))
+    for done in (reps, links):
+        common.release(done)
+    return each, found
 
 
 def similar(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, capacity: int = 1 << 18, block: int = 4096) -> DataFrame:
@@ -459,6 +513,8 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     rows = common.named(each.where("n > 0").select("doc_id", "tid", "s"), chosen, "s", "rows", how="inner")
     stays = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("tid") == F.col("kept_tid"))
     marks = common.stored(rows.groupBy("doc_id", "tid").agg(F.max(F.when(stays, F.lit(1)).otherwise(0)).alias("stays"), F.count("*").alias("times")).where("stays = 0 or times > 1"))
+    for done in (each, found, chosen):
+        common.release(done)
     names = docs.columns
     key, once = (f"_{x}_of_{'_'.join(names)}" for x in ("key", "once"))  # names that docs doesn't have
     tid = F.unhex(F.md5(F.coalesce(docs["text"], F.lit(""))))

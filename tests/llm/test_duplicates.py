@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import brute
 import corpus_pipeline
@@ -118,6 +119,37 @@ def test_large_meetings_go_in_blocks(spark):
     assert placed.groupBy("meeting", "band", "salt").count().agg({"count": "max"}).first()[0] < 150
 
 
+def test_pieces_of_a_cluster_meet_as_bitmaps(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"v{i}" for i in range(3000)]
+    a = [rng.choice(words) for _ in range(300)]
+    b = a[:262] + [rng.choice(words) for _ in range(38)]  # not near, but nearly: the small bitmaps cannot tell
+    rows = []
+    for base in (a, b):
+        for _ in range(60):
+            t = list(base)
+            t[rng.randrange(300)] = rng.choice(words)
+            rows.append((len(rows), " ".join(t)))
+    tiled, counts = jaccard._tiled, []
+    monkeypatch.setattr(jaccard, "_tiled", lambda m, *x: counts.append(m.count()) or tiled(m, *x))
+    got = {r.doc_id: r.component_id for r in jaccard.similar(pages(spark, rows), 4, 85, 100, 1500).collect()}
+    sets = brute.shingle_sets([t for _, t in rows], 4)
+    assert got == dict(zip([d for d, _ in rows], brute.components([d for d, _ in rows], sets, 85, 100), strict=True))
+    assert len(counts) == 2 and counts[1] <= len(rows)  # sets in pairs of tiles: each would be in about 25
+
+
+def test_shuffles_of_a_write_go_with_it(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: sum("shuffle" in manager.getAllFiles().apply(i).getName() for i in range(manager.getAllFiles().size()))
+    before = files()
+    out = common.stored(spark.range(1000).selectExpr("id % 7 as k", "id").groupBy("k").sum("id"))
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and out.count() == 7
+
+
 def test_every_band_has_parts_to_fill():
     for num in (80, 85, 95):
         tops, parts, spare = jaccard.bands(num, 100)
