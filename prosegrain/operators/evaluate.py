@@ -18,8 +18,10 @@ def _none():
 
 def score_rows(labels: DataFrame, hits: DataFrame, detectors: list[str]) -> DataFrame:
     """True positives, misses, false positives and decoys hit per row and detector."""
-    d = hits.groupBy("id", "detector").agg(F.sort_array(F.collect_set("type")).alias("detected"))
-    rows = labels.withColumn("detector", F.explode(F.array(*map(F.lit, detectors)))).join(d, ["id", "detector"], "left")
+    # Labels are repeated for the detectors after they have met the hits.
+    d = hits.filter(F.col("type").isNotNull() & F.col("detector").isNotNull()).groupBy("id").agg(F.sort_array(F.collect_set(F.struct("detector", "type"))).alias("of"))
+    rows = labels.join(d, "id", "left").withColumn("detector", F.explode(F.array(*map(F.lit, detectors))))
+    rows = rows.withColumn("detected", F.transform(F.filter("of", lambda x: x["detector"] == F.col("detector")), lambda x: x["type"]))
     det, exp = F.coalesce("detected", _none()), F.col("expected")
     return rows.select(
         "id", "detector", "difficulty", exp, F.coalesce("absent", _none()).alias("absent"), det.alias("detected"),
